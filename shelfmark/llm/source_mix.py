@@ -96,7 +96,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     slots = slots.select(F.col("source").alias("ss"), F.pmod("rank", blocks).alias("sb"), F.floor(F.col("rank") / blocks).alias("round"), "slot")
     met = pieces.join(slots, F.col("source").eqNullSafe(F.col("ss")) & (F.col("block") == F.col("sb")), "left")
     room = F.col("quota") - F.col("round") * F.col("source_size") - F.col("from")
-    got = F.coalesce(F.greatest(F.lit(0), F.least(F.col("to") - F.col("from"), room)), F.lit(0))
+    got = F.when(F.col("slot").isNotNull(), F.greatest(F.lit(0), F.least(F.col("to") - F.col("from"), room))).otherwise(0)
     return (
         met.groupBy("source", "part", "row", "size", "key")
         .agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("to") > F.col("from"), got).otherwise(0)).alias("taken"), F.min(F.when((F.col("to") > F.col("from")) & (got > 0), F.col("slot"))).alias("first_slot"))
