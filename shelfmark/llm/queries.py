@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from shelfmark.llm.chat_format import OP9_SQL, op9_chat_format
+from shelfmark.llm.language_bitmask import op2_language_bitmask
 from shelfmark.llm.line_quality import op3_line_quality
+from shelfmark.llm.minmax_dedup import op4_minmax_dedup
 from shelfmark.llm.source_mix import op7_source_mix
 
 QUERIES = {
+    "op2_language_bitmask": op2_language_bitmask,
     "op3_line_quality": op3_line_quality,
+    "op4_minmax_dedup": op4_minmax_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_chat_format": op9_chat_format,
 }
