@@ -7,11 +7,13 @@ from shelfmark.llm.language_bitmask import op2_language_bitmask
 from shelfmark.llm.line_quality import op3_line_quality
 from shelfmark.llm.minmax_dedup import op4_minmax_dedup
 from shelfmark.llm.source_mix import op7_source_mix
+from shelfmark.llm.span_crf import op6_span_crf
 
 QUERIES = {
     "op2_language_bitmask": op2_language_bitmask,
     "op3_line_quality": op3_line_quality,
     "op4_minmax_dedup": op4_minmax_dedup,
+    "op6_span_crf": op6_span_crf,
     "op7_source_mix": op7_source_mix,
     "op9_chat_format": op9_chat_format,
 }
