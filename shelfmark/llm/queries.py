@@ -6,6 +6,7 @@ from shelfmark.llm.chat_format import OP9_SQL, op9_chat_format
 from shelfmark.llm.language_bitmask import op2_language_bitmask
 from shelfmark.llm.line_quality import op3_line_quality
 from shelfmark.llm.minmax_dedup import op4_minmax_dedup
+from shelfmark.llm.pruned_graph import op8_pruned_graph
 from shelfmark.llm.source_mix import op7_source_mix
 from shelfmark.llm.span_crf import op6_span_crf
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_minmax_dedup": op4_minmax_dedup,
     "op6_span_crf": op6_span_crf,
     "op7_source_mix": op7_source_mix,
+    "op8_pruned_graph": op8_pruned_graph,
     "op9_chat_format": op9_chat_format,
 }
 ORACLE_SQL = {"op9_chat_format": OP9_SQL}
