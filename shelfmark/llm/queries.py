@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from shelfmark.llm.chat_format import OP9_SQL, op9_chat_format
+from shelfmark.llm.fano_lm import op5_fano_lm
+from shelfmark.llm.fm_substring import op10_fm_substring
 from shelfmark.llm.language_bitmask import op2_language_bitmask
 from shelfmark.llm.line_quality import op3_line_quality
 from shelfmark.llm.minmax_dedup import op4_minmax_dedup
@@ -14,9 +16,11 @@ QUERIES = {
     "op2_language_bitmask": op2_language_bitmask,
     "op3_line_quality": op3_line_quality,
     "op4_minmax_dedup": op4_minmax_dedup,
+    "op5_fano_lm": op5_fano_lm,
     "op6_span_crf": op6_span_crf,
     "op7_source_mix": op7_source_mix,
     "op8_pruned_graph": op8_pruned_graph,
     "op9_chat_format": op9_chat_format,
+    "op10_fm_substring": op10_fm_substring,
 }
 ORACLE_SQL = {"op9_chat_format": OP9_SQL}
