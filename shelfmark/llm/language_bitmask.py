@@ -159,8 +159,26 @@ def identify(docs: DataFrame, f: Filter, text: str = "text", keys: tuple[str, ..
     return rows.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "lang_pred string", "score double"]))
 
 
+def with_language(docs: DataFrame, f: Filter, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs whose text is in one of the filter's languages: identified, with a score of at least `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast(f)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            column = batch.column(at)
+            keep = np.zeros(len(column), bool)
+            if own.languages:
+                for first, ends, four in grams(column):
+                    keep[first : first + len(ends) - 1] = popcounts(own, four, ends).max(axis=1) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.filter(F.col(text).rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
-    return docs.filter(id_crc("doc_id", 4) != 2)
+    return docs.filter(~F.coalesce(id_crc("doc_id", 4) == 2, F.lit(False)))
 
 
 def op2_language_bitmask(spark, sf_dir: str) -> DataFrame:

@@ -243,6 +243,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params = Params()) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the least key stays. Rows with a null key stay; rows that repeat a key and text are one row."""
+    kept = near_duplicates(docs.filter(F.col(key).isNotNull()), text, key, p).filter("kept").select(key).distinct()
+    out = docs.join(kept, key, "left_semi")
+    if not docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key, text])
+    return out.unionByName(docs.filter(F.col(key).isNull())).select(docs.columns)
+
+
 def _alike(a: Column, b: Column, p: Params) -> Column:
     unlike = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(-(-p.values // 64))), F.lit(0))
     return unlike <= p.most_unlike

@@ -8,11 +8,13 @@ from shelfmark.llm.fm_substring import op10_fm_substring
 from shelfmark.llm.language_bitmask import op2_language_bitmask
 from shelfmark.llm.line_quality import op3_line_quality
 from shelfmark.llm.minmax_dedup import op4_minmax_dedup
+from shelfmark.llm.piece_sampling import op1_piece_sampling
 from shelfmark.llm.pruned_graph import op8_pruned_graph
 from shelfmark.llm.source_mix import op7_source_mix
 from shelfmark.llm.span_crf import op6_span_crf
 
 QUERIES = {
+    "op1_piece_sampling": op1_piece_sampling,
     "op2_language_bitmask": op2_language_bitmask,
     "op3_line_quality": op3_line_quality,
     "op4_minmax_dedup": op4_minmax_dedup,

@@ -104,5 +104,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     )
 
 
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """docs with each row as often as the mix takes its words, to the nearest whole number; rows with one key count alike."""
+    copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    times = mix(docs, text, source, key, **how).groupBy(F.col(key).alias("__key")).agg(F.max(copies).alias("__copies")).filter("__copies > 0")
+    met = docs.join(times, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies")))
+    return met.select(docs.columns)
+
+
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
