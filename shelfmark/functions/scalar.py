@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark import schema as S
 
@@ -15,7 +16,7 @@ def is_ascii(text: Column) -> Column:
     return F.length(text) == F.octet_length(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
@@ -56,7 +57,7 @@ def natural_name_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, one), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def natural_name_key_any(name: pd.Series) -> pd.Series:
     """natural_name_key of any text: compatibility forms, no combining marks, case folded."""
     import re
@@ -100,7 +101,7 @@ def _percent_decoded(data: bytes) -> bytes:
     return re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), data)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _valid_path(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else valid_path(p))
 
