@@ -1,24 +1,26 @@
 r"""Quality rules, line first, in DataFrame expressions only.
 
-Every line is judged by itself: punctuation (a line of a few words that ends no sentence, or one that is mostly marks),
-navigation (separators between short labels, menu words) and boilerplate (licence, copyright and cookie notices). Lines
-that fail are removed; a document that loses too large a part of its text, or has little left, is rejected.
+Every line is judged by itself: punctuation (marks and digits without a letter), navigation (labels between bars, menu
+words) and boilerplate (licence, copyright and cookie notices). Lines that fail are removed; a document that loses too large a part of its text, or has little left, is rejected.
 
 Null and empty texts have no words and are not kept. Long texts are judged whole; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import SPACE, table
 
 SYMBOLS = "#*$%&|<>"
-#: Patterns of single lines, on lower-cased text.
-NAVIGATION = r"^\s*(home|menu|next|previous|back to top|log ?in|sign ?up|share|read more|skip to content)\s*$|(\S+\s+\|\s+){2,}"
-BOILERPLATE = r"all rights reserved|copyright \(c\)|©|cookie policy|privacy policy|terms of (use|service)|apache license|gnu general public license|public license, version|permission is hereby granted|javascript is (required|disabled)|lorem ipsum"
-NO_LETTER = r"^[^\p{L}]*$"
+#: What navigation and boilerplate lines hold, in lower case.
+MENU = ("home", "menu", "next", "previous", "back to top", "login", "log in", "sign up", "share", "read more", "skip to content")
+BOILERPLATE = ("all rights reserved", "copyright (c)", "\u00a9", "cookie policy", "privacy policy", "terms of use", "terms of service", "apache license", "gnu general public license", "public license, version", "permission is hereby granted", "javascript is required", "lorem ipsum")
+BAR = " | "
 
 
 def let(value: Column, body) -> Column:
@@ -33,7 +35,7 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Words that stand in a window of `width` words found twice or more in the text, the first included.
 
-    Windows are compared as whole strings; only texts with an equal pair pay for the sort of windows with positions.
+    Windows are compared as whole strings; only texts with two windows of one hash pay for that.
     """
 
     def covered(windows: Column) -> Column:
@@ -49,24 +51,39 @@ def repeated_words(words: Column, width: int = 5) -> Column:
         return let(let(placed, runs), total)
 
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    found = let(windows, lambda ws: F.when(F.size(F.array_distinct(ws)) < F.size(ws), covered(ws)).otherwise(F.lit(0)))
-    return F.when(n > width, found).otherwise(F.lit(0)).cast("long")
+    strings = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = let(one, lambda h: F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[h[i + k] for k in range(width)])))
+    alike = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when((n > width) & alike, let(strings, covered)).otherwise(F.lit(0)).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word fails; blank lines never do."""
-    low = F.lower(line)
-    return line.rlike(r"\S") & (low.rlike(NAVIGATION) | low.rlike(BOILERPLATE) | line.rlike(NO_LETTER))
+def any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(or_, [text.contains(p) for p in parts])
 
 
 def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 5) -> DataFrame:
-    """docs with `clean_text` (the lines that pass), `lost` (share of non-space characters removed) and `lines_kept` (the verdict)."""
-    lines = F.split(F.col(text), "\n", -1)
+    """docs with `clean_text` (the lines that pass), `lost` (share of non-space characters removed) and `lines_kept` (the verdict).
+
+    The needles are sought in the whole text first; only texts that hold one have them sought line by line.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
     solid = lambda x: F.length(F.regexp_replace(x, SPACE, ""))
-    out = docs.withColumn("clean_text", F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n"))
-    out = out.withColumn("lost", F.when(solid(F.col(text)) > 0, 1 - solid(F.col("clean_text")) / solid(F.col(text))).otherwise(F.lit(1.0)))
-    return out.withColumn("lines_kept", F.coalesce((F.col("lost") <= most_lost) & (F.regexp_count("clean_text", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words), F.lit(False)))
+    out = docs.withColumns({"_lines": F.split(whole, "\n", -1), "_legal": any_of(F.lower(whole), BOILERPLATE), "_barred": whole.contains(BAR)})
+
+    def fails(line: Column) -> Column:
+        punctuation = ~line.rlike(r"\p{L}") & line.rlike(r"[^\x20\x09-\x0D]")
+        bars = F.col("_barred") & (F.length(line) - F.length(F.replace(line, F.lit(BAR), F.lit(""))) >= 2 * len(BAR))
+        menu = (F.length(line) <= 40) & F.lower(F.trim(line)).isin(*MENU)
+        return punctuation | bars | menu | (F.col("_legal") & any_of(F.lower(line), BOILERPLATE))
+
+    out = out.withColumn("_failed", F.transform("_lines", fails))
+    some = F.exists("_failed", lambda x: x)
+    passed = F.filter("_lines", lambda x, i: ~F.col("_failed")[i])
+    out = out.withColumn("clean_text", F.when(some, F.array_join(passed, "\n")).otherwise(F.col(text)))
+    out = out.withColumn("lost", F.when(~whole.rlike(r"[^\x20\x09-\x0D]"), F.lit(1.0)).when(some, 1 - solid(F.col("clean_text")) / solid(whole)).otherwise(F.lit(0.0)))
+    enough = F.coalesce(F.col("clean_text").rlike(r"([^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (least_words - 1)), F.lit(False))
+    return out.withColumn("lines_kept", (F.col("lost") <= most_lost) & enough).drop("_lines", "_legal", "_barred", "_failed")
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
