@@ -195,7 +195,8 @@ def index(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     shards = points.groupBy("dim").agg(F.ceil(F.count("*") / p.shard_rows).cast("int").alias("shards"))
     dealt = points.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
     schema = "dim int, shard int, vectors binary, edges binary, entry int, ids binary, counts binary"
-    return written(dealt.select("dim", "shard", "embedding", "ids").groupBy("dim", "shard").applyInPandas(_index(p), schema), "graphs")
+    tasks = 4 * (shards.agg(F.sum("shards")).first()[0] or 1)  # a number of our own: small shards are long work, and must not be put together
+    return written(dealt.select("dim", "shard", "embedding", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_index(p), schema), "graphs")
 
 
 def nearest(queries: DataFrame, graphs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -206,7 +207,8 @@ def nearest(queries: DataFrame, graphs: DataFrame, p: Params = Params()) -> Data
     packed = q.select("dim", "block", "embedding", "vec_id").groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary, query_ids binary")
     places = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
     sent = packed.join(places, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    met = sent.join(graphs, ["dim", "shard"]).repartition(F.col("dim"), F.col("shard"), F.col("block"))
+    tasks = min(4 * (sent.count() or 1), 20_000)
+    met = sent.join(graphs, ["dim", "shard"]).repartition(tasks, "dim", "shard", "block")
     found = met.mapInArrow(_search(p), "query_id long, vec_id long, score double").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
