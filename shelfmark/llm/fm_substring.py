@@ -2,11 +2,15 @@
 
 Every window of consecutive words belongs to the segment of windows around its minimizer, the least hash of the shorter
 word runs in it; equal windows have equal minimizers, so a minimizer's segments can be judged apart from all others.
-Segments of minimizers that occur once can't repeat and are never sent. The rest are dealt by minimizer over shards. A
-shard's segments make a Burrows-Wheeler transform in a wavelet matrix; documents' segments are streamed through it
-from right to left by backward search, a bounded matching statistic at a time, and windows with two occurrences or more
-are reported. A minimizer with more segments than `crowded` would make a shard too large: its windows are dealt and
-counted by their own hashes instead, so that any passage may be as common as it likes.
+Segments of minimizers that occur once can't repeat and are never sent. The rest are dealt by minimizer over shards, one
+of each content with its number of copies. A shard's segments make a Burrows-Wheeler transform in a wavelet matrix; the
+segments are streamed through it from right to left by backward search, a bounded matching statistic at a time, and
+windows with two occurrences or more are reported.
+
+A minimizer with more than `crowded` different segments would make a shard too large. Its windows are cut again by a
+second order, which puts runs in the slots of crowded minimizers last (a bit per slot, of a fixed number of slots): then
+a window that only touches a common passage goes by a run of its own. What is crowded by this order too is dealt and
+counted by the windows' own hashes, so that any passage may be as common as it likes.
 
 Null and empty texts, and texts with fewer words than a window, lose nothing. Equal texts are one text with a weight.
 Repeated ids and rows are allowed. Words are compared by 64-bit hashes.
@@ -30,12 +34,13 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Params:
-    """run: words of a minimizer. shard: segments of a shard on average."""
+    """run: words of a minimizer. shard: segments of a shard on average. slots: bits of the filter of crowded minimizers, a power of two."""
 
     window: int = 35
     run: int = 8
     crowded: int = 2048
     shard: int = 2048
+    slots: int = 1 << 18
 
 
 def runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -66,28 +71,50 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return part if size == width else np.minimum(part, _ahead(part, width - size))
 
 
-def segments(w: Words, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, minimizer and weight of each segment; the weight is 2 if its minimizer recurs in it."""
+def names_of(h: np.ndarray, start: np.ndarray, width: np.ndarray, minimizer: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each run h[start:start+width] and its minimizer, from running sums of a polynomial in the hashes."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(base), -1, 2**64))
+    up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(h), x)])) for x in (base, back))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+    own = (sums[start + width] - sums[start]) * down[start]
+    return mixed(mixed(own) * _A + mixed(minimizer ^ mixed(width.astype(np.uint64))))
+
+
+def segments(w: Words, p: Params, some: np.ndarray | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, minimizer, weight and name of each segment; the weight is 2 if its minimizer recurs in it.
+
+    some: the windows to look at, all if None. common: a bit per slot; runs in a slot that is set become minimizers only
+    where a window has no other run.
+    """
     n, none = len(w.hashes), np.zeros(0, np.int64)
     if n < p.window:
-        return none, none, none.view(np.uint64), none
+        return none, none, none.view(np.uint64), none, none.view(np.uint64)
     grams = runs(w.hashes, p.run)
+    if common is not None:
+        grams = (grams >> np.uint64(1)) | (common[(grams & np.uint64(p.slots - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
     low = least(grams, p.window - p.run + 1)
-    end = np.repeat(w.offsets[1:], w.lengths())
-    valid = np.arange(n) + p.window <= end
+    valid = np.arange(n) + p.window <= np.repeat(w.offsets[1:], w.lengths())
+    if some is not None:
+        valid &= some
     begins = valid.copy()
     begins[1:] &= ~valid[:-1] | (low[1:] != low[:-1])
     first = np.flatnonzero(begins)
     if not len(first):
-        return none, none, none.view(np.uint64), none
+        return none, none, none.view(np.uint64), none, none.view(np.uint64)
     stop = valid.copy()
     stop[:-1] &= ~valid[1:] | begins[1:]
     count = np.flatnonzero(stop) + 1 - first
     value = low[first]
     width = count + p.window - p.run
-    at = np.repeat(first - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-    same = np.add.reduceat((grams[at] == np.repeat(value, width)).astype(np.int64), np.concatenate([[0], np.cumsum(width)[:-1]]))
-    return first, count, value, np.minimum(same, 2)
+    same = np.add.reduceat((grams[_spread(first, width)] == np.repeat(value, width)).astype(np.int64), np.concatenate([[0], np.cumsum(width)[:-1]]))
+    return first, count, value, np.minimum(same, 2), names_of(w.hashes, first, count + p.window - 1, value)
+
+
+def _spread(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    ends = np.cumsum(width)
+    return np.repeat(start - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WaveletMatrix:
@@ -199,73 +226,92 @@ def repeated_windows(sequences: list[np.ndarray], weights: np.ndarray, window: i
     return [n >= 2 for n in FMIndex(ids, weights, window).occurrences(ids)]
 
 
+_SEGMENT = {"minimizer": (pa.int64(), "long"), "first": (pa.int32(), "int"), "windows": (pa.int32(), "int"), "weight": (pa.int8(), "tinyint"), "name": (pa.int64(), "long")}
+
+
+def _columns(found: tuple[np.ndarray, ...], w: Words) -> list[np.ndarray]:
+    """Segments in the order of _SEGMENT, first counted from the document's start."""
+    first, count, value, weight, name = found
+    local = first - w.offsets[np.searchsorted(w.offsets, first, "right") - 1]
+    return [value.view(np.int64), local.astype(np.int32), count.astype(np.int32), weight.astype(np.int8), name.view(np.int64)]
+
+
 def _scan(p: Params):
-    schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("whole", pa.string()), ("minimizer", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("windows", pa.list_(pa.int32())), ("weight", pa.list_(pa.int8()))])
+    schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("whole", pa.string()), *[(n, pa.list_(k)) for n, (k, _) in _SEGMENT.items()]])
 
     def run(batches):
         for batch in batches:
             data, at = raw(batch.column(3))
             for w in words(batch.column(3)):
-                first, count, value, weight = segments(w, p)
-                each = np.searchsorted(first, w.offsets).astype(np.int32)
-                local = first - w.offsets[np.searchsorted(w.offsets, first, "right") - 1]
+                found = segments(w, p)
+                each = pa.array(np.searchsorted(found[0], w.offsets).astype(np.int32))
                 whole = [hashlib.sha256(b" ".join(data[at[w.first + d] : at[w.first + d + 1]].tobytes().split())).hexdigest() for d in range(w.docs)]
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(each), pa.array(x))  # noqa: E731, B023
                 head = [batch.column(k).slice(w.first, w.docs) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(w.lengths()), pa.array(whole), lists(value.view(np.int64)), lists(local.astype(np.int32)), lists(count.astype(np.int32)), lists(weight.astype(np.int8))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*head, pa.array(w.lengths()), pa.array(whole), *[pa.ListArray.from_arrays(each, pa.array(x)) for x in _columns(found, w)]], schema=schema)
+
+    return run, "id long, k1 long, k2 long, n_words long, whole string, " + ", ".join(f"{n} array<{k}>" for n, (_, k) in _SEGMENT.items())
 
-    return run, "id long, k1 long, k2 long, n_words long, whole string, minimizer array<long>, first array<int>, windows array<int>, weight array<tinyint>"
 
+def _listed(batch):
+    """For some documents of a batch at a time: their words, the rows and word offsets of the segments, and the segments' fields."""
+    cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+    lists = cols["segments"]
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    flat = lists.flatten()
+    fields = {flat.type.field(k).name: flat.field(k).to_numpy() for k in range(flat.type.num_fields)}
+    for w in words(cols["text"]):
+        part = slice(ends[w.first], ends[w.first + w.docs])
+        doc = np.repeat(np.arange(w.docs), np.diff(ends[w.first : w.first + w.docs + 1]))
+        yield w, w.first + doc, w.offsets[doc] + fields["first"][part], {n: x[part] for n, x in fields.items()}
 
-def _each_segment(batches, crowded: bool):
-    """(row, word hashes of the document, first window, number of windows, minimizer) of the candidate segments."""
-    for batch in batches:
-        cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        for w in words(cols["text"]):
-            for d in range(w.docs):
-                h = w.hashes[w.offsets[d] : w.offsets[d + 1]]
-                for s in cols["segments"][w.first + d].as_py():
-                    if s["crowded"] == crowded:
-                        yield batch, cols, w.first + d, h, s["first"], s["windows"], s["minimizer"]
 
+def _again(p: Params, common: np.ndarray):
+    """The windows of the listed segments, in segments by rarer minimizers."""
+    head = ["k1", "k2", "id0", "copies"]
+
+    def run(batches):
+        for batch in batches:
+            for w, _, start, f in _listed(batch):
+                some = np.zeros(len(w.hashes), bool)
+                some[_spread(start, f["windows"])] = True
+                found = segments(w, p, some, common)
+                row = pa.array(w.first + np.searchsorted(w.offsets, found[0], "right") - 1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).take(row) for n in head], *[pa.array(x) for x in _columns(found, w)]], names=[*head, *_SEGMENT])
 
-def _named(h: np.ndarray, minimizer: int) -> int:
-    return int(runs(np.concatenate([h, np.zeros(1, np.uint64) + np.uint64(minimizer & (2**64 - 1))]), len(h) + 1)[:1].view(np.int64)[0])
+    return run, "k1 long, k2 long, id0 long, copies long, " + ", ".join(f"{n} {k}" for n, (_, k) in _SEGMENT.items())
 
 
 def _contents(p: Params):
-    """(name, minimizer, content, weight) or (name, k1, k2, first) of segments."""
-
-    def contents(batches):
-        out = [[], [], [], []]
-        for _, cols, row, h, first, n, m in _each_segment(batches, False):
-            part = h[first : first + n + p.window - 1]
-            for o, x in zip(out, (_named(part, m), m, part.tobytes(), cols["copies"][row].as_py()), strict=True):
-                o.append(x)
-            if len(out[0]) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.binary()), pa.array(out[3])], names=["name", "minimizer", "content", "weight"])
-                out = [[], [], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.binary()), pa.array(out[3])], names=["name", "minimizer", "content", "weight"])
-
-    def places(batches):
-        out = [[], [], [], []]
-        for _, cols, row, h, first, n, m in _each_segment(batches, False):
-            for o, x in zip(out, (_named(h[first : first + n + p.window - 1], m), cols["k1"][row].as_py(), cols["k2"][row].as_py(), first), strict=True):
-                o.append(x)
-            if len(out[0]) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["name", "k1", "k2", "first"])
-                out = [[], [], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["name", "k1", "k2", "first"])
-
-    def single(batches):
-        """(hash, k1, k2, first, weight) of the windows of crowded minimizers."""
-        for _, cols, row, h, first, n, _m in _each_segment(batches, True):
-            own = runs(h[first : first + n + p.window - 1], p.window)[:n].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([cols["k1"][row].as_py()] * n), pa.array([cols["k2"][row].as_py()] * n), pa.array(np.arange(first, first + n)), pa.array([cols["copies"][row].as_py()] * n)], names=["hash", "k1", "k2", "first", "weight"])
-
-    return contents, places, single
+    """(name, minimizer, weight, content) of the listed segments; content: word hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for w, _, start, f in _listed(batch):
+                width = f["windows"].astype(np.int64) + p.window - 1
+                ends = np.concatenate([[0], np.cumsum(width)])
+                for a in range(0, len(start), 20_000):
+                    b = min(len(start), a + 20_000)
+                    content = w.hashes[_spread(start[a:b], width[a:b])].tobytes()
+                    offsets = ((ends[a : b + 1] - ends[a]) * 8).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(f[n][a:b]) for n in ("name", "minimizer", "weight")], pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(content)])], names=["name", "minimizer", "weight", "content"])
+
+    return run, "name long, minimizer long, weight long, content binary"
+
+
+def _single(p: Params):
+    """(hash, k1, k2, id0, first, weight) of every window of the listed segments."""
+    head = ["k1", "k2", "id0", "copies"]
+
+    def run(batches):
+        for batch in batches:
+            for w, row, start, f in _listed(batch):
+                own = runs(w.hashes, p.window).view(np.int64) if len(w.hashes) >= p.window else np.zeros(0, np.int64)
+                at = _spread(start, f["windows"])
+                rows = pa.array(np.repeat(row, f["windows"]))
+                k1, k2, id0, weight = (batch.column(n).take(rows) for n in head)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), k1, k2, id0, pa.array(_spread(f["first"].astype(np.int64), f["windows"])), weight], names=["hash", "k1", "k2", "id0", "first", "weight"])
+
+    return run, "hash long, k1 long, k2 long, id0 long, first long, weight long"
 
 
 def _shard(p: Params):
@@ -302,35 +348,57 @@ def _removed(p: Params):
     return run, "k1 long, k2 long, n_removed long, kept string"
 
 
+def crowded(found: DataFrame, p: Params) -> DataFrame:
+    """Minimizers with so many different segments that their shard would be too large."""
+    return written(found.groupBy("minimizer").agg(F.countDistinct("name").alias("n")).filter(F.col("n") > p.crowded).select("minimizer"), "crowded")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params = Params()) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row of docs."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    source = source.select("id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k2"), "text").alias("k2"), "text")
+    source = source.select("id", F.coalesce("id", F.lit(-(2**63))).alias("id0"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k2"), "text").alias("k2"), "text")
+    one_text = ["k1", "k2", "id0"]
+
+    def with_text(of: DataFrame) -> DataFrame:
+        return source.drop("id").join(of, one_text).dropDuplicates(one_text)
+
     run, schema = _scan(p)
-    scan = written(source.mapInArrow(run, schema), "scan")
-    classes = scan.filter(F.size("minimizer") > 0).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(F.coalesce("id", F.lit(-(2**63)))).alias("id0"))
-    flat = lambda df, *more: df.select(*more, F.explode(F.arrays_zip("minimizer", "first", "windows", "weight")).alias("s"))
-    often = flat(scan).groupBy(F.col("s.minimizer").alias("minimizer")).agg(F.sum("s.weight").alias("n")).filter("n > 1").select("minimizer")
-    one = scan.select("k1", "k2", F.coalesce("id", F.lit(-(2**63))).alias("id0"), "minimizer", "first", "windows", "weight").join(classes, ["k1", "k2", "id0"])
-    found = flat(one, "k1", "k2", "id0", "copies").select("k1", "k2", "id0", "copies", "s.*").join(often, "minimizer")
-    found = written(found, "candidates")
-    dense = found.groupBy("minimizer").count().filter(F.col("count") > p.crowded).select("minimizer", F.lit(True).alias("crowded"))
-    by_text = found.join(dense, "minimizer", "left").groupBy("k1", "k2", "id0", "copies").agg(F.collect_set(F.struct("first", "windows", "minimizer", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("segments"))
-    texts = source.withColumn("id0", F.coalesce("id", F.lit(-(2**63)))).drop("id").join(by_text, ["k1", "k2", "id0"]).dropDuplicates(["k1", "k2"])
-    texts = written(texts.select("k1", "k2", "copies", "segments", "text"), "texts")
-    contents, places, single = _contents(p)
-    content = texts.mapInArrow(contents, "name long, minimizer long, content binary, weight long").groupBy("name", "minimizer", "content").agg(F.sum("weight").alias("weight"))
-    content = written(content, "segments")
-    shards = max(1, -(-content.count() // p.shard))
-    marked = content.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(p), "name long, marks binary")
+    scan = written(source.select("id", "k1", "k2", "text").mapInArrow(run, schema), "scan").withColumn("id0", F.coalesce("id", F.lit(-(2**63))))
+    classes = scan.filter(F.size("minimizer") > 0).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id0").alias("id0"))
+    flat = lambda df, *more: df.select(*more, F.explode(F.arrays_zip(*_SEGMENT)).alias("s")).select(*more, "s.*")
+    often = flat(scan).groupBy("minimizer").agg(F.sum("weight").alias("n")).filter("n > 1").select("minimizer")
+    one = scan.select(*one_text, *_SEGMENT).join(classes, one_text)
+    found = written(flat(one.dropDuplicates(one_text), *one_text, "copies").join(often, "minimizer"), "candidates")
+    dense = crowded(found, p)
+    slots = dense.select(F.col("minimizer").bitwiseAND(F.lit(p.slots - 1)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
+    if len(slots):
+        common = np.zeros(p.slots, bool)
+        common[slots] = True
+        listed = found.join(dense, "minimizer").groupBy(*one_text, "copies").agg(F.collect_list(F.struct("first", "windows")).alias("segments"))
+        run, schema = _again(p, common)
+        again = written(with_text(listed).mapInArrow(run, schema), "again")
+        more = again.groupBy("minimizer").agg(F.sum(F.col("weight") * F.col("copies")).alias("n")).filter("n > 1").select("minimizer")
+        found = written(found.join(dense, "minimizer", "left_anti").unionByName(again.join(more, "minimizer")), "candidates")
+        dense = crowded(found, p)
+    settled = found.join(dense, "minimizer", "left_anti")
+    names = settled.groupBy("name", "minimizer").agg(F.sum("copies").alias("weight"), F.min(F.struct(*one_text, "first", "windows")).alias("at"))
+    names = written(names.select("name", "minimizer", "weight", "at.*"), "names")
+    listed = names.groupBy(*one_text).agg(F.collect_list(F.struct("first", "windows", "name", "minimizer", "weight")).alias("segments"))
+    run, schema = _contents(p)
+    shards = max(1, -(-names.count() // p.shard))
+    shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards))
+    marked = with_text(listed).mapInArrow(run, schema).withColumn("shard", shard).groupBy("shard").applyInPandas(_shard(p), "name long, marks binary")
     marked = written(marked, "marks")
-    met = texts.mapInArrow(places, "name long, k1 long, k2 long, first long").join(marked, "name").select("k1", "k2", "first", "marks")
-    lone = texts.filter(F.exists("segments", lambda s: s["crowded"])).mapInArrow(single, "hash long, k1 long, k2 long, first long, weight long")
-    twice = lone.groupBy("hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash")
-    met = met.unionByName(lone.join(twice, "hash").select("k1", "k2", "first", F.lit(None).cast("binary").alias("marks")))
-    per_text = met.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "marks")).alias("found"))
+    met = settled.join(marked, "name").select(*one_text, "first", "marks")
+    if not dense.isEmpty():
+        listed = found.join(dense, "minimizer").groupBy(*one_text, "copies").agg(F.collect_list(F.struct("first", "windows")).alias("segments"))
+        run, schema = _single(p)
+        lone = with_text(listed).mapInArrow(run, schema)
+        twice = lone.groupBy("hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash")
+        met = met.unionByName(lone.join(twice, "hash").select(*one_text, F.col("first").cast("int").alias("first"), F.lit(None).cast("binary").alias("marks")))
+    per_text = met.groupBy(*one_text).agg(F.collect_list(F.struct("first", "marks")).alias("found"))
     run, schema = _removed(p)
-    result = texts.select("k1", "k2", "text").join(per_text, ["k1", "k2"]).mapInArrow(run, schema)
+    result = with_text(per_text).select("k1", "k2", "text", "found").mapInArrow(run, schema)
     out = scan.select("id", "k1", "k2", "n_words", "whole").join(result, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
