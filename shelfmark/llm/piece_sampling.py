@@ -7,7 +7,7 @@ numbers that depend on the seed, the row's key, the place in the text and the st
 of machines draws the same. Decoding joins the pieces' bytes and gives the text back exactly.
 
 The lattice is cut before spaces that follow other characters, around line ends, and in longer stretches every `longest`
-bytes between characters; equal chunks of a batch are filtered once and sampled separately.
+bytes between characters; equal chunks are filtered once and sampled separately.
 
 Null texts have null pieces, empty texts none. A null key is a key of its own; rows with equal keys and texts get equal
 segmentations.
@@ -30,6 +30,8 @@ from shelfmark.llm.textvec import hashed, mixed, raw
 #: The folder of public tokenizer files; a parameter of every function that needs it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _P = np.uint64(0x100000001B3)
+#: Shares and random numbers are whole multiples of one part in this.
+_UNIT = 2**40
 
 
 @dataclass(frozen=True)
@@ -157,10 +159,17 @@ class Lattice:
                 total = np.add.reduceat(share[e], starts)
                 forward[to[e][starts]] = total
                 share[e] /= np.repeat(total, np.diff([*starts, len(e)]))
-        upto = np.cumsum(share)
+        upto = np.cumsum(np.rint(share * _UNIT).astype(np.int64))  # in whole numbers: the same whatever stands before
         head = self.first[to] if len(to) else to
         self.share = upto - np.where(head > 0, upto[head - 1], 0)
 
+    def joined(self, other: Lattice) -> Lattice:
+        """The strings of both, the other's behind."""
+        out, nodes, edges = object.__new__(Lattice), self.base[-1], len(self.piece)
+        out.base, out.first = np.concatenate([self.base[:-1], other.base + nodes]), np.concatenate([self.first[:-1], other.first + edges])
+        out.frm, out.piece, out.share = np.concatenate([self.frm, other.frm + nodes]), np.concatenate([self.piece, other.piece]), np.concatenate([self.share, other.share])
+        return out
+
     def sample(self, which: np.ndarray, size: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each occurrence in order, and how many each has."""
         node, start = self.base[which] + size, self.base[which]
@@ -168,7 +177,7 @@ class Lattice:
         count = np.zeros(len(which), np.int64)
         while len(live):
             at = node[live]
-            u = (mixed(seeds[live] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) * 2.0**-53
+            u = (mixed(seeds[live] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(24)).astype(np.int64)
             edge, last = self.first[at], self.first[at + 1] - 1
             more = np.flatnonzero((self.share[edge] <= u) & (edge < last))
             while len(more):
@@ -185,9 +194,37 @@ class Lattice:
         return out, count
 
 
-def encode_column(column, keys, p: Params, most: int = 1 << 21):
+class Known:
+    """The lattice of chunks that a worker has met more than once in a slice, up to `room` chunks; it changes no result."""
+
+    def __init__(self, room: int = 60_000):
+        self.room, self.hashes, self.place, self.lattice = room, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of its strings each chunk is, -1 if none."""
+        at = np.searchsorted(self.hashes, hashes)
+        hit = at < len(self.hashes)
+        hit[hit] = self.hashes[at[hit]] == hashes[hit]
+        out = np.full(len(hashes), -1)
+        out[hit] = self.place[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, lattice: Lattice) -> None:
+        place = np.concatenate([self.place, len(self.place) + np.arange(len(hashes))])
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes)
+        self.hashes, self.place = hashes[order], place[order]
+        self.lattice = self.lattice.joined(lattice) if self.lattice else lattice
+
+
+@lru_cache(maxsize=2)
+def known_chunks(p: Params) -> Known:
+    return Known()
+
+
+def encode_column(column, keys, p: Params, most: int = 1 << 20):
     """(first document, offsets, pieces) of some documents at a time."""
-    v = vocabulary(p)
+    v, own = vocabulary(p), known_chunks(p)
     data, at = raw(column)
     known = np.asarray(keys.is_valid())
     row_seed = mixed(np.asarray(keys.cast(pa.int64()).fill_null(0)).view(np.uint64) ^ mixed(np.where(known, 0, 1).astype(np.uint64) + np.uint64(2 * p.seed)))
@@ -198,12 +235,19 @@ def encode_column(column, keys, p: Params, most: int = 1 << 21):
         bounds = at[first : last + 1] - at[first]
         cut = chunks(part[: bounds[-1]], bounds, p.longest)
         start, size = cut[:-1], np.diff(cut)
-        _, lead, which = np.unique(hashed(part, start, cut[1:]), return_index=True, return_inverse=True)
-        lattice = Lattice(part, start[lead], size[lead], v, p.longest_piece)
+        hashes, lead, which, often = np.unique(hashed(part, start, cut[1:]), return_index=True, return_inverse=True, return_counts=True)
+        place = own.places(hashes)
+        new = np.flatnonzero((place < 0) & (often > 1))[: own.room - len(own.hashes)]
+        if len(new) or own.lattice is None:
+            own.add(hashes[new], Lattice(part, start[lead[new]], size[lead[new]], v, p.longest_piece))
+            place = own.places(hashes)
+        new = np.flatnonzero(place < 0)
+        lattice = own.lattice.joined(Lattice(part, start[lead[new]], size[lead[new]], v, p.longest_piece))
+        place[new] = len(own.hashes) + np.arange(len(new))
         per_doc = np.searchsorted(start, bounds)
         doc = np.repeat(np.arange(last - first), np.diff(per_doc))
         seeds = mixed(row_seed[first + doc] + (np.arange(len(start)) - per_doc[doc]).astype(np.uint64))
-        pieces, count = lattice.sample(which, size, seeds)
+        pieces, count = lattice.sample(place[which], size, seeds)
         yield first, np.concatenate([[0], np.cumsum(count)])[per_doc], pieces
         first = last
 
