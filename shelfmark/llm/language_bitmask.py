@@ -50,7 +50,7 @@ class Filter:
     prior: np.ndarray
 
 
-def grams(column, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def grams(column, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, offsets, n-grams) for some documents at a time. Runs of spaces count once."""
     data, at = raw(column)
     first, n = 0, len(at) - 1

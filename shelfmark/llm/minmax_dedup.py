@@ -96,7 +96,7 @@ def _sketch(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for w in words(batch.column(1), lower=True):
+            for w in words(batch.column(1), lower=True, most=1 << 20):
                 sets, offsets = shingles(w, p.width)
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
@@ -122,7 +122,7 @@ def _sets(p: Params):
 
     def run(batches):
         for batch in batches:
-            for w in words(batch.column(0), lower=True):
+            for w in words(batch.column(0), lower=True, most=1 << 20):
                 sets, offsets = shingles(w, p.width)
                 full = np.flatnonzero(np.diff(offsets))
                 if len(full):

@@ -130,7 +130,7 @@ class Lattice:
             live = order[: np.searchsorted(-sizes, -i, "left")]
             node, at, left = self.base[live] + i, start[live] + i, size[live] - i
             first = data[at]
-            to.append(node + 1), frm.append(node), piece.append(v.byte_ids[first]), prob.append(np.full(len(live), v.byte_probability))
+            to.append((node + 1).astype(np.int32)), frm.append(node.astype(np.int32)), piece.append(v.byte_ids[first].astype(np.int32)), prob.append(np.full(len(live), v.byte_probability))
             key = np.zeros(len(live), np.uint64)
             for k in range(min(longest_piece, width - i)):
                 some = left > k
@@ -140,7 +140,7 @@ class Lattice:
                 hit = np.flatnonzero(v.bits[_slot(key)])
                 place = np.minimum(np.searchsorted(v.keys, key[hit]), len(v.keys) - 1)
                 hit, place = hit[v.keys[place] == key[hit]], place[v.keys[place] == key[hit]]
-                to.append(node[hit] + k + 1), frm.append(node[hit]), piece.append(v.ids[place]), prob.append(v.probability[place])
+                to.append((node[hit] + k + 1).astype(np.int32)), frm.append(node[hit].astype(np.int32)), piece.append(v.ids[place].astype(np.int32)), prob.append(v.probability[place])
         to, frm, piece, prob = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (to, frm, piece, prob))
         by = np.argsort(to, kind="stable")
         to, self.frm, self.piece, prob = to[by], frm[by], piece[by], prob[by]
@@ -167,7 +167,7 @@ class Lattice:
         """The strings of both, the other's behind."""
         out, nodes, edges = object.__new__(Lattice), self.base[-1], len(self.piece)
         out.base, out.first = np.concatenate([self.base[:-1], other.base + nodes]), np.concatenate([self.first[:-1], other.first + edges])
-        out.frm, out.piece, out.share = np.concatenate([self.frm, other.frm + nodes]), np.concatenate([self.piece, other.piece]), np.concatenate([self.share, other.share])
+        out.frm, out.piece, out.share = np.concatenate([self.frm, (other.frm + nodes).astype(np.int32)]), np.concatenate([self.piece, other.piece]), np.concatenate([self.share, other.share])
         return out
 
     def sample(self, which: np.ndarray, size: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,7 @@ class Lattice:
 class Known:
     """The lattice of chunks that a worker has met more than once in a slice, up to `room` chunks; it changes no result."""
 
-    def __init__(self, room: int = 60_000):
+    def __init__(self, room: int = 40_000):
         self.room, self.hashes, self.place, self.lattice = room, np.zeros(0, np.uint64), np.zeros(0, np.int64), None
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def known_chunks(p: Params) -> Known:
     return Known()
 
 
-def encode_column(column, keys, p: Params, most: int = 1 << 20):
+def encode_column(column, keys, p: Params, most: int = 1 << 19):
     """(first document, offsets, pieces) of some documents at a time."""
     v, own = vocabulary(p), known_chunks(p)
     data, at = raw(column)
