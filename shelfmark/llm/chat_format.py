@@ -26,12 +26,13 @@ TURN = "struct<role:string,text:string>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """fields: the paths that a record of this layout fills. turns: (role, path) pairs, or the path of a message array with the names of its role and text fields. roles: other names of the canonical roles."""
+    """fields: the paths that a record of this layout fills. turns: (role, path) pairs, or the path of a message array with the names of its role and text fields, or (row) the paths of the role and the text of a record that is one turn, whose role is kept as it is."""
 
     name: str
     fields: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     messages: tuple[str, str, str] | None = None
+    row: tuple[str, str] | None = None
 
     @property
     def key(self) -> str:
@@ -49,6 +50,8 @@ LAYOUTS = (
     Mapping("instruction", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction_input", ("input", "instruction", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
 )
+#: A record that is one turn. A null field isn't filled, so the layout has a fingerprint for each set of filled fields.
+TURN_ROWS = tuple(Mapping("turn", fields, row=("role", "text")) for fields in (("role", "text"), ("role",), ("text",), ()))
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -85,6 +88,8 @@ def canonical_turns(df: DataFrame, mappings=LAYOUTS, roles=ROLES) -> DataFrame:
         if m.messages:
             path, role, text = m.messages
             return F.transform(F.col(path), lambda x: F.struct(F.coalesce(names[x[role].cast("string")], x[role].cast("string"), F.lit("")).alias("role"), F.coalesce(x[text].cast("string"), F.lit("")).alias("text")))
+        if m.row:
+            return F.array(F.struct(*[F.coalesce(F.col(p).cast("string"), F.lit("")).alias(n) for n, p in zip(("role", "text"), m.row, strict=True)]))
         return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.col(p).cast("string"), F.lit("")).alias("text")) for r, p in m.turns])
 
     key = row_fingerprint(df, mappings)
@@ -157,7 +162,9 @@ def op9_chat_format(spark, sf_dir: str) -> DataFrame:
 
     told = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(told))
-    done = format_turns(rows, "conv_id", "turn").withColumns({"turns": read_back(F.col("formatted")), "masked": masked_text(F.col("formatted"), F.col("loss_spans"))})
+    # a record without a mapping has null turns: it stays as one empty turn, so that no row is lost
+    turns = canonical_turns(rows, TURN_ROWS).select("conv_id", "turn", F.explode_outer("turns").alias("own")).select("conv_id", "turn", "own.role", "own.text")
+    done = format_turns(turns, "conv_id", "turn").withColumns({"turns": read_back(F.col("formatted")), "masked": masked_text(F.col("formatted"), F.col("loss_spans"))})
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",

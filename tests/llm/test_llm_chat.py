@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 from tests.conftest import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,3 +68,17 @@ def test_oddities(spark):
     assert [tuple(t) for t in got[1]["turns"]] == [("", ""), ("", "")] and len(got[None]["turns"]) == 1
     assert [len(t["text"]) for t in got[2]["turns"]] == [300_000, 0] and len(got[2]["loss_spans"]) == 1
     assert M.format_turns(df.limit(0), "conv_id", "turn").isEmpty()
+
+
+def test_query_takes_turns_by_fingerprint(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "human", "a"), (1, 1, None, "b"), (1, 2, "assistant", None), (1, 3, None, None), (2, 0, "gpt", "<|im_end|>"), (2, 0, "gpt", "<|im_end|>"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert M.canonical_turns(df, M.TURN_ROWS).filter("layout is null or layout <> 'turn' or size(turns) <> 1").isEmpty()
+    seen, own = [], M.canonical_turns
+    monkeypatch.setattr(M, "canonical_turns", lambda *a, **b: seen.append(a) or own(*a, **b))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    out = M.op9_chat_format(spark, str(tmp_path))
+    assert same(out, con, M.OP9_SQL) is None and len(seen) == 1
+    assert {r["conv_id"]: r["n_turns"] for r in out.collect()} == {-7: 2, 1: 4, 2: 2, 3: 1}
