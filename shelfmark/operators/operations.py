@@ -26,14 +26,15 @@ def due_libraries(libraries: DataFrame, runs: DataFrame, cutoff_ms: int) -> Data
     return out.filter((F.coalesce("last_ms", F.lit(0)) <= cutoff_ms) & ~F.coalesce("active", F.lit(False))).select("library_id")
 
 
-def failures(jobs: DataFrame, attempts: DataFrame, before: int | None = None, limit: int = S.DEFAULT_LIMIT, **equal: str) -> DataFrame:
-    """Failed jobs, newest first, with their latest attempt; only the filters that are given are applied."""
+def failures(jobs: DataFrame, attempts: DataFrame, before: int | None = None, limit: int | None = S.DEFAULT_LIMIT, **equal: str) -> DataFrame:
+    """Failed jobs with their latest attempt; only the filters that are given are applied. The newest `limit` and one more, or all if it is None."""
     out = jobs.filter("status = 'failed'")
     for column, value in equal.items():
         out = out.filter(F.col(column) == value)
     if before is not None:
         out = out.filter(F.col("id") < before)
-    out = out.orderBy(F.desc("id")).limit(limit + 1)
+    if limit is not None:
+        out = out.orderBy(F.desc("id")).limit(limit + 1)
     latest = attempts.groupBy("job_id").agg(F.max_by(F.struct("outcome", "duration_ms"), "id").alias("a"), F.max("id").alias("attempt_id"))
     return out.join(latest, F.col("id") == F.col("job_id"), "left").select("id", "asset_id", "variant", "error_code", "attempt_id", F.col("a.outcome").alias("outcome"), F.col("a.duration_ms").alias("duration_ms"))
 

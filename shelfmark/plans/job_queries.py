@@ -112,7 +112,7 @@ ENTRIES = [
     ("latest_scan_per_library", lambda c: c.scan_runs.groupBy("library_id").agg(F.max_by(F.struct("id", "status"), F.struct("created_at_ms", "id")).alias("x")).select("library_id", "x.id", "x.status"), "SELECT library_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY created_at_ms DESC, id DESC) AS r FROM scan_runs) WHERE r = 1"),
     ("due_libraries", lambda c: O.due_libraries(c.libraries, c.scan_runs.filter("status not in ('queued', 'running') or library_id = 1"), 5_900_000), "SELECT l.id AS library_id FROM libraries l LEFT JOIN (SELECT * FROM scan_runs WHERE status NOT IN ('queued', 'running') OR library_id = 1) r ON r.library_id = l.id GROUP BY 1 HAVING coalesce(max(created_at_ms), 0) <= 5900000 AND count(*) FILTER (r.status IN ('queued', 'running')) = 0"),
     ("scheduler", lambda c: O.due_libraries(c.libraries, c.scan_runs.filter("library_id > 2"), 10**12).filter("library_id > 0").orderBy("library_id").limit(64), "SELECT id AS library_id FROM libraries l WHERE id <= 2 OR NOT EXISTS (SELECT 1 FROM scan_runs r WHERE r.library_id = l.id AND r.status IN ('queued', 'running'))"),
-    ("correlated_latest_attempt", lambda c: O.failures(c.media_jobs, c.attempts, limit=10_000), "SELECT j.id, asset_id, variant, error_code, t.id AS attempt_id, t.outcome, t.duration_ms FROM media_jobs j LEFT JOIN attempts t ON t.id = (SELECT max(x.id) FROM attempts x WHERE x.job_id = j.id) WHERE status = 'failed' ORDER BY j.id DESC LIMIT 10001"),
+    ("correlated_latest_attempt", lambda c: O.failures(c.media_jobs, c.attempts, limit=None), "SELECT j.id, asset_id, variant, error_code, t.id AS attempt_id, t.outcome, t.duration_ms FROM media_jobs j LEFT JOIN attempts t ON t.id = (SELECT max(x.id) FROM attempts x WHERE x.job_id = j.id) WHERE status = 'failed' ORDER BY j.id DESC LIMIT 10001"),
     ("keyset_failures", lambda c: O.failures(c.media_jobs, c.attempts, before=400, variant="grid"), "SELECT j.id, asset_id, variant, error_code, t.id AS attempt_id, t.outcome, t.duration_ms FROM media_jobs j LEFT JOIN attempts t ON t.id = (SELECT max(x.id) FROM attempts x WHERE x.job_id = j.id) WHERE status = 'failed' AND variant = 'grid' AND j.id < 400 ORDER BY j.id DESC LIMIT 51"),
     ("latest_failure_revision", lambda c: c.media_jobs.filter("status = 'failed'").orderBy(F.desc("finished_at_ms"), F.desc("id")).limit(1).select("id", "finished_at_ms"), "SELECT id, finished_at_ms FROM media_jobs WHERE status = 'failed' ORDER BY finished_at_ms DESC, id DESC LIMIT 1"),
     ("attempt_history_top10", lambda c: O.newest(c.attempts, "job_id", 10).select("job_id", "id", "outcome", F.col("r").alias("pos")), "SELECT job_id, id, outcome, r AS pos FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id DESC) AS r FROM attempts) WHERE r <= 10"),

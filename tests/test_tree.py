@@ -1,6 +1,10 @@
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
+from shelfmark import schema as S
 from shelfmark.operators import ingest, jobs, operations, tree
+from shelfmark.plans import job_queries
 from shelfmark.plans.project import Catalogue
 
 DIR = "id long, library_id long, parent_id long, relative_path string, name string, last_seen_generation long"
@@ -82,3 +86,14 @@ def test_eviction_is_a_prefix(spark):
     want = sorted(range(50), key=lambda i: (i % 7, i))[:30]
     assert got == set(want)
     assert operations.eviction(t, 500).isEmpty()
+
+
+def test_every_failure_has_its_latest_attempt(spark):
+    n = 10_500
+    jobs_ = spark.range(n).selectExpr("id", "id AS asset_id", "'grid' AS variant", "'failed' AS status", "'timeout' AS error_code")
+    tried = spark.range(2 * n).selectExpr("id", f"id % {n} AS job_id", "'retry' AS outcome", "id AS duration_ms").filter("job_id > 0")
+    c = SimpleNamespace(media_jobs=jobs_, attempts=tried)
+    query = {name: run for name, run, _ in job_queries.ENTRIES}["correlated_latest_attempt"]
+    got = {r["id"]: r["attempt_id"] for r in query(c).collect()}
+    assert got == {i: n + i if i else None for i in range(n)}
+    assert operations.failures(jobs_, tried).count() == S.DEFAULT_LIMIT + 1
