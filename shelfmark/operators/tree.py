@@ -20,6 +20,12 @@ def ancestor_pairs(directories: DataFrame) -> DataFrame:
     return directories.select("id", "library_id", "relative_path", F.posexplode(X.path_ancestors(F.col("relative_path"))).alias("depth", "ancestor_path"))
 
 
+def overlaps(directories: DataFrame) -> DataFrame:
+    """(a, b): pairs of directories of a library of which a holds b or has its path. a's path is an ancestor path of b, so an equality join finds them."""
+    inner = ancestor_pairs(directories).select("library_id", F.col("id").alias("b"), F.col("ancestor_path").alias("relative_path"))
+    return directories.select("library_id", F.col("id").alias("a"), "relative_path").join(inner, ["library_id", "relative_path"]).filter("a <> b").select("a", "b")
+
+
 def lineage(directories: DataFrame, node: int) -> DataFrame:
     """Root to node."""
     up = ancestor_pairs(directories.filter(F.col("id") == node)).select("library_id", F.col("ancestor_path").alias("relative_path"), "depth")

@@ -128,7 +128,8 @@ ENTRIES = [
     ("integrity_generations", lambda c: T.generations(c.directories.withColumn("last_seen_generation", F.when(F.col("id") % 31 == 0, 1).otherwise(2)), c.assets.withColumn("last_seen_generation", F.when(F.col("id") % 97 == 0, 3).otherwise(F.col("last_seen_generation"))), c.libraries), "SELECT 'stale_parent' AS problem, id FROM assets WHERE id % 97 <> 0 AND last_seen_generation = 2 AND directory_id % 31 = 0 UNION ALL SELECT 'future', id FROM assets WHERE id % 97 = 0"),
     ("topology_roots", lambda c: T.roots(c.directories), "SELECT library_id, count(*) AS roots, count(*) FILTER (relative_path <> '') AS malformed FROM directories WHERE parent_id IS NULL GROUP BY 1"),
     ("malformed_roots", lambda c: T.roots(c.directories.withColumn("parent_id", F.when(F.col("id") % 101 != 0, F.col("parent_id")))).agg(F.coalesce(F.sum("roots"), F.lit(0)).alias("roots"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed")), "SELECT count(*) AS roots, count(*) FILTER (relative_path <> '') AS malformed FROM directories WHERE parent_id IS NULL OR id % 101 = 0"),
-    ("theta_root_overlap", lambda c: _overlap(c), "SELECT a.id AS a, b.id AS b FROM directories a JOIN directories b ON a.id <> b.id AND a.library_id = b.library_id AND (a.relative_path = '' OR a.relative_path = b.relative_path OR starts_with(b.relative_path, a.relative_path || '/')) WHERE a.id < 3000000 AND b.id < 3000000"),
+    ("theta_root_overlap", lambda c: T.overlaps(c.directories.filter("id < 3000000")), "SELECT a.id AS a, b.id AS b FROM directories a JOIN directories b ON a.id <> b.id AND a.library_id = b.library_id AND (a.relative_path = '' OR a.relative_path = b.relative_path OR starts_with(b.relative_path, a.relative_path || '/')) WHERE a.id < 3000000 AND b.id < 3000000"),
+    ("theta_directory_overlap", lambda c: T.overlaps(c.directories), "SELECT a.id AS a, b.id AS b FROM directories a JOIN (SELECT id, library_id, unnest(CASE WHEN relative_path = '' THEN [''] ELSE list_concat([''], list_transform(range(1, len(string_split(relative_path, '/')) + 1), lambda i: array_to_string(string_split(relative_path, '/')[1:i], '/'))) END) AS path FROM directories) b ON a.library_id = b.library_id AND a.relative_path = b.path AND a.id <> b.id"),
     ("prefix_descendants", lambda c: c.directories.filter((F.col("relative_path") == "CHINA") | F.col("relative_path").startswith("CHINA/")).select("id", "relative_path"), "SELECT id, relative_path FROM directories WHERE relative_path = 'CHINA' OR starts_with(relative_path, 'CHINA/')"),
 ]
 
@@ -137,10 +138,3 @@ def _chain(c):
     """A second tree, of a node per turn, that has parents only."""
     t = c.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn")
     return t.select("id", F.when(F.col("turn") > 0, F.col("id") - 1).alias("parent_id"))
-
-
-def _overlap(c):
-    """Pairs of roots of which one holds the other: the outer one is an ancestor path of the inner one, so an equality join finds them."""
-    some = c.directories.filter("id < 3000000")
-    inner = T.ancestor_pairs(some).select("library_id", F.col("id").alias("b"), F.col("ancestor_path").alias("relative_path"))
-    return some.select("library_id", F.col("id").alias("a"), "relative_path").join(inner, ["library_id", "relative_path"]).filter("a <> b").select("a", "b")

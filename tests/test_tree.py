@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schema as S
 from shelfmark.operators import ingest, jobs, operations, tree
-from shelfmark.plans import job_queries
+from shelfmark.plans import browse_queries, job_queries
 from shelfmark.plans.project import Catalogue
 
 DIR = "id long, library_id long, parent_id long, relative_path string, name string, last_seen_generation long"
@@ -97,3 +97,15 @@ def test_every_failure_has_its_latest_attempt(spark):
     got = {r["id"]: r["attempt_id"] for r in query(c).collect()}
     assert got == {i: n + i if i else None for i in range(n)}
     assert operations.failures(jobs_, tried).count() == S.DEFAULT_LIMIT + 1
+
+
+def test_overlap_is_whole(spark, sf_dir):
+    rows = [(i, lib, p) for i, (lib, p) in enumerate([(1, ""), (1, "a"), (1, "a/b"), (1, "ab"), (1, "a/b"), (1, "a/b/c"), (2, ""), (2, "a/b"), (2, "a/bc")])]
+    rows += [(10_000_000 + i, lib, p) for i, lib, p in rows]
+    holds = lambda x, y: x == "" or x == y or y.startswith(x + "/")
+    want = sorted((i, j) for i, k, x in rows for j, m, y in rows if i != j and k == m and holds(x, y))
+    assert sorted(map(tuple, tree.overlaps(spark.createDataFrame(rows, "id long, library_id long, relative_path string")).collect())) == want
+    c = Catalogue(spark, sf_dir)
+    query = {name: run for name, run, _ in browse_queries.ENTRIES}["theta_directory_overlap"]
+    own = [(r["id"], r["library_id"], r["relative_path"]) for r in c.directories.collect()]
+    assert sorted(map(tuple, query(c).collect())) == sorted((i, j) for i, k, x in own for j, m, y in own if i != j and k == m and holds(x, y))
