@@ -43,17 +43,18 @@ class Params:
     flat: float = 1.0
     byte_score: float = -14.0
     longest: int = 40
-    longest_piece: int = 16
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Keys of pieces in order with their ids and probabilities, a bit table of the keys, and each id's bytes."""
+    """Keys of pieces in order with their ids and probabilities, a bit table of the keys and one of the keys of what longer pieces begin with, the bytes of the longest piece, and each id's bytes."""
 
     keys: np.ndarray
     ids: np.ndarray
     probability: np.ndarray
     bits: np.ndarray
+    begins: np.ndarray
+    longest_piece: int
     bytes_: np.ndarray
     offsets: np.ndarray
     byte_ids: np.ndarray
@@ -69,7 +70,7 @@ def vocabulary(p: Params) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=p.model)
-    table_, keys, ids, byte_ids = [], [], [], np.zeros(256, np.int64)
+    table_, keys, ids, byte_ids, begun, longest_piece = [], [], [], np.zeros(256, np.int64), set(), 0
     for i in range(model.vocab_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
@@ -80,13 +81,13 @@ def vocabulary(p: Params) -> Vocabulary:
         else:
             data = piece.replace("▁", " ").encode()
             table_.append(data)
-            if len(data) <= p.longest_piece:
-                k = np.uint64(0)
-                with np.errstate(over="ignore"):
-                    for b in data:
-                        k = k * _P + np.uint64(b + 1)
-                keys.append(int(k))
-                ids.append(i)
+            longest_piece = max(longest_piece, len(data))
+            k = 0
+            for b in data:
+                begun.add(k)
+                k = (k * int(_P) + b + 1) % 2**64
+            keys.append(k)
+            ids.append(i)
     keys, ids = np.array(keys, np.uint64), np.array(ids)
     rank = np.empty(len(ids))
     rank[np.argsort([-model.get_score(int(i)) for i in ids], kind="stable")] = np.arange(len(ids))
@@ -94,7 +95,9 @@ def vocabulary(p: Params) -> Vocabulary:
     order = np.argsort(keys)
     bits = np.zeros(1 << 21, bool)
     bits[_slot(keys)] = True
-    return Vocabulary(keys[order], ids[order], (mass / mass.sum())[order], bits, np.frombuffer(b"".join(table_), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table_])]), byte_ids, float(np.exp(p.byte_score)))
+    begins = np.zeros(1 << 21, bool)
+    begins[_slot(np.array(sorted(begun), np.uint64))] = True
+    return Vocabulary(keys[order], ids[order], (mass / mass.sum())[order], bits, begins, longest_piece, np.frombuffer(b"".join(table_), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table_])]), byte_ids, float(np.exp(p.byte_score)))
 
 
 def chunks(data: np.ndarray, bounds: np.ndarray, longest: int) -> np.ndarray:
@@ -120,7 +123,7 @@ def chunks(data: np.ndarray, bounds: np.ndarray, longest: int) -> np.ndarray:
 class Lattice:
     """Of many distinct byte strings: the edges into each position, with their cumulative shares."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, v: Vocabulary, longest_piece: int):
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, v: Vocabulary):
         self.base = np.concatenate([[0], np.cumsum(size + 1)])
         n, width = len(start), int(size.max(initial=0))
         to, frm, piece, prob = [], [], [], []
@@ -132,8 +135,8 @@ class Lattice:
             first = data[at]
             to.append((node + 1).astype(np.int32)), frm.append(node.astype(np.int32)), piece.append(v.byte_ids[first].astype(np.int32)), prob.append(np.full(len(live), v.byte_probability))
             key = np.zeros(len(live), np.uint64)
-            for k in range(min(longest_piece, width - i)):
-                some = left > k
+            for k in range(min(v.longest_piece, width - i)):
+                some = (left > k) & v.begins[_slot(key)]  # only where a piece can go on
                 if not some.all():
                     key, node, at, left = key[some], node[some], at[some], left[some]
                 key = key * _P + data[at + k] + np.uint64(1)
@@ -239,10 +242,10 @@ def encode_column(column, keys, p: Params, most: int = 1 << 19):
         place = own.places(hashes)
         new = np.flatnonzero((place < 0) & (often > 1))[: own.room - len(own.hashes)]
         if len(new) or own.lattice is None:
-            own.add(hashes[new], Lattice(part, start[lead[new]], size[lead[new]], v, p.longest_piece))
+            own.add(hashes[new], Lattice(part, start[lead[new]], size[lead[new]], v))
             place = own.places(hashes)
         new = np.flatnonzero(place < 0)
-        lattice = own.lattice.joined(Lattice(part, start[lead[new]], size[lead[new]], v, p.longest_piece))
+        lattice = own.lattice.joined(Lattice(part, start[lead[new]], size[lead[new]], v))
         place[new] = len(own.hashes) + np.arange(len(new))
         per_doc = np.searchsorted(start, bounds)
         doc = np.repeat(np.arange(last - first), np.diff(per_doc))

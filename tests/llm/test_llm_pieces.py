@@ -2,6 +2,7 @@ import collections
 import dataclasses
 import hashlib
 
+import numpy as np
 import pytest
 from oddities import ROWS, none, odd
 
@@ -67,3 +68,19 @@ def test_oddities(spark):
     back = {r["doc_id"]: r["text"] for r in M.decode(M.encode(odd(spark))).collect()}
     assert back == {r[0]: r[1] for r in ROWS}
     assert M.encode(none(spark)).isEmpty() and M.decode(M.encode(none(spark))).isEmpty()
+
+
+def test_the_longest_pieces_are_sampled(spark):
+    v = M.vocabulary(M.Params())
+    size = np.diff(v.offsets)
+    long = [int(i) for i in v.ids if size[i] > 16]
+    assert v.longest_piece == size.max() > 16 and len(long) > 10
+    text = {i: v.bytes_[v.offsets[i] : v.offsets[i + 1]].tobytes().decode() for i in long}
+    rows = [(100 * n + j, t) for n, t in enumerate(text.values()) for j in range(100)]
+    got = M.encode(spark.createDataFrame(rows, "doc_id long, text string"), check=True).collect()
+    assert all(r["lossless"] for r in got) and set(long) <= {i for r in got for i in r["pieces"]}
+    data = next(iter(text.values())).encode()
+    lattice = M.Lattice(np.frombuffer(data + bytes(8), np.uint8), np.array([0]), np.array([len(data)]), v)
+    piece = {v.bytes_[v.offsets[i] : v.offsets[i + 1]].tobytes() for i in v.ids}
+    want = [(a, b) for a in range(len(data)) for b in range(a + 1, len(data) + 1) if data[a:b] in piece]
+    assert len(lattice.piece) == len(want) + len(data)  # all pieces, and a byte from every place
