@@ -6,7 +6,8 @@ rate, decides.
 
 N-grams are four bytes of the text with ASCII letters lower-cased and other ASCII characters as spaces, padded by spaces.
 A language's n-grams are those with at least `rate` of its n-grams in the training texts, hence at most 1 / rate. The
-filter is fitted on at most `per_language` labelled texts a language (in expectation, chosen by a hash of the text).
+filter is fitted on at most `per_language` distinct labelled texts a language (in expectation, chosen by a hash of the
+text), and all their copies.
 
 Null texts and texts without a letter get `und` and score 0; so does every text if no language was learned. Ties go to
 the language with more training texts, then to the first in order. Repeated rows get equal results; other columns are passed through.
@@ -95,11 +96,13 @@ def _places(gram: np.ndarray, hashes: int, size: int) -> Iterator[np.ndarray]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", p: Params = Params()) -> Filter:
     """The filter of the languages of labelled rows; rows with a null language or text are left out."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    share = {r["lang"]: r["count"] for r in labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count().collect()}
+    copies = rows.select("lang", F.xxhash64("text").alias("h")).groupBy("lang", "h").agg(F.count("*").alias("n"))
+    sizes = copies.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    share, texts = {r["lang"]: r["n"] for r in sizes}, {r["lang"]: r["texts"] for r in sizes}
     if not share:
         return Filter((), np.zeros((1, 1), np.uint8), p.hashes, np.zeros(0), np.zeros(0))
     languages = tuple(sorted(share))
-    limits = F.create_map(*[F.lit(x) for k in languages for x in (k, int(2**31 * min(1.0, p.per_language / share[k])))])
+    limits = F.create_map(*[F.lit(x) for k in languages for x in (k, int(2**31 * min(1.0, p.per_language / texts[k])))])
     taken = rows.filter(F.pmod(F.xxhash64("text"), F.lit(2**31)) < limits[F.col("lang")])
     counts = taken.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))

@@ -31,3 +31,13 @@ def test_oddities(spark):
     assert empty.languages == () and M.identify(none(spark), empty).isEmpty()
     assert {r["lang_pred"] for r in M.identify(odd(spark), empty).collect()} == {"und"}
     assert M.with_language(odd(spark), empty).isEmpty()
+
+
+def test_copies_leave_the_sample_whole(spark):
+    alone = [f"{w}{w[::-1]} {w}" * 2 for w in ("".join(chr(97 + (7 * i + 3 * j * j + i * j) % 26) for j in range(12)) for i in range(40))]
+    rows = [(n, t, "xx") for n, t in enumerate(t for t in alone for _ in range(50))] + [(10_000, "one two one two", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = M.fit(df, p=M.Params(per_language=40))
+    got = M.identify(df, f, keys=("lang",)).collect()
+    assert all(r["score"] > 0.9 and r["lang_pred"] == r["lang"] for r in got if r["lang"] == "xx")
+    assert f.prior[0] == 2000 / 2001
