@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,24 +22,61 @@ _STATE = "created long, available long, events long"
 def bursts(events: DataFrame, quiet_ms: int = S.QUIET_MS, cap_ms: int = S.CAP_MS) -> DataFrame:
     """(key, created_ms, available_ms, events) of events(key, at_ms), in batch.
 
-    An event later than the burst's time of availability begins a new one. Where gaps exceed the quiet time a burst ends
-    whatever the cap, so those stretches are cut first, and only one stretch's events are folded in order at a time.
+    An event later than the burst's time of availability begins a new one. Tasks hold whole keys in order and fold one
+    event at a time: what they keep is the open burst, and a key's events in order are Spark's sort, which spills.
     """
-    order = Window.partitionBy("key").orderBy("at_ms")
-    apart = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(order) > quiet_ms, F.lit(True))
-    cut = events.select("key", "at_ms").withColumn("stretch", F.sum(apart.cast("long")).over(order))
+    kind = dict(events.dtypes)["key"]
+
+    def run(batches):
+        key, now = None, None
+        for batch in batches:
+            done = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now and (k != key or t > now[1]):
+                    done.append((key, *now))
+                    now = None
+                key, now = k, _grown(now, t, quiet_ms, cap_ms)
+            if done:
+                yield _sent(done, batch.schema.field(0).type)
+            last = batch.schema.field(0).type
+        if now:
+            yield _sent([(key, *now)], last)
+
+    whole = events.filter("at_ms is not null").select("key", F.col("at_ms").cast("long").alias("at_ms")).repartition("key").sortWithinPartitions("key", "at_ms")
+    return whole.mapInArrow(run, f"key {kind}, created_ms long, available_ms long, events long")
+
+
+def _grown(now, t: int, quiet_ms: int, cap_ms: int) -> tuple[int, int, int]:
+    """(created, available, events) of a burst, or of none, with one event more."""
+    return (now[0], min(t + quiet_ms, now[0] + cap_ms), now[2] + 1) if now else (t, min(t + quiet_ms, t + cap_ms), 1)
+
+
+def _sent(done, kind: pa.DataType) -> pa.RecordBatch:
+    key, *numbers = zip(*done, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(key, kind), *[pa.array(n, pa.int64()) for n in numbers]], names=BURST.names)
+
+
+def in_order(frames, most: int = 1_000_000) -> Iterator[int]:
+    """The times of all frames in order, with `most` in memory: sorted runs of so many go to temporary files and are merged."""
+    runs, held, size = [], [], 0
 
-    def fold(acc, t):
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (t > F.coalesce(last["available"], F.lit(-1)))
-        started = F.struct(t.alias("created"), F.least(t + quiet_ms, t + cap_ms).alias("available"), F.lit(1).cast("long").alias("events"))
-        grown = F.struct(last["created"].alias("created"), F.least(t + quiet_ms, last["created"] + cap_ms).alias("available"), (last["events"] + 1).alias("events"))
-        return F.when(fresh, F.concat(acc, F.array(started))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
+    def read(f):
+        f.seek(0)
+        while data := f.read(1 << 16):
+            yield from np.frombuffer(data, np.int64).tolist()
 
-    times = cut.groupBy("key", "stretch").agg(F.sort_array(F.collect_list("at_ms")).alias("times"))
-    empty = F.expr("cast(array() as array<struct<created:bigint,available:bigint,events:bigint>>)")
-    folded = times.select("key", F.explode(F.aggregate("times", empty, fold)).alias("b"))
-    return folded.select("key", F.col("b.created").alias("created_ms"), F.col("b.available").alias("available_ms"), F.col("b.events").alias("events"))
+    for frame in frames:
+        times = frame["at_ms"].to_numpy(np.int64)
+        for a in range(0, len(times), most):
+            held.append(times[a : a + most])
+            size += len(held[-1])
+            if size >= most:
+                f = tempfile.TemporaryFile()
+                f.write(np.sort(np.concatenate(held)).tobytes())
+                runs.append(f)
+                held, size = [], 0
+    rest = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    yield from heapq.merge(*map(read, runs), (int(t) for t in rest))
 
 
 def _processor(quiet_ms: int, cap_ms: int):
@@ -52,14 +93,13 @@ def _processor(quiet_ms: int, cap_ms: int):
             return pd.DataFrame({"key": [key[0]], "created_ms": [s[0]], "available_ms": [s[1]], "events": [s[2]]})
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            times = sorted(int(t) for frame in rows for t in frame["at_ms"])
             now = self.state.get() if self.state.exists() else None
             before = now[1] if now else None
-            for t in times:
+            for t in in_order(rows):
                 if now and t > now[1]:
                     yield self._send(key, now)
                     now = None
-                now = (now[0], min(t + quiet_ms, now[0] + cap_ms), now[2] + 1) if now else (t, min(t + quiet_ms, t + cap_ms), 1)
+                now = _grown(now, t, quiet_ms, cap_ms)
             if now:
                 self.state.update(tuple(now))
                 if before is not None:
