@@ -1,7 +1,7 @@
 """Every query that SQL can state gives the rows that DuckDB gives for it on the same tables."""
 
 import pytest
-from conftest import same
+from parity import same
 
 from shelfmark.plans import registry
 
