@@ -13,7 +13,9 @@ a window that only touches a common passage goes by a run of its own. What is cr
 counted by the windows' own hashes, so that any passage may be as common as it likes.
 
 Null and empty texts, and texts with fewer words than a window, lose nothing. Equal texts are one text with a weight.
-Repeated ids and rows are allowed. Words are compared by 64-bit hashes.
+Repeated ids and rows are allowed, and any length of text: a long one costs in proportion to its words. Other columns are
+not looked at, whatever their names; empty tables give empty results. Words are compared by 64-bit hashes, segments and
+windows by 128 bits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import table, written
+from shelfmark.llm.common import forget, table, written
 from shelfmark.llm.textvec import Words, mixed, raw, words
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -34,10 +36,10 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Params:
-    """run: words of a minimizer. shard: segments of a shard on average. slots: bits of the filter of crowded minimizers, a power of two."""
+    """run: words of a minimizer; any number up to the window is exact, and one that seldom recurs by chance leaves few candidates. shard: segments of a shard on average. slots: bits of the filter of crowded minimizers, a power of two."""
 
     window: int = 35
-    run: int = 8
+    run: int = 16
     crowded: int = 2048
     shard: int = 2048
     slots: int = 1 << 18
@@ -267,7 +269,7 @@ def _listed(batch):
 
 def _again(p: Params, common: np.ndarray):
     """The windows of the listed segments, in segments by rarer minimizers."""
-    head = ["k1", "k2", "id0", "copies"]
+    head = ["k1", "id0", "copies"]
 
     def run(batches):
         for batch in batches:
@@ -278,7 +280,7 @@ def _again(p: Params, common: np.ndarray):
                 row = pa.array(w.first + np.searchsorted(w.offsets, found[0], "right") - 1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(n).take(row) for n in head], *[pa.array(x) for x in _columns(found, w)]], names=[*head, *_SEGMENT])
 
-    return run, "k1 long, k2 long, id0 long, copies long, " + ", ".join(f"{n} {k}" for n, (_, k) in _SEGMENT.items())
+    return run, "k1 long, id0 long, copies long, " + ", ".join(f"{n} {k}" for n, (_, k) in _SEGMENT.items())
 
 
 def _contents(p: Params):
@@ -299,19 +301,20 @@ def _contents(p: Params):
 
 
 def _single(p: Params):
-    """(hash, k1, k2, id0, first, weight) of every window of the listed segments."""
-    head = ["k1", "k2", "id0", "copies"]
+    """(hash, check, k1, id0, first, weight) of every window of the listed segments; hash and check are its 128 bits."""
+    head = ["k1", "id0", "copies"]
 
     def run(batches):
         for batch in batches:
             for w, row, start, f in _listed(batch):
-                own = runs(w.hashes, p.window).view(np.int64) if len(w.hashes) >= p.window else np.zeros(0, np.int64)
+                long = len(w.hashes) >= p.window
+                own, check = (runs(h, p.window).view(np.int64) if long else np.zeros(0, np.int64) for h in (w.hashes, mixed(w.hashes ^ _A)))
                 at = _spread(start, f["windows"])
                 rows = pa.array(np.repeat(row, f["windows"]))
-                k1, k2, id0, weight = (batch.column(n).take(rows) for n in head)
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), k1, k2, id0, pa.array(_spread(f["first"].astype(np.int64), f["windows"])), weight], names=["hash", "k1", "k2", "id0", "first", "weight"])
+                k1, id0, weight = (batch.column(n).take(rows) for n in head)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(check[at]), k1, id0, pa.array(_spread(f["first"].astype(np.int64), f["windows"])), weight], names=["hash", "check", "k1", "id0", "first", "weight"])
 
-    return run, "hash long, k1 long, k2 long, id0 long, first long, weight long"
+    return run, "hash long, check long, k1 long, id0 long, first long, weight long"
 
 
 def _shard(p: Params):
@@ -321,7 +324,7 @@ def _shard(p: Params):
         sequences = [np.frombuffer(x, np.uint64) for x in frame["content"]]
         marks = repeated_windows(sequences, frame["weight"].to_numpy(np.int64), p.window)
         some = [k for k, m in enumerate(marks) if m.any()]
-        return pd.DataFrame({"name": frame["name"].to_numpy()[some], "marks": [np.packbits(marks[k]).tobytes() for k in some]})
+        return pd.DataFrame({"name": frame["name"].to_numpy()[some], "minimizer": frame["minimizer"].to_numpy()[some], "marks": [np.packbits(marks[k]).tobytes() for k in some]})
 
     return run
 
@@ -357,7 +360,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     """(key, n_words, n_removed, kept_sha256) of every row of docs."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     source = source.select("id", F.coalesce("id", F.lit(-(2**63))).alias("id0"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k2"), "text").alias("k2"), "text")
-    one_text = ["k1", "k2", "id0"]
+    one_text = ["k1", "id0"]
 
     def with_text(of: DataFrame) -> DataFrame:
         return source.drop("id").join(of, one_text).dropDuplicates(one_text)
@@ -367,8 +370,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     classes = scan.filter(F.size("minimizer") > 0).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id0").alias("id0"))
     flat = lambda df, *more: df.select(*more, F.explode(F.arrays_zip(*_SEGMENT)).alias("s")).select(*more, "s.*")
     often = flat(scan).groupBy("minimizer").agg(F.sum("weight").alias("n")).filter("n > 1").select("minimizer")
-    one = scan.select(*one_text, *_SEGMENT).join(classes, one_text)
-    found = written(flat(one.dropDuplicates(one_text), *one_text, "copies").join(often, "minimizer"), "candidates")
+    one = scan.select("k2", *one_text, *_SEGMENT).join(classes, ["k2", *one_text]).dropDuplicates(["k2", *one_text])
+    found = written(flat(one, *one_text, "copies").join(often, "minimizer"), "candidates")
     dense = crowded(found, p)
     slots = dense.select(F.col("minimizer").bitwiseAND(F.lit(p.slots - 1)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
     if len(slots):
@@ -378,8 +381,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
         run, schema = _again(p, common)
         again = written(with_text(listed).mapInArrow(run, schema), "again")
         more = again.groupBy("minimizer").agg(F.sum(F.col("weight") * F.col("copies")).alias("n")).filter("n > 1").select("minimizer")
-        found = written(found.join(dense, "minimizer", "left_anti").unionByName(again.join(more, "minimizer")), "candidates")
-        dense = crowded(found, p)
+        rarer = written(found.join(dense, "minimizer", "left_anti").unionByName(again.join(more, "minimizer")), "candidates")
+        forget(found, again, dense)
+        found, dense = rarer, crowded(rarer, p)
     settled = found.join(dense, "minimizer", "left_anti")
     names = settled.groupBy("name", "minimizer").agg(F.sum("copies").alias("weight"), F.min(F.struct(*one_text, "first", "windows")).alias("at"))
     names = written(names.select("name", "minimizer", "weight", "at.*"), "names")
@@ -387,15 +391,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     run, schema = _contents(p)
     shards = max(1, -(-names.count() // p.shard))
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards))
-    marked = with_text(listed).mapInArrow(run, schema).withColumn("shard", shard).groupBy("shard").applyInPandas(_shard(p), "name long, marks binary")
+    marked = with_text(listed).mapInArrow(run, schema).withColumn("shard", shard).groupBy("shard").applyInPandas(_shard(p), "name long, minimizer long, marks binary")
     marked = written(marked, "marks")
-    met = settled.join(marked, "name").select(*one_text, "first", "marks")
+    forget(names)
+    met = settled.join(marked, ["name", "minimizer"]).select(*one_text, "first", "marks")
     if not dense.isEmpty():
         listed = found.join(dense, "minimizer").groupBy(*one_text, "copies").agg(F.collect_list(F.struct("first", "windows")).alias("segments"))
         run, schema = _single(p)
         lone = with_text(listed).mapInArrow(run, schema)
-        twice = lone.groupBy("hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash")
-        met = met.unionByName(lone.join(twice, "hash").select(*one_text, F.col("first").cast("int").alias("first"), F.lit(None).cast("binary").alias("marks")))
+        twice = lone.groupBy("hash", "check").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash", "check")
+        met = met.unionByName(lone.join(twice, ["hash", "check"]).select(*one_text, F.col("first").cast("int").alias("first"), F.lit(None).cast("binary").alias("marks")))
     per_text = met.groupBy(*one_text).agg(F.collect_list(F.struct("first", "marks")).alias("found"))
     run, schema = _removed(p)
     result = with_text(per_text).select("k1", "k2", "text", "found").mapInArrow(run, schema)
