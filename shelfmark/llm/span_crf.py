@@ -1,25 +1,31 @@
 r"""Personal data: pattern spans, and more spans from a semi-Markov conditional random field.
 
 Base spans are the leftmost non-overlapping matches of one pattern per kind. The random field works on islands, the runs
-of tokens with a digit or an at sign: features of whole spans score every candidate segment of bounded length, and
-dynamic programming chooses boundaries and kinds jointly. It is trained here, by the likelihood of base spans in a
-bounded sample of islands, with features that leave out what the patterns hang on (a plus sign, one kind of separator),
-so that it also finds spans written in other ways. What overlaps a base span is dropped; base spans stay.
-
-Offsets are code points. Null and empty texts have no spans. Whole texts are searched; a pattern takes time in
-proportion to the text. Repeated rows get equal results.
+of tokens with a digit or a sign for "at": features of whole spans score every candidate segment of bounded length, and
+dynamic programming chooses boundaries and kinds jointly. It is trained here, by conditional likelihood, on a bounded
+sample of islands. Base spans are the only labels there are, and what they look like is what the patterns find anyway. So
+each labelled island is learned from in other spellings too (other separators, no plus sign, an exit code, spelt-out
+signs), and beside spellings that are none (a digit changed so that the check fails, a part over 255, too few digits,
+dates, versions, amounts). The field therefore finds spans that no pattern matches. What overlaps a base span is dropped;
+base spans stay. The fit depends on the rows alone, not on their order or partitions.
+
+Offsets are code points. Null and empty texts have no spans. Whole texts are searched, of any length: a pattern takes
+time in proportion to the text. An island starts at most 64 characters before its first digit or sign; islands of over 60
+pieces are decoded, but not learned from. Repeated rows and ties get equal results. Empty tables give empty results and a
+field of prior weights. `find_spans` reads the keys and the text alone, whatever else there is; `redacted` keeps all columns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import table
@@ -31,11 +37,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Islands: tokens with a digit or an at sign, and what joins them.
-_ISLAND = re.compile(r"[^\s0-9@]{0,64}[0-9@]\S*(?:[ \t]\S{0,64}?[0-9@]\S*)*")
+#: Islands: tokens with a digit or a sign for "at", the neighbours of a sign that stands alone, and what joins them.
+_AT = r"(?:@|\[at\]|\(at\))"
+_TOKEN = rf"[^\s0-9@]{{0,64}}?(?:[0-9]|{_AT})\S*"
+_BEHIND = r"(?:(?<=@)|(?<=[\[(]at[\])]))"
+_ISLAND = re.compile(rf"(?:[^\s0-9@]{{1,64}}[ \t](?={_AT}))?{_TOKEN}(?:[ \t]{{1,2}}{_TOKEN}|[ \t][^\s0-9@]{{1,64}}(?=[ \t]{_AT})|{_BEHIND}[ \t][^\s0-9@]{{1,64}}|[ \t][./:_-]{{1,2}}(?=[ \t][0-9]))*")
 _PIECES = re.compile(r"[0-9]+|[A-Za-z]+|[ \t]+|.", re.S)
-
-_SIZES = (1, 4, 7, 12, 16, 20)
+_SIGN = re.compile(r"\[at\]|\(at\)")
+_LOOSE = re.compile(r"[\s\[\]()]+")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -80,13 +90,26 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass(frozen=True)
 class Params:
-    """longest: pieces of a segment at most, and so the entity bound. sample: islands to learn from at most, of distinct shapes."""
+    """longest: pieces of a segment at most, and so the entity bound. sample: islands to learn from at most, of distinct shapes; spellings: how many islands with a kind are added in other spellings, and as many with none, at least."""
 
     longest: int = 24
     sample: int = 300
-    steps: int = 40
+    spellings: int = 120
+    steps: int = 60
     rate: float = 0.3
-    ridge: float = 0.002
+    ridge: float = 0.0005
+
+
+def _chained(pieces: list[str]) -> str:
+    """The mark that joins a span to the next digits, if one does."""
+    mark = ""
+    for x in pieces:
+        if x[0] in "0123456789":
+            return mark
+        if x[0].isalpha() or (mark and not x.isspace() and x not in "[]()"):
+            return ""
+        mark = mark or (x if x in "./:_-," else "")
+    return ""
 
 
 def segment_features(pieces: list[str], i: int, j: int) -> tuple[str, ...]:
@@ -96,23 +119,32 @@ def segment_features(pieces: list[str], i: int, j: int) -> tuple[str, ...]:
         return ()
     body = pieces[i:j]
     text = "".join(body)
-    digits = "".join(p for p in body if p[0] in "0123456789")
-    letters = sum(len(p) for p in body if p[0].isalpha())
-    if not digits and "@" not in text:
+    groups = [p for p in body if p[0] in "0123456789"]
+    digits = "".join(groups)
+    letters = any(p[0].isalpha() for p in body)
+    sign = "@" in text or (letters and _SIGN.search(text) is not None)
+    if not digits and not sign:
         return ()
-    groups = [len(p) for p in body if p[0] in "0123456789"]
-    marks = sorted({c for p in body for c in p[:1] if not c.isalnum()} - {"+"})
     before, after = pieces[i - 1][-1:] if i else " ", pieces[j][:1] if j < len(pieces) else " "
-    out = [f"digits={np.searchsorted(_SIZES, len(digits))}", f"groups={min(len(groups), 6)}", "marks=" + "".join(marks), "letters" if letters else "no letters"]
-    out += [f"inside={'a' if before.isalnum() else '-'}{'a' if after.isalnum() else '-'}", f"at={min(text.count('@'), 2)}"]
-    if "@" in text:
-        left, _, right = text.partition("@")
-        out.append(f"address={bool(left)}{min(right.count('.'), 2)}{right[:1].isalnum()}")
-    elif not letters:
-        if 12 <= len(digits) <= 19:
-            out.append(f"luhn={luhn(digits)}")
+    ahead, back = _chained(pieces[j : j + 4]), _chained(pieces[max(0, i - 4) : i][::-1])
+    out = [f"ahead={ahead}", f"back={back}", f"inside={'a' if before.isalnum() else '-'}{'a' if after.isalnum() else '-'}", f"begins={first[0] if first[0] in '+(' else '0' if first[0] == '0' else 'x'}"]
+    if sign:
+        whole = _EMAIL.fullmatch(_LOOSE.sub("", _SIGN.sub("@", text)))
+        out += [f"address={whole is not None}", f"words={min(len(text.split()), 4)}", f"edge={before in '._%+-@'}{after in '.@-[('}"]
+    elif letters:
+        out.append("letters")
+    else:
+        between = [p for p in body if p[0] not in "0123456789"]
+        marks = sorted(set("".join(between)) - {"+"})
+        n = len(digits)
+        out += [f"digits={n if n < 20 else 20}", f"groups={min(len(groups), 7)}", f"marks={min(len(marks), 4)}", *(f"mark={c}" for c in marks[:4]), f"longest={min(max(map(len, groups)), 13)}", f"least={min(min(map(len, groups)), 5)}"]
+        out.append(f"closed={text.count('(') == text.count(')')}")
+        if 12 <= n <= 19:
+            out += [f"luhn={luhn(digits)}", f"luhn={luhn(digits)}{'one' if len(groups) == 1 else 'even' if len(set(map(len, groups[:-1]))) == 1 else 'uneven'}"]
         if len(groups) == 4:
-            out.append(f"octets={all(len(p) <= 3 and int(p) <= 255 for p in body if p[0] in '0123456789')}{text.count('.')}")
+            out.append(f"octets={all(len(g) <= 3 and int(g) <= 255 for g in groups)}{text.count('.') == 3}")
+        if 9 <= n <= 15 and len(groups) > 1:
+            out.append(f"phone={'one mark' if len(marks) < 2 else 'more'}{min(len(groups[-1]), 5)}")
     return tuple(out)
 
 
@@ -156,87 +188,159 @@ def islands(text: str) -> Iterator[tuple[int, list[str]]]:
         yield m.start(), _PIECES.findall(m.group())
 
 
-def train(rows: list[list], p: Params = Params()) -> Field:
-    """By gradient ascent on the conditional likelihood; rows: (pieces, entities as piece indices)."""
-    names: dict[tuple[str, int], int] = {}
-    data = []
+def _other_spelling(kind: int, text: str, pick: np.random.Generator) -> str:
+    """A datum of the kind, written as no pattern has it; numbers of addresses and phones are drawn anew, so that any length is met."""
+    digits = "".join(_DIGIT.findall(text))
+    one = lambda *of: of[int(pick.integers(len(of)))]
+    some = lambda n: "".join(map(str, pick.integers(0, 10, n)))
+    if kind == 0:
+        local, _, domain = text.partition("@")
+        return local + one(" @ ", "[at]", "(at)", " [at] ", " (at) ") + (domain.replace(".", "[.]") if pick.random() < 0.3 else domain)
+    if kind == 1:
+        top = one(10, 100, 256, 256)
+        return one("[.]", "(.)", " . ").join(str(int(x)) for x in pick.integers(0, top, 4))
+    if kind == 2:
+        return one(".", "/", "_", ":", " / ").join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    mark, country = one("-", ".", " ", "/"), str(int(pick.integers(1, one(10, 100, 1000))))
+    if pick.random() < 0.6:  # three, three and four digits, with or without a country
+        area, rest = some(3), mark.join((some(3), some(4)))
+        return one(f"{area}{mark}{rest}", f"({area}) {rest}", f"{country}{mark}{area}{mark}{rest}", f"{country} ({area}) {rest}", f"00{country}{mark}{area}{mark}{rest}")
+    area, rest = str(int(pick.integers(10, 10_000))), mark.join(one((some(7),), (some(3), some(4)), (some(4), some(4)), (some(3), some(2), some(2))))
+    return one(f"00{country} {area} {rest}", f"00{country}{mark}{area}{mark}{rest}", f"00{country} ({area}) {rest}")
+
+
+def _no_datum(kind: int, text: str, pick: np.random.Generator) -> str:
+    """Something like it that is none."""
+    digits = "".join(_DIGIT.findall(text))
+    one = lambda *of: of[int(pick.integers(len(of)))]
+    if kind == 0:
+        return one(f"{text.partition('@')[0]} @ noon", "3 @ 20", f"v{digits or 2}[at]x")
+    if kind == 1:
+        parts = text.split(".")
+        return one("[.]", " . ", ".").join(one([*parts[:3], str(256 + int(parts[3]))], parts[:3], [*parts, "7"]))
+    if kind == 2:
+        wrong = digits[:-1] + str((int(digits[-1]) + 1 + int(pick.integers(8))) % 10)
+        return one(".", "/", "_", ":", " ").join(wrong[k : k + 4] for k in range(0, len(wrong), 4))
+    a, b, c = (int(x) for x in pick.integers([1950, 1, 1], [2050, 13, 29]))
+    return one(f"{a}-{b:02d}-{c:02d}", f"{c}.{b}.{a}", f"{b}/{c}/{a} {b:02d}:{c:02d}", f"{digits[:3]}-{digits[3:7]}", f"{c},{digits[:3]},{digits[3:6]}.{digits[:2]}", f"{b}.{c}.{digits[0]}", f"{a}-{a + b}")
+
+
+def _labelled(text: str, spans: list[Span]) -> Iterator[tuple[list[str], list[Span]]]:
+    """The islands of a text with the spans in them as piece indices; not those with a span that isn't of whole pieces."""
+    for at, pieces in islands(text):
+        pos = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]) + at
+        where = {int(x): i for i, x in enumerate(pos)}
+        inside = [x for x in spans if x[0] < pos[-1] and at < x[2]]
+        if 1 < len(pieces) <= 60 and all(a in where and b in where for a, _, b in inside):
+            free, gold = 0, []
+            for a, k, b in inside:
+                if a >= free:
+                    gold, free = [*gold, (where[a], k, where[b])], b
+            yield pieces, gold
+
+
+def respelt(rows: list[tuple[list[str], list[Span]]], p: Params = Params()) -> list[tuple[list[str], list[Span]]]:
+    """The islands, each span also in other spellings and beside spellings that are none; the choices hang on the texts alone."""
+    out = list(rows)
+    held = [sum(any(x[1] == k for x in gold) for _, gold in rows) for k in range(len(KINDS))]
     for pieces, gold in rows:
-        n, segs = len(pieces), []
-        for i in range(n):
-            for j in range(i + 1, min(n, i + p.longest) + 1):
-                if feats := segment_features(pieces, i, j):
-                    segs.append((i, j, np.array([[names.setdefault((f, k), len(names)) for f in feats] for k in range(len(KINDS))])))
-        data.append((n, segs, {(i, j): k for i, k, j in gold}))
-    w, square = np.full(len(names), -0.05), np.full(len(names), 1e-6)
+        pick = np.random.default_rng(list(hashlib.sha256("".join(pieces).encode("utf-8", "surrogatepass")).digest()))
+        share = -(-p.spellings // min(held[k] for _, k, _ in gold)) if gold else 0
+        for true in (True, False) * share:
+            text, spans, done = "", [], 0
+            for i, k, j in gold:
+                text += "".join(pieces[done:i])
+                new = (_other_spelling if true else _no_datum)(k, "".join(pieces[i:j]), pick)
+                spans += [(len(text), k, len(text) + len(new))] if true else []
+                text, done = text + new, j
+            out += _labelled(text + "".join(pieces[done:]), spans)
+    return out
+
+
+def train(rows: list[tuple[list[str], list[Span]]], p: Params = Params()) -> Field:
+    """By gradient ascent on the conditional likelihood, all islands at once; rows: (pieces, entities as piece indices)."""
+    names: dict[str, int] = {}
+    kept: dict[tuple[str, ...], int] = {}  # many segments have the same features
+    segs, feats, same, gold = [], [], [], []
+    for r, (pieces, spans) in enumerate(rows):
+        kind = {(i, j): k for i, k, j in spans}
+        for i in range(len(pieces)):
+            for j in range(i + 1, min(len(pieces), i + p.longest) + 1):
+                if of := segment_features(pieces, i, j):
+                    segs.append((r, i, j))
+                    if of not in kept:
+                        kept[of] = len(kept)
+                        feats.append([names.setdefault(x, len(names)) for x in of])
+                    same.append(kept[of])
+                    gold.append(kind.get((i, j), -1))
+    if not segs:
+        return Field({}, p.longest)
+    kinds, none, wide = len(KINDS), len(names), max(map(len, feats))
+    r, i, j = np.array(segs).T
+    same = np.array(same)
+    of = np.array([x + [none] * (wide - len(x)) for x in feats])
+    target = (np.array(gold)[:, None] == np.arange(kinds)).astype(float)
+    n, most = max(len(x) for x, _ in rows), p.longest
+    w, square = np.full((none + 1, kinds), -0.05), np.full((none + 1, kinds), 1e-6)
+    w[none] = 0.0
     for _ in range(p.steps):
-        grad = -p.ridge * len(data) * w
-        for n, segs, gold in data:
-            score = [w[f].sum(axis=1) - 1.0 for _, _, f in segs]
-            alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-            alpha[0] = beta[n] = 0.0
-            ends, starts = {}, {}
-            for t, (i, j, _) in enumerate(segs):
-                ends.setdefault(j, []).append(t)
-                starts.setdefault(i, []).append(t)
-            total = [np.logaddexp.reduce(s) for s in score]
-            for j in range(1, n + 1):
-                alpha[j] = np.logaddexp.reduce([alpha[j - 1], *(alpha[segs[t][0]] + total[t] for t in ends.get(j, ()))])
-            for i in range(n - 1, -1, -1):
-                beta[i] = np.logaddexp.reduce([beta[i + 1], *(beta[segs[t][1]] + total[t] for t in starts.get(i, ()))])
-            for (i, j, f), s in zip(segs, score, strict=True):
-                prob = np.exp(alpha[i] + s + beta[j] - alpha[n])
-                if (k := gold.get((i, j))) is not None:
-                    np.add.at(grad, f[k], 1.0)
-                for k in np.flatnonzero(prob > 1e-6):
-                    np.add.at(grad, f[k], -prob[k])
+        score = (w[of].sum(axis=1) - 1.0)[same]
+        total = np.logaddexp.reduce(score, axis=1)
+        ends, starts = np.full((n + 1, len(rows), most + 1), -np.inf), np.full((n + 1, len(rows), most + 1), -np.inf)
+        ends[j, r, j - i] = starts[i, r, j - i] = total
+        alpha, beta = np.full((len(rows), n + 1), -np.inf), np.full((len(rows), n + 1), -np.inf)
+        alpha[:, 0] = beta[:, n] = 0.0
+        for x in range(1, n + 1):  # pieces behind an island's end are outside of spans and cost nothing
+            d = min(x, most)
+            alpha[:, x] = np.logaddexp(alpha[:, x - 1], np.logaddexp.reduce(alpha[:, x - d : x][:, ::-1] + ends[x, :, 1 : d + 1], axis=1))
+        for x in range(n - 1, -1, -1):
+            d = min(n - x, most)
+            beta[:, x] = np.logaddexp(beta[:, x + 1], np.logaddexp.reduce(beta[:, x + 1 : x + d + 1] + starts[x, :, 1 : d + 1], axis=1))
+        step = target - np.exp(score + (alpha[r, i] + beta[r, j] - alpha[r, n])[:, None])
+        each = [np.bincount(same, step[:, k], len(of)) for k in range(kinds)]
+        grad = np.stack([np.bincount(of.ravel(), np.repeat(x, wide), none + 1) for x in each], axis=1) - p.ridge * len(rows) * w
+        grad[none] = 0.0
         square += grad**2
         w += p.rate * grad / np.sqrt(square)
-    return Field({name: float(w[i]) for name, i in names.items()}, p.longest)
+    return Field({(name, k): float(w[x, k]) for name, x in names.items() for k in range(kinds)}, p.longest)
 
 
 def _examples(batches):
-    """Islands of the texts with their base spans, one per shape and batch."""
+    """Islands of the texts with their base spans, the least of each shape and batch."""
     for batch in batches:
-        seen = {}
+        least = {}
         for text in batch.column(0).to_pylist():
-            if not text or not ("@" in text or _DIGIT.search(text)):
+            if not text or not ("@" in text or _DIGIT.search(text) or _SIGN.search(text)):
                 continue
-            base = base_spans(text)
-            for at, pieces in islands(text):
-                if 1 < len(pieces) <= 60:
-                    shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", "".join(pieces)))
-                    if shape in seen:
-                        continue
-                    pos = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]) + at
-                    where = {int(x): i for i, x in enumerate(pos)}
-                    inside = [s for s in base if s[0] >= at and s[2] <= pos[-1]]
-                    if all(s in where and e in where for s, _, e in inside):
-                        free, gold = 0, []
-                        for s, k, e in inside:
-                            if s >= free:
-                                gold, free = [*gold, [where[s], k, where[e]]], e
-                        seen[shape] = (pieces, gold)
-        for shape, (pieces, gold) in seen.items():
-            kinds = "".join(str(k) for _, k, _ in gold) or "-"
-            yield pa.RecordBatch.from_arrays([pa.array([shape]), pa.array([kinds]), pa.array(["\x1f".join(pieces)]), pa.array([repr(gold)])], names=["shape", "kinds", "pieces", "gold"])
+            for pieces, gold in _labelled(text, base_spans(text)):
+                shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", "".join(pieces)))
+                one = ("".join(str(k) for _, k, _ in gold) or "-", "".join(pieces), json.dumps(gold))
+                if shape not in least or one < least[shape]:
+                    least[shape] = one
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.string()), *[pa.array([x[c] for x in least.values()], pa.string()) for c in range(3)]], names=["shape", "kinds", "island", "gold"])
 
 
 def fit(docs: DataFrame, text: str = "text", p: Params = Params()) -> Field:
-    """From at most p.sample islands of distinct shapes, those with the least hashes, in equal parts by the kinds they hold."""
-    import ast
-
-    from pyspark.sql import Window
-
-    found = docs.select(text).mapInArrow(_examples, "shape string, kinds string, pieces string, gold string")
-    one = found.groupBy("shape").agg(F.min(F.struct("kinds", "pieces", "gold")).alias("x")).select("shape", "x.*")
-    order = Window.partitionBy(F.when(F.length("kinds") > 1, "many").otherwise(F.col("kinds"))).orderBy(F.xxhash64("shape"), "shape")
-    rows = one.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.sample // 6).orderBy("shape").select("pieces", "gold").collect()
-    return train([(r["pieces"].split("\x1f"), ast.literal_eval(r["gold"])) for r in rows], p)
+    """From at most p.sample islands of distinct shapes, those with the least hashes, in equal parts by the kinds they hold.
+
+    The least of each of 16 parts of a kind's shapes are found first, so that no task holds all shapes of a kind; the
+    driver gets 16 * p.sample islands at most, whatever the rows.
+    """
+    found = docs.select(text).mapInArrow(_examples, "shape string, kinds string, island string, gold string")
+    one = found.groupBy("shape").agg(F.min(F.struct("kinds", "island", "gold")).alias("x")).select("shape", "x.*")
+    each = one.withColumn("group", F.when(F.length("kinds") > 1, "many").otherwise(F.col("kinds"))).withColumn("hash", F.xxhash64("shape"))
+    order = Window.partitionBy("group", F.pmod("hash", F.lit(16))).orderBy("hash", "shape")
+    rows = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.sample // 6).select("group", "hash", "shape", "island", "gold").collect()
+    taken: dict[str, list] = {}
+    for x in sorted(rows, key=lambda x: (x["group"], x["hash"], x["shape"])):
+        if len(of := taken.setdefault(x["group"], [])) < p.sample // 6:
+            of.append((_PIECES.findall(x["island"]), [tuple(g) for g in json.loads(x["gold"])]))
+    return train(respelt([x for of in taken.values() for x in of], p), p)
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
-    if not text or not ("@" in text or _DIGIT.search(text)):
+    if not text or not ("@" in text or _DIGIT.search(text) or _SIGN.search(text)):
         return [], []
     base = base_spans(text)
     more, used = [], 0
