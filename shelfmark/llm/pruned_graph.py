@@ -3,11 +3,18 @@
 Distinct vectors are dealt over shards of bounded size by a hash. A shard's graph is built in batches: greedy searches
 over the graph so far propose neighbours, relaxed distance pruning keeps diverse ones, and reverse edges are pruned
 again where a node has too many. A coordinate that lifts all vectors to one length turns the largest inner product into
-the least distance. Every block of queries is searched in every shard with a beam, and the best of all shards are kept.
-Nothing that grows with the rows is broadcast or collected; equal vectors are one point that knows its smallest ids.
+the least distance. Lengths that differ much make that hard to search, so each shard finds its own beam: doubled until a
+bounded sample of its vectors has the wanted recall against the shard's exact answers.
+
+A shard's graph stays where it is, and the queries are sent to it: once for each shard, the graph once for every `part`
+queries. Shards grow with the rows from `shard_rows` to `shard_most`, so that a query meets about `shards` of them until
+these are as large as a task may hold. The best of all shards are kept. Nothing that grows with the rows is broadcast or
+collected; equal vectors are one point that knows its smallest ids.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id. Vectors of
-another dimension are searched among themselves. Repeated rows count once. Ties go to the smaller id.
+another dimension are searched among themselves. Repeated rows count once. Where an id has several vectors, a pair of ids
+has the best of their products, once; rows of the query's own id are never found. Ties go to the smaller id. Columns
+beside the two named are not looked at; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +30,16 @@ from shelfmark.llm.common import table, written
 
 @dataclass(frozen=True)
 class Params:
-    """degree: edges of a node at most. beam: candidates that a search keeps. relax: how much farther a kept neighbour may be than one that already leads there."""
+    """degree: edges of a node at most. beam: candidates that a search keeps at least. relax: how much farther a kept neighbour may be than one that already leads there. recall: wanted of a shard's `probes`."""
 
     k: int = 20
     shard_rows: int = 4096
+    shard_most: int = 65_536
+    shards: int = 64
     query_rows: int = 1024
+    part: int = 65_536
+    probes: int = 64
+    recall: float = 0.97
     degree: int = 32
     build_beam: int = 64
     beam: int = 96
@@ -118,11 +129,12 @@ def build(points: np.ndarray, p: Params) -> tuple[np.ndarray, int]:
             source, target = source[by], target[by]
             nodes, start, count = np.unique(target, return_index=True, return_counts=True)
             for a in range(0, len(nodes), 512):
-                some, width = nodes[a : a + 512], min(int(count[a : a + 512].max()), 4 * p.degree)
-                back = np.full((len(some), width), -1)
-                for i, (s, m) in enumerate(zip(start[a : a + 512], count[a : a + 512], strict=True)):
-                    back[i, : min(m, width)] = source[s : s + min(m, width)]
-                edges[some] = prune(points, some, np.hstack([edges[some], back]), p.degree, p.relax)
+                for c in range(0, int(count[a : a + 512].max()), 4 * p.degree):  # some nodes are pointed to by very many
+                    more = np.flatnonzero(count[a : a + 512] > c) + a
+                    width = min(int(count[more].max()) - c, 4 * p.degree)
+                    at = start[more][:, None] + c + np.arange(width)
+                    back = np.where(at < (start[more] + count[more])[:, None], source[np.minimum(at, len(source) - 1)], -1)
+                    edges[nodes[more]] = prune(points, nodes[more], np.hstack([edges[nodes[more]], back]), p.degree, p.relax)
             done += len(batch)
     return edges, entry
 
@@ -132,6 +144,25 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(length.max() - length, 0))[:, None]])
 
 
+def fitted_beam(x: np.ndarray, edges: np.ndarray, entry: int, p: Params) -> int:
+    """The beam with which the vectors of a sample find enough of their exact neighbours among x."""
+    probes = x[np.random.default_rng(len(x)).permutation(len(x))[: p.probes]]
+    k, beam = min(p.k, len(x)), max(p.beam, p.k + 2)
+    exact = probes @ x.T
+    least = -np.partition(-exact, k - 1, axis=1)[:, k - 1 :k]
+    while beam < len(x):
+        found, _ = search(lifted(x), edges, entry, _flat(probes), beam)
+        good = (np.take_along_axis(exact, np.maximum(found, 0), 1) >= least) & (found >= 0)
+        if np.minimum(good.sum(axis=1), k).mean() >= p.recall * k:
+            break
+        beam *= 2
+    return min(beam, max(len(x), p.k + 2))
+
+
+def _flat(q: np.ndarray) -> np.ndarray:
+    return np.hstack([q, np.zeros((len(q), 1))])
+
+
 def _index(p: Params):
     def run(frame):
         import pandas as pd
@@ -140,43 +171,41 @@ def _index(p: Params):
         edges, entry = build(lifted(x), p)
         ids = np.concatenate(frame["ids"].to_numpy()).astype(np.int64)
         counts = np.array([len(i) for i in frame["ids"]], np.int64)
-        return pd.DataFrame({"dim": [x.shape[1]], "shard": [int(frame["shard"].iloc[0])], "vectors": [x.tobytes()], "edges": [edges.astype(np.int32).tobytes()], "entry": [entry], "ids": [ids.tobytes()], "counts": [counts.tobytes()]})
+        one = {"dim": x.shape[1], "shard": int(frame["shard"].iloc[0]), "vectors": x.tobytes(), "edges": edges.astype(np.int32).tobytes(), "entry": entry, "beam": fitted_beam(x, edges, entry, p), "ids": ids.tobytes(), "counts": counts.tobytes()}
+        return pd.DataFrame({k: [v] for k, v in one.items()})
 
     return run
 
 
-def _pack(frame):
-    import pandas as pd
-
-    x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-    return pd.DataFrame({"dim": [x.shape[1]], "block": [int(frame["block"].iloc[0])], "queries": [x.tobytes()], "query_ids": [frame["vec_id"].to_numpy(np.int64).tobytes()]})
-
-
 def _search(p: Params):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                x = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
-                edges = np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64)
-                q, q_ids = np.frombuffer(r["queries"]).reshape(-1, r["dim"]), np.frombuffer(r["query_ids"], np.int64)
-                ids, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64)
-                at = np.concatenate([[0], np.cumsum(counts)])
-                found, _ = search(lifted(x), edges, r["entry"], np.hstack([q, np.zeros((len(q), 1))]), max(p.beam, p.k + 2))
+    def run(graph, asked):
+        import pandas as pd
+
+        out = []
+        if len(graph) and len(asked):
+            g = graph.iloc[0]
+            x = np.frombuffer(g["vectors"]).reshape(-1, int(g["dim"]))
+            edges = np.frombuffer(g["edges"], np.int32).reshape(len(x), -1).astype(np.int64)
+            ids, counts = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["counts"], np.int64)
+            at, points = np.concatenate([[0], np.cumsum(counts)]), lifted(x)
+            every, whose = np.stack(asked["embedding"].to_numpy()).astype(np.float64), asked["vec_id"].to_numpy(np.int64)
+            for a in range(0, len(every), p.query_rows):
+                q, q_ids = every[a : a + p.query_rows], whose[a : a + p.query_rows]
+                found, _ = search(points, edges, int(g["entry"]), _flat(q), int(g["beam"]))
                 i, j = np.nonzero(found >= 0)
                 node = found[i, j]
                 score = (x[node] * q[i]).sum(axis=1)
                 n = counts[node]
                 vec = ids[np.repeat(at[node] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                query, score = q_ids[np.repeat(i, n)], np.repeat(score, n)
-                other = vec != query
-                query, vec, score = query[other], vec[other], score[other]
-                order = np.lexsort((vec, -score, query))
-                query, vec, score = query[order], vec[order], score[order]
-                _, start, count = np.unique(query, return_index=True, return_counts=True)
-                best = np.arange(len(query)) - np.repeat(start, count) < p.k
-                yield pa.RecordBatch.from_arrays([pa.array(query[best]), pa.array(vec[best]), pa.array(score[best])], schema=schema)
+                row, score = np.repeat(i, n), np.repeat(score, n)
+                other = vec != q_ids[row]
+                row, vec, score = row[other], vec[other], score[other]
+                order = np.lexsort((vec, -score, row))
+                row, vec, score = row[order], vec[order], score[order]
+                _, start, count = np.unique(row, return_index=True, return_counts=True)
+                best = np.arange(len(row)) - np.repeat(start, count) < p.k
+                out.append(pd.DataFrame({"query_id": q_ids[row[best]], "vec_id": vec[best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     return run
 
@@ -192,9 +221,10 @@ def index(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     order = Window.partitionBy("embedding").orderBy("vec_id")
     points = vectors.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= p.k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     points = written(points.withColumn("dim", F.size("embedding")), "points")
-    shards = points.groupBy("dim").agg(F.ceil(F.count("*") / p.shard_rows).cast("int").alias("shards"))
+    rows = F.greatest(F.lit(p.shard_rows), F.least(F.lit(p.shard_most), F.ceil(F.count("*") / p.shards)))
+    shards = points.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias("shards"))
     dealt = points.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
-    schema = "dim int, shard int, vectors binary, edges binary, entry int, ids binary, counts binary"
+    schema = "dim int, shard int, vectors binary, edges binary, entry int, beam int, ids binary, counts binary"
     tasks = 4 * (shards.agg(F.sum("shards")).first()[0] or 1)  # a number of our own: small shards are long work, and must not be put together
     return written(dealt.select("dim", "shard", "embedding", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_index(p), schema), "graphs")
 
@@ -202,14 +232,16 @@ def index(vectors: DataFrame, p: Params = Params()) -> DataFrame:
 def nearest(queries: DataFrame, graphs: DataFrame, p: Params = Params()) -> DataFrame:
     """(query_id, rank, vec_id, score) of usable queries (vec_id, embedding)."""
     q = queries.dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding"))
-    blocks = q.groupBy("dim").agg(F.ceil(F.count("*") / p.query_rows).cast("int").alias("blocks"))
-    q = q.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    packed = q.select("dim", "block", "embedding", "vec_id").groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary, query_ids binary")
-    places = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
-    sent = packed.join(places, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    tasks = min(4 * (sent.count() or 1), 20_000)
-    met = sent.join(graphs, ["dim", "shard"]).repartition(tasks, "dim", "shard", "block")
-    found = met.mapInArrow(_search(p), "query_id long, vec_id long, score double").distinct()
+    parts = q.groupBy("dim").agg(F.ceil(F.count("*") / p.part).cast("int").alias("parts"))
+    last = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
+    sent = q.join(parts, "dim").join(last, "dim").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")).cast("int"))
+    sent = sent.select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "part", "vec_id", "embedding")
+    copies = graphs.join(parts, "dim").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    tasks = min(4 * (copies.select("dim").count() or 1), 20_000)
+    one = ["dim", "shard", "part"]
+    left, right = (df.repartition(tasks, *one).groupBy(*one) for df in (copies, sent))
+    found = left.cogroup(right).applyInPandas(_search(p), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
