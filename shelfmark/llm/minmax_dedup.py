@@ -2,7 +2,9 @@
 
 Every permutation gives two signature values, the minimum and the maximum over a document's shingles, so a signature of
 length 2k costs k hash evaluations per shingle. Bands of the signature propose documents that may be alike; one bit of
-each value is kept to dismiss most false proposals; every link is confirmed on the full shingle sets.
+each value is kept to dismiss most false proposals; every link is confirmed on the full shingle sets. In small sets the
+minimum and the maximum depend on each other, so that bands fail more often; sets of up to `small` shingles are therefore
+proposed by their least shingles too, of which two sets that are linked must share one: no link between such is lost.
 
 Documents with equal sets are one node from the start. Inside a bucket a hub is compared with all members. Members that
 the hub does not link compete again in the next round. Distances are 1 - Jaccard, a metric: what links to a linked
@@ -10,7 +12,8 @@ member of the hub is at most twice the threshold from the hub, so pairs that no
 such grey pairs connect, and these are compared in full, block by block, across components only. A bucket's size is
 thus never capped, and no bucket emits all its pairs.
 
-Null and empty texts, and texts without words, have no shingles and are linked with nothing. A row with a null id takes
+Null and empty texts, and texts without words, have no shingles and are linked with nothing. Texts may be of any length.
+Other columns are passed by, whatever their names. A row with a null id takes
 part through its equals only. Repeated ids and rows are allowed. Empty tables give empty results.
 """
 
@@ -31,12 +34,13 @@ from shelfmark.llm.textvec import mixed, shingles, words
 
 @dataclass(frozen=True)
 class Params:
-    """width: words of a shingle. A pair is linked at `percent` or more. 2 * permutations values in bands of `rows`: a pair at 0.8 shares no band in fewer than 2 of 100,000 cases."""
+    """width: words of a shingle. A pair is linked at `percent` or more. 2 * permutations values in bands of `rows`: a pair at 0.8 of more than `small` shingles shares no band in about 2 of 100,000 cases."""
 
     width: int = 5
     percent: int = 80
     permutations: int = 108
     rows: int = 6
+    small: int = 24
     rounds: int = 4
     block: int = 1024
     seed: int = 11
@@ -84,6 +88,18 @@ def bands(sig: np.ndarray, p: Params) -> np.ndarray:
     return keys
 
 
+def least_shingles(sets: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Keys by which sets of up to p.small shingles meet every set that they may be linked with, and the document of each.
+
+    Sets with n and m shingles that are linked share at least percent/100 of either, so each has a shared one among its
+    n - ceil(percent * n / 100) + 1 least. Sets that are larger, but not by more than a link allows, have them too.
+    """
+    n = np.diff(offsets)
+    width = np.where(100 * p.small >= p.percent * n, n - -(-p.percent * n // 100) + 1, 0)
+    at = np.repeat(offsets[:-1] - np.cumsum(width) + width, width) + np.arange(width.sum())
+    return mixed(sets[at] ^ np.uint64(0x2545F4914F6CDD1D)), np.repeat(np.arange(len(n)), width)
+
+
 def node_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit key of each whole set."""
     total = np.add.reduceat(mixed(sets ^ np.uint64(0x5851F42D4C957F2D)), offsets[:-1]) if len(sets) else np.zeros(0, np.uint64)
@@ -110,9 +126,13 @@ def _sketch(p: Params):
                     odd = np.zeros((len(full), -(-p.values // 64) * 64), np.uint8)
                     odd[:, : p.values] = sig & np.uint32(1)
                     bits = np.packbits(odd, axis=1, bitorder="little").view("<i8")
-                    keys = bands(sig, p).view(np.int64)
+                    banded = bands(sig, p).view(np.int64)
+                    least, owner = least_shingles(sets, at, p)
+                    held = np.concatenate([np.repeat(np.arange(len(full)), banded.shape[1]), owner])
+                    keys = np.concatenate([banded.ravel(), least.view(np.int64)])[np.argsort(held, kind="stable")]
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(full)))]).astype(np.int32)
                     lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).ravel()))
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(full)), pa.array(node_of(sets, at).view(np.int64)), pa.array(sizes[full]), lists(bits), lists(keys)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(full)), pa.array(node_of(sets, at).view(np.int64)), pa.array(sizes[full]), lists(bits), pa.ListArray.from_arrays(ends, pa.array(keys))], schema=schema)
 
     return run, "id long, node long, n long, bits array<long>, bands array<long>"
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from oddities import ROWS, none, odd
 
@@ -51,6 +52,36 @@ def test_is_brute_force(spark, width):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, width)
 
 
+def proposed(pairs, p):
+    """Whether each pair of sets shares a key, of bands or least shingles."""
+    sets = [np.sort(x) for pair in pairs for x in pair]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    flat = np.concatenate(sets)
+    banded = M.bands(M.signatures(flat, offsets, p), p)
+    keys, owner = M.least_shingles(flat, offsets, p)
+    least = [set() for _ in sets]
+    for k, o in zip(keys.tolist(), owner.tolist()):
+        least[o].add(k)
+    return [bool((banded[2 * i] == banded[2 * i + 1]).any() or least[2 * i] & least[2 * i + 1]) for i in range(len(pairs))]
+
+
+def test_no_link_is_lost():
+    """Pairs just at the threshold: none of small sets is lost, and of larger ones no more than is said."""
+    rng = np.random.default_rng(4)
+
+    def pairs(sizes, n):
+        for _ in range(n):
+            union = int(rng.integers(*sizes))
+            x = rng.integers(0, 2**64, union, dtype=np.uint64)
+            lone = union - -(-80 * union // 100)
+            cut = int(rng.integers(0, lone + 1))
+            yield x[: union - cut], np.concatenate([x[: union - lone], x[union - cut :]])
+
+    p = M.Params()
+    assert all(proposed(list(pairs((1, p.small + 2), 60_000)), p))
+    assert proposed(list(pairs((p.small + 2, 90), 30_000)), p).count(False) <= 6
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, M.op4_minmax_dedup(spark, sf_dir).collect()), key=str) == brute([tuple(r) for r in docs.collect()], 2)
