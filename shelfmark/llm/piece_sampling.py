@@ -6,11 +6,13 @@ Forward filtering sums the segmentations up to every position; backward sampling
 numbers that depend on the seed, the row's key, the place in the text and the step only, so that any run on any number
 of machines draws the same. Decoding joins the pieces' bytes and gives the text back exactly.
 
-The lattice is cut before spaces that follow other characters, around line ends, and in longer stretches every `longest`
-bytes between characters; equal chunks are filtered once and sampled separately.
+The lattice is cut only where no piece of the vocabulary crosses: before spaces that follow other characters, around line
+ends, and in stretches of over `longest` bytes at places that no piece spans. Every segmentation of the whole text is thus
+one of its chunks', with the same probability; equal chunks are filtered once and sampled separately.
 
 Null texts have null pieces, empty texts none. A null key is a key of its own; rows with equal keys and texts get equal
-segmentations.
+segmentations. Texts of any length are encoded whole; a stretch that pieces span everywhere is one chunk, and costs in
+proportion to its length. Other columns are not looked at, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ _UNIT = 2**40
 
 @dataclass(frozen=True)
 class Params:
-    """flat: 1 samples in proportion to the scores' products, less flattens them. byte_score: natural logarithm of a byte's probability."""
+    """flat: 1 samples in proportion to the scores' products, less flattens them. byte_score: natural logarithm of a byte's probability. longest: bytes of a stretch from which on it is cut where pieces allow it."""
 
     model: str = MODEL
     seed: int = 1
@@ -100,7 +102,22 @@ def vocabulary(p: Params) -> Vocabulary:
     return Vocabulary(keys[order], ids[order], (mass / mass.sum())[order], bits, begins, longest_piece, np.frombuffer(b"".join(table_), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table_])]), byte_ids, float(np.exp(p.byte_score)))
 
 
-def chunks(data: np.ndarray, bounds: np.ndarray, longest: int) -> np.ndarray:
+def longest_pieces(data: np.ndarray, at: np.ndarray, left: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Bytes of the longest piece at each of the places; left: bytes that it may have."""
+    out, live, key = np.ones(len(at), np.int64), np.arange(len(at)), np.zeros(len(at), np.uint64)
+    for k in range(v.longest_piece):
+        some = (left[live] > k) & v.begins[_slot(key)]
+        live, key = live[some], key[some]
+        if not len(live):
+            break
+        key = key * _P + data[at[live] + k] + np.uint64(1)
+        hit = np.flatnonzero(v.bits[_slot(key)])
+        hit = hit[v.keys[np.minimum(np.searchsorted(v.keys, key[hit]), len(v.keys) - 1)] == key[hit]]
+        out[live[hit]] = k + 1
+    return out
+
+
+def chunks(data: np.ndarray, bounds: np.ndarray, longest: int, v: Vocabulary) -> np.ndarray:
     """Starts of chunks, bounds included; data holds the documents between the bounds."""
     space, line = data == 32, data == 10
     first = np.zeros(len(data) + 1, bool)
@@ -108,15 +125,17 @@ def chunks(data: np.ndarray, bounds: np.ndarray, longest: int) -> np.ndarray:
     first[bounds] = True
     start = np.flatnonzero(first)
     size = np.diff(start)
-    for s, n in zip(start[:-1][size > longest], size[size > longest], strict=True):
-        at = s + longest
-        while at < s + n:
-            back = at
-            while back > at - 4 and (data[back] & 0xC0) == 0x80:
-                back -= 1
-            at = back if (data[back] & 0xC0) != 0x80 else at
-            first[at] = True
-            at += longest
+    long = np.flatnonzero(size > longest)
+    if len(long):
+        ends = np.cumsum(size[long])
+        at = np.repeat(start[long] - ends + size[long], size[long]) + np.arange(ends[-1])
+        reach = np.maximum.accumulate(at + longest_pieces(data, at, np.repeat(start[long] + size[long], size[long]) - at, v))
+        safe = at[1:][reach[:-1] <= at[1:]]  # no piece from before spans these places
+        for s, n in zip(start[long], size[long], strict=True):
+            k = int(np.searchsorted(safe, s + longest))
+            while k < len(safe) and safe[k] < s + n:
+                first[safe[k]] = True
+                k = int(np.searchsorted(safe, safe[k] + longest))
     return np.flatnonzero(first)
 
 
@@ -236,7 +255,7 @@ def encode_column(column, keys, p: Params, most: int = 1 << 19):
         last = min(n, max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1))
         part = np.concatenate([data[at[first] : at[last]], np.zeros(8, np.uint8)])
         bounds = at[first : last + 1] - at[first]
-        cut = chunks(part[: bounds[-1]], bounds, p.longest)
+        cut = chunks(part[: bounds[-1]], bounds, p.longest, v)
         start, size = cut[:-1], np.diff(cut)
         hashes, lead, which, often = np.unique(hashed(part, start, cut[1:]), return_index=True, return_inverse=True, return_counts=True)
         place = own.places(hashes)

@@ -84,3 +84,23 @@ def test_the_longest_pieces_are_sampled(spark):
     piece = {v.bytes_[v.offsets[i] : v.offsets[i + 1]].tobytes() for i in v.ids}
     want = [(a, b) for a in range(len(data)) for b in range(a + 1, len(data) + 1) if data[a:b] in piece]
     assert len(lattice.piece) == len(want) + len(data)  # all pieces, and a byte from every place
+
+
+def test_no_piece_spans_a_cut():
+    """Stretches without spaces, of any script: no occurrence of any piece crosses a place where the lattice is cut."""
+    p = M.Params()
+    v = M.vocabulary(p)
+    piece = {v.bytes_[v.offsets[i] : v.offsets[i + 1]].tobytes() for i in v.ids}
+    assert not any(b"\n" in x or b" " in x.lstrip(b" ") for x in piece)
+    rng = np.random.default_rng(8)
+    letters = sorted({x.decode() for x in piece if len(x) <= 6 and b" " not in x and x.decode("utf-8", "ignore").encode() == x})
+    texts = ["".join(rng.choice(letters, 400)) for _ in range(20)] + ["a" * 3000, "https://example.org/" + "path/name-" * 60, "".join(rng.choice(list("0123456789abcdef"), 2000))]
+    several = 0
+    for text in texts:
+        data = text.encode()
+        cut = M.chunks(np.frombuffer(data, np.uint8), np.array([0, len(data)]), p.longest, v)
+        several += len(cut) > 2
+        assert cut[0] == 0 and cut[-1] == len(data)
+        for c in cut[1:-1].tolist():
+            assert not any(data[a:b] in piece for a in range(max(0, c - v.longest_piece), c) for b in range(c + 1, min(len(data), a + v.longest_piece) + 1))
+    assert several > 10
