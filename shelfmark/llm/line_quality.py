@@ -1,9 +1,13 @@
 r"""Quality rules, line first, in DataFrame expressions only.
 
-Every line is judged by itself: punctuation (marks and digits without a letter), navigation (labels between bars, menu
-words) and boilerplate (licence, copyright and cookie notices). Lines that fail are removed; a document that loses too large a part of its text, or has little left, is rejected.
-
-Null and empty texts have no words and are not kept. Long texts are judged whole; repeated rows get equal results.
+Every line is judged by itself, and by how it is built rather than by its language: punctuation (no letter, or more marks
+and digits than letters), navigation (short labels between bars, a menu's word, and lines of three words at most without
+an end mark, four or more in a row), boilerplate (a copyright sign with a year, and phrases of licence, copyright and
+cookie notices in several languages). Lines that fail are removed; a document that loses too large a part of its text, or
+has little left, is rejected.
+
+Null and empty texts have no words and are not kept. Long texts are judged whole; repeated rows get equal results; empty
+tables give empty results. Every column of the rows stays, but for those named as the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +23,18 @@ from shelfmark.llm.common import SPACE, table
 SYMBOLS = "#*$%&|<>"
 #: What navigation and boilerplate lines hold, in lower case.
 MENU = ("home", "menu", "next", "previous", "back to top", "login", "log in", "sign up", "share", "read more", "skip to content")
-BOILERPLATE = ("all rights reserved", "copyright (c)", "\u00a9", "cookie policy", "privacy policy", "terms of use", "terms of service", "apache license", "gnu general public license", "public license, version", "permission is hereby granted", "javascript is required", "lorem ipsum")
-BAR = " | "
+BOILERPLATE = (
+    "all rights reserved", "copyright (c)", "\u00a9", "cookie policy", "privacy policy", "terms of use", "terms of service", "apache license", "gnu general public license", "public license, version", "permission is hereby granted",
+    "javascript is required", "lorem ipsum", "alle rechte vorbehalten", "tous droits r\u00e9serv\u00e9s", "todos los derechos reservados", "tutti i diritti riservati",
+)
+#: What stands between labels, with a space on both sides.
+BARS = ("|", "\u00bb", "\u203a", ">", "\u00b7", "\u2022", "::")
+#: A label has four words at most.
+LABEL = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,4}$"
+#: A short line has three words at most and no end mark; RUN finds those that are four or more in a row.
+SHORT = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){0,2}[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?:;,\u2026\u3002][\x20\x09-\x0D]*$"
+RUN = "s(?=sss)|(?<=s)s(?=ss)|(?<=ss)s(?=s)|(?<=sss)s"
+NOTICE = r"(?:\(c\)|copyright)[ \t]*[12][0-9]{3}"
 
 
 def let(value: Column, body) -> Column:
@@ -62,43 +76,64 @@ def any_of(text: Column, parts: tuple[str, ...]) -> Column:
     return reduce(or_, [text.contains(p) for p in parts])
 
 
+def beside(docs: DataFrame, text: str, results: tuple[str, ...], add) -> DataFrame:
+    """docs with the results that add puts beside `_whole`, their texts; all other columns pass by in a struct, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_whole"))
+    old = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in results]
+    return add(packed).select(*old, *results)
+
+
 def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.3, least_words: int = 5) -> DataFrame:
     """docs with `clean_text` (the lines that pass), `lost` (share of non-space characters removed) and `lines_kept` (the verdict).
 
     The needles are sought in the whole text first; only texts that hold one have them sought line by line.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole, lines = F.col("_whole"), F.col("_lines")
     solid = lambda x: F.length(F.regexp_replace(x, SPACE, ""))
-    out = docs.withColumns({"_lines": F.split(whole, "\n", -1), "_legal": any_of(F.lower(whole), BOILERPLATE), "_barred": whole.contains(BAR)})
+    barred = lambda x: reduce(or_, [x.contains(f" {b} ") for b in BARS])
 
-    def fails(line: Column) -> Column:
-        punctuation = ~line.rlike(r"\p{L}") & line.rlike(r"[^\x20\x09-\x0D]")
-        bars = F.col("_barred") & (F.length(line) - F.length(F.replace(line, F.lit(BAR), F.lit(""))) >= 2 * len(BAR))
-        menu = (F.length(line) <= 40) & F.lower(F.trim(line)).isin(*MENU)
-        return punctuation | bars | menu | (F.col("_legal") & any_of(F.lower(line), BOILERPLATE))
+    def labels(line: Column, bar: str) -> Column:
+        return line.contains(f" {bar} ") & let(F.split(line, rf"\Q {bar} \E", -1), lambda parts: (F.size(parts) >= 3) & F.forall(parts, lambda x: x.rlike(LABEL)))
 
-    out = out.withColumn("_failed", F.transform("_lines", fails))
-    some = F.exists("_failed", lambda x: x)
-    passed = F.filter("_lines", lambda x, i: ~F.col("_failed")[i])
-    out = out.withColumn("clean_text", F.when(some, F.array_join(passed, "\n")).otherwise(F.col(text)))
-    out = out.withColumn("lost", F.when(~whole.rlike(r"[^\x20\x09-\x0D]"), F.lit(1.0)).when(some, 1 - solid(F.col("clean_text")) / solid(whole)).otherwise(F.lit(0.0)))
-    enough = F.coalesce(F.col("clean_text").rlike(r"([^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (least_words - 1)), F.lit(False))
-    return out.withColumn("lines_kept", (F.col("lost") <= most_lost) & enough).drop("_lines", "_legal", "_barred", "_failed")
+    def fails(line: Column, run: Column, of: Column) -> Column:
+        wordless = ~line.rlike(r"\p{L}") & line.rlike(r"[^\x20\x09-\x0D]")
+        marks = line.rlike(r"[^\p{L}\x20\x09-\x0D]") & (2 * F.length(F.regexp_replace(line, r"\P{L}+", "")) < solid(line))
+        navigation = of["barred"] & reduce(or_, [labels(line, b) for b in BARS])
+        menu = (F.length(line) <= 40) & F.lower(F.trim(line)).isin(*MENU)
+        legal = of["legal"] & let(F.lower(line), lambda x: any_of(x, BOILERPLATE) | x.rlike(NOTICE))
+        return wordless | marks | navigation | menu | legal | run.eqNullSafe("n")
+
+    def add(packed: DataFrame) -> DataFrame:
+        legal = let(F.lower(whole), lambda x: any_of(x, BOILERPLATE) | x.rlike(NOTICE))
+        out = packed.withColumn("_lines", F.split(whole, "\n", -1))
+        short = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(SHORT), "s").otherwise("x")), "")
+        runs = F.when(F.size(lines) > 3, F.split(F.regexp_replace(short, RUN, "n"), "")).otherwise(F.array().cast("array<string>"))
+        # what the lines are judged by is made once a text, and not in the function of a line
+        failed = let(F.struct(legal.alias("legal"), barred(whole).alias("barred")), lambda of: F.zip_with(lines, runs, lambda x, run: fails(x, run, of)))
+        out = out.withColumn("_failed", F.slice(failed, F.lit(1), F.size(lines)))
+        some = F.exists("_failed", lambda x: x)
+        passed = F.filter(lines, lambda x, i: ~F.col("_failed")[i])
+        out = out.withColumn("clean_text", F.when(some, F.array_join(passed, "\n")).otherwise(F.col("_row").getField(text)))
+        out = out.withColumn("lost", F.when(~whole.rlike(r"[^\x20\x09-\x0D]"), F.lit(1.0)).when(some, 1 - solid(F.col("clean_text")) / solid(whole)).otherwise(F.lit(0.0)))
+        enough = F.coalesce(F.col("clean_text").rlike(r"([^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (least_words - 1)), F.lit(False))
+        return out.withColumn("lines_kept", (F.col("lost") <= most_lost) & enough)
+
+    return beside(docs, text, ("clean_text", "lost", "lines_kept"), add)
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.col("_whole")
     solid = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("_words", words_of(whole))
-    out = out.withColumns({
+    counts = {
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.regexp_replace(whole, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": let(solid, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")),
-    }).drop("_words")
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    }
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return beside(docs, text, (*counts, "base_failed"), lambda packed: packed.withColumn("_words", words_of(whole)).withColumns(counts).withColumn("base_failed", failed))
 
 
 def op3_line_quality(spark, sf_dir: str) -> DataFrame:

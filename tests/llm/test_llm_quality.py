@@ -1,6 +1,7 @@
 import re
 
 from oddities import ROWS, none, odd
+from pyspark.sql import functions as F
 
 from shelfmark.llm import line_quality as M
 
@@ -20,20 +21,26 @@ def base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
 
-def verdict(text):
-    t = text or ""
+def failing(text):
+    """Which lines fail, by the rules as they are stated."""
+    lines = text.split("\n")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
+    short = [0 < len(w) <= 3 and w[-1][-1] not in ".!?:;,\u2026\u3002" for w in words]
+    out = []
+    for k, (line, w) in enumerate(zip(lines, words)):
+        low, solid = line.lower(), "".join(w)
+        letters = sum(c.isalpha() for c in solid)
+        bars = any(len(parts := line.split(f" {b} ")) >= 3 and all(1 <= len(re.findall(r"[^\x20\x09-\x0D]+", x)) <= 4 for x in parts) for b in M.BARS)
+        run = any(all(short[j : j + 4]) and len(short[j : j + 4]) == 4 for j in range(max(0, k - 3), k + 1))
+        notice = any(b in low for b in M.BOILERPLATE) or re.search(r"(\(c\)|copyright)[ \t]*[12][0-9]{3}", low)
+        out.append(bool((solid and 2 * letters < len(solid)) or bars or run or (len(line) <= 40 and low.strip(" ") in M.MENU) or notice))
+    return out
 
-    def fails(line):
-        low = line.lower()
-        return (
-            (not re.search(r"[^\W\d_]", line) and bool(line.strip(SPACE)))
-            or line.count(" | ") >= 2
-            or (len(line) <= 40 and low.strip(" ") in M.MENU)
-            or any(b in low for b in M.BOILERPLATE)
-        )
 
+def verdict(text):
+    t = text or ""
     solid = lambda x: len(re.sub(r"[\x20\x09-\x0D]", "", x))
-    clean = "\n".join(x for x in t.split("\n") if not fails(x))
+    clean = "\n".join(x for x, gone in zip(t.split("\n"), failing(t)) if not gone)
     return solid(t) > 0 and 1 - solid(clean) / solid(t) <= 0.3 and len(re.findall(r"[^\x20\x09-\x0D]+", clean)) >= 5
 
 
@@ -52,12 +59,27 @@ def test_lines(spark):
     assert r["clean_text"] == "\n".join(page.split("\n")[1:3]) and r["lost"] > 0.3 and not r["lines_kept"]
 
 
+def test_lines_of_any_language(spark):
+    story = "Der Zug h\u00e4lt heute nicht in diesem Ort, weil das Gleis gesperrt ist."
+    gone = ["Inicio \u00bb Noticias \u00bb Deportes", "== 12 / 7 == ab", "(c) 2019 Verlag", "Tous droits r\u00e9serv\u00e9s.", "Accueil", "Qui sommes-nous", "Nos produits", "Contact"]
+    kept = [story, "Ein kurzer Satz.", "Kapitel eins", "a | b", "The first long cell of a table row here | the second long cell of this row | third"]
+    text = "\n".join([kept[0], *gone[:4], kept[1], *gone[4:], kept[0], kept[2], *kept[3:]])
+    r = M.clean_lines(spark.createDataFrame([(text,)], "text string")).first()
+    assert r["clean_text"].split("\n") == [kept[0], kept[1], kept[0], kept[2], *kept[3:]]
+
+
 def test_oddities(spark):
     got = M.clean_lines(M.base_counts(odd(spark))).collect()
     assert len(got) == len(ROWS)
     want = sorted((base(r[1]) for r in ROWS))
     assert sorted((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
     assert M.clean_lines(M.base_counts(none(spark))).isEmpty()
+    out = M.clean_lines(M.base_counts(odd(spark)))
+    theirs = odd(spark).drop("lost")
+    assert out.select(theirs.columns).exceptAll(theirs).isEmpty()
+    clash = odd(spark).select("text", *[F.lit(7).alias(c) for c in ("_row", "_whole", "_runs", "_failed", "lost")])
+    got = M.clean_lines(clash)
+    assert got.filter("_row = 7 AND _whole = 7 AND _runs = 7 AND _failed = 7").count() == len(ROWS) and got.filter("lost > 1").isEmpty()
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
