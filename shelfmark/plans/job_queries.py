@@ -64,8 +64,6 @@ ENTRIES = [
     ("catalog_diff", lambda c: I.difference(c.assets, c.listing), _DIFF),
     ("catalog_upsert_batch", lambda c: _merged(c).select(*_MERGE_FIELDS), f", {_MERGE} SELECT {', '.join(_MERGE_FIELDS)} FROM merged"),
     ("upsert_asset", lambda c: _merged(c).filter("last_seen_generation = 3").groupBy("library_id", "probe_status").agg(F.count("*").alias("n"), F.sum("id").alias("ids")), f", {_MERGE} SELECT library_id, probe_status, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM merged WHERE last_seen_generation = 3 GROUP BY 1, 2"),
-    ("upsert_directory", lambda c: c.directories.join(c.directories.filter("id % 3 <> 0").select("library_id", "relative_path", F.lit(3).alias("g")), ["library_id", "relative_path"], "left").select("id", "library_id", "relative_path", F.coalesce("g", "last_seen_generation").alias("last_seen_generation")), "SELECT id, library_id, relative_path, CASE WHEN id % 3 <> 0 THEN 3 ELSE 2 END AS last_seen_generation FROM directories"),
-    ("rename_semantics", lambda c: I.difference(c.assets, c.listing).filter("change in ('new', 'removed')").groupBy("library_id", "change").agg(F.count("*").alias("n")), f"SELECT library_id, change, count(*) AS n FROM ({_DIFF}) WHERE change <> 'changed' GROUP BY 1, 2"),
     ("stale_sweep", lambda c: I.sweep(c.assets, c.listing).select("id", "relative_path"), "SELECT id, relative_path FROM assets WHERE (id - 1) % 17 = 0"),
     ("stale_generation", lambda c: I.stale(c.assets, 2).select("id"), "SELECT id FROM assets WHERE last_seen_generation < 2"),
     ("invalidate_derivatives", lambda c: I.invalidated(c.assets, c.listing, c.thumbnails, c.media_jobs), f"SELECT asset_id, variant, 'delete_file' AS action FROM thumbnails WHERE status = 'ready' AND asset_id IN (SELECT id FROM {_CHANGED}) UNION ALL SELECT asset_id, variant, 'drop_row' FROM thumbnails WHERE asset_id IN (SELECT id FROM {_CHANGED}) UNION ALL SELECT asset_id, variant, 'drop_job' FROM media_jobs WHERE variant = 'storyboard' AND asset_id IN (SELECT id FROM {_CHANGED})"),
@@ -83,7 +81,6 @@ ENTRIES = [
     ("claim_scan", lambda c: c.scan_runs.filter("status = 'queued'").orderBy("created_at_ms", "id").limit(1).select("id", "library_id"), "SELECT id, library_id FROM scan_runs WHERE status = 'queued' ORDER BY created_at_ms, id LIMIT 1"),
     ("claim_reconcile", lambda c: _claimable(c).orderBy("created_ms", "key").limit(1).select("key", "library_id"), f"SELECT r.key, d.library_id FROM {_RECONCILE} r JOIN directories d ON d.id = r.key WHERE r.status = 'queued' AND d.library_id NOT IN (SELECT library_id FROM scan_runs WHERE status = 'running' AND library_id <= 2) ORDER BY created_ms, key LIMIT 1"),
     ("anti_no_active_scan", lambda c: _claimable(c).groupBy("library_id").agg(F.count("*").alias("n")), f"SELECT d.library_id, count(*) AS n FROM {_RECONCILE} r JOIN directories d ON d.id = r.key WHERE r.status = 'queued' AND d.library_id NOT IN (SELECT library_id FROM scan_runs WHERE status = 'running' AND library_id <= 2) GROUP BY 1"),
-    ("anti_no_active_removal", lambda c: c.libraries.join(c.libraries.filter("status = 'offline'").select("id"), "id", "left_anti").select("id", "name"), "SELECT id, name FROM libraries WHERE status <> 'offline'"),
     ("recover_expired", lambda c: J.recovered(c.media_jobs, 3_000_000, 3), "SELECT id, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN attempts >= 3 THEN 'interrupted' END AS error_code FROM media_jobs WHERE status = 'running' AND lease_expires_at_ms <= 3000000"),
     ("recover_expired_scans", lambda c: J.recovered(c.scan_runs, 2_000_000, 3, "interrupted"), "SELECT id, CASE WHEN attempts < 3 THEN 'queued' ELSE 'interrupted' END AS status, CASE WHEN attempts >= 3 THEN 'interrupted' END AS error_code FROM scan_runs WHERE status = 'running' AND lease_expires_at_ms <= 2000000"),
     ("retry_backoff", lambda c: c.media_jobs.filter("attempts > 0").select("id", X.retry_delay_ms(F.col("attempts")).alias("media_ms"), X.reconcile_delay_ms(F.col("attempts") + 2).alias("reconcile_ms")), "SELECT id, 5000 * (1 << (attempts - 1)) AS media_ms, 1000 * (1 << (least(greatest(attempts + 2, 1), 5) - 1)) AS reconcile_ms FROM media_jobs WHERE attempts > 0"),
@@ -93,21 +90,16 @@ ENTRIES = [
     ("pending_eligibility", lambda c: J.pending_eligibility(c.assets, c.media_jobs).groupBy("library_id").agg(F.count("*").alias("n")), f"SELECT library_id, count(*) AS n FROM {_PENDING} GROUP BY 1"),
     ("enqueue_reconcile", lambda c: J.enqueued(_reconcile_jobs(c).drop("id"), c.directories.filter("id >= 10000000 and id % 2 = 0").select(F.col("id").alias("key"), (F.col("id") % 1000 + 400).alias("at_ms")), 750, 5000), f"SELECT key, CASE WHEN key % 2 = 0 AND status = 'failed' THEN 'queued' ELSE status END AS status, requested_revision + CASE WHEN key % 2 = 0 THEN 1 ELSE 0 END AS requested_revision, CASE WHEN key % 2 = 0 AND status = 'failed' THEN key % 1000 + 400 ELSE created_ms END AS created_ms, CASE WHEN key % 2 = 0 AND status <> 'running' THEN least(key % 1000 + 1150, CASE WHEN status = 'failed' THEN key % 1000 + 400 ELSE created_ms END + 5000) END AS available_ms, CASE WHEN key % 2 = 0 AND status = 'failed' THEN 0 ELSE attempts END AS attempts FROM {_RECONCILE}"),
     ("reconcile_fail", lambda c: J.reconcile_failed(_reconcile_jobs(c), NOW), f"SELECT id, CASE WHEN attempts < 5 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN attempts < 5 THEN {NOW} + 1000 * (1 << (attempts - 1)) END AS available_at_ms FROM {_RECONCILE} WHERE status = 'running'"),
-    ("requested_vs_claimed", lambda c: _reconcile_jobs(c).select("key", F.when(F.col("requested_revision") > F.col("key") % 4, "queued").otherwise("done").alias("status"), F.when(F.col("requested_revision") > F.col("key") % 4, 0).otherwise(F.col("attempts")).alias("attempts")), f"SELECT key, CASE WHEN requested_revision > key % 4 THEN 'queued' ELSE 'done' END AS status, CASE WHEN requested_revision > key % 4 THEN 0 ELSE attempts END AS attempts FROM {_RECONCILE}"),
-    ("commit_reconcile", lambda c: I.difference(c.assets.filter("directory_id = 10000007"), c.listing.filter("directory_id = 10000007")).groupBy("change").agg(F.count("*").alias("n")), "SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.id IS NULL THEN 'new' WHEN n.name IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM assets WHERE directory_id = 10000007) o FULL JOIN (SELECT * FROM listing WHERE directory_id = 10000007) n ON o.relative_path = n.relative_path WHERE o.id IS NULL OR n.name IS NULL OR o.source_fingerprint <> n.source_fingerprint) GROUP BY 1"),
     ("coalesce", lambda c: J.coalesced(c.system_events.withColumn("bin", F.col("id") % 5), ["bin", "module"], "created_at_ms"), "SELECT id % 5 AS bin, module, min(created_at_ms) AS first_ms, max(created_at_ms) AS last_ms, count(*) AS requested_revision FROM system_events GROUP BY 1, 2"),
     ("scan_admission", lambda c: J.scan_admission(c.libraries, _runs(c), c.libraries.filter("id = 3").select(F.col("id").alias("library_id"))), f"SELECT library_id, decision, CASE WHEN decision = 'queued' THEN g + 1 END AS generation FROM (SELECT l.id AS library_id, coalesce(max(generation), 0) AS g, CASE WHEN l.id = 3 THEN 'conflict' WHEN count(*) FILTER (r.status IN ('queued', 'running')) > 0 THEN 'coalesced' WHEN (SELECT count(*) FROM scan_runs WHERE status IN ('queued', 'running')) >= 256 THEN 'full' ELSE 'queued' END AS decision FROM libraries l LEFT JOIN (SELECT *, {_GEN} AS generation FROM scan_runs) r ON r.library_id = l.id GROUP BY l.id)"),
     ("next_generation", lambda c: c.libraries.select(F.col("id").alias("library_id")).join(_runs(c).groupBy("library_id").agg(F.max("generation").alias("g")), "library_id", "left").select("library_id", (F.coalesce("g", F.lit(0)) + 1).alias("generation")), "SELECT l.id AS library_id, count(r.id) + 1 AS generation FROM libraries l LEFT JOIN scan_runs r ON r.library_id = l.id GROUP BY 1"),
     ("active_scan_count", lambda c: c.scan_runs.filter("status in ('queued', 'running')").agg(F.count("*").alias("active"), (F.count("*") >= 256).alias("full")), "SELECT count(*) AS active, count(*) >= 256 AS full FROM scan_runs WHERE status IN ('queued', 'running')"),
     ("scan_cancel", lambda c: J.scan_cancellation(c.scan_runs), "SELECT id, CASE WHEN status = 'queued' THEN 'cancelled' ELSE status END AS status, cancel_requested OR status = 'running' AS cancel_requested, CASE WHEN status = 'queued' THEN 'cancelled' WHEN status = 'running' AND NOT cancel_requested THEN 'flagged' WHEN status = 'running' THEN 'already_flagged' ELSE 'not_active' END AS outcome FROM scan_runs"),
     ("scan_abort", lambda c: J.abort_effect(c.scan_runs), "SELECT id, library_id, CASE WHEN status IN ('failed', 'interrupted') THEN 'error' WHEN status = 'cancelled' THEN 'previous' ELSE 'ready' END AS library_status FROM scan_runs WHERE status NOT IN ('queued', 'running')"),
-    ("removal_cleanup", lambda c: c.assets.join(c.libraries.filter("id = 3").select(F.col("id").alias("library_id")), "library_id", "left_anti").groupBy("library_id").agg(F.count("*").alias("n")), "SELECT library_id, count(*) AS n FROM assets WHERE library_id <> 3 GROUP BY 1"),
     ("derivation_input", lambda c: c.assets.join(c.libraries.select(F.col("id").alias("library_id"), "root_rel_path"), "library_id").join(c.thumbnails.filter("variant = 'grid' and status = 'ready'").select(F.col("asset_id").alias("id"), "source_fingerprint", F.lit(True).alias("g")), ["id", "source_fingerprint"], "left").select("id", "root_rel_path", "relative_path", F.coalesce("g", F.lit(False)).alias("has_grid")), "SELECT a.id, root_rel_path, relative_path, EXISTS (SELECT 1 FROM thumbnails t WHERE t.asset_id = a.id AND t.variant = 'grid' AND t.status = 'ready' AND t.source_fingerprint = a.source_fingerprint) AS has_grid FROM assets a JOIN libraries l ON l.id = a.library_id"),
-    ("discovery_state", lambda c: c.scan_runs.select("id", F.col("status").eqNullSafe(F.when(F.col("id") % 2 == 0, F.col("status"))).alias("same")).withColumn("revision", F.when(F.col("same"), 1).otherwise(2)), "SELECT id, id % 2 = 0 AS same, CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS revision FROM scan_runs"),
     ("cache_evict_rows", lambda c: c.thumbnails.join(O.least_recent(c.thumbnails, 256).select("asset_id", "variant"), ["asset_id", "variant"], "left_anti").groupBy("variant", "status").agg(F.count("*").alias("n")), "SELECT variant, status, count(*) AS n FROM thumbnails t WHERE (asset_id, variant) NOT IN (SELECT (asset_id, variant) FROM thumbnails WHERE status = 'ready' ORDER BY last_accessed_at_ms, asset_id, variant LIMIT 256) GROUP BY 1, 2"),
     ("append_event", lambda c: O.appended(c.system_events, c.system_events.filter("id <= 10").select((F.col("id") + 1_000_000).alias("id"), "level", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("module")).alias("module"), "created_at_ms"), 5000), "SELECT * FROM (SELECT * FROM system_events UNION ALL SELECT id + 1000000, level, CASE WHEN id % 2 = 1 THEN module END, created_at_ms FROM system_events WHERE id <= 10) ORDER BY id DESC LIMIT 5000"),
     ("backfill_keys", lambda c: c.directories.withColumn("old", F.when(F.col("id") % 2 == 0, F.col("search_name_key")).otherwise("")).select("id", F.when(F.col("old") == "", X.search_text_key(F.col("name"))).otherwise(F.col("old")).alias("search_name_key")), "SELECT id, lower(name) AS search_name_key FROM directories"),
-    ("key_backfill_scan", lambda c: c.directories.filter("search_name_key = ''").select("id"), "SELECT id FROM directories WHERE name = ''"),
     ("library_details", lambda c: O.library_details(c.libraries, c.scan_runs, c.assets, c.directories), "SELECT id AS library_id, name, status, (SELECT max(finished_at_ms) FROM scan_runs r WHERE r.library_id = l.id AND r.status = 'succeeded') AS last_success_ms, (SELECT max_by(r.id, r.created_at_ms * 1000000 + r.id) FROM scan_runs r WHERE r.library_id = l.id) AS latest_scan_id, (SELECT count(*) FROM assets a WHERE a.library_id = l.id) AS asset_count, (SELECT count(*) FROM directories d WHERE d.library_id = l.id) AS directory_count FROM libraries l"),
     ("latest_scan_per_library", lambda c: c.scan_runs.groupBy("library_id").agg(F.max_by(F.struct("id", "status"), F.struct("created_at_ms", "id")).alias("x")).select("library_id", "x.id", "x.status"), "SELECT library_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY created_at_ms DESC, id DESC) AS r FROM scan_runs) WHERE r = 1"),
     ("due_libraries", lambda c: O.due_libraries(c.libraries, c.scan_runs.filter("status not in ('queued', 'running') or library_id = 1"), 5_900_000), "SELECT l.id AS library_id FROM libraries l LEFT JOIN (SELECT * FROM scan_runs WHERE status NOT IN ('queued', 'running') OR library_id = 1) r ON r.library_id = l.id GROUP BY 1 HAVING coalesce(max(created_at_ms), 0) <= 5900000 AND count(*) FILTER (r.status IN ('queued', 'running')) = 0"),
@@ -126,8 +118,6 @@ ENTRIES = [
     ("fifo_deletions", lambda c: B.numbered(c.scan_runs.orderBy("created_at_ms", "id").limit(20), F.col("created_at_ms"), F.col("id")).select("id", "pos"), "SELECT id, row_number() OVER (ORDER BY created_at_ms, id) AS pos FROM scan_runs ORDER BY pos LIMIT 20"),
     ("exists_flag", lambda c: c.media_jobs.filter("status = 'running'").agg((F.count("*") > 0).alias("found")), "SELECT count(*) > 0 AS found FROM media_jobs WHERE status = 'running'"),
     ("nearest_rank_percentile", lambda c: O.nearest_rank(c.attempts, "duration_ms", 95), "SELECT quantile_disc(duration_ms, 0.95) AS value FROM attempts"),
-    ("join_update_from", lambda c: c.directories.join(c.assets.groupBy(F.col("directory_id").alias("id")).agg(F.max("mtime_ns").alias("newest")), "id", "left").select("id", F.coalesce("newest", F.lit(0)).alias("newest_ns")), "SELECT d.id, coalesce((SELECT max(mtime_ns) FROM assets a WHERE a.directory_id = d.id), 0) AS newest_ns FROM directories d"),
-    ("join_session_user", lambda c: c.attempts.join(c.table("customer").select((F.col("c_custkey") + 1).alias("job_id"), "c_name"), "job_id").groupBy("c_name").agg(F.count("*").alias("n")), "SELECT c_name, count(*) AS n FROM attempts JOIN customer ON c_custkey + 1 = job_id GROUP BY 1"),
 ]
 
 

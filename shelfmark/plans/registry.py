@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.operators import browse
-from shelfmark.plans import browse_queries, job_queries, scalar_queries, stream_queries
+from shelfmark.plans import browse_queries, commit_queries, job_queries, scalar_queries, stream_queries
 from shelfmark.plans.project import PRELUDE, Catalogue
 
-_MODULES = (browse_queries, job_queries, scalar_queries, stream_queries)
+_MODULES = (browse_queries, job_queries, commit_queries, scalar_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
