@@ -22,8 +22,8 @@ def _folded(text: pd.Series) -> pd.Series:
 
 
 def search_text_key(text: Column) -> Column:
-    """NFKC and full case folding; diacritics stay."""
-    return _folded(text)
+    """NFKC and full case folding; diacritics stay. ASCII texts are folded natively, only others are sent to Python."""
+    return F.when(is_ascii(text), F.lower(text)).otherwise(_folded(F.when(~is_ascii(text), text)))
 
 
 def ascii_search_key(text: Column) -> Column:
@@ -107,7 +107,8 @@ def _valid_path(path: pd.Series) -> pd.Series:
 
 
 def is_valid_path(path: Column) -> Column:
-    return _valid_path(path)
+    """Whether a path is relative and plain however often it is decoded; only paths with percent signs are sent to Python."""
+    return F.when(path.contains("%"), _valid_path(F.when(path.contains("%"), path))).otherwise(is_valid_plain_path(path))
 
 
 def is_valid_plain_path(path: Column) -> Column:
@@ -169,6 +170,12 @@ def content_etag(asset: Column, fingerprint: Column) -> Column:
     return F.concat(F.lit('"'), F.rtrim(F.translate(F.base64(digest), "+/=", "-_ ")), F.lit('"'))
 
 
+def thumb_etag(fingerprint: Column, cache_path: Column) -> Column:
+    """Quoted: a prefix and the first 16 bytes of a digest, in hexadecimal."""
+    digest = F.sha2(F.concat_ws("\0", fingerprint, cache_path), 256)
+    return F.concat(F.lit('"thumb-'), F.substr(digest, F.lit(1), F.lit(32)), F.lit('"'))
+
+
 def storyboard_frames(duration_ms: Column) -> Column:
     return F.when(duration_ms < 5_000, 4).otherwise(10)
 
@@ -196,6 +203,25 @@ def valid_dimensions(width: Column, height: Column) -> Column:
     return width.between(1, S.MAX_SIDE) & height.between(1, S.MAX_SIDE) & (width.cast("long") * height <= S.MAX_PIXELS)
 
 
+def valid_metadata(kind: Column, width: Column, height: Column, duration_ms: Column, playback: Column) -> Column:
+    """Images have no duration and no playback; videos have a duration that isn't negative, if any, and a known playback."""
+    still = kind.isin("image", "animated") & duration_ms.isNull() & playback.eqNullSafe("not_applicable")
+    video = (kind == "video") & (duration_ms.isNull() | (duration_ms >= 0)) & playback.isin("playable", "unsupported_codec", "unknown")
+    return F.coalesce(valid_dimensions(width, height) & (still | video), F.lit(False))
+
+
+def utc_instant_ns(text: Column) -> Column:
+    """Nanoseconds since 1970 of an RFC 3339 instant with offset zero, null if it isn't one, no such day, or out of a long's range."""
+    m = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,9}))?(?:[Zz]|[+-]00:00)$"
+    part = lambda i: F.regexp_extract(text, m, i)
+    n = lambda i: part(i).try_cast("int")
+    day = F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")).cast("date")
+    fits = text.rlike(m) & day.isNotNull() & (n(4) < 24) & (n(5) < 60) & (n(6) < 60)
+    seconds = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("decimal(38,0)") * 86_400 + n(4) * 3_600 + n(5) * 60 + n(6)
+    whole = seconds * F.lit(10**9).cast("decimal(38,0)") + F.rpad(part(7), 9, "0").try_cast("long")
+    return F.when(fits, whole.try_cast("long"))
+
+
 def retry_delay_ms(attempt: Column, first_ms: int = 5_000) -> Column:
     """Doubles with every attempt."""
     return F.lit(first_ms) * F.pow(F.lit(2), attempt - 1).cast("long")

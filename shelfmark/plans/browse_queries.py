@@ -37,7 +37,9 @@ _PUBLIC = "CASE WHEN {0} = 'media_processing_failed' THEN 'thumbnail_failed' ELS
 
 
 def _library_of(c, directory: int) -> int:
-    return c.directories.filter(F.col("id") == directory).select("library_id").first()[0]
+    """The library of a directory; 0, which is none, where there is no such directory."""
+    found = c.directories.filter(F.col("id") == directory).select("library_id").first()
+    return found[0] if found else 0
 
 
 def _recursive(c, **more):
@@ -54,8 +56,10 @@ def _keyset(name: str, q: Q, where: str, keys: str):
     order = _desc(keys) if down else keys
 
     def run(c):
-        last = B.page(c, dataclasses.replace(q, limit=40)).collect()[39]
-        return B.numbered_page(c, dataclasses.replace(q, after=tuple(last[k] for k in names))).select("id", "library_id", "relative_path", "kind", "mtime_ns", "size_bytes", "pos")
+        first = B.page(c, dataclasses.replace(q, limit=40)).collect()
+        after = tuple(first[39][k] for k in names) if len(first) >= 40 else None
+        page = B.numbered_page(c, dataclasses.replace(q, after=after)).select("id", "library_id", "relative_path", "kind", "mtime_ns", "size_bytes", "pos")
+        return page if after else page.limit(0)  # no second page
 
     sql = f"SELECT id, library_id, relative_path, kind, mtime_ns, size_bytes, n - 40 AS pos FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM assets WHERE {where}) WHERE n > 40 AND n <= 40 + {q.limit + 1}"
     return name, run, sql

@@ -32,6 +32,9 @@ ENTRIES = [
     ("storyboard_cell", lambda c: c.assets.filter("width is not null").withColumn("c", X.storyboard_cell(F.col("width"), F.col("height"))).select("id", "c.width", "c.height"), "SELECT id, CAST(greatest(1, floor(width * s + 0.5)) AS BIGINT) AS width, CAST(greatest(1, floor(height * s + 0.5)) AS BIGINT) AS height FROM (SELECT id, width, height, least(CAST(320 AS DOUBLE) / width, CAST(320 AS DOUBLE) / height, CAST(1 AS DOUBLE)) AS s FROM assets WHERE width IS NOT NULL)"),
     ("storyboard_timeout", lambda c: c.assets.filter("duration_ms >= 2000").select("id", (F.least(F.greatest(F.lit(1), F.ceil(F.col("width") * F.col("height") * X.storyboard_frames(F.col("duration_ms")) / F.lit(20736000))), F.lit(10)) * 30).cast("long").alias("seconds")), "SELECT id, CAST(least(greatest(1, ceil(width * height * CASE WHEN duration_ms < 5000 THEN 4 ELSE 10 END / 20736000)), 10) * 30 AS BIGINT) AS seconds FROM assets WHERE duration_ms >= 2000"),
     ("validate_size_dimensions", lambda c: c.assets.select("id", X.valid_size(F.col("kind"), F.col("size_bytes") * 10).alias("size_ok"), F.coalesce(X.valid_dimensions(F.col("width") * 20, F.col("height") * 20), F.lit(False)).alias("dimensions_ok")), f"SELECT id, size_bytes * 10 >= 0 AND size_bytes * 10 <= CASE WHEN kind = 'video' THEN {S.MAX_VIDEO_BYTES} ELSE {S.MAX_IMAGE_BYTES} END AS size_ok, coalesce(width * 20 BETWEEN 1 AND 32768 AND height * 20 BETWEEN 1 AND 32768 AND width * height * 400 <= 100000000, false) AS dimensions_ok FROM assets"),
+    ("thumb_etag", lambda c: c.assets.select("id", X.thumb_etag(F.col("source_fingerprint"), F.col("relative_path")).alias("etag")), "SELECT id, '\"thumb-' || substr(sha256(source_fingerprint || chr(0) || relative_path), 1, 32) || '\"' AS etag FROM assets"),
+    ("validate_metadata", lambda c: c.assets.select("id", X.valid_metadata(F.col("kind"), F.col("width"), F.col("height"), F.col("duration_ms"), F.when(F.col("id") % 5 == 0, "not_applicable").when(F.col("id") % 5 == 1, "playable").when(F.col("id") % 5 == 2, "unknown")).alias("valid")), "SELECT id, coalesce(width BETWEEN 1 AND 32768 AND height BETWEEN 1 AND 32768 AND width * height <= 100000000 AND ((kind <> 'video' AND duration_ms IS NULL AND id % 5 = 0) OR (kind = 'video' AND coalesce(duration_ms, 0) >= 0 AND id % 5 IN (1, 2))), false) AS valid FROM assets"),
+    ("parse_utc_instant", lambda c: c.assets.select("id", X.utc_instant_ns(F.concat(F.date_format(F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("id") % 2 == 0, ".5").otherwise(""), F.when(F.col("id") % 3 == 0, "+02:00").otherwise("Z"))).alias("ns")), "SELECT id, CASE WHEN id % 3 <> 0 THEN mtime_ns // 1000000000 * 1000000000 + CASE WHEN id % 2 = 0 THEN 500000000 ELSE 0 END END AS ns FROM assets"),
     ("error_code_normalise", lambda c: c.system_events.select("id", X.error_code(F.col("module"), ("error", "view")).alias("code")), "SELECT id, CASE WHEN module IN ('error', 'view') THEN module ELSE 'internal_error' END AS code FROM system_events"),
     ("library_name_key", lambda c: c.libraries.select("id", X.search_text_key(F.trim("name")).alias("key")), "SELECT id, lower(trim(name)) AS key FROM libraries"),
     ("coalesce_nullif", lambda c: c.system_events.agg(F.sum(F.when(F.nullif(F.col("module"), F.lit("view")).isNull(), 1).otherwise(0)).alias("views"), F.min("id").alias("lo"), F.max("id").alias("hi")), "SELECT CAST(sum(CASE WHEN nullif(module, 'view') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS views, min(id) AS lo, max(id) AS hi FROM system_events"),

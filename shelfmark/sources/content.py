@@ -1,17 +1,38 @@
-"""Original files by path: read only where they still are what the catalogue says."""
+"""Original files by path: read only where they still are what the catalogue says.
+
+The folder is listed first, by the walker; of the files only those whose fingerprint (size and time) is the catalogue's
+are opened, each inside the task that has its row. A file that is gone or changes in between is left out.
+"""
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar as X
+from shelfmark.sources import walker
 
 
 def contents(spark, root: str, assets: DataFrame) -> DataFrame:
-    """(id, relative_path, etag, content) of assets(id, relative_path, size_bytes, source_fingerprint) below root whose files have the recorded size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.removeprefix("file://").rstrip("/") + "/"
-    path = F.substring_index(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), base, -1)
-    found = files.select(path.alias("relative_path"), F.col("length").alias("size_bytes"), "content")
-    return assets.join(found, ["relative_path", "size_bytes"]).select("id", "relative_path", X.content_etag(F.col("id"), F.col("source_fingerprint")).alias("etag"), "content")
+    """(id, relative_path, etag, content) of assets(id, relative_path, source_fingerprint, ...) below root whose files have the recorded fingerprint."""
+    base = root.removeprefix("file://").rstrip("/")
+    found = walker.classified(walker.walk(spark, base)).filter("asset_kind is not null").select("relative_path", "source_fingerprint")
+    same = assets.join(found, ["relative_path", "source_fingerprint"]).select("id", "relative_path", X.content_etag(F.col("id"), F.col("source_fingerprint")).alias("etag"), "source_fingerprint")
+
+    def read(batches):
+        for batch in batches:
+            ids, paths, tags, prints = batch.columns
+            for k in range(batch.num_rows):  # a file at a time: any may be large
+                try:
+                    with open(os.path.join(base, paths[k].as_py()), "rb") as f:
+                        at = os.fstat(f.fileno())
+                        data = f.read() if f"v1:{at.st_size}:{at.st_mtime_ns}" == prints[k].as_py() else None
+                except OSError:
+                    data = None
+                if data is not None:
+                    yield pa.RecordBatch.from_arrays([ids.slice(k, 1), paths.slice(k, 1), tags.slice(k, 1), pa.array([data], pa.binary())], names=["id", "relative_path", "etag", "content"])
+
+    return same.mapInArrow(read, "id long, relative_path string, etag string, content binary")

@@ -44,7 +44,13 @@ def test_candidates(spark, root):
 
 def test_content(spark, root):
     rows = walker.classified(walker.walk(spark, str(root))).filter("asset_kind is not null").withColumn("id", F.xxhash64("relative_path"))
-    assert content.contents(spark, str(root), rows.select("id", "relative_path", "size_bytes", "source_fingerprint")).count() == 3  # dot files aren't read as content
+    known = spark.createDataFrame(rows.select("id", "relative_path", "size_bytes", "source_fingerprint").collect())
+    got = content.contents(spark, str(root), known).collect()
+    assert {r["relative_path"]: bytes(r["content"]).decode() for r in got} == {f: f for f in FILES if f.endswith(("webp", "jpg", "MOV", "png")) and not f.startswith(("@", ".T"))}
+    (root / "cover.webp").write_text("COVER.WEBP")  # as large, but another file
+    os.utime(root / "cover.webp", ns=(1, 1))
+    (root / "album/photo.jpg").unlink()
+    assert {r["relative_path"] for r in content.contents(spark, str(root), known).collect()} == {"album/nested/clip.MOV", ".hidden/kept.png"}
 
 
 def test_snapshots(spark, tmp_path):
