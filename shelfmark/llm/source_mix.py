@@ -4,8 +4,10 @@ Golden-ratio points are mapped through the sources' cumulative shares to give a
 source takes the j-th equal-token block of that source's shuffled stream of words, starting again when the stream ends.
 
 A document's size is its number of words; null and empty texts have size 0 and nothing is taken from them. A null source
-is a source, the last one. Repeated rows and ids are documents of their own. Empty tables give empty results. Every
-running sum is done in two levels, so that a source that holds most rows is still dealt over many tasks.
+is a source, the last one. Repeated rows and ids are documents of their own. Empty tables give empty results. Long texts
+are taken in pieces, as blocks meet them. `mix` reads key, text and source alone, and `mixed_rows` keeps every column,
+whatever its name. Every running sum of documents is done in two levels, so that a source that holds most rows is still
+dealt over many tasks; the sources themselves, a row each, are summed in one.
 """
 
 from __future__ import annotations
@@ -66,14 +68,15 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return ranked.filter(F.col("rank") < F.col("need")).select("source", "rank", "slot")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 1024, seed: int = 7, **shares) -> DataFrame:
-    """(key, size, source_size, target, taken, first_slot) of every row of docs.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 1024, seed: int = 7, most: int = 2, **shares) -> DataFrame:
+    """(key, size, source_size, target, taken, slots) of every row of docs.
 
-    taken counts words, repeats included; per source they sum to its rounded target. first_slot is the earliest slot of
-    the schedule with words of the document, null if none.
+    taken counts words, repeats included; per source they sum to its rounded target. slots holds, for each round through
+    the source's stream, the earliest slot of the schedule with words of the document, null if none; there are at most
+    `most` rounds.
     """
     sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    targets = written(source_targets(sized, **shares), "targets")
+    targets = written(source_targets(sized, most=most, **shares), "targets")
     cols = {c: targets[c] for c in ("source_size", "target")}
     order = F.xxhash64(F.lit(seed), F.col("key"))
     spread = sized.withColumns({"order": order, "part": F.shiftrightunsigned(order, 52)})
@@ -97,19 +100,28 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     met = pieces.join(slots, F.col("source").eqNullSafe(F.col("ss")) & (F.col("block") == F.col("sb")), "left")
     room = F.col("quota") - F.col("round") * F.col("source_size") - F.col("from")
     got = F.when(F.col("slot").isNotNull(), F.greatest(F.lit(0), F.least(F.col("to") - F.col("from"), room))).otherwise(0)
+    some = (F.col("to") > F.col("from")) & (got > 0)
+    firsts = F.array(*[F.min(F.when(some & (F.col("round") == r), F.col("slot"))) for r in range(most)])
     return (
         met.groupBy("source", "part", "row", "size", "key")
-        .agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("to") > F.col("from"), got).otherwise(0)).alias("taken"), F.min(F.when((F.col("to") > F.col("from")) & (got > 0), F.col("slot"))).alias("first_slot"))
-        .select(F.col("key").alias(key), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), "first_slot")
+        .agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("to") > F.col("from"), got).otherwise(0)).alias("taken"), firsts.alias("slots"))
+        .select(F.col("key").alias(key), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), "slots")
     )
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
-    """docs with each row as often as the mix takes its words, to the nearest whole number; rows with one key count alike."""
+    """docs with each row as often as the mix takes its words, to the nearest whole number, in the order of the schedule.
+
+    A copy stands where the schedule first takes words of it in its round. Rows with one key count alike, as the one of
+    which most is taken.
+    """
     copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    times = mix(docs, text, source, key, **how).groupBy(F.col(key).alias("__key")).agg(F.max(copies).alias("__copies")).filter("__copies > 0")
-    met = docs.join(times, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies")))
-    return met.select(docs.columns)
+    taken = mix(docs, text, source, key, **how).withColumn("copies", copies).filter("copies > 0")
+    times = taken.groupBy(F.col(key).alias("of")).agg(F.max(F.struct("copies", "slots")).alias("most"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"))
+    met = rows.join(times, F.col("key").eqNullSafe(F.col("of")))
+    place = F.expr("transform(sequence(1, most.copies), n -> coalesce(get(most.slots, n - 1), array_max(most.slots)))")
+    return met.withColumn("place", F.explode(place)).orderBy("place", "key").select("row.*")
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -72,3 +72,18 @@ def test_oddities(spark):
     assert out.agg(F.sum("taken")).first()[0] == pytest.approx(sum(target.values()), abs=len(size))
     assert M.mix(none(spark)).isEmpty() and M.mixed_rows(none(spark)).isEmpty()
     assert M.mixed_rows(odd(spark)).columns == odd(spark).columns
+    clash = odd(spark).withColumns({c: F.lit(c) for c in ("row", "of", "most", "place", "__key", "__n", "copies", "slots")})
+    got = M.mixed_rows(clash)
+    assert got.columns == clash.columns and got.distinct().exceptAll(clash.distinct()).isEmpty() and not got.isEmpty()
+
+
+def test_rows_stand_in_the_order_of_the_schedule(spark):
+    """Any stretch of the mixed rows has its sources in about the shares of their targets."""
+    rows = [(i, "w " * 50, "abc"[i % 3] if i % 4 else "a") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = {r["source"]: r["target"] for r in M.mix(docs).join(docs, "doc_id").select("source", "target").distinct().collect()}
+    got = [r["source"] for r in M.mixed_rows(docs, block=100).collect()]
+    for at in range(0, len(got) - 900, 300):
+        part = collections.Counter(got[at : at + 900])
+        for s, t in share.items():
+            assert part[s] / 900 == pytest.approx(t / sum(share.values()), abs=0.05), (at, s)
