@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["library_id", "relative_path"]
 _TAKEN = ["directory_id", "name", "kind", "format", "mime_type", "size_bytes", "mtime_ns", "source_fingerprint"]
+#: Directory ids of this many in a row are numbered together.
+SPAN = 4096
+
+
+def _before(window) -> Column:
+    """The counts of the rows before, summed."""
+    return F.coalesce(F.sum("count").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def difference(assets: DataFrame, listing: DataFrame) -> DataFrame:
@@ -20,8 +29,8 @@ def difference(assets: DataFrame, listing: DataFrame) -> DataFrame:
 def merge(assets: DataFrame, listing: DataFrame, generation: int, first_id: int | None = None) -> DataFrame:
     """The next asset rows. A path keeps its id; what was learned from a file goes when its fingerprint changes. Rows that the listing lacks stay, as they were seen last.
 
-    New ids follow the largest one in the order of library and path, numbered in two levels: counts by library and
-    directory first, then within each.
+    New ids follow the largest one in the order of library, directory and path. They are numbered in three levels (spans
+    of directories, directories in a span, files in a directory), so that one task sees a row per span at most.
     """
     learned = ["width", "height", "duration_ms", "probe_status", "probe_error_code"]
     old = assets.select(*KEY, "id", "last_seen_generation", *learned, *[F.col(c).alias(f"old_{c}") for c in _TAKEN])
@@ -30,8 +39,11 @@ def merge(assets: DataFrame, listing: DataFrame, generation: int, first_id: int
     out = both.withColumns({c: F.when(same, F.col(c)) for c in learned if c != "probe_status"} | {"probe_status": F.when(same, F.col("probe_status")).otherwise("pending")})
     out = out.withColumns({c: F.coalesce(c, f"old_{c}") for c in _TAKEN} | {"last_seen_generation": F.when(F.col("listed"), F.lit(generation)).otherwise(F.col("last_seen_generation"))})
     fresh = out.filter("id is null").select(*KEY, "directory_id")
-    groups = fresh.groupBy("library_id", "directory_id").count()
-    start = groups.withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("library_id", "directory_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("library_id", "directory_id", "start")
+    groups = fresh.groupBy("library_id", "directory_id").count().withColumn("span", F.floor(F.col("directory_id") / SPAN))
+    spans = groups.groupBy("library_id", "span").agg(F.sum("count").alias("count"))
+    base = spans.select("library_id", "span", _before(Window.orderBy("library_id", "span")).alias("base"))
+    inner = groups.withColumn("inner", _before(Window.partitionBy("library_id", "span").orderBy("directory_id")))
+    start = inner.join(base, ["library_id", "span"]).select("library_id", "directory_id", (F.col("base") + F.col("inner")).alias("start"))
     numbered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("library_id", "directory_id").orderBy("relative_path"))).join(start, ["library_id", "directory_id"])
     top = assets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     ids = numbered.join(F.broadcast(top)).select(*KEY, (F.col("top") + F.col("start") + F.col("n")).cast("long").alias("new_id"))
@@ -68,20 +80,55 @@ def admitted_grid_jobs(listing_assets: DataFrame, jobs: DataFrame, version: int)
     return listing_assets.select(F.col("id").alias("asset_id"), "library_id", "source_fingerprint").join(have, ["asset_id", "source_fingerprint"], "left_anti")
 
 
+def _grams(text: str) -> Column:
+    """The distinct runs of three characters of a text that has one."""
+    n = F.length(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(F.col(text), i, F.lit(3))))
+
+
 def trigrams(rows: DataFrame, key: str = "id", text: str = "search_path_key") -> DataFrame:
     """(key, gram): distinct runs of three characters."""
-    n = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(F.col(text), i, F.lit(3)))
-    return rows.filter(n >= 3).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    return rows.filter(F.length(text) >= 3).select(key, F.explode(_grams(text)).alias("gram"))
+
+
+def stored_order(grams: DataFrame, key: str = "id") -> DataFrame:
+    """An index as it is best written: by gram, so that a search reads the row groups of its own grams only."""
+    return grams.repartitionByRange("gram", key).sortWithinPartitions("gram", key)
+
+
+def _parts(term: str) -> list[str]:
+    return sorted({term[i : i + 3] for i in range(len(term) - 2)})
 
 
 def trigram_candidates(grams: DataFrame, term: str, key: str = "id") -> DataFrame:
-    """Keys with all trigrams of a term of three characters or more; the exact test stays with the caller."""
-    parts = sorted({term[i : i + 3] for i in range(len(term) - 2)})
+    """Keys of a stored index with all trigrams of a term of three characters or more; the exact test stays with the caller."""
+    parts = _parts(term)
     return grams.filter(F.col("gram").isin(*parts)).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(parts)).select(key)
 
 
+def found(rows: DataFrame, grams: DataFrame, term: str, key: str = "id", text: str = "search_path_key") -> DataFrame:
+    """The rows whose text holds a term, by a stored index and the exact test."""
+    return rows.join(trigram_candidates(grams, term, key), key, "left_semi").filter(F.contains(text, F.lit(term)))
+
+
+def scanned_candidates(rows: DataFrame, term: str, text: str = "search_path_key") -> DataFrame:
+    """The rows that trigram_candidates would give, where no index is stored: one scan, without exploding or shuffling."""
+    return rows.filter(reduce(lambda a, b: a & b, [F.contains(text, F.lit(g)) for g in _parts(term)]))
+
+
 def index_differences(grams: DataFrame, rows: DataFrame) -> DataFrame:
-    """(side, id, gram) where the derived index and its source disagree."""
+    """(id, gram, side) where the derived index and its source disagree.
+
+    Ids are compared by the number of their grams and two order-free sums of 32 bits each; only the grams of ids that
+    differ are compared one by one. Texts under three characters have no grams.
+    """
+    digest = lambda of: [F.count("*").alias(f"n_{of}"), F.sum(F.xxhash64("gram").bitwiseAND(2**32 - 1)).alias(f"low_{of}"), F.sum(F.shiftrightunsigned(F.xxhash64("gram"), 32)).alias(f"high_{of}")]
     fresh = trigrams(rows)
-    return grams.exceptAll(fresh).withColumn("side", F.lit("extra")).unionByName(fresh.exceptAll(grams).withColumn("side", F.lit("missing")))
+    grams = grams.select("id", "gram")
+    both = grams.groupBy("id").agg(*digest("a")).join(fresh.groupBy("id").agg(*digest("b")), "id", "full")
+    same = reduce(lambda a, b: a & b, [F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in ("n", "low", "high")])
+    ids = both.filter(~same).select("id")
+    # a row per gram and side with its copies counted, in place of two differences of whole indexes
+    count = lambda df, sign: df.join(ids, "id", "left_semi").select("id", "gram", F.lit(sign).alias("sign"))
+    left = count(grams, 1).unionByName(count(fresh, -1)).groupBy("id", "gram").agg(F.sum("sign").alias("left")).filter("left <> 0")
+    return left.select("id", F.explode(F.array_repeat("gram", F.abs("left").cast("int"))).alias("gram"), F.when(F.col("left") > 0, "extra").otherwise("missing").alias("side"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark import schema as S
 from shelfmark.functions import scalar as X
+#: Job ids of this many in a row are numbered together.
+SPAN = 65_536
 
 
 def eligible(jobs: DataFrame, now_ms: int) -> DataFrame:
@@ -30,12 +32,18 @@ def next_claim(jobs: DataFrame, served: DataFrame, now_ms: int) -> DataFrame:
 
 
 def claim_order(jobs: DataFrame, served: DataFrame, now_ms: int, priority: int = 0) -> DataFrame:
-    """(job_id, library_id, turn): the order in which a fixed set of jobs of one priority is claimed, round by round over libraries."""
-    ready = eligible(jobs, now_ms).filter(F.col("priority") == priority).select("id", "library_id")
-    rounds = ready.withColumn("turn", F.row_number().over(Window.partitionBy("library_id").orderBy("id")))
+    """(job_id, library_id, turn, seat): the order in which a fixed set of jobs of one priority is claimed, round by round over libraries.
+
+    Turns are counted by spans of ids and within them, so that a library with most of the jobs is not one task's.
+    """
+    ready = eligible(jobs, now_ms).filter(F.col("priority") == priority).select("id", "library_id", F.floor(F.col("id") / SPAN).alias("span"))
+    upto = Window.partitionBy("library_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ready.groupBy("library_id", "span").count().select("library_id", "span", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    inner = ready.withColumn("n", F.row_number().over(Window.partitionBy("library_id", "span").orderBy("id")))
+    rounds = inner.join(spans, ["library_id", "span"]).select("id", "library_id", (F.col("before") + F.col("n")).alias("turn"))
     first = ready.groupBy("library_id").agg(F.min("id").alias("first")).join(served.filter(F.col("priority") == priority), "library_id", "left")
     place = first.withColumn("seat", F.row_number().over(Window.orderBy(F.coalesce("last_sequence", F.lit(0)), "first"))).select("library_id", "seat")
-    return rounds.join(F.broadcast(place), "library_id").select(F.col("id").alias("job_id"), "library_id", "turn", "seat")  # libraries: one row each
+    return rounds.join(place, "library_id").select(F.col("id").alias("job_id"), "library_id", "turn", "seat")
 
 
 def recovered(rows: DataFrame, now_ms: int, most: int, failed: str = "failed") -> DataFrame:

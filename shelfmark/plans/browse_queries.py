@@ -74,7 +74,7 @@ ENTRIES = [
     ("asset_projection", lambda c: B.with_state(c, c.assets).select(*_ROW), f"SELECT {', '.join(_ROW)} FROM ({_STATE})"),
     ("asset_point_lookup", lambda c: B.with_state(c, c.assets.filter("id = 42")).select(*_ROW), f"SELECT {', '.join(_ROW)} FROM ({_STATE}) WHERE id = 42"),
     ("content_asset_lookup", lambda c: c.assets.filter("id = 77").join(c.libraries.select(F.col("id").alias("library_id"), "root_rel_path", "status"), "library_id").select("id", "library_id", "root_rel_path", "status", "relative_path", "source_fingerprint"), "SELECT a.id, library_id, root_rel_path, status, relative_path, source_fingerprint FROM assets a JOIN libraries l ON l.id = library_id WHERE a.id = 77"),
-    ("join_asset_library", lambda c: c.assets.join(F.broadcast(c.libraries.select(F.col("id").alias("library_id"), F.col("name").alias("library_name"))), "library_id").groupBy("library_name").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")), "SELECT l.name AS library_name, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM assets JOIN libraries l ON l.id = library_id GROUP BY 1"),
+    ("join_asset_library", lambda c: c.assets.join(c.libraries.select(F.col("id").alias("library_id"), F.col("name").alias("library_name")), "library_id").groupBy("library_name").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")), "SELECT l.name AS library_name, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM assets JOIN libraries l ON l.id = library_id GROUP BY 1"),
     ("join_asset_thumbnails", lambda c: B.with_state(c, c.assets).groupBy("thumbnail_status", "storyboard_status").agg(F.count("*").alias("n")), f"SELECT thumbnail_status, storyboard_status, count(*) AS n FROM ({_STATE}) GROUP BY 1, 2"),
     ("scope_directory_direct", *_page(Q(library=1, directory=10_000_010, sort="name"), "library_id = 1 AND directory_id = 10000010", _NAME)),
     ("scope_directory_recursive", lambda c: _recursive(c), f"SELECT id, library_id, relative_path, kind, mtime_ns, size_bytes, row_number() OVER (ORDER BY mtime_ns DESC, id DESC) AS pos FROM assets WHERE {_LIB} AND {_SUB} ORDER BY pos LIMIT 51"),
@@ -111,8 +111,8 @@ ENTRIES = [
     ("keyset_events", lambda c: B.numbered(c.system_events.filter("id < 500").orderBy(F.desc("id")).limit(51), F.desc("id")), "SELECT *, row_number() OVER (ORDER BY id DESC) AS pos FROM system_events WHERE id < 500 ORDER BY pos LIMIT 51"),
     ("keyset_id_asc", lambda c: c.libraries.filter("id > 2").orderBy("id").limit(64).select("id", "name"), "SELECT id, name FROM libraries WHERE id > 2 ORDER BY id LIMIT 64"),
     ("topk_heap", lambda c: c.directories.filter(F.col("name") > "Customer#000000100").orderBy("name", "id").limit(21).select("id", "name"), "SELECT id, name FROM directories WHERE name > 'Customer#000000100' ORDER BY name, id LIMIT 21"),
-    ("fts_scan", lambda c: I.trigram_candidates(I.trigrams(c.assets.select("id", "search_path_key")), "asset 12"), "SELECT id FROM assets WHERE (SELECT bool_and(contains(search_path_key, g)) FROM (VALUES ('ass'), ('sse'), ('set'), ('et '), ('t 1'), (' 12')) v(g))"),
-    ("join_fts", lambda c: c.assets.join(I.trigram_candidates(I.trigrams(c.assets.select("id", "search_path_key")), "asset 12"), "id", "left_semi").filter(F.col("search_path_key").contains("asset 12")).select("id", "relative_path"), "SELECT id, relative_path FROM assets WHERE contains(search_path_key, 'asset 12')"),
+    ("fts_scan", lambda c: I.scanned_candidates(c.assets, "asset 12").select("id"), "SELECT id FROM assets WHERE (SELECT bool_and(contains(search_path_key, g)) FROM (VALUES ('ass'), ('sse'), ('set'), ('et '), ('t 1'), (' 12')) v(g))"),
+    ("join_fts", lambda c: I.scanned_candidates(c.assets, "asset 12").filter(F.col("search_path_key").contains("asset 12")).select("id", "relative_path"), "SELECT id, relative_path FROM assets WHERE contains(search_path_key, 'asset 12')"),
     ("search_index_check", lambda c: I.index_differences(I.trigrams(c.directories.filter("id % 7 <> 0").withColumn("search_path_key", F.lower("relative_path"))), c.directories.withColumn("search_path_key", F.lower("relative_path"))).groupBy("side", "id").agg(F.count("*").alias("grams")), "SELECT 'missing' AS side, id, count(DISTINCT substr(lower(relative_path), i, 3)) AS grams FROM directories, range(1, 200) r(i) WHERE id % 7 = 0 AND i <= length(relative_path) - 2 GROUP BY id"),
     ("subtree", lambda c: T.subtree(c.directories, 2_000_003).select("id", "relative_path"), "SELECT id, relative_path FROM directories WHERE id IN (WITH RECURSIVE s(id) AS (SELECT 2000003 UNION SELECT d.id FROM directories d JOIN s ON d.parent_id = s.id) SELECT id FROM s)"),
     ("recursive_union_distinct", lambda c: T.subtree(c.directories, 1_000_002).groupBy("library_id").agg(F.count("*").alias("n")), "SELECT library_id, count(*) AS n FROM directories WHERE id IN (WITH RECURSIVE s(id) AS (SELECT 1000002 UNION SELECT d.id FROM directories d JOIN s ON d.parent_id = s.id) SELECT id FROM s) GROUP BY 1"),
