@@ -6,6 +6,7 @@ whose control strings are escaped inside texts, reversibly, and a loss mask list
 
 Nulls: a null role or text counts as empty, a record whose filled paths match no mapping gets null turns. Empty tables
 give empty results, columns outside the known paths are ignored, repeated rows are kept as turns of their own.
+A text is escaped whole, whatever its length; a conversation's turns and its output are one row.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ filter is fitted on at most `per_language` distinct labelled texts a language (i
 text), and all their copies.
 
 Null texts and texts without a letter get `und` and score 0; so does every text if no language was learned. Ties go to
-the language with more training texts, then to the first in order. Repeated rows get equal results; other columns are passed through.
+the language with more training texts, then to the first in order. Repeated rows get equal results. Whole texts
+are read, of any length; empty tables give an empty filter and empty results. `identify` returns the keys and its results,
+`with_language` keeps every column; other columns are not looked at, whatever their names. A language is a bit of every
+slot, so that the filter grows with the number of languages that the labels name, which must fit in memory.
 """
 
 from __future__ import annotations

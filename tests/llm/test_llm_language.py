@@ -1,3 +1,7 @@
+import collections
+import re
+import zlib
+
 from oddities import none, odd
 
 from shelfmark.llm import language_bitmask as M
@@ -41,3 +45,34 @@ def test_copies_leave_the_sample_whole(spark):
     got = M.identify(df, f, keys=("lang",)).collect()
     assert all(r["score"] > 0.9 and r["lang_pred"] == r["lang"] for r in got if r["lang"] == "xx")
     assert f.prior[0] == 2000 / 2001
+
+
+def _grams(text):
+    """Four bytes at every place, folded, with one space for a run of spaces and spaces around."""
+    folded = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in text.encode())
+    line = re.sub(b" +", b" ", b" " + folded)
+    return [(line + b"   ")[i : i + 4] for i in range(len(line))]
+
+
+def test_is_brute_force_without_hashing(spark, sf_dir):
+    """Every document against plain sets of n-grams: the filter's false positives move no clear decision."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [r for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    counts = collections.defaultdict(collections.Counter)
+    for r in train:
+        counts[r["lang"]].update(_grams(r["text"]))
+    known = {k: {g for g, n in c.items() if n > 1 and n >= 1e-5 * c.total()} for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in M.op2_language_bitmask(spark, sf_dir).collect()}
+    clear = 0
+    for r in rows:
+        mine = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        grams = _grams(r["text"])
+        (best, name), *others = sorted(((sum(g in s for g in grams) / len(grams), k) for k, s in known.items()), reverse=True)
+        assert abs(mine["score"] - best) <= 0.05
+        if not others or best - others[0][0] > 0.1:
+            clear += 1
+            assert mine["lang_pred"] == name
+    assert clear >= 0.8 * len(rows)
