@@ -2,6 +2,8 @@
 
 Every stage but the last takes and returns rows with the columns of documents. Rows with null or empty texts, or texts
 without a letter, have no language and go in the first stage. Other columns, repeated rows and empty tables are allowed.
+Ties: of languages alike the one with more training texts, of near-duplicates the least doc_id, of overlapping spans the base
+one; rows that repeat a doc_id and text are one row after the second stage.
 """
 
 from __future__ import annotations
