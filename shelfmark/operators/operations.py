@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import schema as S
@@ -55,14 +55,26 @@ def cache_summary(thumbnails: DataFrame, capacity: int) -> DataFrame:
     return cache_usage(thumbnails).select("used_bytes", F.lit(high).cast("long").alias("high_bytes"), F.lit(low).cast("long").alias("low_bytes"), pressure.alias("pressure"))
 
 
+def _place(marks: list[int], value: Column) -> Column:
+    """How many of the ascending marks are at most the value, by halving."""
+    if not marks:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(m).cast("long") for m in marks])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(marks).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def eviction(thumbnails: DataFrame, target: int, spans: int = 1024) -> DataFrame:
     """The least recently used ready rows whose removal brings the cache to its target, in order of access, asset and variant.
 
-    The running sum is taken in two levels over spans of access time, so that no task orders the whole cache.
+    The running sum is taken in two levels over spans of access time, so that no task orders the whole cache. Accesses
+    crowd at the recent end, so the spans are bounded by quantiles: a row of `spans` numbers, fetched once so that both
+    levels have the same. Where they lie doesn't change the result. Rows without a time of access are not evicted.
     """
     ready = thumbnails.filter("status = 'ready'").select("asset_id", "variant", "last_accessed_at_ms", "byte_size")
-    bounds = ready.agg(F.min("last_accessed_at_ms").alias("lo"), F.max("last_accessed_at_ms").alias("hi"), F.sum("byte_size").alias("used"))
-    laid = ready.join(F.broadcast(bounds)).withColumn("span", F.floor((F.col("last_accessed_at_ms") - F.col("lo")) * spans / (F.col("hi") - F.col("lo") + 1)))
+    used = ready.agg(F.sum("byte_size").alias("used"))
+    marks = ready.agg(F.percentile_approx("last_accessed_at_ms", [i / spans for i in range(1, spans)], 10 * spans)).first()[0] or []
+    laid = ready.filter("last_accessed_at_ms is not null").join(F.broadcast(used)).withColumn("span", _place(sorted(set(marks)), F.col("last_accessed_at_ms")))
     before = laid.groupBy("span").agg(F.sum("byte_size").alias("b")).withColumn("offset", F.coalesce(F.sum("b").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("span", "offset")
     inside = Window.partitionBy("span").orderBy("last_accessed_at_ms", "asset_id", "variant").rowsBetween(Window.unboundedPreceding, -1)
     freed = laid.join(before, "span").withColumn("freed", F.col("offset") + F.coalesce(F.sum("byte_size").over(inside), F.lit(0)))

@@ -86,6 +86,22 @@ def test_eviction_is_a_prefix(spark):
     want = sorted(range(50), key=lambda i: (i % 7, i))[:30]
     assert got == set(want)
     assert operations.eviction(t, 500).isEmpty()
+    assert operations.eviction(t.limit(0), 0).isEmpty()
+
+
+def test_eviction_of_crowded_times(spark):
+    """Spans follow the accesses, wherever they crowd; any number of them gives the same rows."""
+    times = [5] * 40 + [10**12 + k // 3 for k in range(100)] + [2 * 10**12 + k for k in range(60)] + [None, None]
+    rows = [(i, "grid", "ready", at, 1 + i * 7 % 13) for i, at in enumerate(times)]
+    t = spark.createDataFrame(rows, "asset_id long, variant string, status string, last_accessed_at_ms long, byte_size long")
+    left, used, want = 700, sum(r[4] for r in rows), set()
+    for r in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[3], r[0])):
+        if used <= left:
+            break
+        want.add(r[0])
+        used -= r[4]
+    for spans in (2, 16, 1024):
+        assert {r["asset_id"] for r in operations.eviction(t, left, spans).collect()} == want
 
 
 def test_every_failure_has_its_latest_attempt(spark):
