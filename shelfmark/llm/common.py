@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rekeyed(df: DataFrame, key: str) -> DataFrame:
+    """df with the same whole-number key as a new expression: a join on it shuffles df anew, so that adaptive execution may split the other side's hot keys, which it can't beside an aggregate that is in place."""
+    return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `written` gave, once nothing reads them any more: what came of them must be written itself."""
     for df in tables:

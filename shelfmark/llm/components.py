@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import rekeyed, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        large = both.filter("b > a").join(rekeyed(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        small = large.join(rekeyed(large.groupBy("a").agg(F.min("b").alias("m")), "a"), "a")
         star = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = written(star.distinct(), "links")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
