@@ -82,32 +82,6 @@ def test_no_link_is_lost():
     assert proposed(list(pairs((p.small + 2, 90), 30_000)), p).count(False) <= 6
 
 
-def test_undecided_pairs_are_confirmed_whatever_the_blocks(spark):
-    """Chains of sets that no hub decides: every link between components is found, in blocks of any size, and in no other way than by confirmed sets."""
-    rng = random.Random(8)
-    shared = [rng.randrange(2**62) for _ in range(40)]
-    sets = []
-    for _ in range(12):
-        own = shared + [rng.randrange(2**62) for _ in range(25)]
-        for _ in range(10):
-            own = [x for x in own if rng.random() > 0.06] + [rng.randrange(2**62) for _ in range(4)]
-            sets.append(sorted(set(own)))
-    arrays = [np.array(s, np.uint64) for s in sets]
-    want = {(max(i, j), min(i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j])) and i % 7 != j % 7}
-    assert want
-    for block in (3, 1024):
-        p = M.Params(block=block)
-        sig = M.signatures(np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(a) for a in arrays])]), p)
-        odd = np.zeros((len(arrays), 256), np.uint8)
-        odd[:, : p.values] = sig & np.uint32(1)
-        bits = [r.tolist() for r in np.packbits(odd, axis=1, bitorder="little").view("<i8")]
-        held = spark.createDataFrame([(i, bytearray(a.tobytes())) for i, a in enumerate(arrays)], "node long, set binary")
-        kept = spark.createDataFrame(list(enumerate(bits)), "node long, bits array<long>")
-        labels = spark.createDataFrame([(i, i % 7) for i in range(len(sets))], "node long, label long")
-        grey = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
-        assert {tuple(r) for r in M.undecided(grey, labels, held, kept, p).collect()} == want
-
-
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, M.op4_minmax_dedup(spark, sf_dir).collect()), key=str) == brute([tuple(r) for r in docs.collect()], 2)
