@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[Span]:
     out = [(s, 0, e) for s, e in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -217,7 +217,7 @@ def _no_datum(kind: int, text: str, pick: np.random.Generator) -> str:
         return one(f"{text.partition('@')[0]} @ noon", "3 @ 20", f"v{digits or 2}[at]x")
     if kind == 1:
         parts = text.split(".")
-        return one("[.]", " . ", ".").join(one([*parts[:3], str(256 + int(parts[3]))], parts[:3], [*parts, "7"]))
+        return one("[.]", " . ", ".").join(one([*parts[:3], str(256 + int(parts[3].lstrip("0") or 0))], parts[:3], [*parts, "7"]))
     if kind == 2:
         wrong = digits[:-1] + str((int(digits[-1]) + 1 + int(pick.integers(8))) % 10)
         return one(".", "/", "_", ":", " ").join(wrong[k : k + 4] for k in range(0, len(wrong), 4))

@@ -2,7 +2,9 @@ import hashlib
 import math
 import random
 import re
+import sys
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oddities import ROWS, none, odd
@@ -39,6 +41,28 @@ def test_emails_back_to_back():
         assert M.base_spans(t) == brute(t), t
 
 
+DIGITS = ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 5000, "9" * 10**6, ".".join(["1" * 9000] * 4), "+" + "7" * 10**5, "4 " * 10**5, "1.2." + "0" * 5000 + "25.0", "x@" + "a." * 10**4 + "b"]
+
+
+def test_long_runs_of_digits(spark):
+    """No run of digits, however long, ends the operator; leading zeros count as what they are."""
+    for t in DIGITS[:2] + DIGITS[6:]:
+        sys.set_int_max_str_digits(0)
+        want = brute(t)
+        sys.set_int_max_str_digits(4300)
+        assert M.base_spans(t) == want
+    assert M.base_spans(DIGITS[2]) == M.base_spans(DIGITS[3]) == []
+    docs = spark.createDataFrame([(i, f"call {t} now, or mail me@example.org") for i, t in enumerate(DIGITS)], "doc_id long, text string")
+    field = M.fit(docs)
+    found = {r["doc_id"]: r for r in M.find_spans(docs, field).collect()}
+    kinds = {i: [x["kind"] for x in r["base"]] for i, r in found.items()}
+    assert all("email" in x for x in kinds.values()) and len(kinds) == len(DIGITS)
+    assert [kinds[i].count("ip") for i in (0, 1, 2, 3, 6)] == [1, 1, 0, 0, 1]
+    texts = {r["doc_id"]: r["text"] for r in M.redacted(docs, field).collect()}
+    assert len(texts) == len(DIGITS) and "0000" not in texts[0] + texts[1]
+    assert M._no_datum(1, DIGITS[1], np.random.default_rng(0))
+
+
 def test_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     got = M.op6_span_crf(spark, sf_dir).collect()
