@@ -6,6 +6,7 @@ from shelfmark.llm.chat_format import OP9_SQL, op9_chat_format
 from shelfmark.llm.fano_lm import op5_fano_lm
 from shelfmark.llm.fm_substring import op10_fm_substring
 from shelfmark.llm.language_bitmask import op2_language_bitmask
+from shelfmark.llm.letter_parity import OP11_SQL, op11_letter_parity
 from shelfmark.llm.line_quality import op3_line_quality
 from shelfmark.llm.minmax_dedup import op4_minmax_dedup
 from shelfmark.llm.piece_sampling import op1_piece_sampling
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pruned_graph": op8_pruned_graph,
     "op9_chat_format": op9_chat_format,
     "op10_fm_substring": op10_fm_substring,
+    "op11_letter_parity": op11_letter_parity,
 }
-ORACLE_SQL = {"op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op9_chat_format": OP9_SQL, "op11_letter_parity": OP11_SQL}
