@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfmark.llm.chat_format import OP9_SQL, op9_chat_format
 from shelfmark.llm.fano_lm import op5_fano_lm
+from shelfmark.llm.flat_graph import OP12_SQL, op12_flat_graph
 from shelfmark.llm.fm_substring import op10_fm_substring
 from shelfmark.llm.language_bitmask import op2_language_bitmask
 from shelfmark.llm.letter_parity import OP11_SQL, op11_letter_parity
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_fm_substring": op10_fm_substring,
     "op11_letter_parity": op11_letter_parity,
+    "op12_flat_graph": op12_flat_graph,
 }
-ORACLE_SQL = {"op9_chat_format": OP9_SQL, "op11_letter_parity": OP11_SQL}
+ORACLE_SQL = {"op9_chat_format": OP9_SQL, "op11_letter_parity": OP11_SQL, "op12_flat_graph": OP12_SQL}
