@@ -12,6 +12,7 @@ from shelfmark.llm.line_quality import op3_line_quality
 from shelfmark.llm.minmax_dedup import op4_minmax_dedup
 from shelfmark.llm.piece_sampling import op1_piece_sampling
 from shelfmark.llm.pruned_graph import op8_pruned_graph
+from shelfmark.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from shelfmark.llm.source_mix import op7_source_mix
 from shelfmark.llm.span_crf import op6_span_crf
 
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_fm_substring": op10_fm_substring,
     "op11_letter_parity": op11_letter_parity,
     "op12_flat_graph": op12_flat_graph,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL = {"op9_chat_format": OP9_SQL, "op11_letter_parity": OP11_SQL, "op12_flat_graph": OP12_SQL}
+ORACLE_SQL = {"op9_chat_format": OP9_SQL, "op11_letter_parity": OP11_SQL, "op12_flat_graph": OP12_SQL, "op13_prefix_trie": OP13_SQL}
