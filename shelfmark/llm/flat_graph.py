@@ -1,8 +1,9 @@
 """Near-duplicate vectors by cosine, found on one flat robust-pruned graph that is built in overlapping shards.
 
-Centres are fitted on a bounded sample, thinned first so that no crowd of near copies draws more than one of them. Every
-point belongs to the clusters of its `overlap` nearest centres; a cluster is a shard, or several by a hash where it is
-large, so that a shard is bounded whatever the rows. Each shard builds a graph of its own (greedy search proposes, relaxed
+Centres are fitted on a bounded sample, thinned first so that no crowd of near copies draws more than one of them. A point
+belongs to the cluster of its nearest centre, and to all whose border is so near that a step of a link's length in any
+direction may well cross it; so clusters overlap where points lie between them. A cluster is a shard, or several by a hash
+where it is large, so that a shard is bounded whatever the rows. Each shard builds a graph of its own (greedy search proposes, relaxed
 pruning keeps diverse edges). The adjacency lists that a point has from its shards are united into one list: the flat
 graph. A search starts from the medoid of each shard that the point belongs to, walks greedily towards the point, and
 from the first points in range on expands along all edges for as long as it finds more in range. Where an expansion would
@@ -11,7 +12,7 @@ look at more edges than the shard has points, the points are compared instead, s
 Every link is verified by its cosine in double precision. A pair that shares several clusters counts in the least of them
 only, so links are counted where they are found and never sent as pairs: a shard gives a count for each point and a
 spanning forest of its links. Recall is audited against brute force on a bounded set of probes, half of them points with
-links; where it falls short, the search is done again with twice the overlap, up to all clusters.
+links; where it falls short, the search is done again with twice the reach, up to all clusters.
 
 Equal vectors are one point with a weight. Vectors that are null, zero, or hold null or non-finite components link with
 nothing, nor do rows with a null id. Vectors of another dimension are compared among themselves. Repeated rows give a row
@@ -36,21 +37,22 @@ from shelfmark.llm.pruned_graph import search
 
 @dataclass(frozen=True)
 class Params:
-    """least: cosine of a link. sample: points that centres are fitted on at most; centers: of them at most. shard_rows: wanted points of a cluster; shard_most: points of a shard at most, about. probes: points that recall is audited on at most, in two halves."""
+    """least: cosine of a link. sample: points that centres are fitted on at most; centers: of them at most. shard_rows: wanted points of a cluster, if each belongs to `shares`; shard_most: points of a shard at most, about. reach: how near a border is, in deviations of such a step along one axis. probes: points that recall is audited on at most, in two halves."""
 
     least: float = 0.95
     sample: int = 32_768
     centers: int = 8192
     shard_rows: int = 4096
     shard_most: int = 16_384
-    overlap: int = 2
+    shares: int = 3
+    reach: float = 1.0
     degree: int = 24
     build_beam: int = 40
     beam: int = 24
     relax: float = 1.2
     block: int = 256
     probes: int = 512
-    recall: float = 0.99
+    recall: float = 0.98
 
 
 def usable() -> Column:
@@ -106,13 +108,14 @@ def centers_of(every: DataFrame, p: Params) -> dict[int, np.ndarray]:
     if len(rows):
         total = every.count()
         for dim, part in rows.groupby("dim"):
-            wanted = -(-total * len(part) * p.overlap // (len(rows) * p.shard_rows))
+            wanted = -(-total * len(part) * p.shares // (len(rows) * p.shard_rows))
             out[int(dim)] = fitted_centers(unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)), int(min(p.centers, wanted)), p)
     return out
 
 
 def _dealt(centers: dict[int, np.ndarray], p: Params):
     schema = "node long, dim int, weight long, vector binary, clusters array<int>"
+    step = p.reach * np.sqrt(2 - 2 * p.least)
 
     def run(batches):
         for batch in batches:
@@ -124,11 +127,14 @@ def _dealt(centers: dict[int, np.ndarray], p: Params):
                 for a in range(0, len(own), 1024):
                     rows = own[a : a + 1024]
                     x = unit(flat[at[rows][:, None] + np.arange(dim)])
-                    some = centers.get(int(dim))
-                    n = 1 if some is None else min(p.overlap, len(some))
-                    near = np.zeros((len(rows), 1), int) if some is None else np.argpartition(-(x @ some.T), n - 1, axis=1)[:, :n]
-                    for r, v, c in zip(rows, x, np.sort(near, axis=1).tolist(), strict=True):
-                        vectors[r], clusters[r] = v.tobytes(), c
+                    near = np.ones((len(rows), 1), bool)
+                    if (some := centers.get(int(dim))) is not None:
+                        score = x @ some.T
+                        best = np.argmax(score, axis=1)
+                        apart = np.sqrt(np.maximum(2 - 2 * some[best] @ some.T, 0))
+                        near = score[np.arange(len(rows)), best][:, None] - score <= step / np.sqrt(dim) * apart
+                    for r, v, c in zip(rows, x, near, strict=True):
+                        vectors[r], clusters[r] = v.tobytes(), np.flatnonzero(c).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(vectors, pa.binary()), pa.array(clusters, pa.list_(pa.int32()))], names=["node", "dim", "weight", "vector", "clusters"])
 
     return run, schema
@@ -239,9 +245,9 @@ def _links(p: Params):
             held = (at < len(node)) & (node[np.minimum(at, len(node) - 1)] == near)  # of the flat graph, what leads to points of this shard
             edges = np.full((len(node), int(count.max(initial=1))), -1)
             edges[np.repeat(np.arange(len(node)), count)[held], (np.arange(len(near)) - np.repeat(np.cumsum(count) - count, count))[held]] = at[held]
-            mine = _clusters(graph["clusters"], p)
+            mine = _clusters(graph["clusters"])
             frame = graph if here else asked
-            whose, theirs = frame["node"].to_numpy(), mine if here else _clusters(frame["clusters"], p)
+            whose, theirs = frame["node"].to_numpy(), mine if here else _clusters(frame["clusters"])
             label = np.arange(len(node) + (0 if here else len(frame)))
             for a in range(0, len(frame), p.block):
                 rows = np.arange(a, min(a + p.block, len(frame)))
@@ -251,8 +257,8 @@ def _links(p: Params):
                 if here:
                     i, j = i[i != j], j[i != j]
                 first = np.ones(len(i), bool)
-                for b in range(0, len(i), 1 << 20):
-                    s = slice(b, b + (1 << 20))
+                for b in range(0, len(i), 1 << 18):
+                    s = slice(b, b + (1 << 18))
                     l, r = theirs[i[s]], mine[j[s]]
                     first[s] = ~((l[:, :, None] == r[:, None, :]) & (l < cluster)[:, :, None]).any(axis=(1, 2))
                 n = np.bincount(i[first] - a, weight[j[first]], len(rows)).astype(np.int64)
@@ -266,8 +272,8 @@ def _links(p: Params):
     return run
 
 
-def _clusters(column, p: Params) -> np.ndarray:
-    """[rows, overlap] clusters; repeated where there are fewer."""
+def _clusters(column) -> np.ndarray:
+    """[rows, most] clusters of each row; repeated where there are fewer."""
     wide = max((len(c) for c in column), default=1)
     return np.stack([np.resize(np.asarray(c, np.int64), wide) for c in column]) if len(column) else np.zeros((0, wide), np.int64)
 
@@ -324,14 +330,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     use, rest = rows.filter(usable()), rows.filter(~usable())
     every = points(use)
     centers = centers_of(every, p)
-    most = max(map(len, centers.values()), default=1)
     while True:
         dealt = members(every, centers, p)
         found = written(found_links(dealt, flat_graph(dealt, p), p), "found")
         counts = written(found.filter("b = -1").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "counts")
-        if p.overlap >= most or audited_recall(every, counts, p) >= p.recall:
+        if p.reach > 64 or max(map(len, centers.values()), default=1) == 1 or audited_recall(every, counts, p) >= p.recall:
             break
-        p = replace(p, overlap=min(most, 2 * p.overlap))
+        p = replace(p, reach=2 * p.reach)
     labels = written(components(found.filter("b <> -1").select("a", "b")), "labels")
     own = every.select("node", "h1", "h2", "weight", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(counts, "node", "left")
     least = own.groupBy("label").agg(F.min("id").alias("component_id"))

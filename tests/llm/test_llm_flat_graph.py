@@ -62,7 +62,7 @@ def test_is_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(rows)
     assert rows_of(M.near_duplicates(df)) == want
-    shards = M.Params(shard_rows=64, shard_most=50, block=16, overlap=3)
+    shards = M.Params(shard_rows=64, shard_most=50, block=16, reach=1.5)
     got = rows_of(M.near_duplicates(df, p=shards))
     assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert len({r[2] for r in got}) <= 1.02 * len({r[2] for r in want})
