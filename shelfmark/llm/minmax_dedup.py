@@ -3,14 +3,18 @@
 Every permutation gives two signature values, the minimum and the maximum over a document's shingles, so a signature of
 length 2k costs k hash evaluations per shingle. Bands of the signature propose documents that may be alike; one bit of
 each value is kept to dismiss most false proposals; every link is confirmed on the full shingle sets. In small sets the
-minimum and the maximum depend on each other, so that bands fail more often; sets of up to `small` shingles are therefore
-proposed by their least shingles too, of which two sets that are linked must share one: no link between such is lost.
+minimum and the maximum depend on each other, so that bands fail more often; sets of up to `small` shingles, and all that
+may be linked with such, are therefore proposed by their rarest shingles: two sets that are linked share one of the rarest
+of either, as many as a link may leave out and one more. Rareness is counted over all such sets, so a phrase that many short
+texts have in common brings none of them together. No link of small sets is lost, and of larger ones a bucket of their
+bands holds all but a few of a hundred million.
 
 Documents with equal sets are one node from the start. Inside a bucket a hub is compared with all members. Members that
 the hub does not link compete again in the next round. Distances are 1 - Jaccard, a metric: what links to a linked
-member of the hub is at most twice the threshold from the hub, so pairs that no hub decides lie within the groups that
-such grey pairs connect, and these are compared in full, block by block, across components only. A bucket's size is
-thus never capped, and no bucket emits all its pairs.
+member of the hub is at most twice the threshold from the hub, so pairs that no hub decides lie in components that
+such grey pairs meet. Of the sets of these components, two that are linked share one of the rarest shingles of either
+(as many as a link may leave out, and one more), so the pairs that share such a one, across components only, are
+confirmed. A bucket's size is thus never capped, and no bucket emits all its pairs.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Texts may be of any length.
 Other columns are passed by, whatever their names. A row with a null id takes
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import rekeyed, table, written
@@ -34,12 +38,12 @@ from shelfmark.llm.textvec import mixed, shingles, words
 
 @dataclass(frozen=True)
 class Params:
-    """width: words of a shingle. A pair is linked at `percent` or more. 2 * permutations values in bands of `rows`: a pair at 0.8 of more than `small` shingles shares no band in about 2 of 100,000 cases."""
+    """width: words of a shingle. A pair is linked at `percent` or more. 2 * permutations values in bands of `rows`: a pair at 0.8 of more than `small` shingles shares no band in about 4 of 100 million cases."""
 
     width: int = 5
     percent: int = 80
     permutations: int = 108
-    rows: int = 6
+    rows: int = 5
     small: int = 24
     rounds: int = 4
     block: int = 1024
@@ -49,11 +53,9 @@ class Params:
     def values(self) -> int:
         return 2 * self.permutations
 
-    @property
-    def most_unlike(self) -> int:
-        """Differing bits that a pair within twice the threshold exceeds only by five standard deviations."""
-        like = 1 - 2 * (100 - self.percent) / 100
-        p = (1 + max(like, 0)) / 2
+    def most_unlike(self, percent: int) -> int:
+        """Differing bits that a pair of that similarity exceeds only by five standard deviations."""
+        p = (1 + max(percent, 0) / 100) / 2
         return int(self.values * (1 - p) + 5 * np.sqrt(self.values * p * (1 - p)))
 
 
@@ -88,18 +90,6 @@ def bands(sig: np.ndarray, p: Params) -> np.ndarray:
     return keys
 
 
-def least_shingles(sets: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Keys by which sets of up to p.small shingles meet every set that they may be linked with, and the document of each.
-
-    Sets with n and m shingles that are linked share at least percent/100 of either, so each has a shared one among its
-    n - ceil(percent * n / 100) + 1 least. Sets that are larger, but not by more than a link allows, have them too.
-    """
-    n = np.diff(offsets)
-    width = np.where(100 * p.small >= p.percent * n, n - -(-p.percent * n // 100) + 1, 0)
-    at = np.repeat(offsets[:-1] - np.cumsum(width) + width, width) + np.arange(width.sum())
-    return mixed(sets[at] ^ np.uint64(0x2545F4914F6CDD1D)), np.repeat(np.arange(len(n)), width)
-
-
 def node_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit key of each whole set."""
     total = np.add.reduceat(mixed(sets ^ np.uint64(0x5851F42D4C957F2D)), offsets[:-1]) if len(sets) else np.zeros(0, np.uint64)
@@ -107,7 +97,7 @@ def node_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sketch(p: Params):
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +109,7 @@ def _sketch(p: Params):
                 own = ids.slice(w.first, w.docs)
                 if len(full) < w.docs:
                     none = np.flatnonzero(sizes == 0)
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(none)), pa.nulls(len(none), pa.int64()), pa.array(np.zeros(len(none), np.int64)), pa.nulls(len(none), schema.field(3).type), pa.nulls(len(none), schema.field(4).type)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(none)), pa.nulls(len(none), pa.int64()), pa.array(np.zeros(len(none), np.int64)), *[pa.nulls(len(none), schema.field(k).type) for k in (3, 4, 5)]], schema=schema)
                 if len(full):
                     at = np.concatenate([offsets[full], offsets[-1:]])
                     sig = signatures(sets, at, p)
@@ -127,14 +117,13 @@ def _sketch(p: Params):
                     odd[:, : p.values] = sig & np.uint32(1)
                     bits = np.packbits(odd, axis=1, bitorder="little").view("<i8")
                     banded = bands(sig, p).view(np.int64)
-                    least, owner = least_shingles(sets, at, p)
-                    held = np.concatenate([np.repeat(np.arange(len(full)), banded.shape[1]), owner])
-                    keys = np.concatenate([banded.ravel(), least.view(np.int64)])[np.argsort(held, kind="stable")]
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(full)))]).astype(np.int32)
                     lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).ravel()))
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(full)), pa.array(node_of(sets, at).view(np.int64)), pa.array(sizes[full]), lists(bits), pa.ListArray.from_arrays(ends, pa.array(keys))], schema=schema)
+                    size = sizes[full]
+                    small = 100 * p.small >= p.percent * size
+                    few = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(small, size, 0))]), pa.int32()), pa.array(sets[np.repeat(small, size)].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(full)), pa.array(node_of(sets, at).view(np.int64)), pa.array(size), lists(bits), lists(banded), few], schema=schema)
 
-    return run, "id long, node long, n long, bits array<long>, bands array<long>"
+    return run, "id long, node long, n long, bits array<long>, bands array<long>, few array<long>"
 
 
 def _sets(p: Params):
@@ -173,51 +162,91 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long, shared long, together long")
 
 
-def _blocks(percent: int):
-    """Links between rows of two blocks of a group: a spanning forest of them."""
-
-    def run(left, right):
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        one, two = ([np.frombuffer(s, np.uint64) for s in f["set"]] for f in (left, right))
-        all_two = np.concatenate(two)
-        order = np.argsort(all_two, kind="stable")
-        keys, owner = all_two[order], np.repeat(np.arange(len(two)), [len(s) for s in two])[order]
-        size = np.array([len(s) for s in two])
-        na, nb = left["node"].to_numpy(), right["node"].to_numpy()
-        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-        joined, out = set(), []
-        for i, s in enumerate(one):
-            lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], minlength=len(two))
-            for j in np.flatnonzero((100 * shared >= percent * (len(s) + size - shared)) & (lb != la[i])):
-                if (la[i], lb[j]) not in joined:
-                    joined |= {(la[i], lb[j]), (lb[j], la[i])}
-                    out.append((na[i], nb[j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return run
-
-
-def undecided(grey: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) across components inside the groups that grey pairs connect, compared in full by blocks."""
+def _each_shingle(batches):
+    """(node, label, n, shingle) of every shingle of sets."""
+    for batch in batches:
+        node, label, held = (batch.column(k) for k in range(3))
+        sizes = np.array([len(s.as_buffer()) // 8 for s in held], np.int64)
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + (1 << 18), "right")))
+            n = sizes[first:last]
+            wide = lambda c: pa.array(np.repeat(c.to_numpy()[first:last], n))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([wide(node), wide(label), pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.frombuffer(held[k].as_buffer(), np.int64) for k in range(first, last)]))], names=["node", "label", "n", "shingle"])
+            first = last
+
+
+def _meetings(p: Params):
+    """Pairs (a, b) across components, of sizes and bits that a link may have, of rows sorted by shingle and pair of blocks. A pair of blocks is held at once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def met(side, node, label, n, bits):
+        inside = not side.any()
+        x, y = (np.arange(len(node)),) * 2 if inside else (np.flatnonzero(side == 0), np.flatnonzero(side))
+        i, j = np.nonzero((label[x][:, None] != label[y]) & (np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * p.percent))
+        if inside:
+            i, j = i[i < j], j[i < j]
+        i, j = x[i], y[j]
+        ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= p.most_unlike(p.percent)
+        return np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns[:-1]] + [batch.column(batch.num_columns - 1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
+            now = now if rest is None else [np.concatenate(c) for c in zip(rest, now, strict=True)]
+            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1
+            cuts = np.concatenate([[0], new])
+            found = [met(*[c[a:b] for c in now[3:]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+            rest = [c[cuts[-1] :] for c in now]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
+        if rest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in met(*rest[3:])], schema=schema)
+
+    return run, "a long, b long"
+
+
+def rarest(every: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """Of every (node, n, shingle, ...) those by which a set meets all that it may be linked with: its rarest, as many as a link may leave out and one more. shared: (shingle, held) of those that sets share; the others are the rarest, and bring nothing together."""
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("held", "shingle"))
+    lone = F.col("n") - F.count("*").over(own)
+    may_miss = F.col("n") - F.ceil(F.col("n") * p.percent / 100)
+    ranked = every.join(rekeyed(shared, "shingle"), "shingle").select(*every.columns, rank.alias("rank"), lone.alias("lone"))
+    return ranked.filter(F.col("rank") + F.col("lone") <= may_miss + 1).drop("rank", "lone")
+
+
+def small_keys(nodes: DataFrame, p: Params) -> DataFrame:
+    """(node, band): the rarest shingles of sets of few."""
+    every = nodes.filter("few is not null").select("node", "n", F.explode("few").alias("shingle"))
+    shared = every.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    return rarest(every, shared, p).select("node", F.xxhash64(F.lit(p.seed), "shingle").alias("band"))
+
+
+def undecided(grey: DataFrame, labels: DataFrame, sets: DataFrame, bits: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) across the components that grey pairs meet. bits: (node, bits) of all nodes of sets.
+
+    Shingles of one component alone can't be shared across components, so they come first in the order of rareness.
+    """
     named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
-    apart = written(named(named(grey, "a"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "grey")
-    group = components(apart).withColumnRenamed("node", "of").withColumnRenamed("label", "group")
-    member = labels.unionByName(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))).groupBy("node").agg(F.min("label").alias("label"))
-    member = written(member.join(group, F.col("label") == F.col("of")).join(sets, "node").dropDuplicates(["node"]).select("group", "node", "label", "set"), "members")
-    count = member.groupBy("group").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
-    laid = member.join(count, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = laid.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = laid.withColumn("from", F.explode(F.sequence(F.lit(0), "block")))
-    cols = [F.col(c).alias(c) for c in ("group", "node", "label", "set")]  # new columns: both sides come from one table
-    left = left.select(*cols, F.col("block").alias("i"), F.col("to").alias("j"))
-    right = right.select(*cols, F.col("from").alias("i"), F.col("block").alias("j"))
-    return left.groupBy("group", "i", "j").cogroup(right.groupBy("group", "i", "j")).applyInPandas(_blocks(p.percent), "a long, b long")
+    apart = written(named(named(grey, "a"), "b").filter("la <> lb").select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "grey")
+    member = labels.join(apart, "label", "left_semi").select("node", "label").unionByName(apart.select(F.col("label").alias("node"), "label")).distinct()
+    member = written(member.join(sets, "node").dropDuplicates(["node"]).select("node", "label", "set"), "members")
+    every = member.mapInArrow(_each_shingle, "node long, label long, n long, shingle long")
+    held = F.count("*").alias("held")
+    across = every.groupBy("shingle").agg(held, F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle", "held")
+    rare = written(rarest(every, across, p).join(bits, "node").select("shingle", "node", "label", "n", "bits"), "rare")
+    lists = rare.groupBy("shingle").agg(held, F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    laid = rare.join(rekeyed(lists.select("shingle", F.ceil(F.col("held") / p.block).cast("int").alias("blocks")), "shingle"), "shingle")
+    laid = laid.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = laid.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "bits")
+    run, schema = _meetings(p)
+    pairs = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(run, schema).distinct()
+    return measured(pairs, sets).filter(F.col("shared") * 100 >= F.col("together") * p.percent).select("a", "b").distinct()
 
 
 def _meeting(left: DataFrame, turn: int) -> DataFrame:
@@ -231,10 +260,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     run, schema = _sketch(p)
     sketch = written(source.mapInArrow(run, schema), "sketch")
-    nodes = sketch.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    met = _meeting(nodes.filter("id is not null").select("node", "id", "n", "bits", F.explode("bands").alias("band")), 0)
+    nodes = sketch.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("few").alias("few"))
+    nodes = written(nodes.filter("id is not null"), "nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("band")).unionByName(small_keys(nodes, p))
+    often = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+    met = keyed.join(rekeyed(often, "band"), "band").join(nodes.select("node", "id", "n", "bits"), "node")
+    met = _meeting(met, 0)
     run, schema = _sets(p)
     sets = written(source.join(met.select("id").distinct(), "id").select("text").mapInArrow(run, schema), "sets")
+    bits = met.groupBy("node").agg(F.first("bits").alias("bits"))
     links = grey = None
     for turn in range(p.rounds):
         pair = [F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")]
@@ -250,7 +284,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     else:
         grey = grey.unionByName(met.filter("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
     labels = written(components(links), "labels")
-    more = written(undecided(grey.distinct(), labels, sets, p), "more")
+    more = written(undecided(grey.distinct(), labels, sets, bits, p), "more")
     if not more.isEmpty():
         labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
     own = sketch.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -272,7 +306,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Par
 
 def _alike(a: Column, b: Column, p: Params) -> Column:
     unlike = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(-(-p.values // 64))), F.lit(0))
-    return unlike <= p.most_unlike
+    return unlike <= p.most_unlike(2 * p.percent - 100)
 
 
 def _sized(a: Column, b: Column, p: Params) -> Column:

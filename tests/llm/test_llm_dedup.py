@@ -52,34 +52,84 @@ def test_is_brute_force(spark, width):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, width)
 
 
-def proposed(pairs, p):
-    """Whether each pair of sets shares a key, of bands or least shingles."""
-    sets = [np.sort(x) for pair in pairs for x in pair]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    flat = np.concatenate(sets)
-    banded = M.bands(M.signatures(flat, offsets, p), p)
-    keys, owner = M.least_shingles(flat, offsets, p)
-    least = [set() for _ in sets]
-    for k, o in zip(keys.tolist(), owner.tolist()):
-        least[o].add(k)
-    return [bool((banded[2 * i] == banded[2 * i + 1]).any() or least[2 * i] & least[2 * i + 1]) for i in range(len(pairs))]
-
-
-def test_no_link_is_lost():
-    """Pairs just at the threshold: none of small sets is lost, and of larger ones no more than is said."""
-    rng = np.random.default_rng(4)
-
-    def pairs(sizes, n):
-        for _ in range(n):
-            union = int(rng.integers(*sizes))
-            x = rng.integers(0, 2**64, union, dtype=np.uint64)
-            lone = union - -(-80 * union // 100)
-            cut = int(rng.integers(0, lone + 1))
-            yield x[: union - cut], np.concatenate([x[: union - lone], x[union - cut :]])
-
-    p = M.Params()
-    assert all(proposed(list(pairs((1, p.small + 2), 60_000)), p))
-    assert proposed(list(pairs((p.small + 2, 90), 30_000)), p).count(False) <= 6
+def edges(sizes, n, rng):
+    """Pairs of sets of shingles just at the threshold."""
+    for _ in range(n):
+        union = int(rng.integers(*sizes))
+        x = rng.integers(0, 2**64, union, dtype=np.uint64)
+        lone = union - -(-80 * union // 100)
+        cut = int(rng.integers(0, lone + 1))
+        yield np.sort(x[: union - cut]), np.sort(np.concatenate([x[: union - lone], x[union - cut :]]))
+
+
+def test_no_link_of_larger_sets_is_lost():
+    """Of 100,000 pairs at the threshold each shares a band."""
+    rng, p = np.random.default_rng(4), M.Params()
+    for sizes, n in (((p.small + 2, 60), 60_000), ((60, 150), 30_000), ((150, 600), 10_000)):
+        sets = [x for pair in edges(sizes, n, rng) for x in pair]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        banded = M.bands(M.signatures(np.concatenate(sets), offsets, p), p)
+        assert (banded[::2] == banded[1::2]).any(axis=1).all()
+
+
+def test_no_link_of_small_sets_is_lost(spark):
+    """Short texts, pairs of which differ by one or two words; each links with its like whatever phrase all have in common."""
+    rng = random.Random(6)
+    rows, want = [], []
+    for k in range(12_000):
+        words = ["notice", "hereby"] + [f"w{rng.randrange(10**7)}" for _ in range(rng.randrange(0, 25))]
+        other = list(words)
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            i = rng.randrange(2, len(other) + 1)
+            other[i : i + rng.randrange(2)] = [f"v{rng.randrange(10**7)}"] * rng.randrange(2)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        x, y = ({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} for w in (words, other))
+        want.append(100 * len(x & y) >= 80 * len(x | y))
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p=M.Params(width=2)).collect()}
+    first = {}
+    for i, t in rows:  # short ones may be equal to others
+        first.setdefault(t, i)
+    assert sum(want) > 4000
+    for k, linked in enumerate(want):
+        assert (got[2 * k] == got[2 * k + 1]) or not linked, rows[2 * k : 2 * k + 2]
+        assert linked or got[2 * k] != got[2 * k + 1] or len(rows[2 * k][1].split()) < 8, rows[2 * k : 2 * k + 2]
+
+
+def test_common_phrase_brings_nothing_together(spark):
+    """100,000 short texts that begin alike and have no link: no bucket holds more than a few."""
+    rng, p = random.Random(9), M.Params(width=2)
+    docs = spark.createDataFrame([(i, "for immediate release " + " ".join(f"w{rng.randrange(50_000)}" for _ in range(11))) for i in range(100_000)], "doc_id long, text string")
+    run, schema = M._sketch(p)
+    nodes = docs.select("doc_id", "text").mapInArrow(run, schema)
+    held = M.small_keys(nodes, p).groupBy("band").count()
+    assert (held.agg({"count": "max"}).first()[0] or 0) <= 12
+    assert M.near_duplicates(docs, p=p).filter("not kept").isEmpty()
+
+
+def test_undecided_pairs_are_confirmed_whatever_the_blocks(spark):
+    """Chains of sets that no hub decides: every link between components is found, in blocks of any size, and in no other way than by confirmed sets."""
+    rng = random.Random(8)
+    shared = [rng.randrange(2**62) for _ in range(40)]
+    sets = []
+    for _ in range(12):
+        own = shared + [rng.randrange(2**62) for _ in range(25)]
+        for _ in range(10):
+            own = [x for x in own if rng.random() > 0.06] + [rng.randrange(2**62) for _ in range(4)]
+            sets.append(sorted(set(own)))
+    arrays = [np.array(s, np.uint64) for s in sets]
+    want = {(max(i, j), min(i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j])) and i % 7 != j % 7}
+    assert want
+    for block in (3, 1024):
+        p = M.Params(block=block)
+        sig = M.signatures(np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(a) for a in arrays])]), p)
+        odd = np.zeros((len(arrays), 256), np.uint8)
+        odd[:, : p.values] = sig & np.uint32(1)
+        bits = [r.tolist() for r in np.packbits(odd, axis=1, bitorder="little").view("<i8")]
+        held = spark.createDataFrame([(i, bytearray(a.tobytes())) for i, a in enumerate(arrays)], "node long, set binary")
+        kept = spark.createDataFrame(list(enumerate(bits)), "node long, bits array<long>")
+        labels = spark.createDataFrame([(i, i % 7) for i in range(len(sets))], "node long, label long")
+        grey = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")
+        assert {tuple(r) for r in M.undecided(grey, labels, held, kept, p).collect()} == want
 
 
 def test_documents(spark, sf_dir):
