@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar as X
+from shelfmark.operators import forest
 
 
 def subtree(directories: DataFrame, root: int) -> DataFrame:
@@ -96,7 +97,6 @@ def roots(directories: DataFrame) -> DataFrame:
     return directories.filter("parent_id is null").groupBy("library_id").agg(F.count("*").alias("roots"), F.count_if(F.col("relative_path") != "").alias("malformed"))
 
 
-def ancestors_by_parent(spark, nodes: DataFrame, most: int = 2049) -> DataFrame:
-    """(id, ancestor, distance) of nodes(id, parent_id) that have no paths, by recursion over parents."""
-    nodes.select("id", "parent_id").createOrReplaceTempView("shelfmark_nodes")
-    return spark.sql(f"WITH RECURSIVE up(id, ancestor, distance) MAX RECURSION LEVEL {most} AS (SELECT id, parent_id, 1 FROM shelfmark_nodes WHERE parent_id IS NOT NULL UNION ALL SELECT u.id, n.parent_id, u.distance + 1 FROM up u JOIN shelfmark_nodes n ON u.ancestor = n.id WHERE n.parent_id IS NOT NULL) SELECT * FROM up")
+def ancestors_by_parent(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, ancestor, distance) of nodes(id, parent_id) that have no paths, `most` steps at most."""
+    return forest.ancestors(nodes, most)

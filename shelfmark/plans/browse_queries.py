@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar as X
 from shelfmark.operators import browse as B
+from shelfmark.operators import forest as P
 from shelfmark.operators import ingest as I
 from shelfmark.operators import tree as T
 from shelfmark.operators.browse import AssetQuery as Q
@@ -65,6 +66,17 @@ def _keyset(name: str, q: Q, where: str, keys: str):
     return name, run, sql
 
 
+#: Directories some of whose parents are wrong: missing ones, rings of two and of one's own child, second roots, parents elsewhere.
+_TANGLED = "(SELECT id, library_id, CASE WHEN id = 2000006 THEN (SELECT min(id) FROM directories WHERE parent_id = 2000006) WHEN id % 97 = 5 THEN id WHEN id % 89 = 3 THEN id + 900000000 WHEN id % 83 = 7 THEN NULL WHEN id % 79 = 2 THEN 1000001 ELSE parent_id END AS parent_id FROM directories)"
+
+
+def _tangled(c):
+    k = F.col("id")
+    child = c.directories.filter("parent_id = 2000006").agg(F.min("id").alias("child"))
+    rules = F.when(k == 2_000_006, F.col("child")).when(k % 97 == 5, k).when(k % 89 == 3, k + 900_000_000).when(k % 83 == 7, F.lit(None)).when(k % 79 == 2, F.lit(1_000_001)).otherwise(F.col("parent_id"))
+    return c.directories.crossJoin(F.broadcast(child)).select("id", "library_id", rules.cast("long").alias("parent_id"))  # one row
+
+
 ENTRIES = [
     ("table_scan", lambda c: c.assets, "SELECT * FROM assets"),
     ("table_scan_directories", lambda c: c.directories, "SELECT * FROM directories"),
@@ -115,14 +127,16 @@ ENTRIES = [
     ("join_fts", lambda c: I.scanned_candidates(c.assets, "asset 12").filter(F.col("search_path_key").contains("asset 12")).select("id", "relative_path"), "SELECT id, relative_path FROM assets WHERE contains(search_path_key, 'asset 12')"),
     ("search_index_check", lambda c: I.index_differences(I.trigrams(c.directories.filter("id % 7 <> 0").withColumn("search_path_key", F.lower("relative_path"))), c.directories.withColumn("search_path_key", F.lower("relative_path"))).groupBy("side", "id").agg(F.count("*").alias("grams")), "SELECT 'missing' AS side, id, count(DISTINCT substr(lower(relative_path), i, 3)) AS grams FROM directories, range(1, 200) r(i) WHERE id % 7 = 0 AND i <= length(relative_path) - 2 GROUP BY id"),
     ("subtree", lambda c: T.subtree(c.directories, 2_000_003).select("id", "relative_path"), "SELECT id, relative_path FROM directories WHERE id IN (WITH RECURSIVE s(id) AS (SELECT 2000003 UNION SELECT d.id FROM directories d JOIN s ON d.parent_id = s.id) SELECT id FROM s)"),
-    ("recursive_union_distinct", lambda c: T.subtree(c.directories, 1_000_002).groupBy("library_id").agg(F.count("*").alias("n")), "SELECT library_id, count(*) AS n FROM directories WHERE id IN (WITH RECURSIVE s(id) AS (SELECT 1000002 UNION SELECT d.id FROM directories d JOIN s ON d.parent_id = s.id) SELECT id FROM s) GROUP BY 1"),
-    ("recursive_union_all", lambda c: T.ancestors_by_parent(c.spark, _chain(c)), "SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id * 1000 + b.turn AS ancestor, a.turn - b.turn AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn"),
+    ("recursive_union_distinct", lambda c: P.descendants(c.directories, c.directories.filter("id = 1000002")).join(c.directories, "id").groupBy("library_id").agg(F.count("*").alias("n")), "SELECT library_id, count(*) AS n FROM directories WHERE id IN (WITH RECURSIVE s(id) AS (SELECT 1000002 UNION SELECT d.id FROM directories d JOIN s ON d.parent_id = s.id) SELECT id FROM s) GROUP BY 1"),
+    ("recursive_union_all", lambda c: T.ancestors_by_parent(_chain(c)), "SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id * 1000 + b.turn AS ancestor, a.turn - b.turn AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn"),
+    ("parent_states", lambda c: P.depths(_tangled(c)), f"SELECT * FROM (WITH RECURSIVE w(id, place, steps) AS (SELECT id, id, 0 FROM {_TANGLED} UNION ALL SELECT w.id, n.parent_id, steps + 1 FROM w JOIN {_TANGLED} n ON n.id = w.place WHERE n.parent_id IN (SELECT id FROM {_TANGLED}) AND steps < 9), s AS (SELECT id, max(steps) AS far, max_by(place, steps) AS top, bool_or(steps > 0 AND place = id) AS ring FROM w GROUP BY 1) SELECT s.id, CASE WHEN far < 9 THEN top END AS root, CASE WHEN far < 9 THEN far END AS depth, CASE WHEN ring THEN 'cycle' WHEN far = 9 THEN 'below_cycle' WHEN n.parent_id IS NULL THEN 'tree' ELSE 'orphan' END AS state FROM s JOIN {_TANGLED} n ON n.id = s.top)"),
+    ("tree_problems", lambda c: P.problems(_tangled(c)).groupBy("problem", "id").agg(F.count("*").alias("n")), f"SELECT * FROM (WITH RECURSIVE w(id, place, steps) AS (SELECT id, id, 0 FROM {_TANGLED} UNION ALL SELECT w.id, n.parent_id, steps + 1 FROM w JOIN {_TANGLED} n ON n.id = w.place WHERE n.parent_id IN (SELECT id FROM {_TANGLED}) AND steps < 9), s AS (SELECT id, max(steps) AS far, max_by(place, steps) AS top, bool_or(steps > 0 AND place = id) AS ring FROM w GROUP BY 1) SELECT problem, id, 1 AS n FROM (SELECT CASE WHEN ring THEN 'cycle' WHEN far = 9 THEN 'below_cycle' ELSE 'orphan' END AS problem, s.id FROM s JOIN {_TANGLED} n ON n.id = s.top WHERE far = 9 OR n.parent_id IS NOT NULL UNION ALL SELECT 'second_root', id FROM {_TANGLED} d WHERE parent_id IS NULL AND id > (SELECT min(id) FROM {_TANGLED} x WHERE x.library_id = d.library_id AND x.parent_id IS NULL) UNION ALL SELECT 'no_root', min(id) FROM {_TANGLED} GROUP BY library_id HAVING count(*) FILTER (parent_id IS NULL) = 0 UNION ALL SELECT 'other_library', d.id FROM {_TANGLED} d JOIN {_TANGLED} p ON p.id = d.parent_id WHERE p.library_id <> d.library_id))"),
     ("lineage", lambda c: T.lineage(c.directories, 10_000_033), "SELECT CASE WHEN a.relative_path = '' THEN 0 ELSE len(string_split(a.relative_path, '/')) END AS depth, a.id, a.library_id, a.name, a.relative_path FROM directories a JOIN directories d ON d.library_id = a.library_id AND (a.relative_path = '' OR d.relative_path = a.relative_path OR starts_with(d.relative_path, a.relative_path || '/')) WHERE d.id = 10000033"),
     ("breadcrumbs", lambda c: T.breadcrumbs(c.directories, c.libraries), "SELECT d.id, l.name || CASE WHEN d.relative_path = '' THEN '' ELSE ' > ' || replace(d.relative_path, '/', ' > ') END AS breadcrumbs, CASE WHEN d.relative_path = '' THEN 1 ELSE 1 + len(string_split(d.relative_path, '/')) END AS depth FROM directories d JOIN libraries l ON l.id = d.library_id"),
     ("ancestors", lambda c: T.ancestor_pairs(c.directories).filter("ancestor_path <> relative_path").select("id", "ancestor_path", "depth"), "SELECT d.id, a.relative_path AS ancestor_path, CASE WHEN a.relative_path = '' THEN 0 ELSE len(string_split(a.relative_path, '/')) END AS depth FROM directories d JOIN directories a ON a.library_id = d.library_id AND a.relative_path <> d.relative_path AND (a.relative_path = '' OR starts_with(d.relative_path, a.relative_path || '/'))"),
     ("has_children", lambda c: T.has_children(c.directories), "SELECT id, EXISTS (SELECT 1 FROM directories x WHERE x.parent_id = d.id) AS has_children FROM directories d"),
     ("semi_exists", lambda c: T.has_children(c.directories).groupBy("has_children").agg(F.count("*").alias("n")), "SELECT id IN (SELECT parent_id FROM directories WHERE parent_id IS NOT NULL) AS has_children, count(*) AS n FROM directories GROUP BY 1"),
-    ("rollup_recursive_counts", lambda c: T.rollup_counts(c.directories, c.assets), "SELECT d.id, (SELECT count(*) FROM assets a WHERE a.directory_id = d.id) AS direct_count, coalesce(r.n, 0) AS recursive_count, (SELECT count(*) FROM directories x WHERE x.parent_id = d.id) AS child_count FROM directories d LEFT JOIN (WITH RECURSIVE up(id, n) AS (SELECT directory_id, count(*) FROM assets GROUP BY 1 UNION ALL SELECT d.parent_id, n FROM up JOIN directories d ON d.id = up.id WHERE d.parent_id IS NOT NULL) SELECT id, CAST(sum(n) AS BIGINT) AS n FROM up GROUP BY 1) r ON r.id = d.id"),
+    ("rollup_recursive_counts", lambda c: P.rollup(c.directories, c.assets), "SELECT d.id, (SELECT count(*) FROM assets a WHERE a.directory_id = d.id) AS direct_count, coalesce(r.n, 0) AS recursive_count, (SELECT count(*) FROM directories x WHERE x.parent_id = d.id) AS child_count FROM directories d LEFT JOIN (WITH RECURSIVE up(id, n) AS (SELECT directory_id, count(*) FROM assets GROUP BY 1 UNION ALL SELECT d.parent_id, n FROM up JOIN directories d ON d.id = up.id WHERE d.parent_id IS NOT NULL) SELECT id, CAST(sum(n) AS BIGINT) AS n FROM up GROUP BY 1) r ON r.id = d.id"),
     ("direct_counts", lambda c: c.assets.groupBy("directory_id").agg(F.count("*").alias("n")), "SELECT directory_id, count(*) AS n FROM assets GROUP BY 1"),
     ("child_counts", lambda c: c.directories.filter("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n")), "SELECT parent_id, count(*) AS n FROM directories WHERE parent_id IS NOT NULL GROUP BY 1"),
     ("incremental_rollup", lambda c: T.incremental_rollup(c.directories, T.rollup_counts(c.directories, c.assets).drop("child_count"), c.assets.filter("id % 17 = 1").groupBy(F.col("directory_id").alias("id")).agg((-F.count("*")).alias("delta"))), "SELECT d.id, (SELECT count(*) FROM assets a WHERE a.directory_id = d.id AND id % 17 <> 1) AS direct_count, coalesce(r.n, 0) AS recursive_count FROM directories d LEFT JOIN (WITH RECURSIVE up(id, n) AS (SELECT directory_id, count(*) FROM assets WHERE id % 17 <> 1 GROUP BY 1 UNION ALL SELECT d.parent_id, n FROM up JOIN directories d ON d.id = up.id WHERE d.parent_id IS NOT NULL) SELECT id, CAST(sum(n) AS BIGINT) AS n FROM up GROUP BY 1) r ON r.id = d.id"),

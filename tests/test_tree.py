@@ -27,7 +27,7 @@ def test_deep_rollup(spark):
 
 def test_ancestors_by_parent_agree(spark):
     dirs = chain(spark, 120)
-    got = tree.ancestors_by_parent(spark, dirs).groupBy("id").count().collect()
+    got = tree.ancestors_by_parent(dirs).groupBy("id").count().collect()
     assert sorted((r["id"], r["count"]) for r in got) == [(i, i - 1) for i in range(2, 122)]
 
 
