@@ -12,9 +12,10 @@ bands holds all but a few of a hundred million.
 Documents with equal sets are one node from the start. Inside a bucket a hub is compared with all members. Members that
 the hub does not link compete again in the next round. Distances are 1 - Jaccard, a metric: what links to a linked
 member of the hub is at most twice the threshold from the hub, so pairs that no hub decides lie in components that
-such grey pairs meet. Of the sets of these components, two that are linked share one of the rarest shingles of either
-(as many as a link may leave out, and one more), so the pairs that share such a one, across components only, are
-confirmed. A bucket's size is thus never capped, and no bucket emits all its pairs.
+such grey pairs meet. Of the sets of these components those stay that share one of their rarest shingles (as many as a link
+may leave out, and one more) with another component, as two that are linked must; components that do are compared in full,
+block by block, and give a spanning forest of their links. A bucket's size is thus never capped, and no bucket emits all
+its pairs.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Texts may be of any length.
 Other columns are passed by, whatever their names. A row with a null id takes
@@ -177,37 +178,34 @@ def _each_shingle(batches):
             first = last
 
 
-def _meetings(p: Params):
-    """Pairs (a, b) across components, of sizes and bits that a link may have, of rows sorted by shingle and pair of blocks. A pair of blocks is held at once."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def met(side, node, label, n, bits):
-        inside = not side.any()
-        x, y = (np.arange(len(node)),) * 2 if inside else (np.flatnonzero(side == 0), np.flatnonzero(side))
-        i, j = np.nonzero((label[x][:, None] != label[y]) & (np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * p.percent))
-        if inside:
-            i, j = i[i < j], j[i < j]
-        i, j = x[i], y[j]
-        ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= p.most_unlike(p.percent)
-        return np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy() for c in batch.columns[:-1]] + [batch.column(batch.num_columns - 1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
-            now = now if rest is None else [np.concatenate(c) for c in zip(rest, now, strict=True)]
-            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1
-            cuts = np.concatenate([[0], new])
-            found = [met(*[c[a:b] for c in now[3:]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-            rest = [c[cuts[-1] :] for c in now]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
-        if rest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in met(*rest[3:])], schema=schema)
-
-    return run, "a long, b long"
+def _blocks(percent: int):
+    """Links between rows of two blocks of a group: a spanning forest of them."""
+
+    def run(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        one, two = ([np.frombuffer(s, np.uint64) for s in f["set"]] for f in (left, right))
+        all_two = np.concatenate(two)
+        order = np.argsort(all_two, kind="stable")
+        keys, owner = all_two[order], np.repeat(np.arange(len(two)), [len(s) for s in two])[order]
+        size = np.array([len(s) for s in two])
+        na, nb = left["node"].to_numpy(), right["node"].to_numpy()
+        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
+        joined, out = set(), []
+        for i, s in enumerate(one):
+            lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(two))
+            for j in np.flatnonzero((100 * shared >= percent * (len(s) + size - shared)) & (lb != la[i])):
+                if (la[i], lb[j]) not in joined:
+                    joined |= {(la[i], lb[j]), (lb[j], la[i])}
+                    out.append((na[i], nb[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
 
 
 def rarest(every: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
@@ -227,26 +225,34 @@ def small_keys(nodes: DataFrame, p: Params) -> DataFrame:
     return rarest(every, shared, p).select("node", F.xxhash64(F.lit(p.seed), "shingle").alias("band"))
 
 
-def undecided(grey: DataFrame, labels: DataFrame, sets: DataFrame, bits: DataFrame, p: Params) -> DataFrame:
-    """Links (a, b) across the components that grey pairs meet. bits: (node, bits) of all nodes of sets.
+def undecided(grey: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) across the components that grey pairs meet.
 
-    Shingles of one component alone can't be shared across components, so they come first in the order of rareness.
+    Two sets that are linked share one of the rarest shingles of either; those of one component alone can't be shared
+    across components, and come first in the order of rareness. Only sets that do share one with another component stay;
+    components that share such ones make a group, whose sets are compared by blocks.
     """
     named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
     apart = written(named(named(grey, "a"), "b").filter("la <> lb").select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "grey")
     member = labels.join(apart, "label", "left_semi").select("node", "label").unionByName(apart.select(F.col("label").alias("node"), "label")).distinct()
     member = written(member.join(sets, "node").dropDuplicates(["node"]).select("node", "label", "set"), "members")
     every = member.mapInArrow(_each_shingle, "node long, label long, n long, shingle long")
-    held = F.count("*").alias("held")
-    across = every.groupBy("shingle").agg(held, F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle", "held")
-    rare = written(rarest(every, across, p).join(bits, "node").select("shingle", "node", "label", "n", "bits"), "rare")
-    lists = rare.groupBy("shingle").agg(held, F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    laid = rare.join(rekeyed(lists.select("shingle", F.ceil(F.col("held") / p.block).cast("int").alias("blocks")), "shingle"), "shingle")
-    laid = laid.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = laid.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "bits")
-    run, schema = _meetings(p)
-    pairs = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(run, schema).distinct()
-    return measured(pairs, sets).filter(F.col("shared") * 100 >= F.col("together") * p.percent).select("a", "b").distinct()
+    ends = [F.count("*").alias("held"), F.min("label").alias("low"), F.max("label").alias("high")]
+    across = every.groupBy("shingle").agg(*ends).filter("low <> high").select("shingle", "held")
+    rare = written(rarest(every, across, p).select("shingle", "node", "label"), "rare")
+    lists = rare.groupBy("shingle").agg(*ends).filter("low <> high").select("shingle", "low")
+    touching = written(rare.join(rekeyed(lists, "shingle"), "shingle").select("node", "label", "low"), "touching")
+    group = components(touching.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct()).withColumnRenamed("node", "of").withColumnRenamed("label", "group")
+    met = touching.select("node", "label").distinct().join(group, F.col("label") == F.col("of")).select("node", "group")
+    met = written(rekeyed(met, "node").join(member, "node").select("group", "node", "label", "set"), "met")
+    count = met.groupBy("group").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    laid = rekeyed(met, "group").join(count, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = laid.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = laid.withColumn("from", F.explode(F.sequence(F.lit(0), "block")))
+    cols = [F.col(c).alias(c) for c in ("group", "node", "label", "set")]  # new columns: both sides come from one table
+    left = left.select(*cols, F.col("block").alias("i"), F.col("to").alias("j"))
+    right = right.select(*cols, F.col("from").alias("i"), F.col("block").alias("j"))
+    return left.groupBy("group", "i", "j").cogroup(right.groupBy("group", "i", "j")).applyInPandas(_blocks(p.percent), "a long, b long")
 
 
 def _meeting(left: DataFrame, turn: int) -> DataFrame:
@@ -268,7 +274,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     met = _meeting(met, 0)
     run, schema = _sets(p)
     sets = written(source.join(met.select("id").distinct(), "id").select("text").mapInArrow(run, schema), "sets")
-    bits = met.groupBy("node").agg(F.first("bits").alias("bits"))
     links = grey = None
     for turn in range(p.rounds):
         pair = [F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")]
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", p:
     else:
         grey = grey.unionByName(met.filter("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
     labels = written(components(links), "labels")
-    more = written(undecided(grey.distinct(), labels, sets, bits, p), "more")
+    more = written(undecided(grey.distinct(), labels, sets, p), "more")
     if not more.isEmpty():
         labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
     own = sketch.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
