@@ -260,4 +260,24 @@ def byte_range(header: Column, size: Column) -> Column:
 
 
 def error_code(code: Column, known: tuple[str, ...]) -> Column:
-    return F.when(code.isin(*known), code).otherwise(F.lit("internal_error"))
+    """The code if it is known, else the last of the known ones."""
+    return F.when(code.isin(*known), code).otherwise(F.lit(known[-1]))
+
+
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@F.pandas_udf(T.StructType([T.StructField("display", T.StringType()), T.StructField("key", T.StringType())]))
+def _library_name(name: pd.Series) -> pd.DataFrame:
+    def one(s):
+        shown = unicodedata.normalize("NFC", s.strip(_SPACES)) if s is not None else ""
+        if not shown or len(shown) > S.MAX_LIBRARY_NAME or any(unicodedata.category(c) == "Cc" for c in shown):
+            return None, None
+        return shown, fold(shown)
+
+    return pd.DataFrame([one(s) for s in name], columns=["display", "key"])
+
+
+def library_name(name: Column) -> Column:
+    """(display, key) of a library's name: trimmed and composed, and folded so that it is unique; nulls where it is empty, too long or holds control characters."""
+    return _library_name(name)

@@ -1,7 +1,8 @@
 """Guarded writes as joins of a table with a batch of commands: what each command comes to, and the rows afterwards.
 
 A command takes effect only where the row still is what the command expects (a fingerprint, a revision, a status). Where
-commands of a batch address one row, the one with the least `seq` counts. Empty tables and batches give what they imply.
+commands of a batch are one and the same for a row, the one with the least `seq` counts; commands that follow one another on
+a row are folded in their order by command_log. Empty tables and batches give what they imply.
 """
 
 from __future__ import annotations
@@ -83,28 +84,6 @@ def touched(thumbnails: DataFrame, touches: DataFrame) -> DataFrame:
     return out.withColumn("last_accessed_at_ms", F.when(hit, F.col("at_ms")).otherwise(F.col("last_accessed_at_ms"))).select(thumbnails.columns)
 
 
-def renamed(libraries: DataFrame, removals: DataFrame, commands: DataFrame) -> DataFrame:
-    """(id, outcome, name, revision) of commands(seq, id, expected_revision, name) on libraries(id, name, revision): by revision, unless a removal is active, to a name that no other library has when folded."""
-    active = removals.filter(F.col("status").isin("queued", "running")).select(F.col("library_id").alias("id"), F.lit(True).alias("removing")).distinct()
-    taken = libraries.groupBy(X.search_text_key(F.col("name")).alias("name_key")).agg(F.min("id").alias("holder"))
-    asked = first_of_each(commands, "id").withColumnRenamed("name", "new_name").withColumn("name_key", X.search_text_key(F.col("new_name")))
-    met = asked.join(libraries.select("id", "name", "revision"), "id", "left").join(active, "id", "left").join(taken, "name_key", "left")
-    outcome = (
-        F.when(F.col("revision").isNull(), "not_found").when(F.col("revision") != F.col("expected_revision"), "precondition_failed").when(F.col("removing"), "removal_active")
-        .when(F.col("name") == F.col("new_name"), "unchanged").when(F.col("holder") != F.col("id"), "name_exists").otherwise("renamed")
-    )
-    done = F.col("outcome") == "renamed"
-    return met.withColumn("outcome", outcome).select("id", "outcome", F.when(done, F.col("new_name")).otherwise(F.col("name")).alias("name"), (F.col("revision") + done.cast("long")).alias("revision"))
-
-
-def if_revision(rows: DataFrame, commands: DataFrame, column: str) -> DataFrame:
-    """rows(id, revision, column) after commands(seq, id, expected_revision, value), with `applied`, null where nothing was asked."""
-    met = rows.join(first_of_each(commands, "id"), "id", "left")
-    hit = F.col("revision") == F.col("expected_revision")
-    out = met.withColumns({"applied": hit, column: F.when(hit, F.col("value")).otherwise(F.col(column))})
-    return out.withColumn("revision", F.col("revision") + F.coalesce(hit, F.lit(False)).cast("long")).select("id", "revision", column, "applied")
-
-
 def replays(requests: DataFrame, records: DataFrame) -> DataFrame:
     """(seq, key_hash, outcome, result_id) of requests(seq, key_hash, request_hash) on records(key_hash, request_hash, result_id).
 
@@ -120,18 +99,6 @@ def replays(requests: DataFrame, records: DataFrame) -> DataFrame:
     return met.select("seq", "key_hash", outcome.alias("outcome"), F.when(same, F.col("result_id")).alias("result_id"))
 
 
-def phased(runs: DataFrame, commands: DataFrame, lease_ms: int) -> DataFrame:
-    """(id, phase, revision, lease_expires_at_ms) of runs(id, status, phase, revision, lease_expires_at_ms) after commands(seq, id, phase, at_ms), a null phase being a mere sign of life.
-
-    Only running scans move; a phase only goes up, which is a new revision; a sign of life extends the lease alone.
-    """
-    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in PHASES]), c)
-    met = runs.join(first_of_each(commands.withColumnRenamed("phase", "to"), "id"), "id", "left")
-    live = (F.col("status") == "running") & F.col("at_ms").isNotNull()
-    up = F.coalesce(live & (rank(F.col("to")) > rank(F.col("phase"))), F.lit(False))
-    return met.select("id", F.when(up, F.col("to")).otherwise(F.col("phase")).alias("phase"), (F.col("revision") + up.cast("long")).alias("revision"), F.when(live, F.col("at_ms") + lease_ms).otherwise(F.col("lease_expires_at_ms")).alias("lease_expires_at_ms"))
-
-
 def discovered(rows: DataFrame, states: DataFrame) -> DataFrame:
     """rows(id, status, error_code, revision, updated_at_ms) after states(id, status, error_code, at_ms): revision and time move only where the pair does, nulls compared as values."""
     new = states.select("id", F.col("status").alias("to"), F.col("error_code").alias("why"), "at_ms", F.lit(True).alias("told"))
@@ -190,13 +157,13 @@ def merged_directories(directories: DataFrame, found: DataFrame, generation: int
     """(id, library_id, parent_id, relative_path, name, last_seen_generation) after found(library_id, relative_path).
 
     A path keeps its id; a new one follows the largest, in the order of library, parent and path, numbered in two levels. A
-    path is taken only if its parent was found as well: a walk names the parents first.
+    path is taken only if every directory above it was found as well, up to the root: a walk names the parents first.
     """
     key = ["library_id", "relative_path"]
     paths = found.select(*key).distinct()
-    up = paths.select("library_id", F.col("relative_path").alias("parent_path"))
-    held = paths.withColumn("parent_path", F.when(F.col("relative_path") != "", X.parent_path(F.col("relative_path"))))
-    held = held.filter("relative_path = ''").unionByName(held.join(up, ["library_id", "parent_path"], "left_semi").select(held.columns))
+    above = paths.select("library_id", F.col("relative_path").alias("path"), F.explode(X.path_ancestors(F.col("relative_path"))).alias("relative_path"))
+    whole = above.join(paths.withColumn("there", F.lit(True)), key, "left").groupBy("library_id", F.col("path").alias("relative_path")).agg(F.count_if(F.col("there").isNull()).alias("gaps"))
+    held = whole.filter("gaps = 0").select(*key, F.when(F.col("relative_path") != "", X.parent_path(F.col("relative_path"))).alias("parent_path"))
     met = directories.select(*key, "id", "last_seen_generation").join(held.withColumn("found", F.lit(True)), key, "full")
     fresh = met.filter("id is null").withColumn("parent_path", F.coalesce("parent_path", F.lit("")))
     sizes = fresh.groupBy("library_id", "parent_path").count()
@@ -215,12 +182,26 @@ def merged_directories(directories: DataFrame, found: DataFrame, generation: int
 
 
 def moved(assets: DataFrame, merged: DataFrame, listing: DataFrame) -> DataFrame:
-    """(library_id, old_id, new_id): files that went from one path to another. By path they are a removed and a new asset, which one fingerprint in one directory tells to be the same file."""
+    """(library_id, old_id, new_id): files that went from one path to another. By path they are a removed and a new asset, which one fingerprint in one directory tells to be the same file. Of files that are alike the first by path goes with the first, the second with the second; one that has no counterpart is none that moved."""
     key = ["library_id", "directory_id", "source_fingerprint"]
     paths = listing.select("library_id", "relative_path")
-    gone = assets.join(paths, ["library_id", "relative_path"], "left_anti").select(*key, F.col("id").alias("old_id"))
-    came = merged.join(paths, ["library_id", "relative_path"], "left_semi").join(assets.select("id"), "id", "left_anti").select(*key, F.col("id").alias("new_id"))
-    return gone.join(came, key).select("library_id", "old_id", "new_id")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("relative_path"))
+    gone = assets.join(paths, ["library_id", "relative_path"], "left_anti").select(*key, F.col("id").alias("old_id"), place.alias("place"))
+    came = merged.join(paths, ["library_id", "relative_path"], "left_semi").join(assets.select("id"), "id", "left_anti").select(*key, F.col("id").alias("new_id"), place.alias("place"))
+    return gone.join(came, [*key, "place"]).select("library_id", "old_id", "new_id")
+
+
+def evicted(thumbnails: DataFrame, evictions: DataFrame) -> DataFrame:
+    """thumbnails(asset_id, variant, status, cache_path, byte_size, ...) without the ready rows that evictions(asset_id, variant, cache_path, byte_size) name: a row whose path or size has changed since stays."""
+    one = ["asset_id", "variant", "cache_path", "byte_size"]
+    gone = evictions.select(*one, F.lit("ready").alias("status")).distinct()
+    return thumbnails.join(gone, [*one, "status"], "left_anti").select(thumbnails.columns)
+
+
+def missing_files(thumbnails: DataFrame, jobs: DataFrame, listing: DataFrame) -> DataFrame:
+    """(asset_id, variant, action): ready rows whose file is not in the cache's listing(cache_path, byte_size) with their size are dropped, and their job is queued again."""
+    lost = thumbnails.filter("status = 'ready'").join(listing.select("cache_path", "byte_size").distinct(), ["cache_path", "byte_size"], "left_anti").select("asset_id", "variant")
+    return lost.withColumn("action", F.lit("drop_row")).unionByName(jobs.select("asset_id", "variant").join(lost, ["asset_id", "variant"], "left_semi").withColumn("action", F.lit("requeue")))
 
 
 def cleanup_batches(thumbnails: DataFrame, size: int = 64, parts: int = 256) -> DataFrame:

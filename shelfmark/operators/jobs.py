@@ -131,10 +131,18 @@ def scan_cancellation(runs: DataFrame) -> DataFrame:
     return runs.select("id", F.when(queued, "cancelled").otherwise(F.col("status")).alias("status"), (F.col("cancel_requested") | running).alias("cancel_requested"), F.when(queued, "cancelled").when(running & ~F.col("cancel_requested"), "flagged").when(running, "already_flagged").otherwise("not_active").alias("outcome"))
 
 
-def abort_effect(runs: DataFrame) -> DataFrame:
-    """(id, library_id, library_status) that ended scans leave; the index is not touched."""
-    effect = F.when(F.col("status") == "failed", "error").when(F.col("status") == "interrupted", "error").when(F.col("status") == "cancelled", "previous").otherwise("ready")
-    return runs.filter(F.col("status").isin("failed", "interrupted", "cancelled", "succeeded")).select("id", "library_id", effect.alias("library_status"))
+def abort_effect(runs: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(id, library_id, error_code, library_status) that scans leave that end without an index of their own; libraries(id, current_generation).
+
+    A failed or interrupted one leaves the library in error, one whose root is away leaves it offline; a cancelled one
+    leaves it as it was, ready if it has ever been indexed. Codes are those of scans.
+    """
+    known = libraries.select(F.col("id").alias("library_id"), "current_generation")
+    ended = runs.filter(F.col("status").isin("failed", "interrupted", "cancelled", "offline")).join(known, "library_id")
+    was = F.when(F.col("current_generation") > 0, "ready").otherwise("pending")
+    effect = F.when(F.col("status") == "cancelled", was).when(F.col("status") == "offline", "offline").otherwise("error")
+    code = F.when(F.col("status") != "cancelled", X.error_code(F.col("error_code"), S.SCAN_ERRORS))
+    return ended.select("id", "library_id", code.alias("error_code"), effect.alias("library_status"))
 
 
 def coalesced(events: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -48,11 +48,13 @@ def cache_usage(thumbnails: DataFrame) -> DataFrame:
     return thumbnails.filter("status = 'ready'").agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("used_bytes"))
 
 
-def cache_summary(thumbnails: DataFrame, capacity: int) -> DataFrame:
-    """Bytes in use, the marks, and how near they are."""
-    high, low = capacity * S.HIGH_WATER // 100, capacity * S.LOW_WATER // 100
-    pressure = F.when(F.col("used_bytes") >= capacity, "full").when(F.col("used_bytes") >= high, "high").when(F.col("used_bytes") >= low, "elevated").otherwise("normal")
-    return cache_usage(thumbnails).select("used_bytes", F.lit(high).cast("long").alias("high_bytes"), F.lit(low).cast("long").alias("low_bytes"), pressure.alias("pressure"))
+def cache_summary(thumbnails: DataFrame, caches: DataFrame) -> DataFrame:
+    """caches(quota_bytes, available_bytes, ...) with what is used, the marks, and what is short: quota above the high mark, storage below the reserve, or both. caches has a row for each cache, or each setting that is asked about."""
+    used = cache_usage(thumbnails).withColumnRenamed("used_bytes", "usage_bytes")
+    high, low = (F.floor(F.col("quota_bytes") * m / 100).cast("long") for m in (S.HIGH_WATER, S.LOW_WATER))
+    quota, storage = F.col("usage_bytes") > high, F.col("available_bytes") < S.SAFE_FREE_BYTES
+    pressure = F.when(quota & storage, "quota_and_storage").when(quota, "quota").when(storage, "storage").otherwise("normal")
+    return caches.crossJoin(F.broadcast(used)).withColumns({"high_watermark_bytes": high, "low_watermark_bytes": low, "safe_free_space_bytes": F.lit(S.SAFE_FREE_BYTES), "pressure": pressure})  # one row
 
 
 def _place(marks: list[int], value: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar as X
+from shelfmark.operators import command_log as L
 from shelfmark.operators import commits as C
 from shelfmark.operators import ingest as I
+from shelfmark.operators import operations as O
 from shelfmark.operators import tree as T
 from shelfmark.plans.job_queries import _MERGE
 
@@ -48,6 +50,24 @@ def _pathed(c):
     return c.thumbnails.select("asset_id", "variant", "status", "source_fingerprint", "last_accessed_at_ms", path.alias("cache_path"))
 
 
+def _sized(c):
+    return _pathed(c).join(c.thumbnails.select("asset_id", "variant", "byte_size"), ["asset_id", "variant"])
+
+
+def _evictions(c):
+    """The least recently used rows as they were listed; a part of them has another size by now, or lies elsewhere."""
+    k = F.col("asset_id")
+    least = O.least_recent(_sized(c), 4096)
+    return least.select("asset_id", "variant", F.when(k % 5 == 0, "elsewhere").otherwise(F.col("cache_path")).alias("cache_path"), F.when(k % 7 == 0, F.col("byte_size") + 1).otherwise(F.col("byte_size")).alias("byte_size"))
+
+
+def _cache_listing(c):
+    """The files of the cache: some are gone, some cut short; and some belong to nothing."""
+    k = F.col("asset_id")
+    files = _sized(c).filter("status = 'ready' and asset_id % 29 <> 0").select("cache_path", F.when(k % 31 == 0, F.col("byte_size") - 1).otherwise(F.col("byte_size")).alias("byte_size"))
+    return files.unionByName(files.select(F.concat("cache_path", F.lit(".part")).alias("cache_path"), "byte_size"))
+
+
 def _touches(c):
     t = _pathed(c).filter("asset_id % 3 = 0")
     path = F.when(F.col("asset_id") % 2 == 0, F.col("cache_path")).otherwise(F.lit("elsewhere"))
@@ -81,9 +101,23 @@ _LEFT = f"NOT IN (SELECT library_id FROM {_REMOVALS} WHERE status = 'running' AN
 
 
 def _renames(c):
-    k = F.col("id")
-    name = F.when(k == 1, F.lit("asia")).when(k == 2, F.lit("New Name")).when(k == 3, F.col("name")).otherwise(F.concat(F.lit("lib "), k.cast("string")))
-    return c.libraries.select(k.alias("seq"), "id", F.when(k == 4, 9).otherwise(k).alias("expected_revision"), name.alias("name"))
+    """A command of every customer on the library of its nation, for a few names in two spellings."""
+    k = F.col("c_custkey")
+    nation = c.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_regionkey") + 1).cast("long").alias("id"))
+    name = F.when(k % 3 == 0, F.lower("c_mktsegment")).when(k % 7 == 0, F.concat("c_mktsegment", F.lit(" (old)"))).otherwise(F.col("c_mktsegment"))
+    log = c.table("customer").join(nation, "c_nationkey").select(k.alias("seq"), "id", (k % 40).alias("expected_revision"), name.alias("name"))
+    return L.renames(c.libraries.withColumn("revision", F.col("id")), _removals(c).filter("library_id = 5"), log)
+
+
+_RENAMES = """,
+asked AS (SELECT row_number() OVER (ORDER BY c_custkey) AS place, c_custkey AS seq, CAST(n_regionkey + 1 AS BIGINT) AS id, c_custkey % 40 AS e, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 7 = 0 THEN c_mktsegment || ' (old)' ELSE c_mktsegment END AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+told AS (
+  SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS outcome, (SELECT list({'id': id, 'name': name, 'revision': id} ORDER BY id) FROM libraries) AS libs
+  UNION ALL SELECT place, outcome, CASE WHEN outcome = 'renamed' THEN list_transform(libs, lambda x: CASE WHEN x.id = ask THEN {'id': x.id, 'name': name, 'revision': x.revision + 1} ELSE x END) ELSE libs END FROM (
+    SELECT place, libs, ask, name, CASE WHEN own.revision <> e THEN 'precondition_failed' WHEN ask = 5 THEN 'removal_active' WHEN own.name = name THEN 'unchanged' WHEN taken THEN 'name_exists' ELSE 'renamed' END AS outcome FROM (
+      SELECT a.place, t.libs, a.id AS ask, a.e, a.name, list_filter(t.libs, lambda x: x.id = a.id)[1] AS own, len(list_filter(t.libs, lambda x: x.id <> a.id AND lower(x.name) = lower(a.name))) > 0 AS taken FROM told t JOIN asked a ON a.place = t.place + 1))),
+final AS (SELECT unnest(libs) AS x FROM told WHERE place = (SELECT max(place) FROM told))"""
 
 
 def _versioned(c):
@@ -93,7 +127,17 @@ def _versioned(c):
 def _rows_cas(c):
     k = F.col("id")
     ask = _versioned(c).filter("id % 3 <> 0").select(k.alias("seq"), "id", F.when(k % 2 == 0, F.col("revision")).otherwise(F.col("revision") - 1).alias("expected_revision"), F.concat("name", F.lit(" (2)")).alias("value"))
-    return C.if_revision(_versioned(c), ask.unionByName(ask.withColumns({"seq": k + 10**9, "value": F.lit("late")})), "name")
+    told = L.updates(_versioned(c), ask.unionByName(ask.withColumns({"seq": k + 10**9, "value": F.lit("late")})), "name")
+    hit = told.filter("seq is not null").groupBy("id").agg(F.bool_or(F.col("outcome") == "applied").alias("applied"))
+    return told.filter("seq is null").select("id", "revision", "name").join(hit, "id", "left")
+
+
+def _cas_log(c):
+    """Four commands on each of two directories in three; what they expect is right for some in their turn only."""
+    k, j = F.col("id"), F.col("j")
+    ask = _versioned(c).filter("id % 3 <> 0").withColumn("j", F.explode(F.array(*[F.lit(x) for x in range(4)])))
+    expected = F.col("revision") + F.floor(j * (k % 4) / 3)
+    return L.updates(_versioned(c), ask.select((k * 4 + j).alias("seq"), "id", expected.alias("expected_revision"), F.concat("name", F.lit(" v"), j.cast("string")).alias("value")), "name").filter("seq is not null")
 
 
 def _replays(c):
@@ -104,11 +148,23 @@ def _replays(c):
     return C.replays(requests, records)
 
 
+def _phase_runs(c):
+    k = F.col("id")
+    return c.scan_runs.select("id", "status", _pick(C.PHASES, k % 3 + 1).alias("phase"), (k % 4).alias("revision"), "lease_expires_at_ms")
+
+
 def _phases(c):
     k = F.col("id")
-    runs = c.scan_runs.select("id", "status", _pick(C.PHASES, k % 3 + 1).alias("phase"), (k % 4).alias("revision"), "lease_expires_at_ms")
     to = F.when(k % 5 != 0, _pick(C.PHASES, (k + F.floor(k / 3)) % 3 + 1))
-    return C.phased(runs, c.scan_runs.filter("id % 6 <> 0").select(k.alias("seq"), "id", to.alias("phase"), (k + NOW).alias("at_ms")), 60_000)
+    return L.phases(_phase_runs(c), c.scan_runs.filter("id % 6 <> 0").select(k.alias("seq"), "id", to.alias("phase"), (k + NOW).alias("at_ms")), 60_000)
+
+
+def _phase_log(c):
+    """Every event is a command on one of the runs."""
+    runs = c.scan_runs.agg(F.max("id").alias("most"))
+    e, k = c.table("events").crossJoin(F.broadcast(runs)), F.col("event_id")  # one row
+    to = F.when(k % 4 != 0, _pick(C.PHASES, F.floor(k / 7) % 3 + 1))
+    return L.phases(_phase_runs(c), e.select(k.alias("seq"), (F.col("user_id") % F.col("most") + 1).alias("id"), to.alias("phase"), (k + NOW).alias("at_ms")), 60_000)
 
 
 def _reconciling(c):
@@ -135,13 +191,15 @@ _CHANGES = """(SELECT coalesce(n.directory_id, o.directory_id) AS directory_id,
 def _found(c):
     d = c.directories.filter("id < 2000000 or id % 3 <> 0")
     new = c.directories.filter("id >= 10000000 and id % 5 = 0").select("library_id", F.concat("relative_path", F.lit("/new")).alias("relative_path"))
-    return d.select("library_id", "relative_path").unionByName(new)
+    lost = c.directories.filter("id >= 10000000 and id % 11 = 0").select("library_id", F.explode(F.array(*[F.concat("relative_path", F.lit(x)) for x in ("/gone/a", "/gone/a/b")])).alias("relative_path"))
+    return d.select("library_id", "relative_path").unionByName(new).unionByName(lost)  # "gone" itself was not found
 
 
 _FOUND = """
-f AS (SELECT library_id, relative_path FROM directories WHERE id < 2000000 OR id % 3 <> 0 UNION SELECT library_id, relative_path || '/new' FROM directories WHERE id >= 10000000 AND id % 5 = 0),
+f AS (SELECT library_id, relative_path FROM directories WHERE id < 2000000 OR id % 3 <> 0 UNION SELECT library_id, relative_path || '/new' FROM directories WHERE id >= 10000000 AND id % 5 = 0
+  UNION SELECT library_id, relative_path || '/gone/a' FROM directories WHERE id >= 10000000 AND id % 11 = 0 UNION SELECT library_id, relative_path || '/gone/a/b' FROM directories WHERE id >= 10000000 AND id % 11 = 0),
 h AS (SELECT library_id, relative_path, CASE WHEN relative_path <> '' THEN regexp_replace(relative_path, '/?[^/]*$', '') END AS up FROM f),
-t AS (SELECT * FROM h WHERE up IS NULL OR (library_id, up) IN (SELECT (library_id, relative_path) FROM f)),
+t AS (SELECT * FROM h WHERE up IS NULL UNION ALL SELECT h.* FROM t JOIN h ON h.library_id = t.library_id AND h.up = t.relative_path),
 n AS (SELECT t.*, (SELECT max(id) FROM directories) + row_number() OVER (ORDER BY library_id, up, relative_path) AS id FROM t WHERE (library_id, relative_path) NOT IN (SELECT (library_id, relative_path) FROM directories)),
 o AS (SELECT id, library_id, relative_path, CASE WHEN (library_id, relative_path) IN (SELECT (library_id, relative_path) FROM t) THEN 3 ELSE last_seen_generation END AS last_seen_generation FROM directories UNION ALL SELECT id, library_id, relative_path, 3 FROM n)"""
 
@@ -182,7 +240,7 @@ _NAMES = ", ".join(f"'{x}'" for x in [*C.RESULTS, "something_else"])
 _WHEN = " ".join(f"WHEN p = '{k}' THEN '{o}'" for k, (o, _) in C.RESULTS.items())
 _CODE = " ".join(f"WHEN p = '{k}' THEN {repr(c) if c else 'NULL'}" for k, (_, c) in C.RESULTS.items())
 _THUMBS = "SELECT asset_id, variant, library_id, status, error_code, byte_size, last_accessed_at_ms, source_fingerprint, frame_count FROM thumbnails t"
-_PATHED = "(SELECT asset_id, variant, status, source_fingerprint, last_accessed_at_ms, 'libraries/lib_' || library_id || '/' || substr(h, 1, 2) || '/' || h || '.webp' AS cache_path FROM (SELECT *, sha256(asset_id || chr(0) || variant || chr(0) || source_fingerprint || chr(0) || '1') AS h FROM thumbnails))"
+_PATHED = "(SELECT asset_id, variant, status, source_fingerprint, last_accessed_at_ms, byte_size, 'libraries/lib_' || library_id || '/' || substr(h, 1, 2) || '/' || h || '.webp' AS cache_path FROM (SELECT *, sha256(asset_id || chr(0) || variant || chr(0) || source_fingerprint || chr(0) || '1') AS h FROM thumbnails))"
 
 ENTRIES = [
     (
@@ -205,13 +263,25 @@ ENTRIES = [
     (
         "thumbnail_touch",
         lambda c: C.touched(_pathed(c), _touches(c)),
-        f"SELECT * REPLACE (CASE WHEN status = 'ready' AND asset_id % 6 = 0 THEN asset_id + 9000000 ELSE last_accessed_at_ms END AS last_accessed_at_ms) FROM {_PATHED}",
+        f"SELECT * EXCLUDE (byte_size) REPLACE (CASE WHEN status = 'ready' AND asset_id % 6 = 0 THEN asset_id + 9000000 ELSE last_accessed_at_ms END AS last_accessed_at_ms) FROM {_PATHED}",
     ),
     (
         "rename_if_revision",
-        lambda c: C.renamed(c.libraries.withColumn("revision", F.col("id")), _removals(c).filter("library_id = 5"), _renames(c)),
-        """SELECT id, CASE WHEN id = 4 THEN 'precondition_failed' WHEN id = 5 THEN 'removal_active' WHEN id = 3 THEN 'unchanged' WHEN id = 1 THEN 'name_exists' ELSE 'renamed' END AS outcome,
-        CASE WHEN id = 2 THEN 'New Name' ELSE name END AS name, CASE WHEN id = 2 THEN 3 ELSE id END AS revision FROM libraries""",
+        lambda c: _renames(c).filter("seq is not null").select("seq", "id", "outcome"),
+        f"{_RENAMES} SELECT seq, id, outcome FROM told JOIN asked USING (place)",
+    ),
+    (
+        "renamed_libraries",
+        lambda c: _renames(c).filter("seq is null").select("id", "name", "revision"),
+        f"{_RENAMES} SELECT x.id AS id, x.name AS name, x.revision AS revision FROM final",
+    ),
+    (
+        "optimistic_outcomes",
+        _cas_log,
+        """, begun AS (SELECT id, id % 5 + 1 AS revision, name FROM directories WHERE id % 3 <> 0),
+        turn AS (SELECT id, -1 AS j, revision AS r0, revision, name AS n0, name, CAST(NULL AS VARCHAR) AS outcome FROM begun
+          UNION ALL SELECT id, j + 1, r0, revision + hit::INT, n0, CASE WHEN hit THEN n0 || ' v' || (j + 1) ELSE name END, CASE WHEN hit THEN 'applied' ELSE 'precondition_failed' END FROM (SELECT *, r0 + (j + 1) * (id % 4) // 3 = revision AS hit FROM turn WHERE j < 3))
+        SELECT id * 4 + j AS seq, id, outcome, revision, name FROM turn WHERE j >= 0""",
     ),
     (
         "optimistic_update",
@@ -237,6 +307,14 @@ ENTRIES = [
         lambda c: _phases(c).select("id", "lease_expires_at_ms"),
         f"SELECT id, CASE WHEN status = 'running' AND id % 6 <> 0 THEN id + {NOW} + 60000 ELSE lease_expires_at_ms END AS lease_expires_at_ms FROM scan_runs",
     ),
+    (
+        "scan_phase_log",
+        _phase_log,
+        f""", turns AS (SELECT user_id % (SELECT max(id) FROM scan_runs) + 1 AS id, event_id AS seq, CASE WHEN event_id % 4 <> 0 THEN event_id // 7 % 3 + 1 ELSE 0 END AS rank FROM events),
+        seen AS (SELECT t.id, seq, rank, greatest(r.id % 3 + 1, coalesce(max(rank) OVER (PARTITION BY t.id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM turns t JOIN scan_runs r ON r.id = t.id AND r.status = 'running'),
+        ends AS (SELECT id, count(*) FILTER (rank > best) AS ups, max(greatest(rank, best)) AS top, max(seq) AS last FROM seen GROUP BY id)
+        SELECT r.id, list_extract(['checking_root', 'walking', 'finalizing'], CAST(coalesce(top, r.id % 3 + 1) AS INT)) AS phase, r.id % 4 + coalesce(ups, 0) AS revision, coalesce(last + {NOW} + 60000, lease_expires_at_ms) AS lease_expires_at_ms FROM scan_runs r LEFT JOIN ends USING (id)""",
+    ),
     (
         "discovery_state",
         _discovery,
@@ -294,8 +372,10 @@ ENTRIES = [
     (
         "rename_semantics",
         lambda c: C.moved(c.assets, I.merge(c.assets, c.listing, 3), c.listing),
-        f""", {_MERGE} SELECT o.library_id, o.id AS old_id, m.id AS new_id FROM assets o JOIN merged m ON m.library_id = o.library_id AND m.directory_id = o.directory_id AND m.source_fingerprint = o.source_fingerprint
-        WHERE (o.library_id, o.relative_path) NOT IN (SELECT (library_id, relative_path) FROM listing) AND m.id NOT IN (SELECT id FROM assets)""",
+        f""", {_MERGE},
+        gone AS (SELECT *, row_number() OVER (PARTITION BY library_id, directory_id, source_fingerprint ORDER BY relative_path) AS place FROM assets WHERE (library_id, relative_path) NOT IN (SELECT (library_id, relative_path) FROM listing)),
+        came AS (SELECT *, row_number() OVER (PARTITION BY library_id, directory_id, source_fingerprint ORDER BY relative_path) AS place FROM merged WHERE id NOT IN (SELECT id FROM assets))
+        SELECT o.library_id, o.id AS old_id, m.id AS new_id FROM gone o JOIN came m USING (library_id, directory_id, source_fingerprint, place)""",
     ),
     (
         "cache_cleanup",
@@ -303,6 +383,18 @@ ENTRIES = [
         """SELECT batch, count(*) AS rows, CAST(sum(byte_size) AS BIGINT) AS bytes, CAST(sum(sum(byte_size)) OVER (ORDER BY batch) AS BIGINT) AS bytes_so_far
         FROM (SELECT *, (row_number() OVER (ORDER BY last_accessed_at_ms, asset_id, variant) - 1) // 64 AS batch FROM thumbnails WHERE status = 'ready') GROUP BY 1""",
     ),
+    (
+        "cache_evict_rows",
+        lambda c: C.evicted(_sized(c), _evictions(c)).select("asset_id", "variant", "status", "byte_size"),
+        f"""SELECT asset_id, variant, status, byte_size FROM {_PATHED} WHERE (asset_id, variant) NOT IN (
+          SELECT (asset_id, variant) FROM (SELECT * FROM thumbnails WHERE status = 'ready' ORDER BY last_accessed_at_ms, asset_id, variant LIMIT 4096) WHERE asset_id % 5 <> 0 AND asset_id % 7 <> 0)""",
+    ),
+    (
+        "requeue_missing_file",
+        lambda c: C.missing_files(_sized(c), c.media_jobs, _cache_listing(c)),
+        f""", lost AS (SELECT asset_id, variant FROM {_PATHED} p WHERE status = 'ready' AND NOT EXISTS (SELECT 1 FROM (SELECT cache_path, byte_size - (asset_id % 31 = 0)::INT AS size FROM {_PATHED} WHERE status = 'ready' AND asset_id % 29 <> 0) f WHERE f.cache_path = p.cache_path AND f.size = p.byte_size))
+        SELECT asset_id, variant, 'drop_row' AS action FROM lost UNION ALL SELECT j.asset_id, j.variant, 'requeue' FROM media_jobs j JOIN lost USING (asset_id, variant)""",
+    ),
     (
         "join_session_user",
         _sessions,

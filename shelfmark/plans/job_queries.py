@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark import schema as S
 from shelfmark.functions import scalar as X
 from shelfmark.operators import browse as B
 from shelfmark.operators import ingest as I
@@ -60,10 +61,25 @@ def _reconcile_jobs(c):
 
 _RECONCILE = "(SELECT id AS key, id, list_extract(['queued', 'running', 'failed'], CAST((id - 1) % 3 + 1 AS INT)) AS status, id % 5 + 1 AS requested_revision, id % 1000 AS created_ms, id % 5 + 1 AS attempts FROM directories WHERE id >= 10000000)"
 
+_CODES = ", ".join(f"'{x}'" for x in S.SCAN_ERRORS)
+_ENDED = f"(SELECT id, library_id, CASE WHEN status = 'failed' AND id % 3 = 0 THEN 'offline' ELSE status END AS status, list_extract([{_CODES}, 'no_such_code', NULL], CAST(id % {len(S.SCAN_ERRORS) + 2} + 1 AS INT)) AS error_code FROM scan_runs)"
+
+
+def _ended(c):
+    """Scans as they ended, with any of the codes and one that there isn't; some had their root away."""
+    code = F.element_at(F.array(*[F.lit(x) for x in (*S.SCAN_ERRORS, "no_such_code", None)]), (F.col("id") % (len(S.SCAN_ERRORS) + 2) + 1).cast("int"))
+    return c.scan_runs.select("id", "library_id", F.when((F.col("status") == "failed") & (F.col("id") % 3 == 0), "offline").otherwise(F.col("status")).alias("status"), code.alias("error_code"))
+
+
+def _caches(c):
+    """Quotas and free bytes that are asked about."""
+    return c.thumbnails.select((F.col("asset_id") % 97 * 500_000).alias("quota_bytes"), (F.col("asset_id") % 89 * 12_345_678).alias("available_bytes")).distinct()
+
+
 ENTRIES = [
     ("catalog_diff", lambda c: I.difference(c.assets, c.listing), _DIFF),
     ("catalog_upsert_batch", lambda c: _merged(c).select(*_MERGE_FIELDS), f", {_MERGE} SELECT {', '.join(_MERGE_FIELDS)} FROM merged"),
-    ("upsert_asset", lambda c: _merged(c).filter("last_seen_generation = 3").groupBy("library_id", "probe_status").agg(F.count("*").alias("n"), F.sum("id").alias("ids")), f", {_MERGE} SELECT library_id, probe_status, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM merged WHERE last_seen_generation = 3 GROUP BY 1, 2"),
+    ("upsert_asset", lambda c: _merged(c).filter("last_seen_generation = 3").select(*_MERGE_FIELDS), f", {_MERGE} SELECT {', '.join(_MERGE_FIELDS)} FROM merged WHERE last_seen_generation = 3"),
     ("stale_sweep", lambda c: I.sweep(c.assets, c.listing).select("id", "relative_path"), "SELECT id, relative_path FROM assets WHERE (id - 1) % 17 = 0"),
     ("stale_generation", lambda c: I.stale(c.assets, 2).select("id"), "SELECT id FROM assets WHERE last_seen_generation < 2"),
     ("invalidate_derivatives", lambda c: I.invalidated(c.assets, c.listing, c.thumbnails, c.media_jobs), f"SELECT asset_id, variant, 'delete_file' AS action FROM thumbnails WHERE status = 'ready' AND asset_id IN (SELECT id FROM {_CHANGED}) UNION ALL SELECT asset_id, variant, 'drop_row' FROM thumbnails WHERE asset_id IN (SELECT id FROM {_CHANGED}) UNION ALL SELECT asset_id, variant, 'drop_job' FROM media_jobs WHERE variant = 'storyboard' AND asset_id IN (SELECT id FROM {_CHANGED})"),
@@ -74,7 +90,6 @@ ENTRIES = [
     ("anti_missing_derivative", lambda c: J.missing_derivatives(c.media_jobs, c.thumbnails).select("id", "asset_id", "variant"), f"SELECT id, asset_id, variant {_MISSING}"),
     ("requeue_missing", lambda c: J.requeued(J.missing_derivatives(c.media_jobs, c.thumbnails), after=100), f"SELECT id, 'queued' AS status, 0 AS attempts {_MISSING} AND id > 100 ORDER BY id LIMIT 256"),
     ("requeue_all", lambda c: J.requeued(c.media_jobs.filter("library_id = 2"), limit=64), "SELECT id, 'queued' AS status, 0 AS attempts FROM media_jobs WHERE library_id = 2 ORDER BY id LIMIT 64"),
-    ("requeue_missing_file", lambda c: c.thumbnails.filter("status = 'ready' and asset_id % 29 = 0").select("asset_id", "variant", F.lit("drop_row").alias("action")).unionByName(c.media_jobs.filter("asset_id % 29 = 0").join(c.thumbnails.filter("status = 'ready'"), ["asset_id", "variant"], "left_semi").select("asset_id", "variant", F.lit("requeue").alias("action"))), "SELECT asset_id, variant, 'drop_row' AS action FROM thumbnails WHERE status = 'ready' AND asset_id % 29 = 0 UNION ALL SELECT j.asset_id, j.variant, 'requeue' FROM media_jobs j JOIN thumbnails t ON t.asset_id = j.asset_id AND t.variant = j.variant AND t.status = 'ready' WHERE j.asset_id % 29 = 0"),
     ("fair_min_per_library", lambda c: J.fair_least(c.media_jobs, NOW), f"SELECT library_id, priority, min(id) AS job_id FROM media_jobs j WHERE {_ELIGIBLE} AND priority = (SELECT min(priority) FROM media_jobs x WHERE x.library_id = j.library_id AND {_ELIGIBLE.replace('status', 'x.status').replace('available_at_ms', 'x.available_at_ms')}) GROUP BY 1, 2"),
     ("claim_media_job", lambda c: J.next_claim(c.media_jobs, _served(c), NOW), f"SELECT b.job_id, b.library_id, b.priority FROM (SELECT library_id, priority, min(id) AS job_id FROM media_jobs WHERE {_ELIGIBLE} AND NOT (variant = 'storyboard' AND EXISTS (SELECT 1 FROM media_jobs r WHERE r.variant = 'storyboard' AND r.status = 'running')) GROUP BY 1, 2) b LEFT JOIN {_SERVED_SQL} s ON s.library_id = b.library_id AND s.priority = b.priority ORDER BY b.priority, coalesce(last_sequence, 0), job_id LIMIT 1"),
     ("fair_claim_order", lambda c: J.claim_order(c.media_jobs, _served(c), NOW), f"SELECT e.id AS job_id, e.library_id, row_number() OVER (PARTITION BY e.library_id ORDER BY e.id) AS turn, p.seat FROM media_jobs e JOIN (SELECT f.library_id, row_number() OVER (ORDER BY coalesce(last_sequence, 0), f.first) AS seat FROM (SELECT library_id, min(id) AS first FROM media_jobs WHERE {_ELIGIBLE} AND priority = 0 GROUP BY 1) f LEFT JOIN {_SERVED_SQL} s ON s.library_id = f.library_id) p ON p.library_id = e.library_id WHERE {_ELIGIBLE} AND priority = 0"),
@@ -95,9 +110,8 @@ ENTRIES = [
     ("next_generation", lambda c: c.libraries.select(F.col("id").alias("library_id")).join(_runs(c).groupBy("library_id").agg(F.max("generation").alias("g")), "library_id", "left").select("library_id", (F.coalesce("g", F.lit(0)) + 1).alias("generation")), "SELECT l.id AS library_id, count(r.id) + 1 AS generation FROM libraries l LEFT JOIN scan_runs r ON r.library_id = l.id GROUP BY 1"),
     ("active_scan_count", lambda c: c.scan_runs.filter("status in ('queued', 'running')").agg(F.count("*").alias("active"), (F.count("*") >= 256).alias("full")), "SELECT count(*) AS active, count(*) >= 256 AS full FROM scan_runs WHERE status IN ('queued', 'running')"),
     ("scan_cancel", lambda c: J.scan_cancellation(c.scan_runs), "SELECT id, CASE WHEN status = 'queued' THEN 'cancelled' ELSE status END AS status, cancel_requested OR status = 'running' AS cancel_requested, CASE WHEN status = 'queued' THEN 'cancelled' WHEN status = 'running' AND NOT cancel_requested THEN 'flagged' WHEN status = 'running' THEN 'already_flagged' ELSE 'not_active' END AS outcome FROM scan_runs"),
-    ("scan_abort", lambda c: J.abort_effect(c.scan_runs), "SELECT id, library_id, CASE WHEN status IN ('failed', 'interrupted') THEN 'error' WHEN status = 'cancelled' THEN 'previous' ELSE 'ready' END AS library_status FROM scan_runs WHERE status NOT IN ('queued', 'running')"),
+    ("scan_abort", lambda c: J.abort_effect(_ended(c), c.libraries.withColumn("current_generation", F.col("id") % 2 * 2)), f"SELECT r.id, library_id, CASE WHEN r.status <> 'cancelled' THEN CASE WHEN r.error_code IN ({_CODES}) THEN r.error_code ELSE 'internal_error' END END AS error_code, CASE r.status WHEN 'cancelled' THEN CASE WHEN library_id % 2 = 1 THEN 'ready' ELSE 'pending' END WHEN 'offline' THEN 'offline' ELSE 'error' END AS library_status FROM {_ENDED} r WHERE r.status IN ('failed', 'interrupted', 'cancelled', 'offline')"),
     ("derivation_input", lambda c: c.assets.join(c.libraries.select(F.col("id").alias("library_id"), "root_rel_path"), "library_id").join(c.thumbnails.filter("variant = 'grid' and status = 'ready'").select(F.col("asset_id").alias("id"), "source_fingerprint", F.lit(True).alias("g")), ["id", "source_fingerprint"], "left").select("id", "root_rel_path", "relative_path", F.coalesce("g", F.lit(False)).alias("has_grid")), "SELECT a.id, root_rel_path, relative_path, EXISTS (SELECT 1 FROM thumbnails t WHERE t.asset_id = a.id AND t.variant = 'grid' AND t.status = 'ready' AND t.source_fingerprint = a.source_fingerprint) AS has_grid FROM assets a JOIN libraries l ON l.id = a.library_id"),
-    ("cache_evict_rows", lambda c: c.thumbnails.join(O.least_recent(c.thumbnails, 256).select("asset_id", "variant"), ["asset_id", "variant"], "left_anti").groupBy("variant", "status").agg(F.count("*").alias("n")), "SELECT variant, status, count(*) AS n FROM thumbnails t WHERE (asset_id, variant) NOT IN (SELECT (asset_id, variant) FROM thumbnails WHERE status = 'ready' ORDER BY last_accessed_at_ms, asset_id, variant LIMIT 256) GROUP BY 1, 2"),
     ("append_event", lambda c: O.appended(c.system_events, c.system_events.filter("id <= 10").select((F.col("id") + 1_000_000).alias("id"), "level", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("module")).alias("module"), "created_at_ms"), 5000), "SELECT * FROM (SELECT * FROM system_events UNION ALL SELECT id + 1000000, level, CASE WHEN id % 2 = 1 THEN module END, created_at_ms FROM system_events WHERE id <= 10) ORDER BY id DESC LIMIT 5000"),
     ("backfill_keys", lambda c: c.directories.withColumn("old", F.when(F.col("id") % 2 == 0, F.col("search_name_key")).otherwise("")).select("id", F.when(F.col("old") == "", X.search_text_key(F.col("name"))).otherwise(F.col("old")).alias("search_name_key")), "SELECT id, lower(name) AS search_name_key FROM directories"),
     ("library_details", lambda c: O.library_details(c.libraries, c.scan_runs, c.assets, c.directories), "SELECT id AS library_id, name, status, (SELECT max(finished_at_ms) FROM scan_runs r WHERE r.library_id = l.id AND r.status = 'succeeded') AS last_success_ms, (SELECT max_by(r.id, r.created_at_ms * 1000000 + r.id) FROM scan_runs r WHERE r.library_id = l.id) AS latest_scan_id, (SELECT count(*) FROM assets a WHERE a.library_id = l.id) AS asset_count, (SELECT count(*) FROM directories d WHERE d.library_id = l.id) AS directory_count FROM libraries l"),
@@ -112,7 +126,7 @@ ENTRIES = [
     ("event_log_retention", lambda c: O.retained(c.system_events, 5000), "SELECT * FROM system_events ORDER BY id DESC LIMIT 5000"),
     ("bounded_min_of_top_n", lambda c: O.retained(c.system_events, 5000).agg(F.min("id").alias("least_id")), "SELECT min(id) AS least_id FROM (SELECT id FROM system_events ORDER BY id DESC LIMIT 5000)"),
     ("cache_usage", lambda c: O.cache_usage(c.thumbnails), "SELECT CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS used_bytes FROM thumbnails WHERE status = 'ready'"),
-    ("cache_summary", lambda c: O.cache_summary(c.thumbnails, 40_000_000), "SELECT u AS used_bytes, 36000000 AS high_bytes, 32000000 AS low_bytes, CASE WHEN u >= 40000000 THEN 'full' WHEN u >= 36000000 THEN 'high' WHEN u >= 32000000 THEN 'elevated' ELSE 'normal' END AS pressure FROM (SELECT CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS u FROM thumbnails WHERE status = 'ready')"),
+    ("cache_summary", lambda c: O.cache_summary(c.thumbnails, _caches(c)), "SELECT quota_bytes, available_bytes, u AS usage_bytes, CAST(quota_bytes * 90 // 100 AS BIGINT) AS high_watermark_bytes, CAST(quota_bytes * 80 // 100 AS BIGINT) AS low_watermark_bytes, CAST(536870912 AS BIGINT) AS safe_free_space_bytes, CASE WHEN u > quota_bytes * 90 // 100 AND available_bytes < 536870912 THEN 'quota_and_storage' WHEN u > quota_bytes * 90 // 100 THEN 'quota' WHEN available_bytes < 536870912 THEN 'storage' ELSE 'normal' END AS pressure FROM (SELECT DISTINCT asset_id % 97 * 500000 AS quota_bytes, asset_id % 89 * 12345678 AS available_bytes FROM thumbnails), (SELECT CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS u FROM thumbnails WHERE status = 'ready')"),
     ("lru_eviction_prefix", lambda c: O.eviction(c.thumbnails, 2_000_000), "SELECT asset_id, variant, byte_size FROM (SELECT *, coalesce(sum(byte_size) OVER (ORDER BY last_accessed_at_ms, asset_id, variant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(byte_size) OVER () AS used FROM thumbnails WHERE status = 'ready') WHERE freed < used - 2000000"),
     ("lru_topk", lambda c: O.least_recent(c.thumbnails, 256).select("asset_id", "variant", "last_accessed_at_ms"), "SELECT asset_id, variant, last_accessed_at_ms FROM thumbnails WHERE status = 'ready' ORDER BY last_accessed_at_ms, asset_id, variant LIMIT 256"),
     ("fifo_deletions", lambda c: B.numbered(c.scan_runs.orderBy("created_at_ms", "id").limit(20), F.col("created_at_ms"), F.col("id")).select("id", "pos"), "SELECT id, row_number() OVER (ORDER BY created_at_ms, id) AS pos FROM scan_runs ORDER BY pos LIMIT 20"),

@@ -13,6 +13,22 @@ _EXT = "lower(regexp_extract(relative_path, '\\.([^./]*)$', 1))"
 
 
 
+_CODES = ", ".join(f"'{x}'" for x in S.SCAN_ERRORS)
+_NAMED = "(SELECT id, CASE id % 9 WHEN 0 THEN '  ' || name || ' ' WHEN 1 THEN chr(160) || name || chr(12288) WHEN 2 THEN repeat(name, 20) WHEN 3 THEN name || chr(7) WHEN 4 THEN '   ' WHEN 5 THEN 'Cafe' || chr(769) || ' ' || id WHEN 6 THEN 'Straße ' || id WHEN 7 THEN name || ' ｆ' ELSE name END AS name FROM assets)"
+
+
+def _coded(c):
+    code = F.element_at(F.array(*[F.lit(x) for x in (*S.SCAN_ERRORS, "view", "", None)]), (F.col("id") % (len(S.SCAN_ERRORS) + 3) + 1).cast("int"))
+    return c.system_events.select("id", code.alias("code"))
+
+
+def _named(c):
+    """Names to be checked, in many ways: spaces around, too long, controls, none, marks to be composed, letters to be folded."""
+    k, name = F.col("id"), F.col("name")
+    kinds = [F.concat(F.lit("  "), name, F.lit(" ")), F.concat(F.lit("\xa0"), name, F.lit("\u3000")), F.repeat(name, 20), F.concat(name, F.lit("\x07")), F.lit("   "), F.concat(F.lit("Cafe\u0301 "), k.cast("string")), F.concat(F.lit("Straße "), k.cast("string")), F.concat(name, F.lit(" ｆ")), name]
+    return c.assets.select("id", F.element_at(F.array(*kinds), (k % 9 + 1).cast("int")).alias("name"))
+
+
 ENTRIES = [
     ("search_text_key", lambda c: c.table("documents").select("doc_id", X.search_text_key(F.col("text")).alias("key")), f"SELECT doc_id, {_FOLD.format('text')} AS key FROM documents"),
     ("search_text_key_urls", lambda c: c.table("pages").select("page_id", X.search_text_key(F.col("url")).alias("key")), f"SELECT page_id, {_FOLD.format('url')} AS key FROM pages"),
@@ -35,8 +51,8 @@ ENTRIES = [
     ("thumb_etag", lambda c: c.assets.select("id", X.thumb_etag(F.col("source_fingerprint"), F.col("relative_path")).alias("etag")), "SELECT id, '\"thumb-' || substr(sha256(source_fingerprint || chr(0) || relative_path), 1, 32) || '\"' AS etag FROM assets"),
     ("validate_metadata", lambda c: c.assets.select("id", X.valid_metadata(F.col("kind"), F.col("width"), F.col("height"), F.col("duration_ms"), F.when(F.col("id") % 5 == 0, "not_applicable").when(F.col("id") % 5 == 1, "playable").when(F.col("id") % 5 == 2, "unknown")).alias("valid")), "SELECT id, coalesce(width BETWEEN 1 AND 32768 AND height BETWEEN 1 AND 32768 AND width * height <= 100000000 AND ((kind <> 'video' AND duration_ms IS NULL AND id % 5 = 0) OR (kind = 'video' AND coalesce(duration_ms, 0) >= 0 AND id % 5 IN (1, 2))), false) AS valid FROM assets"),
     ("parse_utc_instant", lambda c: c.assets.select("id", X.utc_instant_ns(F.concat(F.date_format(F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000)), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("id") % 2 == 0, ".5").otherwise(""), F.when(F.col("id") % 3 == 0, "+02:00").otherwise("Z"))).alias("ns")), "SELECT id, CASE WHEN id % 3 <> 0 THEN mtime_ns // 1000000000 * 1000000000 + CASE WHEN id % 2 = 0 THEN 500000000 ELSE 0 END END AS ns FROM assets"),
-    ("error_code_normalise", lambda c: c.system_events.select("id", X.error_code(F.col("module"), ("error", "view")).alias("code")), "SELECT id, CASE WHEN module IN ('error', 'view') THEN module ELSE 'internal_error' END AS code FROM system_events"),
-    ("library_name_key", lambda c: c.libraries.select("id", X.search_text_key(F.trim("name")).alias("key")), "SELECT id, lower(trim(name)) AS key FROM libraries"),
+    ("error_code_normalise", lambda c: _coded(c).select("id", X.error_code(F.col("code"), S.SCAN_ERRORS).alias("code")), f"SELECT id, CASE WHEN code IN ({_CODES}) THEN code ELSE 'internal_error' END AS code FROM (SELECT id, list_extract([{_CODES}, 'view', '', NULL], CAST(id % {len(S.SCAN_ERRORS) + 3} + 1 AS INT)) AS code FROM system_events)"),
+    ("library_name_key", lambda c: _named(c).select("id", X.library_name(F.col("name")).alias("n")).select("id", "n.display", "n.key"), f"SELECT id, CASE WHEN good THEN shown END AS display, CASE WHEN good THEN key END AS key FROM (SELECT *, shown <> '' AND length(shown) <= 128 AND NOT regexp_matches(shown, '[\\x00-\\x1f\\x7f]') AS good FROM (SELECT id, shown, replace(replace(lower(shown), 'ß', 'ss'), 'ｆ', 'f') AS key FROM (SELECT id, nfc_normalize(regexp_replace(name, '^[ \\t\\x{{00A0}}\\x{{3000}}]+|[ \\t\\x{{00A0}}\\x{{3000}}]+$', '', 'g')) AS shown FROM {_NAMED})))"),
     ("coalesce_nullif", lambda c: c.system_events.agg(F.sum(F.when(F.nullif(F.col("module"), F.lit("view")).isNull(), 1).otherwise(0)).alias("views"), F.min("id").alias("lo"), F.max("id").alias("hi")), "SELECT CAST(sum(CASE WHEN nullif(module, 'view') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS views, min(id) AS lo, max(id) AS hi FROM system_events"),
     ("resource_id", lambda c: c.assets.select("id", X.resource_id("ast", F.col("id")).alias("rid")).withColumn("back", X.parse_resource_id("ast", F.col("rid"))).withColumn("other", X.parse_resource_id("lib", F.col("rid"))), "SELECT id, 'ast_' || id AS rid, id AS back, CAST(NULL AS BIGINT) AS other FROM assets"),
     ("semver_newer", lambda c: c.scan_runs.select("id", X.semver_newer(F.lit("v1.10.2"), F.concat(F.lit("1."), (F.col("id") % 20).cast("string"), F.lit(".3"))).alias("newer")), "SELECT id, id % 20 >= 10 AS newer FROM scan_runs"),

@@ -25,8 +25,16 @@ STORYBOARD_LEAST_MS = 2_000
 MAX_TERM_LENGTH, DEFAULT_LIMIT, MAX_LIMIT = 256, 50, 200
 MEDIA_ATTEMPTS, SCAN_ATTEMPTS, RECONCILE_ATTEMPTS = 3, 3, 5
 HIGH_WATER, LOW_WATER = 90, 80
+SAFE_FREE_BYTES = 512 * 2**20
+MAX_LIBRARY_NAME = 128
 QUIET_MS, CAP_MS = 750, 5_000
 
+#: Why a scan ended; any other reason is the last of them.
+SCAN_ERRORS = (
+    "library_root_unavailable", "library_root_outside_allowed", "library_root_symlink", "library_root_mount_boundary", "library_root_identity_changed",
+    "partial_tree_unreadable", "scan_io_error", "database_unavailable", "scan_interrupted", "internal_error",
+)
+
 LISTING = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("relative_path", T.StringType()),
