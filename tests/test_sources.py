@@ -66,3 +66,29 @@ def test_snapshots(spark, tmp_path):
     s.publish({"u": spark.range(3)}, 1, full=False)
     m = s.manifest()
     assert (m["generation"], m["content_revision"]) == (1, 2) and s.read("t").count() == 5
+
+
+def test_ranges_of_a_large_file(spark, tmp_path):
+    """A sparse file of 3 GiB: three ranges of it, and the whole in cuts, with no more than a cut in a row."""
+    big = tmp_path / "big.mkv"
+    with open(big, "wb") as f:
+        for at, mark in ((0, b"begin"), (2**31 + 12_345, b"middle"), (3 * 2**30 - 3, b"end")):
+            f.seek(at)
+            f.write(mark)
+    (tmp_path / "empty.jpg").touch()
+    (tmp_path / "small.jpg").write_bytes(bytes(range(200)))
+    found = walker.classified(walker.walk(spark, str(tmp_path))).filter("asset_kind is not null")
+    rows = found.select(F.crc32(F.col("relative_path").cast("binary")).alias("id"), "relative_path", "source_fingerprint").collect()
+    assets = spark.createDataFrame(rows, "id long, relative_path string, source_fingerprint string")  # as they are now
+    ids = {r["relative_path"]: r["id"] for r in assets.collect()}
+    ranges = [(ids["big.mkv"], 2**31 + 12_340, 2**31 + 12_355), (ids["big.mkv"], 3 * 2**30 - 5, 2**40), (ids["big.mkv"], 2**20 - 2, 2**20 + 1), (ids["small.jpg"], 0, 0), (ids["small.jpg"], 500, 600), (77, 0, 9)]
+    got = content.chunks(spark, str(tmp_path), assets, spark.createDataFrame(ranges, "id long, start long, end long"), 2**20).collect()
+    assert sorted((r["id"], r["offset"], bytes(r["content"])) for r in got) == sorted([
+        (ids["big.mkv"], 2**31 + 12_340, b"\0" * 5 + b"middle" + b"\0" * 5), (ids["big.mkv"], 3 * 2**30 - 5, b"\0\0end"), (ids["big.mkv"], 2**20 - 2, b"\0\0"), (ids["big.mkv"], 2**20, b"\0\0"), (ids["small.jpg"], 0, b"\0"),
+    ])
+    whole = content.chunks(spark, str(tmp_path), assets).select("id", "offset", F.length("content").alias("n"), F.sha2("content", 256).alias("sha"))
+    sizes = whole.groupBy("id").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("rows")).collect()
+    assert {r["id"]: (r["n"], r["most"], r["rows"]) for r in sizes} == {ids["big.mkv"]: (3 * 2**30, content.CHUNK, 384), ids["small.jpg"]: (200, 200, 1)}
+    assert {r["relative_path"] for r in content.contents(spark, str(tmp_path), assets).select("relative_path").collect()} == {"empty.jpg", "small.jpg"}
+    os.utime(big, (1, 1))
+    assert content.chunks(spark, str(tmp_path), assets).select("id").distinct().count() == 1

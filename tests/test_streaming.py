@@ -1,7 +1,5 @@
 import random
 
-import pandas as pd
-
 from shelfmark.streaming import debounce as D
 
 T0 = 1_700_000_000_000
@@ -57,12 +55,3 @@ def test_one_long_stretch(spark):
     assert sorted(tuple(r) for r in got.filter("key = 'a'").collect()) == [("a", *b) for b in expected(times, 750, 5000)]
     assert [tuple(r) for r in got.filter("key is null").collect()] == [(None, T0, T0 + 750, 1)] and got.filter("key = 'b'").isEmpty()
     assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
-
-
-def test_times_in_order_by_runs():
-    rng = random.Random(5)
-    times = [T0 + rng.randrange(20_000) for _ in range(1000)]
-    frames = [pd.DataFrame({"at_ms": times[a : a + 130]}) for a in range(0, 1000, 130)]
-    for most in (7, 100, 999, 1000, 5000):
-        assert list(D.in_order(iter(frames), most)) == sorted(times)
-    assert list(D.in_order(iter([]))) == []
