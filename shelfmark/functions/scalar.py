@@ -46,15 +46,27 @@ def normalize_search_terms(text: str) -> tuple[str, ...]:
     return terms
 
 
+#: Zeros of all scripts.
+_ZEROS = "".join(chr(c) for c in range(0x110000) if unicodedata.decimal(chr(c), None) == 0)
+#: The root collation at its first level: letters without case, marks and width, contractions and expansions as it has them.
+LOOSE = "UNICODE_CI_AI"
+
+
 def natural_name_key(name: Column) -> Column:
-    """For ASCII names: lower case, digit runs by value. Runs become '0', their length in four digits, and their digits without leading zeros."""
-    runs = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    """The sort key of a name: collated loosely, digit runs by value, in any script.
+
+    Runs become a zero, their length in four digits, and their digits without leading zeros: digits of all scripts weigh
+    what they count and come before letters, so such texts compare as their numbers do. The key is a text of the collation
+    LOOSE: Spark compares, sorts and groups it by its weights. Names that differ in case, marks, width or leading zeros
+    alone have equal keys; a sort goes on by the name itself.
+    """
+    runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\p{Nd}+|\P{Nd}+)"), F.lit(1))
 
     def one(run: Column) -> Column:
-        digits = F.regexp_replace(run, "^0+(?=.)", "")
-        return F.when(run.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
+        digits = F.regexp_replace(run, f"^[{_ZEROS}]+(?=.)", "")
+        return F.when(run.rlike(r"^\p{Nd}"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
 
-    return F.array_join(F.transform(runs, one), "")
+    return F.collate(F.array_join(F.transform(runs, one), ""), LOOSE)
 
 
 @F.pandas_udf(T.StringType())

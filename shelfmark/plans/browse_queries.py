@@ -66,6 +66,30 @@ def _keyset(name: str, q: Q, where: str, keys: str):
     return name, run, sql
 
 
+#: Stems of names in several scripts: marks, case, width, letters that expand, signs, digits of other scripts.
+_STEMS = ("Bild ", "bild ", "BILD 0", "Bild 00", "Ära ", "ara ", "A\u0308ra ", "Straße ", "STRASSE ", "Ｂｉｌｄ ", "Ωμέγα ", "ωμεγα ", "Яблоко ", "яблоко ", "ёлка ", "елка ", "上海 ", "カメラ ", "かめら ", "صورة ", "Bild ٣", "bild_", "bild-", "Œuvre ", "oeuvre ", "ñu ", "nu ", "z ")
+_MIXED = f"(SELECT id, list_extract([{', '.join(repr(x) for x in _STEMS)}], CAST(id % {len(_STEMS)} + 1 AS INT)) || CAST(id // 3 % 1200 AS VARCHAR) || CASE WHEN id % 5 = 0 THEN '.jpg' WHEN id % 5 = 1 THEN '.JPG' ELSE '' END AS name FROM assets)"
+_RUN = "list_aggregate(list_transform(regexp_extract_all(name, '[0-9٠-٩]+|[^0-9٠-٩]+'), lambda run: CASE WHEN regexp_matches(run, '^[0-9٠-٩]') THEN '0' || lpad(CAST(length(regexp_replace(run, '^[0٠]+(.)', '\\1')) AS VARCHAR), 4, '0') || regexp_replace(run, '^[0٠]+(.)', '\\1') ELSE run END), 'string_agg', '')"
+#: Weights of the first level: a full sort key up to its first separator.
+_WEIGHTS = f"list_aggregate(list_transform(range(1, 2 * list_position(list_transform(range(1, length(icu_sort_key({_RUN}, 'und')), 2), lambda i: substr(icu_sort_key({_RUN}, 'und'), i, 2)), '01') - 1, 2), lambda i: substr(icu_sort_key({_RUN}, 'und'), i, 2)), 'string_agg', '')"
+
+
+def _mixed(c):
+    k = F.col("id")
+    end = F.when(k % 5 == 0, ".jpg").when(k % 5 == 1, ".JPG").otherwise("")
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in _STEMS]), (k % len(_STEMS) + 1).cast("int")), (F.floor(k / 3) % 1200).cast("string"), end)
+    return c.assets.select("id", name.alias("name")).withColumn("key", X.natural_name_key(F.col("name")))
+
+
+def _natural_page(c):
+    """The page behind the 1500th name; the position is read once, as a cursor carries it."""
+    keys = ("key", "name", "id")
+    at = _mixed(c).orderBy(*keys).limit(1500).orderBy(*[F.desc(k) for k in keys]).first()
+    if at is None:
+        return B.numbered(_mixed(c), *map(F.col, keys)).select("id", "name", "pos")
+    return B.numbered(_mixed(c).filter(B.after(keys, tuple(at[k] for k in keys), False)).orderBy(*keys).limit(201), *map(F.col, keys)).select("id", "name", "pos")
+
+
 #: Directories some of whose parents are wrong: missing ones, rings of two and of one's own child, second roots, parents elsewhere.
 _TANGLED = "(SELECT id, library_id, CASE WHEN id = 2000006 THEN (SELECT min(id) FROM directories WHERE parent_id = 2000006) WHEN id % 97 = 5 THEN id WHEN id % 89 = 3 THEN id + 900000000 WHEN id % 83 = 7 THEN NULL WHEN id % 79 = 2 THEN 1000001 ELSE parent_id END AS parent_id FROM directories)"
 
@@ -117,6 +141,9 @@ ENTRIES = [
     *[(f"delivery_state_{v}", lambda c, v=v: B.delivery_state(c, v), f"SELECT a.id, CASE WHEN {('false', 'kind <> ' + chr(39) + 'video' + chr(39) + ' OR coalesce(duration_ms < 2000, true)')[v == 'storyboard']} THEN 'not_eligible' WHEN l.status = 'offline' THEN 'offline' WHEN t.status IN ('ready', 'failed') THEN t.status WHEN j.status = 'running' THEN 'running' ELSE 'queued' END AS state FROM assets a JOIN libraries l ON l.id = a.library_id LEFT JOIN thumbnails t ON t.asset_id = a.id AND t.variant = '{v}' LEFT JOIN media_jobs j ON j.asset_id = a.id AND j.variant = '{v}'") for v in ("grid", "storyboard")],
     ("asset_invariant_check", lambda c: B.violations(B.with_state(c, c.assets)).select("id", "probe_status", "thumbnail_status"), f"SELECT id, probe_status, thumbnail_status FROM ({_STATE}) WHERE NOT (CASE probe_status WHEN 'pending' THEN probe_error_code IS NULL WHEN 'ready' THEN coalesce(width >= 1 AND height >= 1, false) AND probe_error_code IS NULL ELSE probe_error_code IS NOT NULL END AND CASE thumbnail_status WHEN 'pending' THEN thumbnail_error_code IS NULL WHEN 'ready' THEN probe_status = 'ready' AND thumbnail_error_code IS NULL ELSE thumbnail_error_code IS NOT NULL END)"),
     ("fingerprint_match", lambda c: c.thumbnails.join(c.assets.select(F.col("id").alias("asset_id"), "size_bytes", "mtime_ns"), "asset_id").select("asset_id", "variant", (F.col("source_fingerprint") == X.source_fingerprint(F.col("size_bytes"), F.col("mtime_ns"))).alias("matches")), "SELECT asset_id, variant, t.source_fingerprint = 'v1:' || size_bytes || ':' || mtime_ns AS matches FROM thumbnails t JOIN assets a ON a.id = asset_id"),
+    ("natural_order", lambda c: B.numbered(_mixed(c).orderBy("key", "name", "id").limit(2001), F.col("key"), F.col("name"), F.col("id")).select("id", "name", "pos"), f"SELECT id, name, row_number() OVER (ORDER BY {_WEIGHTS}, name, id) AS pos FROM {_MIXED} ORDER BY pos LIMIT 2001"),
+    ("natural_order_groups", lambda c: _mixed(c).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least_id")).select("n", "least_id"), f"SELECT count(*) AS n, min(id) AS least_id FROM {_MIXED} GROUP BY {_WEIGHTS}"),
+    ("keyset_natural", _natural_page, f"SELECT id, name, n - 1500 AS pos FROM (SELECT id, name, row_number() OVER (ORDER BY {_WEIGHTS}, name, id) AS n FROM {_MIXED}) WHERE n > 1500 AND n <= 1500 + 201"),
     ("keyset_directories", lambda c: B.numbered(c.directories.filter("parent_id = 2000005").filter(B.after(("natural_name_key", "name", "id"), ("customer#0001", "Customer#1", 0), False)).orderBy("natural_name_key", "name", "id").limit(51), F.col("natural_name_key"), F.col("name"), F.col("id")).select("id", "name", "pos"), "SELECT id, name, row_number() OVER (ORDER BY natural_name_key, name, id) AS pos FROM directories WHERE parent_id = 2000005 AND (natural_name_key > 'customer#0001' OR (natural_name_key = 'customer#0001' AND name > 'Customer#1') OR (natural_name_key = 'customer#0001' AND name = 'Customer#1' AND id > 0)) ORDER BY pos LIMIT 51"),
     ("keyset_libraries", lambda c: B.numbered(c.libraries.filter(B.after(("name", "id"), ("ASIA", 3), False)).orderBy("name", "id").limit(3), F.col("name"), F.col("id")).select("id", "name", "pos"), "SELECT id, name, row_number() OVER (ORDER BY name, id) AS pos FROM libraries WHERE name > 'ASIA' OR (name = 'ASIA' AND id > 3) ORDER BY pos LIMIT 3"),
     ("keyset_scans", lambda c: B.numbered(c.scan_runs.filter("library_id = 2").filter(B.after(("created_at_ms", "id"), (3_000_000, 51), True)).orderBy(F.desc("created_at_ms"), F.desc("id")).limit(11), F.desc("created_at_ms"), F.desc("id")).select("id", "status", "pos"), "SELECT id, status, row_number() OVER (ORDER BY created_at_ms DESC, id DESC) AS pos FROM scan_runs WHERE library_id = 2 AND (created_at_ms < 3000000 OR (created_at_ms = 3000000 AND id < 51)) ORDER BY pos LIMIT 11"),

@@ -1,3 +1,5 @@
+import random
+import re
 import unicodedata
 
 import pytest
@@ -86,6 +88,22 @@ def test_natural_order(spark):
     assert out(column(spark, ["Na\u00efve"]), X.natural_name_key_any(F.col("x"))) == ["naive"]
 
 
+def test_natural_order_is_the_collation(spark, duck):
+    """Order and equality are those of the root collation's first level, digit runs by value, on mixed scripts and marks."""
+    rng = random.Random(2)
+    parts = ["a", "B", "é", "e\u0301", "E", "ß", "ss", "Æ", "ae", "Ｚ", "z", "я", "Ё", "е", "Ω", "上", "海", "ア", "あ", " ", "-", "_", ".", "#", "٣", "3", "12", "007", "7", "४", "\u0300", "ﬁ", "fi", "²"]
+    names = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(1500)})
+    df = spark.createDataFrame([(n,) for n in names], "x string").withColumn("k", X.natural_name_key(F.col("x")))
+    groups = [sorted(r["s"]) for r in df.groupBy("k").agg(F.collect_list("x").alias("s")).orderBy("k").collect()]
+    text = lambda n: "".join("0" + f"{len(d):04}" + d if (d := m.lstrip("0٠०") or m[-1:]) and m[0].isdecimal() else m for m in re.findall(r"\d+|\D+", n))
+    want = {}
+    for n in names:
+        full = duck.execute("SELECT icu_sort_key(?, 'und')", [text(n).lower()]).fetchall()[0][0]
+        first = full[: next((i for i in range(0, len(full), 2) if full[i : i + 2] == "01"), len(full))]
+        want.setdefault(first, []).append(n)
+    assert groups == [sorted(want[k]) for k in sorted(want)]
+
+
 def test_instants(spark):
     texts = ["1970-01-01T00:00:00Z", "2024-02-29T23:59:59.25Z", "2023-02-29T00:00:00Z", "2024-01-01T00:00:00+01:00", "2024-01-01T00:00:00-00:00", "2024-01-01 00:00:00Z", "2024-13-01T00:00:00Z", "2024-01-01T24:00:00Z", "1969-12-31T23:59:59.999999999Z", "9999-01-01T00:00:00Z", None]
     assert out(column(spark, texts), X.utc_instant_ns(F.col("x"))) == [0, 1_709_251_199_250_000_000, None, None, 1_704_067_200_000_000_000, None, None, None, -1, None, None]
