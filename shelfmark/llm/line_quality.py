@@ -1,11 +1,16 @@
 r"""Quality rules, line first, in DataFrame expressions only.
 
 Every line is judged by itself, and by how it is built rather than by its language: punctuation (no letter, or more marks
-and digits than letters), navigation (short labels between bars, a menu's word, and lines of three words at most without
-an end mark, four or more in a row), boilerplate (a copyright sign with a year, and phrases of licence, copyright and
+and digits than letters), navigation (short labels between bars, a menu's word, and short lines without an end mark, four or
+more in a row), boilerplate (a copyright sign with a year, and phrases of licence, copyright and
 cookie notices in several languages). Lines that fail are removed; a document that loses too large a part of its text, or
 has little left, is rejected.
 
+Short is what has few words and few letters: in scripts that set no spaces a line is one word, so their letters count, as
+many as few words have. An end mark is any closing or other punctuation of Unicode, but for signs that labels end with. The
+phrases of notices are a list and not learned from lines that recur: whole copies recur as well, and their lines are no
+notices; which copies there are is what near-duplicate operators find, and not known line by line.
+
 Null and empty texts have no words and are not kept. Long texts are judged whole; repeated rows get equal results; empty
 tables give empty results. Every column of the rows stays, but for those named as the results, which are replaced.
 """
@@ -31,8 +36,14 @@ BOILERPLATE = (
 BARS = ("|", "\u00bb", "\u203a", ">", "\u00b7", "\u2022", "::")
 #: A label has four words at most.
 LABEL = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,4}$"
-#: A short line has three words at most and no end mark; RUN finds those that are four or more in a row.
-SHORT = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){0,2}[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?:;,\u2026\u3002][\x20\x09-\x0D]*$"
+#: Letters of scripts that set no spaces: those of which a word has about two, and about five.
+DENSE, LONGER = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+#: No label has more letters than this.
+LONG = rf"^(?:[^{DENSE}]*+[{DENSE}]){{9}}|^(?:[^{LONGER}]*+[{LONGER}]){{21}}|^(?:\P{{L}}*+\p{{L}}){{41}}"
+#: What a line ends with that isn't a label.
+END = r"[\p{Po}\p{Pe}\p{Pf}&&[^#%&*@/\\\u00b7\u2022]]"
+#: A line of three words at most without an end mark, short if it isn't LONG; RUN finds those that are four or more in a row.
+SHORT = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,2}}[^\x20\x09-\x0D]++(?<!{END})[\x20\x09-\x0D]*+$"
 RUN = "s(?=sss)|(?<=s)s(?=ss)|(?<=ss)s(?=s)|(?<=sss)s"
 NOTICE = r"(?:\(c\)|copyright)[ \t]*[12][0-9]{3}"
 
@@ -93,7 +104,7 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.3, lea
     barred = lambda x: reduce(or_, [x.contains(f" {b} ") for b in BARS])
 
     def labels(line: Column, bar: str) -> Column:
-        return line.contains(f" {bar} ") & let(F.split(line, rf"\Q {bar} \E", -1), lambda parts: (F.size(parts) >= 3) & F.forall(parts, lambda x: x.rlike(LABEL)))
+        return line.contains(f" {bar} ") & let(F.split(line, rf"\Q {bar} \E", -1), lambda parts: (F.size(parts) >= 3) & F.forall(parts, lambda x: x.rlike(LABEL) & ~x.rlike(LONG)))
 
     def fails(line: Column, run: Column, of: Column) -> Column:
         wordless = ~line.rlike(r"\p{L}") & line.rlike(r"[^\x20\x09-\x0D]")
@@ -106,7 +117,7 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.3, lea
     def add(packed: DataFrame) -> DataFrame:
         legal = let(F.lower(whole), lambda x: any_of(x, BOILERPLATE) | x.rlike(NOTICE))
         out = packed.withColumn("_lines", F.split(whole, "\n", -1))
-        short = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(SHORT), "s").otherwise("x")), "")
+        short = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(SHORT) & ~x.rlike(LONG), "s").otherwise("x")), "")
         runs = F.when(F.size(lines) > 3, F.split(F.regexp_replace(short, RUN, "n"), "")).otherwise(F.array().cast("array<string>"))
         # what the lines are judged by is made once a text, and not in the function of a line
         failed = let(F.struct(legal.alias("legal"), barred(whole).alias("barred")), lambda of: F.zip_with(lines, runs, lambda x, run: fails(x, run, of)))

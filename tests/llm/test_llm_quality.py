@@ -1,5 +1,7 @@
 import re
+import unicodedata
 
+import regex
 from oddities import ROWS, none, odd
 from pyspark.sql import functions as F
 
@@ -21,16 +23,25 @@ def base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
 
+def ended(c):
+    return unicodedata.category(c) in ("Po", "Pe", "Pf") and c not in "#%&*@/\\\u00b7\u2022"
+
+
+def long(line):
+    dense, longer = (len(regex.findall(p, line)) for p in (r"[\p{Han}\p{Hiragana}\p{Katakana}]", r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"))
+    return dense > 8 or longer > 20 or len(regex.findall(r"\p{L}", line)) > 40
+
+
 def failing(text):
     """Which lines fail, by the rules as they are stated."""
     lines = text.split("\n")
     words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
-    short = [0 < len(w) <= 3 and w[-1][-1] not in ".!?:;,\u2026\u3002" for w in words]
+    short = [0 < len(w) <= 3 and not ended(w[-1][-1]) and not long(x) for x, w in zip(lines, words)]
     out = []
     for k, (line, w) in enumerate(zip(lines, words)):
         low, solid = line.lower(), "".join(w)
         letters = sum(c.isalpha() for c in solid)
-        bars = any(len(parts := line.split(f" {b} ")) >= 3 and all(1 <= len(re.findall(r"[^\x20\x09-\x0D]+", x)) <= 4 for x in parts) for b in M.BARS)
+        bars = any(len(parts := line.split(f" {b} ")) >= 3 and all(1 <= len(re.findall(r"[^\x20\x09-\x0D]+", x)) <= 4 and not long(x) for x in parts) for b in M.BARS)
         run = any(all(short[j : j + 4]) and len(short[j : j + 4]) == 4 for j in range(max(0, k - 3), k + 1))
         notice = any(b in low for b in M.BOILERPLATE) or re.search(r"(\(c\)|copyright)[ \t]*[12][0-9]{3}", low)
         out.append(bool((solid and 2 * letters < len(solid)) or bars or run or (len(line) <= 40 and low.strip(" ") in M.MENU) or notice))
@@ -53,6 +64,27 @@ def test_documents(spark, sf_dir):
         assert tuple(r)[1:7] == b and r["kept"] == (not b[5] and verdict(texts[r["doc_id"]])), r
 
 
+SCRIPTS = {
+    "Chinese": "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u8d70\u4e86\u4e00\u8d9f\uff01",
+    "Chinese without marks": "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u8d70\u4e86\u4e00\u8d9f",
+    "Japanese": "\u304d\u3087\u3046\u306f\u5929\u6c17\u304c\u3044\u3044\u306e\u3067\u516c\u5712\u306b\u884c\u304d\u307e\u3057\u305f\u3002",
+    "Thai": "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35\u0e21\u0e32\u0e01\u0e40\u0e23\u0e32\u0e08\u0e36\u0e07\u0e44\u0e1b\u0e40\u0e14\u0e34\u0e19\u0e40\u0e25\u0e48\u0e19\u0e43\u0e19\u0e2a\u0e27\u0e19",
+    "Hindi": "\u0906\u091c \u092e\u094c\u0938\u092e \u0905\u091a\u094d\u091b\u093e\u0964",
+}
+
+
+def test_lines_of_any_script(spark):
+    """Sentences of scripts without spaces, and with end marks of their own, stay; menus in them go."""
+    rows = [(k, "\n".join([line] * 6)) for k, line in SCRIPTS.items()]
+    menus = {"Chinese": "\u9996\u9875\n\u65b0\u95fb\n\u8054\u7cfb\u6211\u4eec\n\u767b\u5f55\n\u5e2e\u52a9", "Thai": "\u0e2b\u0e19\u0e49\u0e32\u0e41\u0e23\u0e01\n\u0e02\u0e48\u0e32\u0e27\n\u0e15\u0e34\u0e14\u0e15\u0e48\u0e2d\n\u0e40\u0e02\u0e49\u0e32\u0e2a\u0e39\u0e48\u0e23\u0e30\u0e1a\u0e1a"}
+    rows += [(f"menu {k}", x) for k, x in menus.items()]
+    got = {r["k"]: r for r in M.clean_lines(spark.createDataFrame(rows, "k string, text string")).collect()}
+    for k, text in rows:
+        assert got[k]["lost"] == (1.0 if k.startswith("menu") else 0.0), k
+        assert [x for x, gone in zip(text.split("\n"), failing(text)) if not gone] == (got[k]["clean_text"].split("\n") if got[k]["clean_text"] else []), k
+    assert got["Chinese"]["lines_kept"] and got["Thai"]["lines_kept"] and got["Hindi"]["lines_kept"]
+
+
 def test_lines(spark):
     page = "Home | News | About\nThis is a long sentence of the story that matters here.\nIt goes on for a while with many more words.\nAll rights reserved 2020\n---- 123 ----\nLogin"
     r = M.clean_lines(spark.createDataFrame([(page,)], "text string")).first()
