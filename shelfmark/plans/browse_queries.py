@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar as X
@@ -10,6 +13,10 @@ from shelfmark.operators import forest as P
 from shelfmark.operators import ingest as I
 from shelfmark.operators import tree as T
 from shelfmark.operators.browse import AssetQuery as Q
+from shelfmark.plans.project import PUBLISHED, publish
+from shelfmark.sources.clustered import Clustered
+from shelfmark.sources.search_index import SearchIndex
+from shelfmark.staging import shared_dir, staged
 
 _DAY = 86_400 * 10**9
 FROM, BEFORE = 9_000 * _DAY, 9_800 * _DAY
@@ -66,6 +73,37 @@ def _keyset(name: str, q: Q, where: str, keys: str):
     return name, run, sql
 
 
+def _stored(c):
+    """Publishes the catalogue and counts what readers then see."""
+    store = publish(c.spark, c.folder)
+    one = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.sum("asset_id" if t == "thumbnails" else "id").alias("ids")) for t in PUBLISHED]
+    return reduce(lambda a, b: a.unionByName(b), one)
+
+
+_CHANGED_PATHS = "(SELECT id, CASE WHEN id % 37 = 0 THEN search_path_key || '.2' ELSE search_path_key END AS path FROM assets WHERE id % 41 <> 0)"
+
+
+def _stored_search(c):
+    """Builds an index of all paths, changes some rows and drops others, and searches it with the changes and after they are merged."""
+    index = SearchIndex(c.spark, f"{shared_dir(c.spark)}/index-{uuid.uuid4().hex}")
+    index.build(c.assets.select("id", F.col("search_path_key").alias("text")))
+    index.change(c.assets.filter("id % 37 = 0 or id % 41 = 0").select("id", F.when(F.col("id") % 41 != 0, F.concat("search_path_key", F.lit(".2"))).alias("text")))
+    found = staged(index.search("customer#00000", "2").select("id"), "found")
+    index.merge()
+    again = index.search("customer#00000", "2").select("id")
+    return found.intersect(again)
+
+
+def _stored_page(c):
+    """The second page of a library's names from a table that is stored in their order."""
+    keys = ("library_id", "directory_path", "natural_name_key", "name", "relative_path", "id")
+    table = Clustered(c.spark, f"{shared_dir(c.spark)}/assets-{uuid.uuid4().hex}", keys, 1000)
+    table.write(c.assets)
+    first = table.page(40, prefix=(2,)).collect()
+    page = table.page(51, tuple(first[39][k] for k in keys) if len(first) >= 40 else None, (2,))
+    return B.numbered(page if len(first) >= 40 else page.limit(0), *map(F.col, keys)).select("id", "library_id", "relative_path", "pos")
+
+
 #: Stems of names in several scripts: marks, case, width, letters that expand, signs, digits of other scripts.
 _STEMS = ("Bild ", "bild ", "BILD 0", "Bild 00", "Ära ", "ara ", "A\u0308ra ", "Straße ", "STRASSE ", "Ｂｉｌｄ ", "Ωμέγα ", "ωμεγα ", "Яблоко ", "яблоко ", "ёлка ", "елка ", "上海 ", "カメラ ", "かめら ", "صورة ", "Bild ٣", "bild_", "bild-", "Œuvre ", "oeuvre ", "ñu ", "nu ", "z ")
 _MIXED = f"(SELECT id, list_extract([{', '.join(repr(x) for x in _STEMS)}], CAST(id % {len(_STEMS)} + 1 AS INT)) || CAST(id // 3 % 1200 AS VARCHAR) || CASE WHEN id % 5 = 0 THEN '.jpg' WHEN id % 5 = 1 THEN '.JPG' ELSE '' END AS name FROM assets)"
@@ -141,6 +179,9 @@ ENTRIES = [
     *[(f"delivery_state_{v}", lambda c, v=v: B.delivery_state(c, v), f"SELECT a.id, CASE WHEN {('false', 'kind <> ' + chr(39) + 'video' + chr(39) + ' OR coalesce(duration_ms < 2000, true)')[v == 'storyboard']} THEN 'not_eligible' WHEN l.status = 'offline' THEN 'offline' WHEN t.status IN ('ready', 'failed') THEN t.status WHEN j.status = 'running' THEN 'running' ELSE 'queued' END AS state FROM assets a JOIN libraries l ON l.id = a.library_id LEFT JOIN thumbnails t ON t.asset_id = a.id AND t.variant = '{v}' LEFT JOIN media_jobs j ON j.asset_id = a.id AND j.variant = '{v}'") for v in ("grid", "storyboard")],
     ("asset_invariant_check", lambda c: B.violations(B.with_state(c, c.assets)).select("id", "probe_status", "thumbnail_status"), f"SELECT id, probe_status, thumbnail_status FROM ({_STATE}) WHERE NOT (CASE probe_status WHEN 'pending' THEN probe_error_code IS NULL WHEN 'ready' THEN coalesce(width >= 1 AND height >= 1, false) AND probe_error_code IS NULL ELSE probe_error_code IS NOT NULL END AND CASE thumbnail_status WHEN 'pending' THEN thumbnail_error_code IS NULL WHEN 'ready' THEN probe_status = 'ready' AND thumbnail_error_code IS NULL ELSE thumbnail_error_code IS NOT NULL END)"),
     ("fingerprint_match", lambda c: c.thumbnails.join(c.assets.select(F.col("id").alias("asset_id"), "size_bytes", "mtime_ns"), "asset_id").select("asset_id", "variant", (F.col("source_fingerprint") == X.source_fingerprint(F.col("size_bytes"), F.col("mtime_ns"))).alias("matches")), "SELECT asset_id, variant, t.source_fingerprint = 'v1:' || size_bytes || ':' || mtime_ns AS matches FROM thumbnails t JOIN assets a ON a.id = asset_id"),
+    ("stored_catalogue", _stored, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM {t}" for t in ("libraries", "directories", "assets", "media_jobs", "scan_runs")) + " UNION ALL SELECT 'thumbnails', count(*), CAST(sum(asset_id) AS BIGINT) FROM thumbnails"),
+    ("stored_search", _stored_search, f"SELECT id FROM {_CHANGED_PATHS} WHERE contains(path, 'customer#00000') AND contains(path, '2')"),
+    ("stored_page", _stored_page, f"SELECT id, library_id, relative_path, n - 40 AS pos FROM (SELECT *, row_number() OVER (ORDER BY {_NAME}) AS n FROM assets WHERE library_id = 2) WHERE n > 40 AND n <= 91"),
     ("natural_order", lambda c: B.numbered(_mixed(c).orderBy("key", "name", "id").limit(2001), F.col("key"), F.col("name"), F.col("id")).select("id", "name", "pos"), f"SELECT id, name, row_number() OVER (ORDER BY {_WEIGHTS}, name, id) AS pos FROM {_MIXED} ORDER BY pos LIMIT 2001"),
     ("natural_order_groups", lambda c: _mixed(c).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least_id")).select("n", "least_id"), f"SELECT count(*) AS n, min(id) AS least_id FROM {_MIXED} GROUP BY {_WEIGHTS}"),
     ("keyset_natural", _natural_page, f"SELECT id, name, n - 1500 AS pos FROM (SELECT id, name, row_number() OVER (ORDER BY {_WEIGHTS}, name, id) AS n FROM {_MIXED}) WHERE n > 1500 AND n <= 1500 + 201"),

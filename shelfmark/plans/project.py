@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,40 @@ from pyspark.sql import functions as F
 
 from shelfmark import schema as S
 from shelfmark.functions import scalar as X
+from shelfmark.sources.snapshots import Snapshots
+from shelfmark.staging import shared_dir
 
 _EXT = list(S.FORMATS)
 
 
+#: Tables that are published, and what a file of each is ordered by.
+PUBLISHED = {
+    "libraries": ["id"], "directories": ["library_id", "relative_path"], "assets": ["library_id", "directory_path", "natural_name_key", "name", "id"],
+    "thumbnails": ["last_accessed_at_ms", "asset_id", "variant"], "media_jobs": ["id"], "scan_runs": ["id"],
+}
+_IN_USE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def publish(spark: SparkSession, folder: str) -> Snapshots:
+    """The folder's catalogue as stored, ordered tables, published as one generation."""
+    store = Snapshots(spark, f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}")
+    c = Catalogue(spark, folder, {})
+    store.publish({name: getattr(c, name) for name in PUBLISHED}, 0, sort=PUBLISHED)
+    return store
+
+
+def use(spark: SparkSession, folder: str, store: Snapshots) -> None:
+    """From now on this session's queries on the folder read what the store has published."""
+    _IN_USE[spark.sparkContext.applicationId, folder] = {name: store.read(name) for name in PUBLISHED}
+
+
 class Catalogue:
-    """Tables of a folder; each is a plan, read when it is used."""
+    """Tables of a folder; each is a plan, read when it is used: what is published for the folder, or else derived."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, stored: dict[str, DataFrame] | None = None):
         self.spark, self.folder = spark, folder
+        # cached properties give way to what is there already
+        self.__dict__.update(_IN_USE.get((spark.sparkContext.applicationId, folder), {}) if stored is None else stored)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

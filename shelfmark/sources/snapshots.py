@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class Conflict(Exception):
@@ -30,29 +31,30 @@ class Snapshots:
     def manifest(self, revision: int | None = None) -> dict:
         revision = self.revision() if revision is None else revision
         if not revision:
-            return {"revision": 0, "content_revision": 0, "generation": 0, "tables": {}}
+            return {"revision": 0, "content_revision": 0, "generation": 0, "tables": {}, "schemas": {}}
         text = self.spark.read.text(f"{self.folder}/manifests/{revision}.json", wholetext=True).first()[0]
         return json.loads(text)
 
     def read(self, table: str) -> DataFrame:
-        entry = self.manifest()["tables"][table]
-        return self.spark.read.parquet(f"{self.folder}/{entry}")
+        now = self.manifest()
+        return self.spark.read.schema(T.StructType.fromJson(now["schemas"][table])).parquet(f"{self.folder}/{now['tables'][table]}")
 
-    def publish(self, tables: dict[str, DataFrame], expected: int, full: bool = True, sort: dict[str, list[str]] | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], expected: int, full: bool = True, sort: dict[str, list[str]] | None = None, by: dict[str, list[str]] | None = None) -> int:
         """Writes the tables and makes them current if `expected` still is; else raises Conflict. full: a whole scan, which moves the generation; else only the content revision moves.
 
-        Tables that are not given stay. sort: columns that a table's files are ordered by, so that scans skip row groups.
+        Tables that are not given stay. sort: columns that a table's files are ordered by, so that scans skip row groups. by: columns
+        that a table's folders are named by, so that scans skip files.
         """
         old = self.manifest()
         if old["revision"] != expected:
             raise Conflict(f"revision is {old['revision']}, not {expected}")
-        new = {"revision": expected + 1, "content_revision": old["content_revision"] + 1, "generation": old["generation"] + full, "tables": dict(old["tables"])}
+        new = {"revision": expected + 1, "content_revision": old["content_revision"] + 1, "generation": old["generation"] + full, "tables": dict(old["tables"]), "schemas": dict(old["schemas"])}
         for name, df in tables.items():
             at = f"{name}-{uuid.uuid4().hex}"
             if keys := (sort or {}).get(name):
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            df.write.parquet(f"{self.folder}/{at}")
-            new["tables"][name] = at
+            df.write.partitionBy(*(by or {}).get(name, [])).parquet(f"{self.folder}/{at}")
+            new["tables"][name], new["schemas"][name] = at, df.schema.jsonValue()  # a table without rows has no file to tell its schema
         self._put(new)
         return new["revision"]
 
