@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, for what is run inside: rows that hold whole sets or vectors are large, and a batch of them is held twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def rekeyed(df: DataFrame, key: str) -> DataFrame:
     """df with the same whole-number key as a new expression: a join on it shuffles df anew, so that adaptive execution may split the other side's hot keys, which it can't beside an aggregate that is in place."""
     return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import rekeyed, table, written
+from shelfmark.llm.common import batches_of, rekeyed, table, written
 from shelfmark.llm.components import components
 from shelfmark.llm.textvec import mixed, shingles, words
 
@@ -46,7 +46,7 @@ class Params:
     permutations: int = 108
     rows: int = 5
     small: int = 24
-    rounds: int = 4
+    rounds: int = 2
     block: int = 1024
     seed: int = 11
 
@@ -263,6 +263,11 @@ def _meeting(left: DataFrame, turn: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params = Params()) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row of docs."""
+    with batches_of(docs.sparkSession, p.block):
+        return _near_duplicates(docs, text, key, p)
+
+
+def _near_duplicates(docs: DataFrame, text: str, key: str, p: Params) -> DataFrame:
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     run, schema = _sketch(p)
     sketch = written(source.mapInArrow(run, schema), "sketch")
