@@ -29,7 +29,7 @@ def difference(assets: DataFrame, listing: DataFrame) -> DataFrame:
 def merge(assets: DataFrame, listing: DataFrame, generation: int, first_id: int | None = None) -> DataFrame:
     """The next asset rows. A path keeps its id; what was learned from a file goes when its fingerprint changes. Rows that the listing lacks stay, as they were seen last.
 
-    New ids follow the largest one in the order of library, directory and path. They are numbered in three levels (spans
+    New ids follow the largest one, or begin with first_id where the assets are not all there are, in the order of library, directory and path. They are numbered in three levels (spans
     of directories, directories in a span, files in a directory), so that one task sees a row per span at most.
     """
     learned = ["width", "height", "duration_ms", "probe_status", "probe_error_code"]
@@ -45,7 +45,7 @@ def merge(assets: DataFrame, listing: DataFrame, generation: int, first_id: int
     inner = groups.withColumn("inner", _before(Window.partitionBy("library_id", "span").orderBy("directory_id")))
     start = inner.join(base, ["library_id", "span"]).select("library_id", "directory_id", (F.col("base") + F.col("inner")).alias("start"))
     numbered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("library_id", "directory_id").orderBy("relative_path"))).join(start, ["library_id", "directory_id"])
-    top = assets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = assets.sparkSession.range(1).select(F.lit(first_id - 1).alias("top")) if first_id is not None else assets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     ids = numbered.join(F.broadcast(top)).select(*KEY, (F.col("top") + F.col("start") + F.col("n")).cast("long").alias("new_id"))
     return out.join(ids, KEY, "left").select(F.coalesce("id", "new_id").alias("id"), *KEY, *_TAKEN, "last_seen_generation", *learned)
 

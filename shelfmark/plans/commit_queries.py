@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalar as X
@@ -11,6 +13,8 @@ from shelfmark.operators import ingest as I
 from shelfmark.operators import operations as O
 from shelfmark.operators import tree as T
 from shelfmark.plans.job_queries import _MERGE
+from shelfmark.sources.reconciled import Reconciled
+from shelfmark.staging import shared_dir
 
 NOW = 2_000_000
 _CHOICE = "list_extract([{0}], CAST({1} AS INT))"
@@ -188,6 +192,29 @@ _CHANGES = """(SELECT coalesce(n.directory_id, o.directory_id) AS directory_id,
   FROM assets o FULL JOIN listing n ON o.library_id = n.library_id AND o.relative_path = n.relative_path WHERE o.id IS NULL OR n.name IS NULL OR o.source_fingerprint <> n.source_fingerprint)"""
 
 
+def _reconciled(c):
+    """The catalogue after the running reconciles are committed with what the listing has of their directories."""
+    store = Reconciled(c.spark, f"{shared_dir(c.spark)}/reconciled-{uuid.uuid4().hex}", 16)
+    jobs = _reconciling(c).select("key", "library_id", "status", "requested_revision", "claimed_revision", "attempts", F.lit(0).cast("long").alias("available_at_ms"))
+    store.create(c.assets, c.directories, jobs, c.libraries)
+    store.commit(c.listing, 3, NOW)
+    return store.store
+
+
+def _reconciled_queue(c):
+    store = _reconciled(c)
+    jobs = store.read("jobs").select(F.lit("job").alias("kind"), F.col("key").alias("id"), F.col("status").alias("state"), F.col("attempts").cast("long").alias("n"))
+    return jobs.unionByName(store.read("libraries").select(F.lit("library").alias("kind"), "id", F.lit("content_revision").alias("state"), F.col("content_revision").alias("n")))
+
+
+_AFTER = f""",
+asked AS (SELECT key FROM {_JOBS} WHERE status = 'running'),
+here AS (SELECT n.*, o.id AS old_id, o.source_fingerprint = n.source_fingerprint AS same, o.probe_status AS old_status, o.width AS old_width FROM listing n LEFT JOIN assets o USING (library_id, relative_path) WHERE n.directory_id IN (SELECT key FROM asked)),
+now AS (
+  SELECT id, library_id, directory_id, relative_path, source_fingerprint, probe_status, width, last_seen_generation FROM assets WHERE directory_id NOT IN (SELECT key FROM asked)
+  UNION ALL SELECT coalesce(old_id, (SELECT max(id) FROM assets) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY library_id, directory_id, relative_path)), library_id, directory_id, relative_path, source_fingerprint, CASE WHEN coalesce(same, false) THEN old_status ELSE 'pending' END, CASE WHEN same THEN old_width END, 3 FROM here)"""
+
+
 def _found(c):
     d = c.directories.filter("id < 2000000 or id % 3 <> 0")
     new = c.directories.filter("id >= 10000000 and id % 5 = 0").select("library_id", F.concat("relative_path", F.lit("/new")).alias("relative_path"))
@@ -357,6 +384,23 @@ ENTRIES = [
         FROM {_JOBS} j LEFT JOIN (SELECT directory_id, count(*) FILTER (change = 'new') AS a, count(*) FILTER (change = 'removed') AS r, count(*) FILTER (change = 'changed') AS x FROM {_CHANGES} GROUP BY 1) d ON d.directory_id = j.key
         WHERE status = 'running'""",
     ),
+    (
+        "reconciled_assets",
+        lambda c: _reconciled(c).read("assets").select("id", "library_id", "directory_id", "relative_path", "source_fingerprint", "probe_status", "width", "last_seen_generation"),
+        f"{_AFTER} SELECT id, library_id, directory_id, relative_path, source_fingerprint, probe_status, width, last_seen_generation FROM now",
+    ),
+    (
+        "reconciled_counts",
+        lambda c: _reconciled(c).read("counts"),
+        f"""{_AFTER}, up(id, n) AS (SELECT directory_id, count(*) FROM now GROUP BY 1 UNION ALL SELECT d.parent_id, n FROM up JOIN directories d ON d.id = up.id WHERE d.parent_id IS NOT NULL)
+        SELECT d.id, (SELECT count(*) FROM now WHERE directory_id = d.id) AS direct_count, CAST(coalesce((SELECT sum(n) FROM up WHERE up.id = d.id), 0) AS BIGINT) AS recursive_count FROM directories d""",
+    ),
+    (
+        "reconciled_queue",
+        _reconciled_queue,
+        f"""SELECT 'job' AS kind, key AS id, status AS state, CAST(attempts AS BIGINT) AS n FROM {_JOBS} WHERE status <> 'running' UNION ALL SELECT 'job', key, 'queued', 0 FROM {_JOBS} WHERE status = 'running' AND requested_revision <> claimed_revision
+        UNION ALL SELECT 'library', l.id, 'content_revision', (SELECT count(*) FROM {_JOBS} j WHERE j.library_id = l.id AND status = 'running' AND key IN (SELECT directory_id FROM {_CHANGES})) FROM libraries l""",
+    ),
     (
         "requested_vs_claimed",
         lambda c: C.committed_reconciles(_reconciling(c), _changes(c), NOW).groupBy("library_id", "outcome").agg(F.count("*").alias("n"), F.sum("content_increment").alias("content_increments")),

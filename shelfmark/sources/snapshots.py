@@ -37,22 +37,41 @@ class Snapshots:
 
     def read(self, table: str) -> DataFrame:
         now = self.manifest()
-        return self.spark.read.schema(T.StructType.fromJson(now["schemas"][table])).parquet(f"{self.folder}/{now['tables'][table]}")
+        return self._at(now, table, None)
 
-    def publish(self, tables: dict[str, DataFrame], expected: int, full: bool = True, sort: dict[str, list[str]] | None = None, by: dict[str, list[str]] | None = None) -> int:
+    def slots(self, table: str, slots: set[int]) -> DataFrame:
+        """Some slots of a table in slots, as read gives the whole."""
+        return self._at(self.manifest(), table, slots)
+
+    def _at(self, now: dict, table: str, slots: set[int] | None) -> DataFrame:
+        schema, at = T.StructType.fromJson(now["schemas"][table]), now["tables"][table]
+        if isinstance(at, str):
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{at}")
+        paths = [f"{self.folder}/{folder}" for slot, folder in at.items() if slots is None or int(slot) in slots]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def publish(self, tables: dict[str, DataFrame], expected: int, full: bool = True, sort: dict[str, list[str]] | None = None, by: dict[str, list[str]] | None = None, touched: dict[str, set[int]] | None = None, notes: dict | None = None) -> int:
         """Writes the tables and makes them current if `expected` still is; else raises Conflict. full: a whole scan, which moves the generation; else only the content revision moves.
 
         Tables that are not given stay. sort: columns that a table's files are ordered by, so that scans skip row groups. by: columns
-        that a table's folders are named by, so that scans skip files.
+        that a table's folders are named by, so that scans skip files. touched: of tables in slots (by their column `slot`,
+        which isn't read back) those slots that the rows replace; the files of all others stay as they are and are not read.
+        notes: what else the manifest is to hold.
         """
         old = self.manifest()
         if old["revision"] != expected:
             raise Conflict(f"revision is {old['revision']}, not {expected}")
-        new = {"revision": expected + 1, "content_revision": old["content_revision"] + 1, "generation": old["generation"] + full, "tables": dict(old["tables"]), "schemas": dict(old["schemas"])}
+        new = {"revision": expected + 1, "content_revision": old["content_revision"] + 1, "generation": old["generation"] + full, "tables": dict(old["tables"]), "schemas": dict(old["schemas"]), "notes": old.get("notes", {}) | (notes or {})}
         for name, df in tables.items():
             at = f"{name}-{uuid.uuid4().hex}"
             if keys := (sort or {}).get(name):
                 df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            if touched is not None and name in touched:
+                df.write.partitionBy("slot").parquet(f"{self.folder}/{at}")
+                found = {s.getPath().getName().removeprefix("slot=") for s in self.fs.listStatus(self.path(f"{self.folder}/{at}")) if s.isDirectory()}
+                kept = {s: f for s, f in (old["tables"].get(name) or {}).items() if int(s) not in touched[name]}
+                new["tables"][name], new["schemas"][name] = kept | {s: f"{at}/slot={s}" for s in found}, df.drop("slot").schema.jsonValue()
+                continue
             df.write.partitionBy(*(by or {}).get(name, [])).parquet(f"{self.folder}/{at}")
             new["tables"][name], new["schemas"][name] = at, df.schema.jsonValue()  # a table without rows has no file to tell its schema
         self._put(new)
