@@ -14,28 +14,38 @@ from shelfmark.llm import language_bitmask, minmax_dedup, piece_sampling, source
 from shelfmark.llm.common import table, written
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark sends 1,024 rows to a Python worker at once: texts are long, and a batch of them is held by both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that the labelled ones teach."""
+    small_batches(spark)
     return language_bitmask.with_language(docs, language_bitmask.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words, similarity 0.8."""
+    small_batches(spark)
     return minmax_dedup.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by its kind in brackets."""
+    small_batches(spark)
     return span_crf.redacted(docs, span_crf.fit(docs))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return source_mix.mixed_rows(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, pieces, decoded_sha256, lossless) of every document."""
+    small_batches(spark)
     return piece_sampling.encode(docs, check=True)
 
 
