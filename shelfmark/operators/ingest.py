@@ -38,7 +38,7 @@ def merge(assets: DataFrame, listing: DataFrame, generation: int, first_id: int
     same = F.col("old_source_fingerprint").eqNullSafe(F.col("source_fingerprint")) | F.col("listed").isNull()
     out = both.withColumns({c: F.when(same, F.col(c)) for c in learned if c != "probe_status"} | {"probe_status": F.when(same, F.col("probe_status")).otherwise("pending")})
     out = out.withColumns({c: F.coalesce(c, f"old_{c}") for c in _TAKEN} | {"last_seen_generation": F.when(F.col("listed"), F.lit(generation)).otherwise(F.col("last_seen_generation"))})
-    fresh = out.filter("id is null").select(*KEY, "directory_id")
+    fresh = listing.join(assets.select(*KEY), KEY, "left_anti").select(*KEY, "directory_id")  # keys alone: the whole rows are joined once
     groups = fresh.groupBy("library_id", "directory_id").count().withColumn("span", F.floor(F.col("directory_id") / SPAN))
     spans = groups.groupBy("library_id", "span").agg(F.sum("count").alias("count"))
     base = spans.select("library_id", "span", _before(Window.orderBy("library_id", "span")).alias("base"))

@@ -66,7 +66,7 @@ def _place(marks: list[int], value: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= value, at + step).otherwise(at))
 
 
-def eviction(thumbnails: DataFrame, target: int, spans: int = 1024) -> DataFrame:
+def eviction(thumbnails: DataFrame, target: int, spans: int = 256) -> DataFrame:
     """The least recently used ready rows whose removal brings the cache to its target, in order of access, asset and variant.
 
     The running sum is taken in two levels over spans of access time, so that no task orders the whole cache. Accesses
@@ -75,7 +75,7 @@ def eviction(thumbnails: DataFrame, target: int, spans: int = 1024) -> DataFrame
     """
     ready = thumbnails.filter("status = 'ready'").select("asset_id", "variant", "last_accessed_at_ms", "byte_size")
     used = ready.agg(F.sum("byte_size").alias("used"))
-    marks = ready.agg(F.percentile_approx("last_accessed_at_ms", [i / spans for i in range(1, spans)], 10 * spans)).first()[0] or []
+    marks = ready.agg(F.percentile_approx("last_accessed_at_ms", [i / spans for i in range(1, spans)], 16 * spans)).first()[0] or []
     laid = ready.filter("last_accessed_at_ms is not null").join(F.broadcast(used)).withColumn("span", _place(sorted(set(marks)), F.col("last_accessed_at_ms")))
     before = laid.groupBy("span").agg(F.sum("byte_size").alias("b")).withColumn("offset", F.coalesce(F.sum("b").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("span", "offset")
     inside = Window.partitionBy("span").orderBy("last_accessed_at_ms", "asset_id", "variant").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,23 +1,32 @@
-"""A directory tree as a table: a Python data source that lists files without following links, one task per top directory."""
+"""A directory tree as a table, without following links.
+
+A whole tree is walked in rounds. In a round the directories that are still to be listed are dealt over all tasks; a task
+goes on below what it was dealt until it has listed its share of entries, and hands back the directories that it has not
+come to. So one deep or crowded folder is shared by all tasks from the second round on, and a flat tree is done in one. A
+round is a staged table: a lost executor costs that round's listing. One directory's own entries are a data source.
+"""
 
 from __future__ import annotations
 
 import os
 import stat
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shelfmark import schema as S
 from shelfmark.functions import scalar as X
+from shelfmark.staging import staged
 
 MAX_ENTRIES = 2_048
 
 
-class Top(InputPartition):
-    def __init__(self, relative: str, recursive: bool):
-        self.relative, self.recursive = relative, recursive
+class One(InputPartition):
+    """The root and its own entries."""
 
 
 def _row(root: str, relative: str):
@@ -35,34 +44,21 @@ def _row(root: str, relative: str):
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
-        self.recursive = str(options.get("recursive", "true")).lower() == "true"
         self.identity = root_identity(self.root)
 
     def partitions(self):
-        tops = sorted(e.name for e in os.scandir(self.root))
-        return [Top("", False), *[Top(t, True) for t in tops if self.recursive]] if self.recursive else [Top("", False)]
+        return [One(None)]
 
     def read(self, partition):
         if root_identity(self.root) != self.identity:
             raise RuntimeError("the root was replaced")
-        if partition.relative == "":
-            info = os.lstat(self.root)
-            yield ("directory", "", "", "", info.st_mtime_ns, 0, None)
-            names = sorted(e.name for e in os.scandir(self.root))
-            if not self.recursive and len(names) > MAX_ENTRIES:
-                raise RuntimeError("too many entries")
-            for name in names if not self.recursive else ():
-                yield _row(self.root, name)[0]
-            return
-        todo = [partition.relative]
-        while todo:
-            relative = todo.pop()
-            row, below = _row(self.root, relative)
-            yield row
-            if below:
-                todo += sorted((f"{relative}/{e.name}" for e in os.scandir(os.path.join(self.root, relative))), reverse=True)
-        if root_identity(self.root) != self.identity:
-            raise RuntimeError("the root was replaced")
+        info = os.lstat(self.root)
+        yield ("directory", "", "", "", info.st_mtime_ns, 0, None)
+        names = sorted(e.name for e in os.scandir(self.root))
+        if len(names) > MAX_ENTRIES:
+            raise RuntimeError("too many entries")
+        for name in names:
+            yield _row(self.root, name)[0]
 
 
 class TreeSource(DataSource):
@@ -82,10 +78,60 @@ def root_identity(path: str) -> tuple[int, int]:
     return info.st_dev, info.st_ino
 
 
-def walk(spark, path: str, recursive: bool = True) -> DataFrame:
-    """Every entry below path, the root first; skipped entries say why. The path must be one that all executors see."""
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("directory_tree").option("recursive", str(recursive).lower()).load(path)
+#: Entries that a task lists in one round, about.
+SHARE = 20_000
+
+
+def walk(spark, path: str, recursive: bool = True, share: int = SHARE, tasks: int | None = None) -> DataFrame:
+    """Every entry below path and the root; skipped entries say why. The path must be one that all executors see. A whole tree is walked when this is called; a RuntimeError says that the root was replaced meanwhile."""
+    if not recursive:
+        spark.dataSource.register(TreeSource)
+        return spark.read.format("directory_tree").option("recursive", "false").load(path)
+    identity, tasks = root_identity(path), tasks or 4 * spark.sparkContext.defaultParallelism
+    info = os.lstat(path)
+    root = spark.createDataFrame([("directory", "", "", "", info.st_mtime_ns, 0, None)], S.LISTING)
+    done, left = [root], spark.createDataFrame([("",)], "relative_path string")
+    while True:
+        found = staged(left.repartition(tasks).mapInArrow(_below(path, identity, share), T.StructType([*S.LISTING.fields, T.StructField("pending", T.BooleanType())])), "walk")
+        done.append(found.filter("not pending").drop("pending"))
+        left = found.filter("pending").select("relative_path")
+        if left.isEmpty():
+            if root_identity(path) != identity:
+                raise RuntimeError("the root was replaced")
+            return reduce(DataFrame.unionByName, done)
+
+
+def _below(root: str, identity: tuple[int, int], share: int):
+    """What lies below directories: their entries, and as pending the directories that a task has not come to."""
+    names = [f.name for f in S.LISTING.fields]
+
+    def run(batches):
+        if root_identity(root) != identity:
+            raise RuntimeError("the root was replaced")
+        listed = 0
+        for batch in batches:
+            todo, out = batch.column(0).to_pylist()[::-1], []
+            while todo and listed < share:
+                above = todo.pop()
+                for e in os.scandir(os.path.join(root, above)):
+                    row, below = _row(root, f"{above}/{e.name}" if above else e.name)
+                    out.append((*row, False))
+                    listed += 1
+                    if below:
+                        todo.append(row[1])
+                if len(out) >= 8192:
+                    yield _batch(out, names)
+                    out = []
+            out += [("directory", relative, None, None, None, None, None, True) for relative in todo]
+            if out:
+                yield _batch(out, names)
+
+    return run
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64() if n in ("mtime_ns", "size_bytes") else pa.string() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [*kinds, pa.bool_()], strict=True)], names=[*names, "pending"])
 
 
 def classified(entries: DataFrame) -> DataFrame:

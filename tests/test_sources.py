@@ -27,6 +27,37 @@ def test_walk(spark, root):
     assert skipped == {"@eaDir": "system_directory", ".Trash": "system_directory", "album/nested/notes.txt": "unsupported", "vector.svg": "unsupported", "link.webp": "link"}
 
 
+def test_deep_and_single(spark, tmp_path):
+    """A root with a single child that holds all: it is walked by many tasks, in rounds, each entry once."""
+    top, want = tmp_path / "only", set()
+    for a in range(12):
+        for b in range(6):
+            (top / f"a{a}" / f"b{b}").mkdir(parents=True)
+            for f in range(5):
+                (top / f"a{a}" / f"b{b}" / f"f{f}.jpg").touch()
+    deep = top
+    for k in range(60):
+        deep = deep / f"d{k}"
+        deep.mkdir()
+    for p in tmp_path.rglob("*"):
+        want.add(str(p.relative_to(tmp_path)))
+    rounds = []
+    plain = walker.staged
+    walker.staged = lambda df, name: rounds.append(plain(df.withColumn("task", F.spark_partition_id()), name)) or rounds[-1].drop("task")
+    try:
+        rows = [r["relative_path"] for r in walker.walk(spark, str(tmp_path), share=20, tasks=8).collect()]
+    finally:
+        walker.staged = plain
+    assert sorted(rows) == sorted(want | {""})
+    tasks = rounds[0].unionByName(rounds[1])
+    for r in rounds[2:]:
+        tasks = tasks.unionByName(r)
+    assert tasks.filter("not pending").select("task").distinct().count() >= 6
+    assert max(r["count"] for r in tasks.filter("not pending").groupBy("task").count().collect()) < len(want) / 2
+    with pytest.raises(FileNotFoundError):
+        walker.walk(spark, str(tmp_path / "nowhere"))
+
+
 def test_counts(spark, root):
     rows = walker.classified(walker.walk(spark, str(root))).filter("skipped is null")
     key = F.xxhash64("relative_path")
