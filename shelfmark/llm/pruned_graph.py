@@ -219,7 +219,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 def index(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per shard of usable vectors (vec_id, embedding): its vectors, ids, graph and entry."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    points = vectors.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= p.k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    points = vectors.distinct().withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= p.k + 1).groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     points = written(points.withColumn("dim", F.size("embedding")), "points")
     rows = F.greatest(F.lit(p.shard_rows), F.least(F.lit(p.shard_most), F.ceil(F.count("*") / p.shards)))
     shards = points.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias("shards"))
