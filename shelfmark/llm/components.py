@@ -11,12 +11,7 @@ from shelfmark.llm.common import rekeyed, written
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links(a, b); label is the smallest node of the component. Loops and repeated links are allowed."""
     now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**40))), F.lit(0))).first())
-        if state == before or not state[0]:
-            break
-        before = state
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(rekeyed(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -24,3 +19,9 @@ def components(links: DataFrame) -> DataFrame:
         star = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = written(star.distinct(), "links")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every node that points to another points to one, which points to none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)").isEmpty()

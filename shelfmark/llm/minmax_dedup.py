@@ -13,8 +13,8 @@ Documents with equal sets are one node from the start. Inside a bucket a hub is
 the hub does not link compete again in the next round. Distances are 1 - Jaccard, a metric: what links to a linked
 member of the hub is at most twice the threshold from the hub, so pairs that no hub decides lie in components that
 such grey pairs meet. Of the sets of these components those stay that share one of their rarest shingles (as many as a link
-may leave out, and one more) with another component, as two that are linked must; components that do are compared in full,
-block by block, and give a spanning forest of their links. A bucket's size is thus never capped, and no bucket emits all
+may leave out, and one more) with another component, as two that are linked must; those that do are grouped by the least of the
+components, compared block by block, and give a spanning forest of their links. A bucket's size is thus never capped, and no bucket emits all
 its pairs.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Texts may be of any length.
@@ -47,7 +47,7 @@ class Params:
     rows: int = 5
     small: int = 24
     rounds: int = 2
-    block: int = 1024
+    block: int = 512
     seed: int = 11
 
     @property
@@ -230,7 +230,7 @@ def undecided(grey: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) ->
 
     Two sets that are linked share one of the rarest shingles of either; those of one component alone can't be shared
     across components, and come first in the order of rareness. Only sets that do share one with another component stay;
-    components that share such ones make a group, whose sets are compared by blocks.
+    a group is named by the least component of a shared shingle, has all that share such a one, and is compared by blocks.
     """
     named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")), k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
     apart = written(named(named(grey, "a"), "b").filter("la <> lb").select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "grey")
@@ -240,10 +240,8 @@ def undecided(grey: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) ->
     ends = [F.count("*").alias("held"), F.min("label").alias("low"), F.max("label").alias("high")]
     across = every.groupBy("shingle").agg(*ends).filter("low <> high").select("shingle", "held")
     rare = written(rarest(every, across, p).select("shingle", "node", "label"), "rare")
-    lists = rare.groupBy("shingle").agg(*ends).filter("low <> high").select("shingle", "low")
-    touching = written(rare.join(rekeyed(lists, "shingle"), "shingle").select("node", "label", "low"), "touching")
-    group = components(touching.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct()).withColumnRenamed("node", "of").withColumnRenamed("label", "group")
-    met = touching.select("node", "label").distinct().join(group, F.col("label") == F.col("of")).select("node", "group")
+    lists = rare.groupBy("shingle").agg(*ends).filter("low <> high").select("shingle", F.col("low").alias("group"))
+    met = rare.join(rekeyed(lists, "shingle"), "shingle").select("node", "group").distinct()
     met = written(rekeyed(met, "node").join(member, "node").select("group", "node", "label", "set"), "met")
     count = met.groupBy("group").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
     laid = rekeyed(met, "group").join(count, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -295,8 +293,12 @@ def _near_duplicates(docs: DataFrame, text: str, key: str, p: Params) -> DataFra
         grey = grey.unionByName(met.filter("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
     labels = written(components(links), "labels")
     more = written(undecided(grey.distinct(), labels, sets, p), "more")
-    if not more.isEmpty():
-        labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
+    if not more.isEmpty():  # these join whole components, so that their labels alone are relabelled
+        of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+        ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        above = written(components(ends).select(F.col("node").alias("label"), F.col("label").alias("least")), "above")
+        lone = above.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("least").alias("label"))
+        labels = written(labels.join(above, "label", "left").select("node", F.coalesce("least", "label").alias("label")).unionByName(lone), "labels")
     own = sketch.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.groupBy("label").agg(F.min("id").alias("component_id"))
     named = own.join(least, "label").select("node", "component_id")
