@@ -264,8 +264,10 @@ def _results(c):
 
 
 _NAMES = ", ".join(f"'{x}'" for x in [*C.RESULTS, "something_else"])
-_WHEN = " ".join(f"WHEN p = '{k}' THEN '{o}'" for k, (o, _) in C.RESULTS.items())
-_CODE = " ".join(f"WHEN p = '{k}' THEN {repr(c) if c else 'NULL'}" for k, (_, c) in C.RESULTS.items())
+#: What ends a job, as it is specified: stale, for good, or to be tried again, with its code.
+_CLASSES = """(VALUES ('source_changed', 'stale', NULL), ('storyboard_not_eligible', 'stale', NULL), ('invalid_media', 'permanent', 'invalid_media'), ('unsupported_media', 'permanent', 'unsupported_media'),
+  ('source_too_large', 'permanent', 'media_processing_failed'), ('storyboard_budget_exhausted', 'permanent', 'timeout'), ('deadline_exceeded', 'retry', 'timeout'), ('processing_timed_out', 'retry', 'timeout'),
+  ('source_unavailable', 'retry', 'source_unavailable'), ('publish_failed', 'retry', 'cache_unavailable'), ('cache_capacity', 'retry', 'cache_unavailable')) t(problem, outcome, code)"""
 _THUMBS = "SELECT asset_id, variant, library_id, status, error_code, byte_size, last_accessed_at_ms, source_fingerprint, frame_count FROM thumbnails t"
 _PATHED = "(SELECT asset_id, variant, status, source_fingerprint, last_accessed_at_ms, byte_size, 'libraries/lib_' || library_id || '/' || substr(h, 1, 2) || '/' || h || '.webp' AS cache_path FROM (SELECT *, sha256(asset_id || chr(0) || variant || chr(0) || source_fingerprint || chr(0) || '1') AS h FROM thumbnails))"
 
@@ -459,7 +461,8 @@ ENTRIES = [
     (
         "job_result_class",
         _results,
-        f"""SELECT id, CASE WHEN p IS NULL THEN 'succeeded' {_WHEN} ELSE 'retry' END AS outcome, CASE WHEN p IS NULL THEN NULL {_CODE} ELSE 'media_processing_failed' END AS code,
-        CASE WHEN p IS NOT NULL AND NOT (CASE {_WHEN} ELSE 'retry' END <> 'retry') THEN 5000 END AS delay_ms FROM (SELECT id, CASE WHEN id % 14 <> 0 THEN {_CHOICE.format(_NAMES, f"id % {len(C.RESULTS) + 1} + 1")} END AS p FROM media_jobs)""",
+        f"""SELECT id, CASE WHEN p IS NULL THEN 'succeeded' ELSE coalesce(outcome, 'retry') END AS outcome, CASE WHEN p IS NULL THEN NULL WHEN outcome IS NULL THEN 'media_processing_failed' ELSE code END AS code,
+        CASE WHEN p IS NOT NULL AND coalesce(outcome, 'retry') = 'retry' THEN 5000 END AS delay_ms
+        FROM (SELECT id, CASE WHEN id % 14 <> 0 THEN {_CHOICE.format(_NAMES, f"id % {len(C.RESULTS) + 1} + 1")} END AS p FROM media_jobs) LEFT JOIN {_CLASSES} ON problem = p""",
     ),
 ]

@@ -53,9 +53,27 @@ _FALLBACK_OF_ALL = f", {_STEP.format(_EACH)} SELECT library_id, action, code, co
 
 ENTRIES = [
     ("debounce", lambda c: D.bursts(_changes(c), QUIET, CAP), _STEPS),
-    ("watch_source", lambda c: D.watch_actions(_raw(c)), ", w AS (SELECT id % 3 + 1 AS library_id, 'd' || id % 7 AS d, id % 5 AS e, id % 2 = 0 AS is_directory FROM system_events) SELECT library_id, CASE WHEN e IN (3, 4) THEN '' ELSE d END AS directory, CASE e WHEN 3 THEN 'overflow' WHEN 4 THEN 'invalidated' ELSE 'dirty' END AS kind FROM w WHERE e <> 0 OR is_directory"),
+    (
+        "watch_source",
+        lambda c: D.watch_actions(_raw(c)),
+        ", w AS (SELECT id % 3 + 1 AS library_id, 'd' || id % 7 AS d, id % 5 AS e, id % 2 = 0 AS is_directory FROM system_events) SELECT library_id, CASE WHEN e IN (3, 4) THEN '' "
+        "ELSE d END AS directory, CASE e WHEN 3 THEN 'overflow' WHEN 4 THEN 'invalidated' ELSE 'dirty' END AS kind FROM w WHERE e <> 0 OR is_directory",
+    ),
     ("overflow_fallback", lambda c: W.actions(_watched(c)), _FALLBACK),
-    ("overflow_of_all", lambda c: W.actions(W.of_all(_watched(c).withColumn("library_id", F.when(F.col("kind") != "overflow", F.col("library_id"))), c.libraries)).groupBy("library_id", "action", "code").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")), _FALLBACK_OF_ALL),
-    ("top_per_key", lambda c: N.top(c.system_events.select(F.col("module").alias("key"), (F.col("id") * 7919 % 10_007).alias("score"), "id"), 20), "SELECT module AS key, r AS rank, score, id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, id) AS r FROM (SELECT module, id * 7919 % 10007 AS score, id FROM system_events)) WHERE r <= 20"),
-    ("event_windows", lambda c: D.event_windows(c.table("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start_at, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    (
+        "overflow_of_all",
+        lambda c: W.actions(W.of_all(_watched(c).withColumn("library_id", F.when(F.col("kind") != "overflow", F.col("library_id"))), c.libraries)).groupBy("library_id", "action", "code").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")),
+        _FALLBACK_OF_ALL,
+    ),
+    (
+        "top_per_key",
+        lambda c: N.top(c.system_events.select(F.col("module").alias("key"), (F.col("id") * 7919 % 10_007).alias("score"), "id"), 20),
+        "SELECT module AS key, r AS rank, score, id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, id) AS r FROM (SELECT module, id * 7919 % 10007 AS "
+        "score, id FROM system_events)) WHERE r <= 20",
+    ),
+    (
+        "event_windows",
+        lambda c: D.event_windows(c.table("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_at"), "event_type", "n"),
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start_at, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    ),
 ]
