@@ -6,7 +6,8 @@ whose control strings are escaped inside texts, reversibly, and a loss mask list
 
 Nulls: a null role or text counts as empty, a record whose filled paths match no mapping gets null turns. Empty tables
 give empty results, columns outside the known paths are ignored, repeated rows are kept as turns of their own.
-A text is escaped whole, whatever its length; a conversation's turns and its output are one row.
+A text is escaped whole, whatever its length; a conversation's turns and its output are one row. Turns of one number, ties,
+stand in the order of their role and text.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ LAYOUTS = (
     Mapping("question", ("answer", "question"), (("user", "question"), ("assistant", "answer"))),
     Mapping("instruction", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction_input", ("input", "instruction", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("system_completion", ("completion", "prompt", "system"), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    Mapping("system_question", ("answer", "question", "system"), (("system", "system"), ("user", "question"), ("assistant", "answer"))),
+    Mapping("system_instruction", ("instruction", "output", "system"), (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Mapping("system_instruction_input", ("input", "instruction", "output", "system"), (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
 )
 #: A record that is one turn. A null field isn't filled, so the layout has a fingerprint for each set of filled fields.
 TURN_ROWS = tuple(Mapping("turn", fields, row=("role", "text")) for fields in (("role", "text"), ("role",), ("text",), ()))

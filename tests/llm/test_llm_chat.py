@@ -45,6 +45,19 @@ def test_query(spark, sf_dir, duck):
     assert (r["n_turns"], r["loss_chars"]) == (2, len(ok)) and r["loss_sha256"] == hashlib.sha256(ok.encode()).hexdigest()
 
 
+def test_layouts_with_a_system(spark):
+    rows = [("s", "i", "o", None, None, None, None, None), ("s", "i", "o", "n", None, None, None, None), ("s", None, None, None, "p", "c", None, None), ("s", None, None, None, None, None, "q", "a")]
+    df = spark.createDataFrame(rows, "system string, instruction string, output string, input string, prompt string, completion string, question string, answer string")
+    got = [(r["layout"], [tuple(t) for t in r["turns"]]) for r in M.canonical_turns(df).collect()]
+    assert got == [
+        ("system_instruction", [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        ("system_instruction_input", [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")]),
+        ("system_completion", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        ("system_question", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    ]
+    assert len({m.key for m in M.LAYOUTS}) == len(M.LAYOUTS)
+
+
 def test_layouts(spark):
     df = spark.createDataFrame(
         [("p", "c", None, None, None, None), (None, None, "i", "o", None, None), (None, None, "i", "o", "more", None), (None, None, None, None, None, [("human", "h"), ("gpt", None)]), (None, None, None, None, None, None), ("p", None, "i", None, None, None)],
