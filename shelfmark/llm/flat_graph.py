@@ -40,8 +40,8 @@ class Params:
     """least: cosine of a link. sample: points that centres are fitted on at most; centers: of them at most. shard_rows: wanted points of a cluster, if each belongs to `shares`; shard_most: points of a shard at most, about. reach: how near a border is, in deviations of such a step along one axis. probes: points that recall is audited on at most, in two halves."""
 
     least: float = 0.95
-    sample: int = 32_768
-    centers: int = 8192
+    sample: int = 16_384
+    centers: int = 4096
     shard_rows: int = 4096
     shard_most: int = 16_384
     shares: int = 3
@@ -82,16 +82,16 @@ def _hashes():
 def fitted_centers(sample: np.ndarray, k: int, p: Params) -> np.ndarray:
     """k centres or fewer for unit vectors: of the sample only points count that are not in range of an earlier one."""
     kept = np.ones(len(sample), bool)
-    for a in range(0, len(sample), 512):  # a point goes if an earlier one of its block, or any that stayed before, is in range
-        part = sample[a : a + 512]
+    for a in range(0, len(sample), 256):  # a point goes if an earlier one of its block, or any that stayed before, is in range
+        part = sample[a : a + 256]
         before = sample[:a][kept[:a]]
         if len(before):
-            kept[a : a + 512] &= (part @ before.T).max(axis=1) < p.least
-        kept[a : a + 512] &= np.tril(part @ part.T, -1).max(axis=1, initial=-1) < p.least
+            kept[a : a + 256] &= (part @ before.T).max(axis=1) < p.least
+        kept[a : a + 256] &= np.tril(part @ part.T, -1).max(axis=1, initial=-1) < p.least
     thin = sample[kept]
     centers = thin[: max(1, min(k, len(thin)))].copy()
     for _ in range(8 if len(centers) < 1024 else 2):
-        nearest = np.concatenate([np.argmax(thin[a : a + 4096] @ centers.T, axis=1) for a in range(0, len(thin), 4096)])
+        nearest = np.concatenate([np.argmax(thin[a : a + 1024] @ centers.T, axis=1) for a in range(0, len(thin), 1024)])
         for d in range(centers.shape[1]):
             centers[:, d] = np.bincount(nearest, thin[:, d], len(centers))
         length = np.sqrt(np.einsum("ij,ij->i", centers, centers))
