@@ -1,12 +1,19 @@
 """Tables stored in the order of a sort key, so that a page reads the files it lies in and no others.
 
-The key's range is cut into parts of about equally many rows; a part is one file in a folder by its number, and a small
-table says where each part begins and ends and how many rows it has. A page is found in that table first: the part that the
-position lies in, and as many behind it as hold a page.
+The key's range is cut into parts of equally many rows; a part is one file in a folder by its number, and a small table
+says where each part begins and ends and how many rows it has. A page is found in that table first: the part that the
+position lies in, and as many behind it as hold a page; it then opens the folders of these.
+
+A table has as many parts as it is long, so a part is no task of its own: a task sorts a range of many parts and cuts them
+from the stream of its rows. What the driver learns of a key's range is a sample a range, not a sample a part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +21,36 @@ from shelfmark.operators.browse import after as behind
 from shelfmark.sources.snapshots import Snapshots
 from shelfmark.staging import staged
 
+#: Rows that a task sorts, about.
+RANGE = 250_000
+
+
+def _cut(rows: int, stride: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers the parts of a task's rows, which come in order: `rows` a part, and what is left over with the last. It holds two parts at most, and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = TaskContext.get().partitionId() * stride, [], 0
+
+        def numbered(chunks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in chunks:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.repeat(pa.scalar(part, pa.int64()), b.num_rows)], names=[*b.schema.names, "part"])
+
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            while size >= 2 * rows:
+                full, left = [], rows
+                while left:
+                    b = held.pop(0)
+                    full.append(b.slice(0, left))
+                    if b.num_rows > left:
+                        held.insert(0, b.slice(left))
+                    left -= full[-1].num_rows
+                yield from numbered(full)
+                part, size = part + 1, size - rows
+        yield from numbered(held)
+
+    return run
+
 
 class Clustered:
     """keys: columns of the order, the last unique. rows: of a part, about; more than a page has."""
@@ -24,8 +61,10 @@ class Clustered:
     def write(self, table: DataFrame) -> int:
         """Publishes the table in order; returns its revision."""
         table = staged(table, "unordered")  # cuts are quantiles of a sample of what is written
-        parts = max(1, -(-table.count() // self.rows))
-        laid = table.repartitionByRange(parts, *self.keys).sortWithinPartitions(*self.keys).withColumn("part", F.spark_partition_id())
+        n = table.count()
+        ranges = max(1, min(-(-n // self.rows), -(-n // RANGE)), min(n // (8 * self.rows), self.spark.sparkContext.defaultParallelism))
+        laid = table.repartitionByRange(ranges, *self.keys).sortWithinPartitions(*self.keys)
+        laid = laid.mapInArrow(_cut(self.rows, n // self.rows + 1), table.select("*", F.lit(0).cast("long").alias("part")).schema).sortWithinPartitions("part", *self.keys)
         revision = self.store.publish({"rows": laid}, self.store.revision(), by={"rows": ["part"]})
         ends = self.store.read("rows").groupBy("part").agg(F.min(F.struct(*self.keys)).alias("first"), F.max(F.struct(*self.keys)).alias("last"), F.count("*").alias("n"))
         return self.store.publish({"parts": ends.coalesce(1)}, revision, full=False)
@@ -53,7 +92,7 @@ class Clustered:
 
     def page(self, limit: int, after: tuple | None = None, prefix: tuple = (), descending: bool = False) -> DataFrame:
         """The first `limit` rows behind the position `after`, of those whose first keys are `prefix`, in order."""
-        rows = self.store.read("rows").filter(F.col("part").isin(self.parts(limit, after, prefix, descending))).drop("part")
+        rows = self.store.folders("rows", "part", self.parts(limit, after, prefix, descending)).drop("part")
         for k, v in zip(self.keys, prefix, strict=False):
             rows = rows.filter(F.col(k) == F.lit(v))
         if after is not None:

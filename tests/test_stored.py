@@ -94,6 +94,20 @@ def test_files_of_a_page(spark, tmp_path):
         assert got == [r for r in sorted((i % 997, i) for i in range(5000)) if at is None or r > at][:51]
 
 
+def test_parts_are_no_tasks(spark, tmp_path, monkeypatch):
+    """A table of many parts is cut in few tasks, each of many parts, and each part is one file of so many rows."""
+    monkeypatch.setattr("shelfmark.sources.clustered.RANGE", 20_000, raising=False)
+    table, tasks = Clustered(spark, str(tmp_path / "t"), ("k", "id"), rows=100), []
+    publish = table.store.publish
+    monkeypatch.setattr(table.store, "publish", lambda tables, *a, **k: tasks.extend(df.rdd.getNumPartitions() for n, df in tables.items() if n == "rows") or publish(tables, *a, **k))
+    table.write(spark.range(40_000).select((F.col("id") % 997).alias("k"), "id"))
+    parts = table.store.read("parts").select("part", "n", "first", "last").orderBy("part").collect()
+    assert tasks[0] <= 16 and len(parts) > 300 and all(100 <= r["n"] < 200 for r in parts)
+    assert all(tuple(a["last"]) < tuple(b["first"]) for a, b in zip(parts, parts[1:], strict=False))
+    assert read_bytes(table.store.read("rows"))[1] == len(parts) and table.store.read("rows").count() == 40_000
+    assert [tuple(r) for r in table.page(300, (500, 20_440)).collect()] == [r for r in sorted((i % 997, i) for i in range(40_000)) if r > (500, 20_440)][:300]
+
+
 def test_empty(spark, tmp_path):
     table = Clustered(spark, str(tmp_path / "t"), ("id",))
     table.write(spark.range(0))
