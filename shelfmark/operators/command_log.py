@@ -4,12 +4,14 @@ A key's commands stand in the order of `seq`, and each sees what the ones before
 within tasks; a task streams through it and holds the state of one key, so a key with a third of all commands needs no more
 memory than another. Commands that compete for something unique across keys (names) are settled in rounds: each round
 folds the log with what it knows of who held what when, until a round learns nothing new. By then every command has seen
-what the ones before it did, as if the log had been applied in one go. `seq` must be unique.
+what the ones before it did, as if the log had been applied in one go. A long log is settled in stretches, so that rounds
+go through the commands that still learn something. `seq` must be unique.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,8 @@ from shelfmark.functions import scalar as X
 from shelfmark.operators.commits import PHASES
 from shelfmark.staging import staged
 
+#: Commands of the first stretch that renames settles.
+FIRST = 65_536
 Step = Callable[[dict | None, dict], tuple[dict | None, str]]
 
 
@@ -109,16 +113,12 @@ def _rename(row: dict | None, command: dict) -> tuple[dict | None, str]:
     return {**row, "revision": row["revision"] + 1, "name": command["name"], "name_key": command["name_key"], "left_key": row["name_key"]}, "renamed"
 
 
-def renames(libraries: DataFrame, removals: DataFrame, log: DataFrame) -> DataFrame:
-    """(seq, id, outcome, name, revision) of every command of log(seq, id, expected_revision, name) on libraries(id, name, revision), and with a null seq of every library: by revision, unless a removal is active, to a name that no other library has by then when folded."""
-    active = removals.filter(F.col("status").isin("queued", "running")).select(F.col("library_id").alias("id"), F.lit(True).alias("removing")).distinct()
-    rows = libraries.join(active, "id", "left").select("id", "name", X.search_text_key(F.col("name")).alias("name_key"), F.col("revision").cast("long").alias("revision"), F.coalesce("removing", F.lit(False)).alias("removing"), F.lit(None).cast("string").alias("left_key"))
-    rows = staged(rows, "named")
-    asked = staged(log.select("seq", "id", F.col("expected_revision").cast("long").alias("expected_revision"), "name", X.search_text_key(F.col("name")).alias("name_key")), "renames")
+def _settled(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The fold of commands that compete for names, in rounds until no command learns more of who holds its name. asked must be a table."""
     held = rows.groupBy("name_key").agg(F.min("id").alias("holder"))
     known = staged(asked.join(held, "name_key", "left").select(*asked.columns, F.coalesce(F.col("holder") == F.col("id"), F.col("holder").isNull()).alias("free")), "free")
     while True:
-        done = staged(folded(rows, known, "id", _rename, "name string, name_key string, revision long, left_key string"), "renamed")
+        done = staged(folded(rows, known, "id", _rename, "name string, name_key string, revision long, removing boolean, left_key string"), "renamed")
         took = done.filter("outcome = 'renamed'")
         # who holds a name: from the start, from a rename to it, or nobody after a rename away from it
         events = held.select("name_key", F.lit(-1).alias("after"), F.lit(None).cast("long").alias("seq"), F.struct(F.col("holder")).alias("holds"))
@@ -130,5 +130,33 @@ def renames(libraries: DataFrame, removals: DataFrame, log: DataFrame) -> DataFr
         free = F.col("last.holder").isNull() | (F.col("last.holder") == F.col("id"))
         better = staged(seen.select(*[c for c in known.columns if c != "free"], free.alias("free"), (free != F.col("free")).alias("new")), "free")
         if better.filter("new").isEmpty():
-            return done.select("seq", "id", "outcome", "name", "revision")
+            return done
         known = better.drop("new")
+
+
+def _stretches(asked: DataFrame) -> list[DataFrame]:
+    """The log in stretches that follow one another, each as long as three times all before it."""
+    n, ends = asked.count(), []
+    while FIRST * 4 ** len(ends) < n:
+        ends.append(FIRST * 4 ** len(ends) / n)
+    marks = sorted(set(asked.agg(F.percentile_approx("seq", ends, 10_000)).first()[0])) if ends else []
+    out = [asked.filter(F.col("seq") <= b) for b in marks[:1]] + [asked.filter((F.col("seq") > a) & (F.col("seq") <= b)) for a, b in zip(marks, marks[1:], strict=False)]
+    return [*out, asked.filter(F.col("seq") > marks[-1]) if marks else asked]
+
+
+def renames(libraries: DataFrame, removals: DataFrame, log: DataFrame) -> DataFrame:
+    """(seq, id, outcome, name, revision) of every command of log(seq, id, expected_revision, name) on libraries(id, name, revision), and with a null seq of every library: by revision, unless a removal is active, to a name that no other library has by then when folded.
+
+    A round is as long as what it folds, so the log is settled in stretches, and what a stretch leaves of the libraries is
+    what the next begins with: rounds that names pass in early don't go through the commands behind them.
+    """
+    active = removals.filter(F.col("status").isin("queued", "running")).select(F.col("library_id").alias("id"), F.lit(True).alias("removing")).distinct()
+    rows = libraries.join(active, "id", "left").select("id", "name", X.search_text_key(F.col("name")).alias("name_key"), F.col("revision").cast("long").alias("revision"), F.coalesce("removing", F.lit(False)).alias("removing"), F.lit(None).cast("string").alias("left_key"))
+    rows = staged(rows, "named")
+    asked = staged(log.select("seq", "id", F.col("expected_revision").cast("long").alias("expected_revision"), "name", X.search_text_key(F.col("name")).alias("name_key")), "renames")
+    told = []
+    for stretch in _stretches(asked):
+        done = _settled(rows, stretch)
+        told.append(done.filter("seq is not null"))
+        rows = done.filter("seq is null").select(*rows.columns)
+    return reduce(DataFrame.unionByName, [*told, done.filter("seq is null")]).select("seq", "id", "outcome", "name", "revision")

@@ -46,6 +46,22 @@ def test_renames_are_one_by_one(spark):
         assert n < 50 or {"renamed", "name_exists", "precondition_failed", "not_found"} <= {w[2] for w in want}
 
 
+def test_rounds_leave_out_what_is_settled(spark, monkeypatch):
+    """Names pass from hand to hand early in a log; the rounds that this takes don't go through the commands behind."""
+    rng, folded, n = random.Random(4), M.folded, []
+    monkeypatch.setattr(M, "FIRST", 64, raising=False)
+    monkeypatch.setattr(M, "folded", lambda rows, log, *more: n.append(log.count()) or folded(rows, log, *more))
+    libraries = [(i, f"Name {i}", 0) for i in range(6)]
+    log = [(k, rng.randrange(7), rng.randrange(4) if k < 60 else 9, f"Other {rng.randrange(3)}") for k in range(3000)]
+    log[2500] = (2500, 0, 40, "Name 9")
+    want, left = one_by_one(libraries, {1}, log)
+    frames = spark.createDataFrame(libraries, "id long, name string, revision long"), spark.createDataFrame([(1, "running")], "library_id long, status string"), spark.createDataFrame(log, "seq long, id long, expected_revision long, name string")
+    got = M.renames(*frames).collect()
+    assert sorted(tuple(r) for r in got if r["seq"] is not None) == want
+    assert sorted((r["id"], r["name"], r["revision"]) for r in got if r["seq"] is None) == left
+    assert len(n) > 5 and sum(n) < 2 * len(log)
+
+
 def test_two_after_one_name(spark):
     libraries = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, name string, revision long")
     log = spark.createDataFrame([(1, 1, 1, "same"), (2, 2, 1, "SAME")], "seq long, id long, expected_revision long, name string")
