@@ -16,11 +16,12 @@ from __future__ import annotations
 import zlib
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.ingest import trigrams
 from shelfmark.sources.snapshots import Snapshots
+from shelfmark.staging import staged
 
 #: Ids of a block's span, and folders of blocks.
 SPAN, FOLDERS = 65_536, 256
@@ -39,12 +40,13 @@ class SearchIndex:
 
     def build(self, rows: DataFrame) -> int:
         """Publishes the index of rows(id, text) without changes; returns its revision."""
-        rows = rows.select(F.col("id").cast("long").alias("id"), "text").withColumn("span", F.floor(F.col("id") / self.span))
-        grams = trigrams(rows, "id", "text").withColumn("span", F.floor(F.col("id") / self.span))
-        blocks = grams.groupBy("gram", "span").agg(F.sort_array(F.collect_set((F.col("id") % self.span).cast("int"))).alias("places")).withColumns({"n": F.size("places"), "folder": self._folder(F.col("gram"))})
-        often = grams.groupBy("gram").agg(F.count("*").alias("n")).withColumn("folder", self._folder(F.col("gram")))
+        rows = staged(rows.select(F.col("id").cast("long").alias("id"), "text").withColumn("span", F.floor(F.col("id") / self.span)), "rows")
+        run, schema = _blocks(self.span)
+        blocks = staged(rows.filter(F.length("text") >= 3).groupBy("span").applyInPandas(run, schema).withColumn("folder", self._folder(F.col("gram"))), "blocks")
+        often = blocks.groupBy("gram", "folder").agg(F.sum("n").cast("long").alias("n")).select("gram", "n", "folder")
         none = self.spark.createDataFrame([], "id long, text string")
-        tables = {"blocks": blocks.repartition("folder").sortWithinPartitions("folder", "gram", "span"), "often": often.repartition("folder").sortWithinPartitions("folder", "gram"), "texts": rows.repartition("span").sortWithinPartitions("span", "id"), "changes": none}
+        laid = lambda df, by, *order: df.repartition(by).sortWithinPartitions(by, *order)
+        tables = {"blocks": laid(blocks, "folder", "gram", "span"), "often": laid(often, "folder", "gram"), "texts": laid(rows, "span", "id"), "changes": none}
         return self.store.publish(tables, self.store.revision(), by={"blocks": ["folder"], "often": ["folder"], "texts": ["span"]})
 
     def change(self, rows: DataFrame) -> int:
@@ -87,5 +89,27 @@ class SearchIndex:
         return met.filter(F.size("b") == len(rare)).select("span", both.alias("places")).filter(F.size("places") > 0)
 
 
+def _blocks(width: int):
+    """The blocks of a span of `width` ids: (gram, span, places, n). Rows meet by span, so that no gram of a text is a row that is shuffled."""
+
+    def run(key, frame):
+        import pandas as pd
+
+        ids, texts = frame["id"].to_numpy(), frame["text"].tolist()
+        signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(ids)), [len(t) for t in texts])
+        inside = row[2:] == row[:-2]  # three characters of one text
+        codes = ((signs[:-2] << np.uint64(42)) | (signs[1:-1] << np.uint64(21)) | signs[2:])[inside]
+        kinds, kind = np.unique(codes, return_inverse=True)
+        pairs = np.unique(kind.astype(np.int64) * width + (ids % width)[row[2:][inside]])
+        kind, places = pairs // width, (pairs % width).astype(np.int32)
+        starts = np.searchsorted(kind, np.arange(len(kinds)))
+        low = np.uint64(2**21 - 1)
+        grams = ["".join(map(chr, g)) for g in zip(*((kinds >> np.uint64(s) & low).tolist() for s in (42, 21, 0)), strict=True)]
+        return pd.DataFrame({"gram": grams, "span": key[0], "places": np.split(places, starts[1:]), "n": np.diff([*starts, len(kind)])})
+
+    return run, "gram string, span long, places array<int>, n int"
+
+
 def _folder_of(gram: str, folders: int) -> int:
     return zlib.crc32(gram.encode()) % folders

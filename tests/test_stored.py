@@ -117,3 +117,29 @@ def test_empty(spark, tmp_path):
     assert index.search("abc").isEmpty() and index.search("a").isEmpty()
     index.change(spark.createDataFrame([(1, "abcd")], "id long, text string"))
     assert index.search("abc").count() == 1
+
+
+def test_grams_are_not_shuffled(spark, tmp_path):
+    """An index is built from rows that meet by their span: what is exchanged on the way are texts and blocks, no row a gram."""
+    from pyspark.sql import functions
+
+    exploded, explode = [], functions.explode
+    rows = spark.range(3000).select("id", F.concat(F.lit("né/𝔘z"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "zzzzz").otherwise("")).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(4000, None), (4001, ""), (4002, "ab"), (4003, "abc"), (4004, "𝔘𝔘𝔘𝔘")], "id long, text string"))
+    index = SearchIndex(spark, str(tmp_path / "index"), span=1000, folders=4)
+    functions.explode = lambda c: exploded.append(c) or explode(c)
+    try:
+        index.build(rows)
+    finally:
+        functions.explode = explode
+    assert not exploded
+    texts = {r["id"]: r["text"] or "" for r in rows.collect()}
+    want = {}
+    for i, t in texts.items():
+        for g in {t[k : k + 3] for k in range(len(t) - 2)}:
+            want.setdefault((g, i // 1000), []).append(i % 1000)
+    got = {(r["gram"], r["span"]): (r["places"], r["n"], r["folder"]) for r in index.store.read("blocks").collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(n == len(p) and f == zlib.crc32(k[0].encode()) % 4 for k, (p, n, f) in got.items())
+    often = {r["gram"]: r["n"] for r in index.store.read("often").collect()}
+    assert often == {g: sum(len(v) for k, v in want.items() if k[0] == g) for g in {k[0] for k in want}}
