@@ -1,10 +1,11 @@
 """Numbering in levels, claims by spans and the trigram index, against plain loops."""
 
 import collections
+import random
 
 import pytest
 
-from shelfmark.operators import ingest, jobs
+from shelfmark.operators import commits, ingest, jobs
 
 
 @pytest.mark.parametrize("span", [1, 3, 4096])
@@ -61,3 +62,19 @@ def test_index_differences(spark):
     same = ingest.trigrams(rows)
     assert ingest.index_differences(same, rows).isEmpty()
     assert ingest.index_differences(same.limit(0), rows.limit(0)).isEmpty()
+
+
+def test_moves_by_one_join(spark, monkeypatch):
+    """What came and went, told by one join, gives the moves that a whole merge gives, alike files and empty tables included."""
+    columns = "id long, library_id long, relative_path string, directory_id long, name string, kind string, format string, mime_type string, size_bytes long, mtime_ns long, source_fingerprint string, last_seen_generation long, width long, height long, duration_ms long, probe_status string, probe_error_code string"
+    rng = random.Random(3)
+    row = lambda i, lib, d, name: (i, lib, f"{d}/{name}", d, name, "image", "jpg", "image/jpeg", 1, 1, rng.choice([None, "f", "g"]), 1, None, None, None, "pending", None)
+    old = [row(40 + k, 1 + k % 2, k % 5, f"o{k}") for k in range(60)]
+    new = [row(None, 1 + k % 2, k % 7, f"n{k}") for k in range(50)]
+    one, two = spark.createDataFrame(old, columns), spark.createDataFrame(rng.sample(old, 40) + new, columns)
+    for assets, listing in ((one, two), (one, two.limit(0)), (one.limit(0), two)):
+        want = sorted(map(tuple, commits.moved(assets, ingest.merge(assets, listing, 2), listing).collect()))
+        gone, came = ingest.unmatched(assets, listing)
+        assert sorted(map(tuple, commits.paired(gone, came).collect())) == want
+        assert gone.count() + came.count() <= 70 or not assets.count()
+    assert len(sorted(map(tuple, commits.paired(*ingest.unmatched(one, two)).collect()))) > 5
