@@ -83,3 +83,29 @@ def test_nothing_to_commit(spark, tmp_path, tree_of):
     assert store.commit(spark.createDataFrame(rows, ASSETS), 3, 1).isEmpty()
     assert store.store.manifest()["tables"]["assets"] == before and store.store.read("assets").count() == len(rows)
     assert store.store.read("counts").filter(F.col("direct_count") > 0).count() > 0
+
+
+def test_large_slots_are_many_tasks(spark, tmp_path):
+    """However few the slots are, one that is large is written by several tasks, on both ways."""
+    n, key = 40_000, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    dirs = spark.createDataFrame([(1, 1, None, ""), (2, 1, 1, "a"), (3, 1, 1, "b")], "id long, library_id long, parent_id long, relative_path string")
+    row = lambda d, path: [F.lit(1).cast("long").alias("library_id"), d.cast("long").alias("directory_id"), path.alias("relative_path"), path.alias("name"), *[F.lit("image").alias(c) for c in ("kind", "format", "mime_type")], F.col("id").alias("size_bytes"), F.col("id").alias("mtime_ns"), F.sha2(F.col("id").cast("string"), 256).alias("source_fingerprint")]
+    d = F.col("id") % 2 + 2
+    listing = spark.range(n).select(*row(d, F.concat(F.element_at(F.array(F.lit("a/"), F.lit("b/")), (F.col("id") % 2 + 1).cast("int")), F.col("id").cast("string"))))
+    rest = [F.lit(2).cast("long").alias("last_seen_generation"), *[F.lit(7).cast("long").alias(c) for c in ("width", "height", "duration_ms")], F.lit("ready").alias("probe_status"), F.lit(None).cast("string").alias("probe_error_code"), F.col("relative_path").alias("derived")]
+    assets = listing.filter("size_bytes % 10 <> 0").select((F.col("size_bytes") + 1).alias("id"), "*", *rest)
+    jobs = spark.createDataFrame([(2, 1, "running", 1, 1, 1, 0)], "key long, library_id long, status string, requested_revision long, claimed_revision long, attempts int, available_at_ms long")
+    store, before = Reconciled(spark, str(tmp_path), slots=1), spark.conf.get(key)
+    files = lambda: store.store.read("assets").select("_metadata.file_path").distinct().count()
+    spark.conf.set(key, "256KB")
+    try:
+        store.create(assets, dirs, jobs, spark.createDataFrame([(1,)], "id long"))
+        created = files()
+        store.commit(listing.filter("size_bytes % 7 <> 0"), 3, 1000)
+        assert created > 1 and files() > 1
+    finally:
+        spark.conf.set(key, before)
+    own = {r["relative_path"]: r["id"] for r in assets.filter("directory_id = 3 or size_bytes % 7 <> 0").collect()}
+    got = {r["relative_path"]: (r["id"], r["width"], r["derived"]) for r in store.store.read("assets").collect()}
+    new = sorted(f"a/{i}" for i in range(0, n, 10) if i % 7)
+    assert got == {p: (i, 7, p) for p, i in own.items()} | {p: (n + 1 + k, None, None) for k, p in enumerate(new)}
