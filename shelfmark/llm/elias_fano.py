@@ -6,8 +6,9 @@ import numpy as np
 
 _EVERY = 64
 _ONE = np.uint64(1)
-#: Position of the k-th one of a byte.
-_IN_BYTE = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
+_BYTES, _TOPS, _S3 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(3)
+#: Position of the k-th one of byte b, at 8 * b + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for b in range(256) for k in range(8)], np.int64)
 
 
 class Bits:
@@ -35,12 +36,24 @@ class Bits:
             left[todo] -= n
             word[todo] += 1
             now[todo] = self.words[word[todo]] ^ flip
-        each = np.ascontiguousarray(now).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.int64)
-        byte = (upto <= left[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        left = left - np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
-        return (word << 6) + 8 * byte + _IN_BYTE[each[rows, byte], left]
+        upto = np.bitwise_count(now.view(np.uint8)).view(np.uint64) * _BYTES  # byte by byte, the ones up to its end
+        want = left.astype(np.uint64)
+        shift = np.bitwise_count(((want * _BYTES | _TOPS) - upto) & _TOPS).astype(np.uint64) << _S3  # of the first byte with more
+        want -= ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+        return (word << 6) + shift.astype(np.int64) + _IN_BYTE[((((now >> shift) & np.uint64(255)) << _S3) | want).astype(np.int64)]
+
+    def run(self, at: np.ndarray) -> np.ndarray:
+        """Number of ones from a position up to the next zero."""
+        word, off = at >> 6, at & 63
+        out, todo = np.zeros(len(at), np.int64), np.arange(len(at))
+        while len(todo):
+            rest = ~self.words[word] >> off.astype(np.uint64)
+            n = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+            out[todo] += np.minimum(n, 64 - off)
+            on = rest == 0
+            todo, word = todo[on], word[on] + 1
+            off = np.zeros(len(todo), np.int64)
+        return out
 
 
 class EliasFano:
@@ -89,10 +102,11 @@ class EliasFano:
         last = int(self.access(np.array([self.n - 1]))[0])
         ok = np.flatnonzero(x <= np.uint64(last))
         high = (x[ok] >> np.uint64(self.low_bits)).astype(np.int64)
-        hi = self.bits.select(high.copy(), 0) - high
-        lo = np.zeros(len(ok), np.int64)
+        at = np.zeros(len(ok), np.int64)
         some = high > 0
-        lo[some] = self.bits.select(high[some] - 1, 0) - (high[some] - 1)
+        at[some] = self.bits.select(high[some] - 1, 0) + 1
+        lo = at - high
+        hi = lo + self.bits.run(at)
         want = x[ok] & np.uint64((1 << self.low_bits) - 1)
         end = hi.copy()
         while True:

@@ -6,7 +6,7 @@ shared folder: contexts as a monotone sequence, monotone pointers to their succe
 context, and quantised logarithms of discounted counts. A query finds its context, then its word by successor search in
 the context's range. The model interpolates absolute discounting with add-one unigrams:
 
-    p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) * (c(w) + 1) / (N + V + 1),   pairs seen once left out, g(v) the mass left.
+    p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) * (c(w) + 1) / (N + V + 1),   g(v) the mass left.
 
 Null and empty texts are the end alone. Rows with a null id are trained on. Repeated rows count each time. With no
 training rows all counts are 0. Words are lower-cased in A-Z; words and contexts are compared by 64-bit hashes, successors
@@ -39,10 +39,10 @@ _STEP, _FLOOR = 2048, -2.0
 
 @dataclass(frozen=True)
 class Params:
-    """docs_per_bucket: so many buckets are made. chunk: tokens that a task counts before it sends its counts on."""
+    """least: pairs seen less often leave their mass to the words; at 1 none does. docs_per_bucket: so many buckets are made. chunk: tokens that a task counts before it sends its counts on."""
 
     discount: float = 0.75
-    least: int = 2
+    least: int = 1
     docs_per_bucket: int = 2000
     chunk: int = 4_000_000
 
@@ -79,14 +79,14 @@ def mapped(uri: str) -> list[np.ndarray]:
     """The arrays of a file, memory-mapped; from a store that can't be mapped, through a temporary copy."""
     where = urlparse(uri)
     if where.scheme in ("", "file"):
-        return unpacked(np.memmap(where.path, np.int64, "r"))
+        return unpacked(np.memmap(where.path, np.int64, "r").view(np.ndarray))
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
     with tempfile.TemporaryFile() as copy, store.open_input_stream(path) as f:
         copy.write(f.read())
         copy.flush()
-        return unpacked(np.memmap(copy, np.int64, "r"))
+        return unpacked(np.memmap(copy, np.int64, "r").view(np.ndarray))
 
 
 def tokens(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from oddities import none, odd
 from pyspark.sql import functions as F
 
 from shelfmark.llm import fano_lm as M
-from shelfmark.llm.elias_fano import EliasFano
+from shelfmark.llm.elias_fano import Bits, EliasFano
 
 
 def tokens(text):
@@ -129,3 +129,28 @@ def test_contexts_that_share_32_bits_stay_apart(tmp_path, monkeypatch):
     assert 10 ** score(alias, own["z"]) == pytest.approx(d / 2 * 21 / (n + v + 1), rel=5e-3)
     assert 10 ** score(alias, own["y"]) == pytest.approx((2 - d) / 2 + d / 2 * 5 / (n + v + 1), rel=5e-3)
     assert 10 ** score(own["often"], own["x"]) == pytest.approx((40 - d) / 60 + 2 * d / 60 * 41 / (n + v + 1), rel=5e-3)
+
+
+def test_pairs_seen_once_are_counted(spark):
+    rows = [(1, "a b c"), (2, "b a d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in M.score(df, M.fit(df)).collect()}
+    # all pairs occur once: (1 - D) / c(v) + D * kinds(v) / c(v) * (c(w) + 1) / (N + V + 1), N = 8, V = 5
+    one = {"a": 2, "b": 2, "c": 1, "d": 1, "</s>": 2, "<s>": 2}
+    kinds = {"<s>": 2, "a": 2, "b": 2, "c": 1, "d": 1}
+    for i, text in rows:
+        w = [*text.split(), "</s>"]
+        want = sum(math.log10(0.25 / one[v] + 0.75 * kinds[v] / one[v] * (one[x] + 1) / 14) for v, x in zip(["<s>", *w], w))
+        assert got[i] == pytest.approx(want, rel=2e-3)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=400))
+def test_select_and_run_of_bits(values):
+    bits = np.array(values)
+    b = Bits(*Bits.arrays(bits))
+    for bit in (0, 1):
+        where = np.flatnonzero(bits == bit)
+        assert (b.select(np.arange(len(where)), bit) == where).all()
+    upto = [next((j for j in range(i, len(bits)) if not bits[j]), len(bits)) - i for i in range(len(bits))]
+    assert (b.run(np.arange(len(bits))) == upto).all()
