@@ -42,12 +42,13 @@ class Bits:
         want -= ((upto << np.uint64(8)) >> shift) & np.uint64(255)
         return (word << 6) + shift.astype(np.int64) + _IN_BYTE[((((now >> shift) & np.uint64(255)) << _S3) | want).astype(np.int64)]
 
-    def run(self, at: np.ndarray) -> np.ndarray:
-        """Number of ones from a position up to the next zero."""
+    def run(self, at: np.ndarray, bit: int = 1) -> np.ndarray:
+        """Number of such bits from a position up to the next other one, which must be there."""
         word, off = at >> 6, at & 63
+        flip = np.uint64(2**64 - 1 if bit else 0)
         out, todo = np.zeros(len(at), np.int64), np.arange(len(at))
         while len(todo):
-            rest = ~self.words[word] >> off.astype(np.uint64)
+            rest = (self.words[word] ^ flip) >> off.astype(np.uint64)
             n = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
             out[todo] += np.minimum(n, 64 - off)
             on = rest == 0
@@ -63,11 +64,12 @@ class EliasFano:
         self.n, self.low_bits, self.low, self.bits = n, low_bits, low, bits
 
     @staticmethod
-    def arrays(values: np.ndarray) -> list[np.ndarray]:
+    def arrays(values: np.ndarray, more: int = 0) -> list[np.ndarray]:
+        """more: low bits beyond what even steps need, so that long steps of uneven ones are no long walks."""
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
+        low_bits = max(0, (top // max(n, 1)).bit_length() - 1 + more)
         high = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros((int(high[-1]) if n else 0) + 2, bool)
         unary[high] = True
@@ -93,6 +95,13 @@ class EliasFano:
         high = (self.bits.select(i.copy(), 1) - i).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self.lows(i)
 
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1, which must be there."""
+        at = self.bits.select(i.copy(), 1)
+        after = at + 1 + self.bits.run(at + 1, 0)
+        low = np.uint64(self.low_bits)
+        return tuple(((((p - k).astype(np.uint64)) << low) | self.lows(k)).astype(np.int64) for p, k in ((at, i), (after, i + 1)))
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is not there: by its high part's range, then by successor search among the low parts."""
         out = np.full(len(x), -1)
@@ -124,7 +133,7 @@ class EliasFano:
 
 def packed(arrays: list[np.ndarray]) -> bytes:
     """Arrays in one flat file: number of arrays, then each one's kind and length, then the data, all in 8-byte words."""
-    kinds = {"i8": 0, "u8": 1, "u2": 2}
+    kinds = {"i8": 0, "u8": 1, "u2": 2, "u1": 3}
     head, body = [len(arrays)], []
     for a in arrays:
         data = np.ascontiguousarray(a).tobytes()
@@ -138,7 +147,7 @@ def unpacked(words: np.ndarray) -> list[np.ndarray]:
     n, at, out = int(words[0]), 1 + 2 * int(words[0]), []
     for k in range(n):
         kind, size = int(words[1 + 2 * k]), int(words[2 + 2 * k])
-        dtype = (np.int64, np.uint64, np.uint16)[kind]
+        dtype = (np.int64, np.uint64, np.uint16, np.uint8)[kind]
         length = -(-size * np.dtype(dtype).itemsize // 8)
         out.append(words[at : at + length].view(dtype)[:size])
         at += length

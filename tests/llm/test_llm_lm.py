@@ -154,3 +154,99 @@ def test_select_and_run_of_bits(values):
         assert (b.select(np.arange(len(where)), bit) == where).all()
     upto = [next((j for j in range(i, len(bits)) if not bits[j]), len(bits)) - i for i in range(len(bits))]
     assert (b.run(np.arange(len(bits))) == upto).all()
+
+
+def brute_triples(rows, p=M.Params(order=3)):
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    train = [["<s>", *tokens(t)] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    for w in train:
+        one.update(w)
+        two.update(zip(w, w[1:]))
+        three.update(zip(w, w[1:], w[2:]))
+    n, v = sum(c for x, c in one.items() if x != "<s>"), len(one) - 1
+    fans, fans2 = collections.Counter(a for a, _ in two), collections.Counter(a[:2] for a in three)
+    out = {}
+    for i, t in rows:
+        w, score = ["<s>", *tokens(t)], 0.0
+        for k in range(1, len(w)):
+            prob = (one[w[k]] + 1) / (n + v + 1)
+            for gram, count, c, f in ((w[k - 1 : k + 1], two, one[w[k - 1]], fans[w[k - 1]]), (w[k - 2 : k + 1], three, two[tuple(w[k - 2 : k])], fans2[tuple(w[k - 2 : k])])):
+                if c and len(gram) > 1:
+                    prob = max(count[tuple(gram)] - p.discount, 0) / c + p.discount * f / c * prob
+            score += math.log10(prob)
+        out[i] = score
+    return out
+
+
+def test_triples_are_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_triples(rows)
+    got = {r["doc_id"]: r for r in M.op5_fano_lm(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i]["score_3"] == pytest.approx(w, rel=5e-3, abs=0.02)  # quantised probabilities
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score_3"] for r in held) > sum(r["score"] for r in held)
+
+
+def test_triples_after_a_common_pair_and_over_chunks(spark):
+    """A pair with thousands of different third words, sent in many blocks; copies; texts of no and one word."""
+    texts = [*(f"the one x{k} the one y{k % 7}" for k in range(3000)), *["the one x1 the"] * 50, None, "", "the", "one the one"]
+    rows = [(k, t) for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    p = M.Params(order=3, chunk=2000)
+    want = brute_triples(rows, p)
+    got = {r["doc_id"]: r["score_3"] for r in M.score(df, M.fit(df, p=p)).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i] == pytest.approx(w, rel=5e-3, abs=0.02)
+
+
+def test_probabilities_after_a_pair_sum_to_one(spark):
+    import pyarrow as pa
+    from shelfmark.llm.textvec import words
+
+    df = spark.createDataFrame([("a b a c a b",), ("b a b",), ("c c a b",)], "text string")
+    trie = M.Trie(M.fit(df, p=M.Params(order=3)))
+    of = {t: next(words(pa.array([t]), lower=True)).hashes[0] for t in "abc"}
+    a, b = of["a"], of["b"]
+
+    def last(x):
+        whole = trie.scores(np.array([a, b, x]), np.array([M.BEGIN, a, b]), np.array([0, 3]), 3)[3][0]
+        return 10 ** (whole - trie.scores(np.array([a, b]), np.array([M.BEGIN, a]), np.array([0, 2]), 3)[3][0])
+
+    assert sum(last(x) for x in [*of.values(), M.END, np.uint64(12345)]) == pytest.approx(1.0, rel=2e-3)
+
+
+def test_oddities_with_triples(spark):
+    p = M.Params(order=3)
+    model = M.fit(odd(spark), p=p)
+    got = M.score(odd(spark), model)
+    assert got.count() == odd(spark).count()
+    assert got.filter("isnan(score_3) or score_3 > 0").isEmpty()
+    nothing = M.fit(none(spark), p=p)
+    assert M.score(odd(spark), nothing).filter("score_3 <> score or isnan(score_3)").isEmpty()
+    assert M.score(none(spark), model).isEmpty()
+    with pytest.raises(ValueError):
+        M.Params(order=3, least=2)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=2, max_size=200), st.integers(0, 6))
+def test_spans_of_uneven_steps(fans, more):
+    x = np.cumsum(fans)
+    a, b = EliasFano.of(*EliasFano.arrays(x, more)).span(np.arange(len(x) - 1))
+    assert (a == x[:-1]).all() and (b == x[1:]).all()
+
+
+def test_successors_of_a_common_context_make_no_long_runs():
+    """Of 40,000 successors of one context and one of each of 1,000 others; side by side by their context's place, they fill runs of thousands of ones."""
+    rng = np.random.default_rng(1)
+    fans = np.array([40_000, *[1] * 1000])
+    start = np.cumsum(fans) - fans
+    low = np.concatenate([np.sort(rng.choice(2**32, 40_000, replace=False)), rng.integers(0, 2**32, 1000)]).astype(np.uint64)
+    keys = M.relative(np.repeat(start, fans), np.repeat(fans, fans), low)
+    assert (keys[1:] > keys[:-1]).all()
+    e = EliasFano.of(*EliasFano.arrays(keys))
+    assert (e.find(keys) == np.arange(len(keys))).all()
+    assert e.bits.run(e.bits.select(np.arange(len(keys)), 1)).max() < 64
