@@ -21,11 +21,11 @@ class Bits:
     def arrays(bits: np.ndarray) -> list[np.ndarray]:
         """words, and the positions of every 64th one and zero."""
         padded = np.concatenate([bits.astype(np.uint8), np.zeros(64 + -len(bits) % 64, np.uint8)])
-        return [np.packbits(padded, bitorder="little").view(np.uint64), np.flatnonzero(bits)[::_EVERY].astype(np.int64), np.flatnonzero(padded == 0)[::_EVERY].astype(np.int64)]
+        return [np.packbits(padded, bitorder="little").view(np.uint64), *(np.flatnonzero(padded == b)[::_EVERY].astype(np.uint32 if len(padded) < 1 << 32 else np.int64) for b in (1, 0))]
 
     def select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Position of the k-th (from 0) such bit."""
-        start = self.samples[bit][k // _EVERY]
+        start = self.samples[bit][k // _EVERY].astype(np.int64)
         word, left = start >> 6, k % _EVERY
         flip = np.uint64(0 if bit else 2**64 - 1)
         now = (self.words[word] ^ flip) & ~((_ONE << (start & 63).astype(np.uint64)) - _ONE)
@@ -133,7 +133,7 @@ class EliasFano:
 
 def packed(arrays: list[np.ndarray]) -> bytes:
     """Arrays in one flat file: number of arrays, then each one's kind and length, then the data, all in 8-byte words."""
-    kinds = {"i8": 0, "u8": 1, "u2": 2, "u1": 3}
+    kinds = {"i8": 0, "u8": 1, "u2": 2, "u1": 3, "u4": 4}
     head, body = [len(arrays)], []
     for a in arrays:
         data = np.ascontiguousarray(a).tobytes()
@@ -147,7 +147,7 @@ def unpacked(words: np.ndarray) -> list[np.ndarray]:
     n, at, out = int(words[0]), 1 + 2 * int(words[0]), []
     for k in range(n):
         kind, size = int(words[1 + 2 * k]), int(words[2 + 2 * k])
-        dtype = (np.int64, np.uint64, np.uint16, np.uint8)[kind]
+        dtype = (np.int64, np.uint64, np.uint16, np.uint8, np.uint32)[kind]
         length = -(-size * np.dtype(dtype).itemsize // 8)
         out.append(words[at : at + length].view(dtype)[:size])
         at += length

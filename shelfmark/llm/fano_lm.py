@@ -262,14 +262,14 @@ def _level(folder: str, p: Params, buckets: int):
         context = kinds[context.astype(np.int64)]
         own = np.diff([*start, len(keys)])
         successors = relative(np.repeat(start, own), np.repeat(own, own), keys & _LOW)
-        arrays = [*EliasFano.arrays(context), *EliasFano.arrays(np.concatenate([start, [len(keys)]]), _MORE), *EliasFano.arrays(successors), *booked(mass)]
+        arrays = [*EliasFano.arrays(context), *EliasFano.arrays(np.concatenate([start, [len(keys)]]), _MORE), *EliasFano.arrays(successors, 1), *booked(mass)]
         if p.order == 3:
             pair = np.repeat(np.searchsorted(keys, sent).astype(np.uint64), fans)
             three, many = _summed((pair << _S32) | third, third_count)
             own = np.bincount((three >> _S32).astype(np.int64), minlength=len(keys))
             start3 = np.concatenate([[0], np.cumsum(own)])
             three = relative(np.repeat(start3[:-1], own), np.repeat(own, own), three & _LOW)
-            arrays += [*EliasFano.arrays(start3, 2), *EliasFano.arrays(three), *booked(many - p.discount)]
+            arrays += [*EliasFano.arrays(start3, 2), *EliasFano.arrays(three, 1), *booked(many - p.discount)]
         put(f"{folder}/b-{bucket}", packed(arrays))
         total = np.add.reduceat(mass, start) if len(start) else np.zeros(0)
         at = bucket_of(context, buckets)
