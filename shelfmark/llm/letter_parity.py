@@ -8,6 +8,9 @@ four parts of a word, and the other three are equal. The key of the join is a ba
 those three parts; it holds words that differ in one part and have the same parity in a band, which are few however many
 words there are. Every pair that meets is verified by its edit distance.
 
+All joins are by sorting, as their hints ask: Spark would size what is read from the compressed files, or is exploded into
+keys, many times too low, and broadcast it through the driver.
+
 Forms chain upwards: a form is at least twice as common as its word, so a chain of forms has at most as many steps as n
 can be doubled. Roots are found by pointer doubling, in the logarithm of that many rounds.
 
@@ -98,7 +101,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left = same.select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     right = same.unionByName(longer).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), "longer")
     fits = F.when(F.col("longer"), F.length("b") == F.length("a") + 1).otherwise((F.length("b") == F.length("a")) & (F.col("a") < F.col("b")))
-    met = left.join(right, "key").filter(fits & one_edit(F.col("a"), F.col("b")))
+    met = left.join(right.hint("merge"), "key").filter(fits & one_edit(F.col("a"), F.col("b")))
     return met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
@@ -107,7 +110,7 @@ def forms(words: DataFrame, pairs: DataFrame, p: Params = Params()) -> DataFrame
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("n_other"))
     both = both.unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("n_other")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_other")).alias("minus"), "near")).alias("best"))
-    out = words.join(best, "word", "left")
+    out = words.join(best.hint("merge"), "word", "left")
     common = -F.col("best.minus") >= p.over * F.col("n")
     return out.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(common, F.col("best.near")).alias("form"), F.when(common, -F.col("best.minus")).alias("form_n"))
 
@@ -117,7 +120,7 @@ def roots(formed: DataFrame) -> DataFrame:
     now = written(formed.filter("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         up = now.select(F.col("word").alias("root"), F.col("root").alias("above"))
-        joined = written(now.join(up, "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        joined = written(now.join(up.hint("merge"), "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
         now = joined.select("word", "root")
         if joined.filter("moved").isEmpty():
             return now
@@ -127,7 +130,7 @@ def variants(docs: DataFrame, text: str = "text", key: str = "doc_id", p: Params
     """(word, form, root, n, n_near, form_n) of every word of docs."""
     words = written(counted(docs, text, key, p), "words")
     formed = written(forms(words, near_pairs(words), p), "forms")
-    out = formed.join(roots(formed), "word", "left")
+    out = formed.join(roots(formed).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

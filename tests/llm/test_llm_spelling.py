@@ -114,3 +114,20 @@ def test_oddities(spark):
     huge = "z" * 200_000
     rows = [(1, f"{huge} {huge}y "), (2, f"{huge} {huge}y "), (3, f"{huge} {huge}y ")]
     assert {(r["word"][-1], r["n_near"]) for r in M.variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {("z", 1), ("y", 1)}
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Keys are many times the words that they come from: no join sends a side through the driver, however small its files are."""
+    plans, write = [], M.written
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(M, "written", seen)
+    rows = [(k, f"{w} " * n) for k, (w, n) in enumerate([("harbour", 40), ("harbor", 12), ("harbo", 5), ("lantern", 9)])]
+    out = M.variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(out) == brute(rows)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert [name for name, plan in plans if "Join" in plan] == ["forms", *[name for name, _ in plans if name == "roots"][1:], "out"]
+    assert not [name for name, plan in plans if "Broadcast" in plan]
